@@ -23,17 +23,34 @@ from pyspark.sql import functions as F
 
 from curvetrail.llm.common import arrow_rows, char_grams, letters_only, sample_share, word_codes
 
-FIT_DOCS, WINDOW, BUCKETS, DIM, ROUNDS = 1000, 16, 1 << 16, 6, 20
+FIT_DOCS, WINDOW, BUCKETS, DIM, ROUNDS = 1500, 16, 1 << 16, 6, 30
 GRAM_SIZES = (3, 4, 5)
 MIN_DOCS, SHARPEN, DECAY, RATE, PRIOR = 3, 1.0, 1e-5, 0.03, 8
 
 
 def _grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams, ordered by word, and where each word's start."""
-    parts = [char_grams(words, n) for n in GRAM_SIZES]
-    bucket = np.concatenate([g % np.uint64(BUCKETS) for g, _ in parts]).astype(np.int64)
-    owner = np.concatenate([o for _, o in parts])
-    return bucket, owner
+    """Buckets of all n-grams, ordered by word, and the word that each is of."""
+    buckets, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for at in range(0, len(words), 20_000):
+        parts = [char_grams(words.slice(at, 20_000), n) for n in GRAM_SIZES]
+        owner = np.concatenate([o for _, o in parts])
+        order = np.argsort(owner, kind="stable")
+        owners.append((owner[order] + at).astype(np.int32))
+        buckets.append((np.concatenate([g for g, _ in parts]) % np.uint64(BUCKETS)).astype(np.int32)[order])
+    return np.concatenate(buckets), np.concatenate(owners)
+
+
+def _documents_with(codes: np.ndarray, starts: np.ndarray, bucket: np.ndarray, begin: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many documents, and toxic documents, each n-gram bucket occurs."""
+    every, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for d, y in enumerate(labels):
+        words = np.unique(codes[starts[d] : starts[d + 1]])
+        n = begin[words + 1] - begin[words]
+        spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[words], n)
+        own = np.unique(bucket[spot])
+        every[own] += 1
+        toxic[own] += y == 1
+    return every, toxic
 
 
 class Model:
@@ -87,21 +104,15 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
     codes = np.asarray(norm.indices, dtype=np.int64)[codes]
     bucket, owner = _grams(norm.dictionary)
     n_words = len(norm.dictionary)
-    share = 1 / np.maximum(np.bincount(owner, minlength=n_words), 1)[owner]
+    share = (1 / np.maximum(np.bincount(owner, minlength=n_words), 1))[owner].astype(np.float32)
     # n-grams of fewer than MIN_DOCS documents keep the zero vector: too rare to learn from
     size = np.diff(starts)
-    pairs = np.unique(np.repeat(np.arange(len(size)), size) * n_words + codes)
-    order = np.argsort(owner, kind="stable")
-    bucket, owner, share = bucket[order], owner[order], share[order]
     begin = np.searchsorted(owner, np.arange(n_words + 1))
-    of, n = pairs % n_words, np.diff(begin)[pairs % n_words]
-    spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[of], n)
-    seen = np.unique(np.repeat(pairs // n_words, n) * BUCKETS + bucket[spot])
-    docs_with = np.bincount(seen % BUCKETS, minlength=BUCKETS)
-    toxic_with = np.bincount(seen[labels[seen // BUCKETS] == 1] % BUCKETS, minlength=BUCKETS)
+    docs_with, toxic_with = _documents_with(codes, starts, bucket, begin, labels)
     often = docs_with >= MIN_DOCS
     keep = often[bucket]
-    used, bucket = np.unique(bucket[keep], return_inverse=True)
+    used, renumber = np.flatnonzero(often), np.cumsum(often) - 1
+    bucket = renumber[bucket[keep]].astype(np.int32)
     owner, share = owner[keep], share[keep]
     if not len(used):
         return Model(None)
@@ -121,10 +132,12 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
     odds = np.log((k1 + PRIOR * base) / (n1 + PRIOR)) - np.log((docs_with[used] - k1 + PRIOR * base) / (n0 + PRIOR))
     vectors[:, 0], soft[:, 0], bias = odds, (-4.0, 4.0), -2.0
     moments = [np.zeros_like(vectors), np.zeros_like(vectors), np.zeros_like(soft), np.zeros_like(soft), 0.0, 0.0]
-    sums = lambda of, weight, n: np.stack([np.bincount(of, weights=weight[:, k], minlength=n) for k in range(weight.shape[1])], axis=1)
+    axis = range(DIM)
+    word_vec, bag = np.empty((n_words, DIM)), np.empty((n_windows, DIM))
     for step in range(1, ROUNDS + 1):
-        word_vec = sums(owner, vectors[bucket] * share[:, None], n_words)
-        bag = sums(window, word_vec[codes], n_windows) / WINDOW
+        for k in axis:
+            word_vec[:, k] = np.bincount(owner, weights=vectors[bucket, k] * share, minlength=n_words)
+            bag[:, k] = np.bincount(window, weights=word_vec[codes, k], minlength=n_windows) / WINDOW
         z = bag @ (soft[1] - soft[0]) + bias
         # a document's label is shared out, mostly to its highest window
         best = np.full(len(size), -np.inf)
@@ -134,9 +147,9 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         weight = chosen / np.where(positive, max(1, chosen[positive].sum()), max(1, chosen[~positive].sum()))
         g = (p - positive) * weight
-        grad_bag = g[:, None] * (soft[1] - soft[0])[None, :] / WINDOW
-        grad_word = sums(codes, grad_bag[window], n_words)
-        grad_vec = sums(bucket, grad_word[owner] * share[:, None], len(used)) + DECAY * vectors
+        # the gradient of an n-gram is the same number times the difference of the class vectors
+        along = np.bincount(bucket, weights=np.bincount(codes, weights=g[window], minlength=n_words)[owner] * share, minlength=len(used)) / WINDOW
+        grad_vec = along[:, None] * (soft[1] - soft[0])[None, :] + DECAY * vectors
         one = g @ bag
         for i, (value, grad) in enumerate(((vectors, grad_vec), (soft, np.stack([-one, one])), (bias, g.sum()))):
             moments[2 * i] = 0.9 * moments[2 * i] + 0.1 * grad
