@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvetrail.llm import decontam, jpeg, langid, secrets, toxicity, urlfilter, warc
+from curvetrail.llm import decontam, jpeg, langid, neardup, secrets, toxicity, urlfilter, warc
 from curvetrail.llm.common import fold_of, read_table
 
 #: Rules of the URL query, as given: host, path, verdict.
@@ -67,6 +67,11 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.similar_texts(docs).withColumnRenamed("id", "doc_id")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold_of(F.col("doc_id"), 4) == 2
@@ -89,6 +94,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_jpeg": op4_jpeg,
     "op6_decontam": op6_decontam,
+    "op8_ngram_join": op8_ngram_join,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
 }
