@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvetrail.llm import decontam, jpeg, langid, neardup, secrets, toxicity, urlfilter, warc
+from curvetrail.llm import decontam, jpeg, langid, neardup, repeats, secrets, toxicity, urlfilter, warc
 from curvetrail.llm.common import fold_of, read_table
 
 #: Rules of the URL query, as given: host, path, verdict.
@@ -61,6 +61,11 @@ def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.find_repeats(docs).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_leaks(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -93,6 +98,7 @@ QUERIES = {
     "op2_urlfilter": op2_urlfilter,
     "op3_secrets": op3_secrets,
     "op4_jpeg": op4_jpeg,
+    "op5_repeats": op5_repeats,
     "op6_decontam": op6_decontam,
     "op8_ngram_join": op8_ngram_join,
     "op9_langid": op9_langid,
