@@ -180,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(F.col("label") == name, F.lit(min(1.0, fit_docs / n))).otherwise(share)
-    sample = labels.where(sample_share(F.col(key)) < share)
+    # the limit proves the size that is broadcast; the share alone already gives about 2 * fit_docs
+    sample = F.broadcast(labels.where(sample_share(F.col(key)) < share).orderBy(sample_share(F.col(key)), key).limit(4 * fit_docs))
     rows = docs.select(key, F.col(text).alias("text")).join(sample, key).select(key, "label", "text").collect()
     rows = sorted(((r[0], r[1], r[2]) for r in rows), key=lambda r: (r[0], r[2] or ""))
     return train([r[2] for r in rows], np.array([r[1] for r in rows], dtype=int))
