@@ -203,3 +203,24 @@ def find_leaks(
     if not found:
         return spark.createDataFrame([], MATCHES)
     return reduce(DataFrame.unionAll, found)
+
+
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The rows of docs, all columns, in which no item is found; each block of items filters what the last one kept."""
+    spark = docs.sparkSession
+    arrow_rows(spark)
+    at, out = docs.columns.index(text), docs
+    for block in blocks(benchmark, item_key, item_text, block_chars):
+        shared = spark.sparkContext.broadcast(Items(block, q, rate))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[m[0] for m in shared.value.matches([normal(t) for t in batch.column(at).to_pylist()])]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvetrail.llm import decontam, jpeg, langid, neardup, repeats, secrets, toxicity, urlfilter, warc
+from curvetrail.llm import decontam, jpeg, langid, mixing, neardup, repeats, secrets, toxicity, urlfilter, warc
 from curvetrail.llm.common import fold_of, read_table
 
 #: Rules of the URL query, as given: host, path, verdict.
@@ -72,6 +72,21 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+#: Domains of the labels table, and the share of tokens that each is to have.
+MIX_TARGETS = {"clean": 0.9, "junk": 0.09, "toxic": 0.01}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """doc_id and domain: toxic, else junk (quality 0), else clean; rows with a null label have none."""
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", kind.alias("domain"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, docs, label_domains(read_table(spark, sf_dir, "labels")), MIX_TARGETS)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.similar_texts(docs).withColumnRenamed("id", "doc_id")
@@ -100,6 +115,7 @@ QUERIES = {
     "op4_jpeg": op4_jpeg,
     "op5_repeats": op5_repeats,
     "op6_decontam": op6_decontam,
+    "op7_mixing": op7_mixing,
     "op8_ngram_join": op8_ngram_join,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,

@@ -255,3 +255,34 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", fit_v
         _judge(models),
         "id long, found array<struct<kind:string,start:int,end:int,score:double,format:string>>, n_assign long, n_access long, n_hex long, base_sha256 string, spans string",
     )
+
+
+def mask(docs: DataFrame, put: str, text: str = "text", length: str = "n_chars", fit_values: int = FIT_VALUES) -> DataFrame:
+    """docs with put in place of each found value, and length (where there is such a column) as it is then."""
+    spark = docs.sparkSession
+    arrow_rows(spark)
+    found = materialize(docs.select(F.lit(0).cast("long"), F.col(text).cast("binary")).mapInArrow(_scan, FOUND).where("size(found) > 0"), "secrets")
+    models = fit_formats(spark, found, fit_values)
+    at, new = docs.columns.index(text), put.encode()
+
+    def masked(data: bytes, spans: list[tuple[str, int, int, bytes]]) -> bytes:
+        chars, out, last = data.decode("utf-8", "replace"), [], 0
+        for kind, _, end, value in spans:
+            start = end - len(value)
+            if kind == "candidate" and not any(m.score(value.decode()) >= least for m, least in models.values()):
+                continue
+            if start >= last:
+                out += [chars[last:start].encode(), new]
+            last = max(last, end)
+        return b"".join([*out, chars[last:].encode()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.schema.field(at).type
+            texts = [None if x is None else x.encode() for x in batch.column(at).to_pylist()]
+            spans = find_spans([t or b"" for t in texts])
+            rows = [t if not s else masked(t, s) for t, s in zip(texts, spans)]
+            yield pa.RecordBatch.from_arrays([pa.array([None if r is None else r.decode() for r in rows], kind) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn(length, F.when(F.col(text).isNotNull(), F.length(text)).otherwise(F.col(length)).cast(docs.schema[length].dataType)) if length in docs.columns else out

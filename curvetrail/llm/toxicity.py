@@ -199,3 +199,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     rows = docs.select(F.col(key).cast("long").alias("id"), (F.lit(False) if extra is None else extra).alias("held_out"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, held_out boolean, score double")
+
+
+def keep_below(docs: DataFrame, model: Model, limit: float, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores under limit."""
+    spark = docs.sparkSession
+    arrow_rows(spark)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.predict(batch.column(at).cast(pa.string())) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
