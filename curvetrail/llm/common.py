@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -49,6 +50,12 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver's cleaner drop the shuffle files of steps whose results are written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds the Arrow batches that go to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -4,9 +4,10 @@ Words are lower-case letters and digits between white space; n-grams are five wo
 1. One pass over the texts gives a 128-bit hash of each word sequence and band hashes of a MinHash signature. Equal
    sequences are copies: they form one class, and only its least id goes on.
 2. Band hashes are shuffled. A bucket of up to PAIRS_UP_TO texts gives all its pairs. In a larger one, each text is
-   paired with the least id (a star), which is linear in the bucket; texts that turn out unlike it form a bucket
-   again and are dealt with in the same way, until none is left. Nothing is capped.
-3. Candidate pairs are verified on the full n-gram sets, which only candidate texts get.
+   paired with the least id (a star), which is linear in the bucket. Candidate pairs are verified on the full n-gram
+   sets, which only candidate texts get.
+3. Texts of larger buckets that are unlike the least id are compared with the whole bucket, block of texts by block of
+   texts in one matrix product each; of the links found only a spanning forest becomes rows. Nothing is capped.
 4. Verified links are contracted to classes. Within a class, the links of each text are counted exactly, block of
    texts by block of texts, so that a class of any size is spread over tasks and its pairs are never rows.
 
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvetrail.llm.common import arrow_rows, drop_table, materialize, mixed, word_codes, word_hashes
+from curvetrail.llm.common import arrow_rows, materialize, mixed, release, word_codes, word_hashes
 from curvetrail.llm.components import connected_components
 
 WORDS, THRESHOLD, ROWS, RECALL, PAIRS_UP_TO, BLOCK = 5, 0.8, 8, 0.995, 8, 256
@@ -139,6 +140,13 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 409
     return out
 
 
+def _linked(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which of a and b are similar enough."""
+    inter = overlaps(a, b)
+    union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - inter
+    return inter.astype(np.float64) / union >= threshold
+
+
 def _count_links(threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
@@ -147,9 +155,7 @@ def _count_links(threshold: float):
         a, b = [np.asarray(x) for x in left["grams"]], [np.asarray(x) for x in right["grams"]]
         if not a or not b:
             return pd.DataFrame({"id": [], "n": []}).astype("int64")
-        inter = overlaps(a, b)
-        union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - inter
-        link = inter.astype(np.float64) / union >= threshold
+        link = _linked(a, b, threshold)
         if i == j:
             np.fill_diagonal(link, False)
             return pd.DataFrame({"id": left["id"].to_numpy(), "n": link.sum(1).astype(np.int64)})
@@ -158,6 +164,46 @@ def _count_links(threshold: float):
     return run
 
 
+def _forest(threshold: float):
+    """Of the links between the two sides of a group, enough to connect what they connect."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            link = _linked([np.asarray(x) for x in left["grams"]], [np.asarray(x) for x in right["grams"]], threshold)
+            a, b = left["id"].to_numpy(), right["id"].to_numpy()
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.setdefault(x, x) != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for r, c in zip(*np.nonzero(link)):
+                x, y = root(int(a[r])), root(int(b[c]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((int(a[r]), int(b[c])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _block_links(members: DataFrame, odd: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Edges between odd texts (bucket, id) and all members of their buckets, in blocks of both."""
+    many = members.join(odd.select("bucket").distinct(), "bucket", "left_semi")
+    sized = many.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n1"))
+    sized = sized.join(odd.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n0")), "bucket")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = odd.join(sized, "bucket").select("bucket", "id", F.lit(0).alias("side"), own("n0").alias("i"), all_of("n1").alias("j"))
+    right = many.join(sized, "bucket").select("bucket", "id", F.lit(1).alias("side"), own("n1").alias("j"), all_of("n0").alias("i"))
+    dealt = left.unionByName(right).join(sets, "id")
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(_forest(threshold), "a long, b long").where("a <> b")
+
+
 def _candidates(members: DataFrame, pairs_up_to: int) -> DataFrame:
     """(bucket, center, id, small) of members (bucket, id): bucket's least id against the others; in small buckets
     all pairs, center being the smaller id."""
@@ -189,30 +235,25 @@ def similar_texts(
     lead = signed.where("grams > 0").groupBy("one", "two").agg(F.min_by(F.struct("id", "bands"), "id").alias("r")).select("r.*")
     members = lead.select("id", F.explode("bands").alias("bucket"))
 
-    judged = sets = None
-    todo = _candidates(members, pairs_up_to)
-    while True:
-        todo = materialize(todo, "candidates")
-        pairs = todo.select("center", "id").distinct()
-        if judged is None:  # later rounds only meet texts of the first
-            ids = todo.select(F.explode(F.array("center", "id")).alias("id")).distinct()
-            wanted = source.join(ids.hint("shuffle_hash"), "id", "left_semi")
-            sets = materialize(wanted.mapInArrow(_sets(words), "id long, grams array<long>").dropDuplicates(["id"]), "sets")
-        else:
-            pairs = pairs.join(judged, ["center", "id"], "left_anti")
-        with_left = pairs.join(sets.select(F.col("id").alias("center"), F.col("grams").alias("x")), "center")
-        both = with_left.join(sets.select("id", F.col("grams").alias("y")), "id")
-        inter = F.size(F.array_intersect("x", "y"))
-        now = materialize(both.select("center", "id", (inter / (F.size("x") + F.size("y") - inter) >= threshold).alias("ok")), "judged")
-        judged = now if judged is None else judged.unionAll(now)
-        # in large buckets, texts unlike the center make up a bucket again
-        unlike = judged.where("not ok").select("center", "id")
-        rest = materialize(todo.where("not small").join(unlike, ["center", "id"], "left_semi").select("bucket", "id"), "rest")
-        drop_table(todo)
-        if rest.isEmpty():
-            break
-        todo = _candidates(rest, pairs_up_to)
-    edges = judged.where("ok").select(F.col("center").alias("a"), F.col("id").alias("b"))
+    todo = materialize(_candidates(members, pairs_up_to), "candidates")
+    release(spark)
+    pairs = materialize(todo.select("center", "id").distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("center", "id")).alias("id")).distinct()
+    wanted = source.join(ids.hint("shuffle_hash"), "id", "left_semi")
+    sets = materialize(wanted.mapInArrow(_sets(words), "id long, grams array<long>").dropDuplicates(["id"]), "sets")
+    release(spark)
+    with_left = pairs.join(sets.select(F.col("id").alias("center"), F.col("grams").alias("x")), "center")
+    both = with_left.join(sets.select("id", F.col("grams").alias("y")), "id")
+    inter = F.size(F.array_intersect("x", "y"))
+    judged = materialize(both.select("center", "id", (inter / (F.size("x") + F.size("y") - inter) >= threshold).alias("ok")), "judged")
+    release(spark)
+    # in large buckets, texts unlike the least id meet the whole bucket
+    odd = todo.where("not small").join(judged.where("not ok"), ["center", "id"], "left_semi").select("bucket", "id")
+    odd = materialize(odd, "odd")
+    large = todo.where("not small")
+    large = large.select("bucket", "id").unionAll(large.select("bucket", F.col("center").alias("id")).distinct())
+    more = _block_links(large, odd, sets, threshold, block)
+    edges = judged.where("ok").select(F.col("center").alias("a"), F.col("id").alias("b")).unionAll(more)
 
     classes = materialize(connected_components(edges), "classes")
     numbered = classes.join(sets, "id").select("id", "class", "grams")
@@ -223,6 +264,7 @@ def similar_texts(
         "class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "grams"
     )
     counts = dealt.groupBy("class", "i", "j").applyInPandas(_count_links(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n_links"))
+    release(spark)
     texts = classes.join(counts, "id", "left").select(F.col("id").alias("copy_of"), F.col("class").alias("class_id"), "n_links")
     return copies.join(texts, "copy_of", "left").select(
         "id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", F.coalesce("n_links", F.lit(0)).alias("n_links")

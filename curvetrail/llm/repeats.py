@@ -24,9 +24,7 @@ returned. An id must not come with two texts. Rows with a null id are returned w
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from curvetrail.llm.common import _TABLE, arrow_rows, drop_table, materialize, mixed, sample_share
+from curvetrail.llm.common import _TABLE, arrow_rows, drop_table, materialize, mixed, release, sample_share
 
 LENGTH, SEED, STEP = 100, 24, 8
 SEGMENT = 1 << 19
@@ -236,13 +234,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets the driver's cleaner drop the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(1)
-
-
 def hot_ranks(rows: DataFrame, length: int, seed: int) -> list[int]:
     """Ranks that are frequent in a share of the documents; a bounded list that only spreads work."""
     sample = rows.where(sample_share(F.col("id")) < HOT_SHARE).mapInArrow(_runs(length, seed), RUNS)
@@ -268,7 +259,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     first = materialize(
         ranked.where(again | open_run).select("id", "start", "windows", "place", again.alias("again")), "repeat-runs"
     )
-    _release(spark)
+    release(spark)
     spans = first.where("again").select("id", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
 
     arrow_rows(spark, 50)
@@ -276,12 +267,12 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     # a repeated row must not count as a second occurrence
     once = rows.join(todo.hint("shuffle_hash"), "id").select("id", "text", "runs")
     pieces = materialize(once.mapInArrow(_pieces(length, step), PIECES), "repeat-pieces")
-    _release(spark)
+    release(spark)
     met = pieces.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
     windows = pieces.join(met, ["one", "two"]).withColumn("nth", F.explode(F.sequence("first", "last")))
     windows = windows.select("one", "two", "nth", F.expr(f"substring(rim, nth + 1, {step - 1})").alias("rim"), "id", (F.col("origin") - (step - 1) + F.col("nth")).alias("start"))
     windows = materialize(windows, "repeat-windows")
-    _release(spark)
+    release(spark)
     drop_table(pieces)
     name = ["one", "two", "nth", "rim"]
     least = windows.groupBy(*name).agg(F.min(F.struct("id", "start")).alias("least"), F.max(F.struct("id", "start")).alias("most")).where("least <> most").drop("most")
@@ -290,7 +281,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     # windows in a row are one span already where they are settled together, so a document has few
     gathered = spans.unionAll(late).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("s"))
     gathered = materialize(gathered.select("id", F.col("s.start").alias("starts"), F.col("s.end").alias("ends")), "repeat-spans")
-    _release(spark)
+    release(spark)
     drop_table(windows)
     drop_table(first)
     arrow_rows(spark)
