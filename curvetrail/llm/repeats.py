@@ -7,10 +7,13 @@ position leaves as soon as its rank is unique or its prefix reaches LENGTH:
    window; windows in a row that share it form a run. Equal windows have equal ranks, so a window whose rank is unique
    is done. Only one row a run is sorted, about one in (LENGTH - SEED) / 2 bytes. Runs that are equal as a whole (pair
    of rank and rank of all bytes of the run) are settled here too: all but the first repeat it.
-2. Runs that share a rank but differ as a whole are cut where the position modulo STEP from the ranked place is 0;
+2. Of runs that share a rank but differ as a whole, the ranks of twice the length or more are compared: every window of
+   a run holds either the bytes from SIDE before the ranked seed to its end, or those from its start to SIDE after it.
+   Windows for which no other run has that stretch are done.
+3. What is left is cut where the position modulo STEP from the ranked place is 0;
    each piece has a core that all its windows contain, named by the pair of the ranks of its halves, the second at
    half a core's offset. Pieces with a unique pair are done.
-3. LENGTH bytes. Windows of the other pieces are ranked by the pair with the bytes that they add to their core on
+4. LENGTH bytes. Windows of the other pieces are ranked by the pair with the bytes that they add to their core on
    either side; all but the first of a rank repeat it.
 
 Order is (doc_id, start). Ranks are 64-bit fingerprints (polynomials over the ring of 64-bit numbers, mixed), compared
@@ -35,7 +38,7 @@ from pyspark.sql import Window as W
 
 from curvetrail.llm.common import _TABLE, arrow_rows, drop_table, materialize, mixed, release, sample_share
 
-LENGTH, SEED, STEP = 100, 24, 8
+LENGTH, SEED, STEP = 100, 24, 16
 SEGMENT = 1 << 19
 #: Hot ranks: found in this share of the documents, kept are at most so many of the most frequent.
 HOT_SHARE, HOT_RANKS, HOT_LEAST = 0.01, 1000, 20
@@ -95,8 +98,10 @@ def segments(texts: list[bytes], overlap: int) -> Iterator[tuple[np.ndarray, lis
 
 
 def find_runs(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """Of all runs: text, start of the first window, windows, place of the ranked seed, its rank, rank of the whole."""
-    out = [[], [], [], [], [], []]
+    """Of all runs: text, start of the first window, windows, place of the ranked seed, its rank, rank of the whole, and
+    16 bits each of the ranks of the stretches to its left and right."""
+    out = [[], [], [], [], [], [], []]
+    side = (length - seed) // 2
     wide = length - seed + 1
     for raw, parts in segments(texts, length - 1):
         begin = np.array([p[2] for p in parts])
@@ -127,18 +132,22 @@ def find_runs(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> tup
         out[3].append(place[start] + shift)
         out[4].append(rank[place[start]])
         out[5].append(prints.of(start, stop - 1 + length))
-    kinds = [np.int64] * 4 + [np.uint64] * 2
+        at = place[start]
+        left = prints.of(np.maximum(at - side, 0), at + seed) >> np.uint64(48)
+        right = prints.of(at, np.minimum(at + seed + side, len(raw))) >> np.uint64(48)
+        out[6].append((left << np.uint64(16) | right).astype(np.int64))
+    kinds = [np.int64] * 4 + [np.uint64] * 2 + [np.int64]
     return tuple(np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds))
 
 
-RUNS = "rank long, whole long, id long, start int, windows int, place int, settled boolean"
+RUNS = "rank long, whole long, id long, start int, windows int, place int, sides long, settled boolean"
 
 
 def _runs(length: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0), dtype=np.int64)
-            text, start, windows, place, rank, whole = find_runs([x.as_py() or b"" for x in batch.column(1)], length, seed)
+            text, start, windows, place, rank, whole, sides = find_runs([x.as_py() or b"" for x in batch.column(1)], length, seed)
             own = ids[text]
             # all but the first of equal runs in this batch repeat it
             key = mixed(rank ^ (whole * np.uint64(3)))
@@ -149,8 +158,8 @@ def _runs(length: int, seed: int):
             settled = np.zeros(len(k), bool)
             settled[order] = (i != i[lead]) | (s != s[lead])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rank.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(own), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(settled)],
-                names=["rank", "whole", "id", "start", "windows", "place", "settled"],
+                [pa.array(rank.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(own), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sides), pa.array(settled)],
+                names=["rank", "whole", "id", "start", "windows", "place", "sides", "settled"],
             )
 
     return run
@@ -241,6 +250,20 @@ def hot_ranks(rows: DataFrame, length: int, seed: int) -> list[int]:
     return [r[0] for r in often.orderBy(F.desc("count"), "rank").limit(HOT_RANKS).collect()]
 
 
+def _shared_sides(runs: DataFrame, side: int) -> DataFrame:
+    """Cuts runs to the windows whose longer stretch another run of the rank has too. A window that begins at least
+    `side` before the ranked seed holds the left stretch, one that begins at most `side` before it the right one."""
+    left, right = F.shiftright("sides", 16), F.col("sides").bitwiseAND(0xFFFF)
+    middle = F.col("place") - side  # the last window that holds the left stretch
+    end = F.col("start") + F.col("windows") - 1
+    cut = lambda a, z, which, stretch: F.struct(F.lit(which).alias("which"), stretch.alias("stretch"), a.alias("a"), z.alias("z"))
+    parts = F.explode(F.array(cut(F.col("start"), F.least(end, middle), 0, left), cut(F.greatest("start", middle + 1), end, 1, right)))
+    halves = runs.select("rank", "id", "place", parts.alias("p")).select("rank", "id", "place", "p.*").where("a <= z")
+    key = ["rank", "which", "stretch"]
+    met = halves.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    return halves.join(met, key).select("id", F.col("a").cast("int").alias("start"), (F.col("z") - F.col("a") + 1).cast("int").alias("windows"), "place")
+
+
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, step: int = STEP) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed byte ranges) of every row."""
     spark = docs.sparkSession
@@ -257,13 +280,14 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     again = F.col("settled") | (F.col("nth") > 1)
     open_run = ~again & (F.col("hot") | F.col("differ"))
     first = materialize(
-        ranked.where(again | open_run).select("id", "start", "windows", "place", again.alias("again")), "repeat-runs"
+        ranked.where(again | open_run).select("id", "start", "windows", "place", "rank", "sides", again.alias("again")), "repeat-runs"
     )
     release(spark)
     spans = first.where("again").select("id", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
 
     arrow_rows(spark, 50)
-    todo = first.where("not again").distinct().groupBy("id").agg(F.collect_list(F.struct("start", "windows", "place")).alias("runs"))
+    todo = _shared_sides(first.where("not again").distinct(), (length - seed) // 2)
+    todo = todo.groupBy("id").agg(F.collect_list(F.struct("start", "windows", "place")).alias("runs"))
     # a repeated row must not count as a second occurrence
     once = rows.join(todo.hint("shuffle_hash"), "id").select("id", "text", "runs")
     pieces = materialize(once.mapInArrow(_pieces(length, step), PIECES), "repeat-pieces")
