@@ -104,19 +104,26 @@ def local_peak(value: Column, w) -> Column:
     return (value >= F.coalesce(F.lag(value).over(w), low)) & (value >= F.coalesce(F.lead(value).over(w), low))
 
 
+def with_median(df: DataFrame, value: str, keys: list[str], med: str = "med", off: str = "off") -> DataFrame:
+    """Adds the median of each key and the distance of each value from it, within one shuffle."""
+    x = df.withColumn(med, F.percentile(value, F.lit(0.5)).over(W.partitionBy(*keys)))
+    return x.withColumn(off, F.abs(F.col(value) - F.col(med)))
+
+
 def robust_stats(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """keys, med, mad and sigma = 1.4826 mad, by two grouped percentiles."""
-    med = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("med"))
-    off = df.join(med, keys).withColumn("_off", F.abs(F.col(value) - F.col("med")))
-    return off.groupBy(*keys).agg(F.first("med").alias("med"), F.percentile("_off", F.lit(0.5)).alias("mad")).withColumn("sigma", F.col("mad") * 1.4826)
+    """keys, med, mad and sigma = 1.4826 mad."""
+    off = with_median(df.select(*keys, value), value, keys)
+    return off.groupBy(*keys).agg(F.first("med").alias("med"), F.percentile("off", F.lit(0.5)).alias("mad")).withColumn("sigma", F.col("mad") * 1.4826)
 
 
 def robust_unit(df: DataFrame, value: str, out: str, keys: list[str]) -> DataFrame:
     """(value - median) / sigma, from 0, over its 95th percentile, held to [0, 1]."""
-    stats = robust_stats(df, value, keys).select(*keys, "med", F.greatest(num(1e-6), F.col("sigma")).alias("_s"))
-    z = df.join(stats, keys).withColumn("_z", F.greatest(num(0), (F.col(value) - F.col("med")) / F.col("_s")))
-    top = z.groupBy(*keys).agg(F.greatest(num(1e-6), F.percentile("_z", F.lit(0.95))).alias("_top"))
-    return z.join(top, keys).withColumn(out, clip01(F.col("_z") / F.col("_top"))).drop("med", "_s", "_z", "_top")
+    w = W.partitionBy(*keys)
+    x = with_median(df, value, keys, "_m", "_o")
+    sigma = F.greatest(num(1e-6), F.percentile("_o", F.lit(0.5)).over(w) * 1.4826)
+    x = x.withColumn("_s", sigma).withColumn("_z", F.greatest(num(0), (F.col(value) - F.col("_m")) / F.col("_s")))
+    x = x.withColumn("_top", F.greatest(num(1e-6), F.percentile("_z", F.lit(0.95)).over(w)))
+    return x.withColumn(out, clip01(F.col("_z") / F.col("_top"))).drop("_m", "_o", "_s", "_z", "_top")
 
 
 def top_share_mean(df: DataFrame, value: str, out: str, keys: list[str], share: float) -> DataFrame:

@@ -1,14 +1,12 @@
 """Motion features of sliding windows.
 
 What a window says of the objects on its last frame needs only each object's own last `size` observations, so it comes
-from lags over (video, track) without exploding observations into windows. Window rows arise only where a feature needs
+from range frames over (video, track) without exploding observations into windows. Window rows arise only where a feature needs
 them: pairs of predicted boxes, objects that vanish, and window counts. Frame sizes are a property of the video.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -31,119 +29,93 @@ def _sized(tracks: DataFrame) -> DataFrame:
     return tracks.join(size, "video_id")
 
 
-def _total(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts)
-
-
-class History:
-    """The last observations of a track within a window that ends at the current row, as expressions: k = 0 is the
-    current one. An observation counts while it lies in the window and k is below the length."""
-
-    def __init__(self, size: int):
-        self.size = size
-        w = W.partitionBy("video_id", "track_id").orderBy("idx")
-        idx = F.col("idx")
-        back = lambda c, k: F.lag(c, k).over(w) if k else F.col(c)
-        self.columns = {}
-        for k in range(size):
-            self.columns[f"i{k}"] = back("idx", k)
-            for c in ("frame_id", "px", "py", "area", "x1", "y1", "x2", "y2"):
-                if k < 2 or c in ("frame_id", "px", "py", "area"):
-                    self.columns[f"{c}_{k}"] = back(c, k)
-        self.inside = [F.coalesce(F.col(f"i{k}") > idx - size, F.lit(False)) for k in range(size)]
-        self.count = _total([F.when(x, F.lit(1)).otherwise(F.lit(0)) for x in self.inside])
-
-    def fit(self, first: int, most: int, degree: int, upto: Column | None = None) -> tuple[Column, ...]:
-        """Least squares of x and y over frame number, from observation `first` back, at most `most` of them; time 0
-        is that observation. Gives for x and y the value, slope and curvature terms there."""
-        t0 = F.col(f"frame_id_{first}")
-        use = [(k, self.inside[k]) for k in range(first, min(self.size, first + most))]
-        t = {k: (F.col(f"frame_id_{k}") - t0).cast("double") for k, _ in use}
-        term = lambda k, ok, v: F.when(ok, v).otherwise(num(0))
-        power = lambda p: _total([term(k, ok, num(1) if p == 0 else reduce(lambda a, b: a * b, [t[k]] * p)) for k, ok in use])
-        mixed = lambda c, p: _total([term(k, ok, F.col(f"{c}_{k}") if p == 0 else F.col(f"{c}_{k}") * reduce(lambda a, b: a * b, [t[k]] * p)) for k, ok in use])
-        s = [power(p) for p in range(2 * degree + 1)]
-        out = []
-        for c in ("px", "py"):
-            b = [mixed(c, p) for p in range(degree + 1)]
-            if degree == 1:
-                det = s[0] * s[2] - s[1] * s[1]
-                out += [(b[0] * s[2] - b[1] * s[1]) / det, (s[0] * b[1] - s[1] * b[0]) / det, num(0)]
-            else:
-                d = s[0] * (s[2] * s[4] - s[3] * s[3]) - s[1] * (s[1] * s[4] - s[2] * s[3]) + s[2] * (s[1] * s[3] - s[2] * s[2])
-                c0 = b[0] * (s[2] * s[4] - s[3] * s[3]) - s[1] * (b[1] * s[4] - b[2] * s[3]) + s[2] * (b[1] * s[3] - b[2] * s[2])
-                c1 = s[0] * (b[1] * s[4] - b[2] * s[3]) - b[0] * (s[1] * s[4] - s[2] * s[3]) + s[2] * (s[1] * b[2] - b[1] * s[2])
-                c2 = s[0] * (s[2] * b[2] - b[1] * s[3]) - s[1] * (s[1] * b[2] - b[1] * s[2]) + b[0] * (s[1] * s[3] - s[2] * s[2])
-                out += [c0 / d, c1 / d, c2 / d]
-        return tuple(out)
+def _sums(seq: Column, t0: Column) -> Column:
+    """Power sums of frame numbers (from t0) and their products with x and y over observations: s0..s4, x0..x2, y0..y2."""
+    names = ["s0", "s1", "s2", "s3", "s4", "x0", "x1", "x2", "y0", "y1", "y2"]
+
+    def add(acc: Column, o: Column) -> Column:
+        t = (o["frame_id"] - t0).cast("double")
+        terms = [num(1), t, t * t, t * t * t, t * t * t * t, o["px"], o["px"] * t, o["px"] * t * t, o["py"], o["py"] * t, o["py"] * t * t]
+        return F.struct(*[(acc[n] + x).alias(n) for n, x in zip(names, terms)])
+
+    return F.aggregate(seq, F.struct(*[num(0).alias(n) for n in names]), add)
+
+
+def _solved(s: Column, degree: Column) -> dict[str, Column]:
+    """Value, slope and curvature term at time 0 of x and y, least squares of degree 1 or 2."""
+    s0, s1, s2, s3, s4 = (s[f"s{i}"] for i in range(5))
+    out = {}
+    d1 = s0 * s2 - s1 * s1
+    m0, m1, m2 = s2 * s4 - s3 * s3, s1 * s4 - s2 * s3, s1 * s3 - s2 * s2
+    d2 = s0 * m0 - s1 * m1 + s2 * m2
+    for c in ("x", "y"):
+        b0, b1, b2 = (s[f"{c}{i}"] for i in range(3))
+        linear = ((b0 * s2 - b1 * s1) / d1, (s0 * b1 - s1 * b0) / d1, num(0))
+        curved = (
+            (b0 * m0 - s1 * (b1 * s4 - b2 * s3) + s2 * (b1 * s3 - b2 * s2)) / d2,
+            (s0 * (b1 * s4 - b2 * s3) - b0 * m1 + s2 * (s1 * b2 - b1 * s2)) / d2,
+            (s0 * (s2 * b2 - b1 * s3) - s1 * (s1 * b2 - b1 * s2) + b0 * m2) / d2,
+        )
+        for name, lin, cur in zip((f"{c}0", f"v{c}", f"q{c}"), linear, curved):
+            out[name] = F.when(degree == 1, lin).otherwise(cur)
+    return out
 
 
 def last_frame_motion(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg: Motion = Motion()) -> DataFrame:
     """A row for each track on the last frame of a window that it has been seen in three times or more, static ones
     left out: fitted value and velocity, speed, whether the last step is stable, the predicted next box, and for tracks
-    of full history the errors of the previous fit and the changes of speed and direction."""
+    of full history the errors of the previous fit and the changes of speed and direction. The observations of a track
+    within a window are a range frame over its own rows, at most `size` of them."""
     if cfg.fit_degree not in (1, 2):
         raise ValueError("fits are linear or quadratic")
     hist = min(size, max(3, cfg.history)) if cfg.history is not None else size
-    h = History(size)
+    obs = F.struct("frame_id", "px", "py", "area", "x1", "y1", "x2", "y2")
+    w = W.partitionBy("video_id", "track_id").orderBy("idx").rangeBetween(-(size - 1), 0)
     t = with_idx(_sized(tracks).withColumns({"px": point_x(), "py": point_y(height=cfg.point_height)}), frames)
-    t = t.withColumns(h.columns).withColumn("n", h.count)
+    t = t.select("video_id", "track_id", "idx", "fw", "fh", F.collect_list(obs).over(w).alias("seq")).withColumn("n", F.size("seq"))
     t = t.where((F.col("idx") >= size - 1) & (F.col("n") >= 3))
-    mean_area = _total([F.coalesce(F.col(f"area_{k}"), num(0)) for k in range(size)]) / size
-    moved = F.hypot(F.col("px_0") - F.col(f"px_{size - 1}"), F.col("py_0") - F.col(f"py_{size - 1}"))
-    static = (F.col("n") >= max(3, size)) & (moved / F.sqrt(F.greatest(num(1), mean_area)) < cfg.static_ratio)
-    t = t.where(~F.coalesce(static, F.lit(False)))
+    cur, prev, first = (F.try_element_at("seq", F.lit(k)) for k in (-1, -2, 1))
+    t = t.withColumns({"a": prev, "b": cur, "o": first})
+    mean_area = F.aggregate("seq", num(0), lambda acc, x: acc + x["area"]) / F.col("n")
+    moved = F.hypot(F.col("b.px") - F.col("o.px"), F.col("b.py") - F.col("o.py"))
+    t = t.where(~((F.col("n") >= max(3, size)) & (moved / F.sqrt(F.greatest(num(1), mean_area)) < cfg.static_ratio)))
+    # the current fit takes the last `hist` observations, the one before it those without the current one
+    now = F.slice("seq", F.greatest(F.lit(1), F.col("n") - hist + 1), hist)
+    before = F.slice("seq", F.greatest(F.lit(1), F.col("n") - hist), F.least(F.col("n") - 1, F.lit(hist)))
+    t = t.withColumns({"s_now": _sums(now, F.col("b.frame_id")), "s_before": _sums(before, F.col("a.frame_id"))})
+    degree = lambda full: F.when(full, F.lit(cfg.fit_degree)).otherwise(F.lit(1))
     full = F.col("n") >= hist
-    lin, quad = h.fit(0, hist, 1), h.fit(0, hist, cfg.fit_degree)
-    names = ["x0", "vx", "qx", "y0", "vy", "qy"]
-    t = t.withColumns({f"lin_{c}": e for c, e in zip(names, lin)} | {f"quad_{c}": e for c, e in zip(names, quad)})
-    t = t.withColumns({c: F.when(full, F.col(f"quad_{c}")).otherwise(F.col(f"lin_{c}")) for c in names})
-    # the fit before: one observation less, and linear unless that still fills the history
-    lin, quad = h.fit(1, hist, 1), h.fit(1, hist, cfg.fit_degree)
-    still = F.col("n") - 1 >= hist
-    t = t.withColumns({f"plin_{c}": e for c, e in zip(names, lin)} | {f"pquad_{c}": e for c, e in zip(names, quad)})
-    t = t.withColumns({f"p{c}": F.when(still, F.col(f"pquad_{c}")).otherwise(F.col(f"plin_{c}")) for c in names})
+    t = t.withColumns(_solved(F.col("s_now"), degree(full)) | {f"p{k}": v for k, v in _solved(F.col("s_before"), degree(F.col("n") - 1 >= hist)).items()})
+    gaps = F.zip_with(F.slice(now, 2, hist), F.slice(now, 1, F.size(now) - 1), lambda z, y: z["frame_id"] - y["frame_id"])
+    usual = F.greatest(F.lit(1), F.try_element_at(F.array_sort(gaps), F.floor(F.size(gaps) / 2).cast("int") + 1)).cast("double")
     fw, fh = F.col("fw"), F.col("fh")
-    b0, b1 = (tuple(F.col(f"{c}_{k}") for c in ("x1", "y1", "x2", "y2")) for k in (0, 1))
-    edge = lambda b: _edge(b, fw, fh, cfg.edge_ratio)
-    s0, s1 = scale(F.col("area_0")), scale(F.col("area_1"))
+    s0, s1 = scale(F.col("b.area")), scale(F.col("a.area"))
     pair_scale = F.greatest(num(1), (s0 + s1) * 0.5)
-    step = F.hypot(F.col("px_0") - F.col("px_1"), F.col("py_0") - F.col("py_1"))
-    stable = ~edge(b1) & ~edge(b0) & (area_ratio(F.col("area_1"), F.col("area_0")) <= cfg.max_area_ratio) & (step / pair_scale <= cfg.max_step_ratio)
-    dt = F.greatest(F.lit(1), F.col("frame_id_0") - F.col("frame_id_1")).cast("double")
-    gaps = F.array_compact(F.array(*[F.when(h.inside[k + 1], F.col(f"frame_id_{k}") - F.col(f"frame_id_{k + 1}")) for k in range(hist - 1)]))
-    usual = F.greatest(F.lit(1), F.element_at(F.array_sort(gaps), F.floor(F.size(gaps) / 2).cast("int") + 1)).cast("double")
-    t = t.withColumns({"stable": stable, "dt": dt, "next_dt": usual, "s0": s0, "pair_scale": pair_scale})
-    nx = F.col("x0") + F.col("vx") * F.col("next_dt") + F.col("qx") * F.col("next_dt") * F.col("next_dt")
-    ny = F.col("y0") + F.col("vy") * F.col("next_dt") + F.col("qy") * F.col("next_dt") * F.col("next_dt")
-    w0, h0 = F.col("x2_0") - F.col("x1_0"), F.col("y2_0") - F.col("y1_0")
-    w1, h1 = F.col("x2_1") - F.col("x1_1"), F.col("y2_1") - F.col("y1_1")
-    ex = F.col("px0") + F.col("pvx") * F.col("dt") + F.col("pqx") * F.col("dt") * F.col("dt")
-    ey = F.col("py0") + F.col("pvy") * F.col("dt") + F.col("pqy") * F.col("dt") * F.col("dt")
-    n1, n2 = F.hypot("pvx", "pvy"), F.hypot("vx", "vy")
-    r1, r2 = n1 * F.col("dt") / F.col("pair_scale"), n2 * F.col("dt") / F.col("pair_scale")
-    change = F.abs(r1 - r2) / F.greatest(num(cfg.min_turn_speed), (r1 + r2) * 0.5)
-    enough = F.least(n1, n2) * F.col("dt") >= F.greatest(num(cfg.min_dir_px), F.col("pair_scale") * cfg.min_dir_ratio)
+    step = F.hypot(F.col("b.px") - F.col("a.px"), F.col("b.py") - F.col("a.py"))
+    stable = ~edge_unstable("a.", fw, fh, cfg.edge_ratio) & ~edge_unstable("b.", fw, fh, cfg.edge_ratio)
+    stable = stable & (area_ratio(F.col("a.area"), F.col("b.area")) <= cfg.max_area_ratio) & (step / pair_scale <= cfg.max_step_ratio)
+    dt = F.greatest(F.lit(1), F.col("b.frame_id") - F.col("a.frame_id")).cast("double")
+    t = t.withColumns({"stable": stable, "dt": dt, "next_dt": usual, "s0": s0, "pair_scale": pair_scale, "n1": F.hypot("pvx", "pvy"), "n2": F.hypot("vx", "vy")})
+    at = lambda p, c, d: F.col(f"{p}{c}0") + F.col(f"{p}v{c}") * F.col(d) + F.col(f"{p}q{c}") * F.col(d) * F.col(d)
+    dims = lambda p: (F.col(f"{p}.x2") - F.col(f"{p}.x1"), F.col(f"{p}.y2") - F.col(f"{p}.y1"))
+    nb = box_at(at("", "x", "next_dt"), at("", "y", "next_dt"), *dims("b"), cfg.point_height)
+    t = t.withColumns({"ex": at("p", "x", "dt"), "ey": at("p", "y", "dt"), "r1": F.col("n1") * F.col("dt") / F.col("pair_scale"), "r2": F.col("n2") * F.col("dt") / F.col("pair_scale")})
+    pb = box_at(F.col("ex"), F.col("ey"), *dims("a"), cfg.point_height)
+    change = F.abs(F.col("r1") - F.col("r2")) / F.greatest(num(cfg.min_turn_speed), (F.col("r1") + F.col("r2")) * 0.5)
+    enough = F.least("n1", "n2") * F.col("dt") >= F.greatest(num(cfg.min_dir_px), F.col("pair_scale") * cfg.min_dir_ratio)
     turn = F.when(enough, F.abs(F.sin(F.atan2("vy", "vx") - F.atan2("pvy", "pvx")))).otherwise(num(0))
     judged = full & F.col("stable")
-    nb = box_at(nx, ny, w0, h0, cfg.point_height)
-    pb = box_at(ex, ey, w1, h1, cfg.point_height)
+    t = t.withColumns({"speed_turn": F.when(judged, change), "dir_turn": F.when(judged, turn)})
     return t.select(
         "video_id", (F.col("idx") - (size - 1)).alias("window_id"), "track_id", "n", "x0", "y0", "vx", "vy", "stable",
-        (n2 * F.col("dt") / F.col("s0") * cfg.speed_factor).alias("speed"),
+        (F.col("n2") * F.col("dt") / F.col("s0") * cfg.speed_factor).alias("speed"),
         *[F.when(F.col("stable"), c).alias(f"next_{n}") for n, c in zip(("x1", "y1", "x2", "y2"), nb)],
-        F.when(judged, F.hypot(F.col("px_0") - ex, F.col("py_0") - ey) / F.col("s0")).alias("center_err"),
-        F.when(judged, num(1) - box_iou(pb, b0)).alias("iou_err"),
-        F.when(judged, change).alias("speed_turn"), F.when(judged, turn).alias("dir_turn"),
-        F.when(judged, ((change > cfg.turn_limit) | (turn > cfg.turn_limit)).cast("double")).alias("turned"),
+        F.when(judged, F.hypot(F.col("b.px") - F.col("ex"), F.col("b.py") - F.col("ey")) / F.col("s0")).alias("center_err"),
+        F.when(judged, num(1) - box_iou(pb, box("b."))).alias("iou_err"), "speed_turn", "dir_turn",
+        ((F.col("speed_turn") > cfg.turn_limit) | (F.col("dir_turn") > cfg.turn_limit)).cast("double").alias("turned"),
     )
 
 
-def _edge(b: tuple[Column, ...], fw: Column, fh: Column, ratio: float) -> Column:
-    margin = diagonal(fw, fh) * ratio
-    return (b[0] <= margin) | (b[1] <= margin) | (b[2] >= fw - margin) | (b[3] >= fh - margin)
-
-
 def stable_pairs(tracks: DataFrame, cfg: Motion = Motion()) -> DataFrame:
     """Consecutive observations of a track and whether the step between them is stable."""
     w = W.partitionBy("video_id", "track_id").orderBy("frame_id")

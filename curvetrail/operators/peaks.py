@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from curvetrail.config import Boundary
 from curvetrail.functions.geometry import finite, num
-from curvetrail.functions.signals import local_peak, robust_stats
+from curvetrail.functions.signals import local_peak, with_median
 
 
 def sanitize(scores: DataFrame) -> DataFrame:
@@ -26,13 +26,19 @@ def check_frames(scores: DataFrame) -> DataFrame:
     return scores.withColumn("_ok", ok).where("_ok is null").drop("_ok")
 
 
+def with_thresholds(scores: DataFrame, cfg: Boundary = Boundary()) -> DataFrame:
+    """Adds median, sigma, high and max_score of the video to each frame."""
+    w = W.partitionBy("video_id")
+    s = with_median(sanitize(scores), "score", ["video_id"], "median", "_off")
+    sigma = F.greatest(num(1e-6), F.percentile("_off", F.lit(0.5)).over(w) * 1.4826)
+    s = s.withColumns({"sigma": sigma, "max_score": F.max("score").over(w)}).drop("_off")
+    return s.withColumn("high", F.col("median") + F.col("sigma") * cfg.high_z)
+
+
 def boundary_thresholds(scores: DataFrame, cfg: Boundary = Boundary()) -> DataFrame:
     """median, sigma, high and max_score of each video."""
-    s = sanitize(scores)
-    stats = robust_stats(s, "score", ["video_id"])
-    top = s.groupBy("video_id").agg(F.max("score").alias("max_score"))
-    sigma = F.greatest(num(1e-6), F.col("sigma"))
-    return stats.join(top, "video_id").select("video_id", F.col("med").alias("median"), sigma.alias("sigma"), (F.col("med") + sigma * cfg.high_z).alias("high"), "max_score")
+    names = ["median", "sigma", "high", "max_score"]
+    return with_thresholds(scores, cfg).groupBy("video_id").agg(*[F.first(c).alias(c) for c in names])
 
 
 def local_peaks(scores: DataFrame) -> DataFrame:
@@ -42,8 +48,9 @@ def local_peaks(scores: DataFrame) -> DataFrame:
 
 def high_peaks(scores: DataFrame, cfg: Boundary = Boundary()) -> DataFrame:
     """Local maxima at or over both thresholds."""
-    t = boundary_thresholds(scores, cfg).select("video_id", F.greatest("high", num(cfg.min_peak)).alias("least"))
-    return local_peaks(scores).join(t, "video_id").where("score >= least").drop("least")
+    w = W.partitionBy("video_id").orderBy("idx")
+    s = with_thresholds(scores, cfg).withColumn("peak", local_peak(F.col("score"), w))
+    return s.where(F.col("peak") & (F.col("score") >= F.greatest("high", num(cfg.min_peak)))).select(*scores.columns)
 
 
 def _ranked(*fields: str) -> Column:
