@@ -29,7 +29,7 @@ def oracle(name: str, needs: str, sql: str) -> None:
 
 
 def r(x: str) -> str:
-    return f"(round(({x})::DOUBLE, 6) + 0.0::DOUBLE)"
+    return f"(round(({x})::DOUBLE + 1e-9::DOUBLE, 6) + 0.0::DOUBLE)"
 
 
 def iou(a: str, b: str, floor: bool = False) -> str:
@@ -235,7 +235,7 @@ oracle("near_replacement", "near", "SELECT * FROM near")
 view("dfar", "near", f"SELECT video_id, window_id, count(*) AS n_far, {top3('list(far)')} AS disappear_far_sum FROM gone ANTI JOIN near USING (video_id, window_id, track_id, idx) WHERE far>0 GROUP BY ALL")
 oracle("disappear_far", "dfar", f"SELECT video_id, window_id, n_far, {r('disappear_far_sum')} AS disappear_far_sum FROM dfar")
 oracle("topk_mean", "tracks", f"SELECT video_id, frame_id, {r(top3('list(value)'))} AS top3, {r('list_sort(list(value))[count(*)//2+1]')} AS upper FROM tracks GROUP BY ALL")
-view("tcount", "wins obs stat", """SELECT w.video_id, w.window_id, count(DISTINCT o.track_id) - (SELECT count(*) FROM stat s WHERE s.video_id=w.video_id AND s.window_id=w.window_id) AS track_count FROM wins w JOIN obs o ON o.video_id=w.video_id AND o.idx BETWEEN w.window_id AND w.window_id+7 GROUP BY ALL""")
+view("tcount", "wins obs stat", """SELECT w.video_id, w.window_id, count(DISTINCT o.track_id) - count(DISTINCT s.track_id) AS track_count FROM wins w JOIN obs o ON o.video_id=w.video_id AND o.idx BETWEEN w.window_id AND w.window_id+7 LEFT JOIN stat s ON s.video_id=w.video_id AND s.window_id=w.window_id AND s.track_id=o.track_id GROUP BY ALL""")
 view("mw", "mo", f"""SELECT video_id, window_id, avg(speed) AS speeds_mean, max(center_err) AS pred_center_max_err, max(iou_err) AS pred_iou_max_err, {top3('list(center_err)')} AS pred_center_sum_err, {top3('list(iou_err)')} AS pred_iou_sum_err,
  max(speed_turn) AS speed_turn_rates_max, {top3('list(speed_turn)')} AS speed_turn_rates_sum, max(dir_turn) AS dir_turn_rates_max, {top3('list(dir_turn)')} AS dir_turn_rates_sum, avg(turned) AS turn_active_ratio FROM mo GROUP BY ALL""")
 FEATURES = ["track_count", "speeds_mean", "pred_center_max_err", "pred_iou_max_err", "pred_center_sum_err", "pred_iou_sum_err", "speed_turn_rates_max", "speed_turn_rates_sum", "dir_turn_rates_max", "dir_turn_rates_sum", "turn_active_ratio", "collision_warning", "disappear_far_sum"]
@@ -280,8 +280,8 @@ oracle("median_filter", "scores", f"SELECT video_id, idx, {r('list_sort([a,b,c])
 oracle("smooth_edge", "scores", f"SELECT video_id, idx, {r('(a+b+c)/3')} AS value FROM (SELECT video_id, idx, {E3})")
 oracle("smooth_zero", "scores", f"SELECT video_id, idx, {r('sum(score) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)/9')} AS value FROM scores")
 view("sgn", "scores", "SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM scores")
-view("sgw", "sgn", "SELECT a.video_id, a.idx, b.score, b.idx - greatest(5, least(a.idx, a.n-6)) AS t, a.idx - greatest(5, least(a.idx, a.n-6)) AS at FROM sgn a JOIN sgn b ON a.video_id=b.video_id AND b.idx - greatest(5, least(a.idx, a.n-6)) BETWEEN -5 AND 5 WHERE a.n>=11")
-oracle("savgol", "sgw", f"""SELECT video_id, idx, {r(clip('c0+c1*at+c2*at*at','0.0','1.0'))} AS value FROM (SELECT video_id, idx, at, sum(score*(89-5*t*t))/429.0{D} AS c0, sum(score*t)/110.0{D} AS c1, (sum(score*t*t)-10*sum(score))/858.0{D} AS c2 FROM sgw GROUP BY ALL)""")
+view("sgw", "sgn", "SELECT a.video_id, a.idx, b.score, b.idx - greatest(5, least(a.idx, a.n-6)) AS t, a.idx - greatest(5, least(a.idx, a.n-6)) AS mid FROM sgn a JOIN sgn b ON a.video_id=b.video_id AND b.idx - greatest(5, least(a.idx, a.n-6)) BETWEEN -5 AND 5 WHERE a.n>=11")
+oracle("savgol", "sgw", f"""SELECT video_id, idx, {r(clip('c0+c1*mid+c2*mid*mid','0.0','1.0'))} AS value FROM (SELECT video_id, idx, mid, sum(score*(89-5*t*t))/429.0{D} AS c0, sum(score*t)/110.0{D} AS c1, (sum(score*t*t)-10*sum(score))/858.0{D} AS c2 FROM sgw GROUP BY ALL)""")
 oracle("dense_curve", "scores", f"SELECT f.video_id, f.idx, f.frame_id, {r(f'coalesce(s.score*2, 0.0{D})')} AS score FROM (SELECT *, max(idx) OVER (PARTITION BY video_id) AS m FROM frames) f LEFT JOIN scores s ON s.video_id=f.video_id AND s.idx=greatest(f.idx,7) AND f.m>=7")
 view("rob", "scores_m", "SELECT video_id, any_value(m) AS med, quantile_cont(abs(score-m),0.5) AS mad FROM scores_m GROUP BY ALL")
 oracle("robust_stats", "rob", f"SELECT video_id, {r('med')} AS med, {r('mad')} AS mad, {r('1.4826*mad')} AS sigma FROM rob")
@@ -310,13 +310,13 @@ def gate_views(src: str, p: str) -> None:
     view(f"{p}f", f"{p}a", f"""SELECT *, CASE WHEN nx=0 OR e<0.2{D} THEN 0.0{D} ELSE 1/(1+exp(-{clip(f'6*(e-1.8{D})','-40.0','40.0')}))*(CASE WHEN act<2 AND e<3 THEN 0.3{D} ELSE 1.0{D} END) END AS rho FROM {p}a""")
 
 
-gate_views("gfeat", "g")
-gate_views("feat", "t")
-oracle("evidence_curves", "ge", f"SELECT video_id, expert, window_id, {r('z')} AS z, {r('zp')} AS z_persist FROM ge")
-oracle("expert_confidence", "gc", f"SELECT video_id, expert, sparse, {r('conf')} AS confidence FROM gc")
-oracle("gate_experts", "gx", "SELECT video_id, expert, rk AS rank FROM gx")
-oracle("gate_curves", "gf", f"SELECT video_id, window_id, {r(f'rho*(CASE WHEN nx=0 THEN 0.0{D} ELSE dt/greatest(sm,1e-6{D}) END)')} AS trigger, {r('CASE WHEN nx=0 THEN allmax ELSE e END')} AS evidence, {r('1-rho')} AS null_weight, act AS active_experts FROM gf")
-oracle("trigger_curve", "tf", f"SELECT video_id, window_id, {r(f'rho*(CASE WHEN nx=0 THEN 0.0{D} ELSE dt/greatest(sm,1e-6{D}) END)')} AS trigger, act AS active_experts FROM tf")
+gate_views("gfeat", "gg")
+gate_views("feat", "tg")
+oracle("evidence_curves", "gge", f"SELECT video_id, expert, window_id, {r('z')} AS z, {r('zp')} AS z_persist FROM gge")
+oracle("expert_confidence", "ggc", f"SELECT video_id, expert, sparse, {r('conf')} AS confidence FROM ggc")
+oracle("gate_experts", "ggx", "SELECT video_id, expert, rk AS rank FROM ggx")
+oracle("gate_curves", "ggf", f"SELECT video_id, window_id, {r(f'rho*(CASE WHEN nx=0 THEN 0.0{D} ELSE dt/greatest(sm,1e-6{D}) END)')} AS trigger, {r('CASE WHEN nx=0 THEN allmax ELSE e END')} AS evidence, {r('1-rho')} AS null_weight, act AS active_experts FROM ggf")
+oracle("trigger_curve", "tgf", f"SELECT video_id, window_id, {r(f'rho*(CASE WHEN nx=0 THEN 0.0{D} ELSE dt/greatest(sm,1e-6{D}) END)')} AS trigger, act AS active_experts FROM tgf")
 
 # boundaries
 view("thr", "rob scores", f"SELECT video_id, med AS median, greatest(1e-6{D},1.4826{D}*mad) AS sigma, med+0.85{D}*greatest(1e-6{D},1.4826{D}*mad) AS high, mx AS max_score FROM rob JOIN (SELECT video_id, max(score) AS mx FROM scores GROUP BY ALL) USING (video_id)")
@@ -339,13 +339,13 @@ CLOSE = "k.a <= X.b + 12 AND X.a <= k.b + 12"
 view("gsp", "nms fspan", f"SELECT video_id, {keep('list({s: p.s, idx: p.idx, a: start_frame, b: end_frame, i: start_idx, j: end_idx} ORDER BY p.s DESC, p.idx)', CLOSE)} AS kept FROM nms JOIN fspan f ON f.video_id=nms.video_id AND f.idx=nms.p.idx GROUP BY nms.video_id".replace("SELECT video_id, list_reduce", "SELECT nms.video_id, list_reduce"))
 oracle("greedy_spans", "gsp", f"SELECT video_id, p.idx AS peak_idx, p.i AS start_idx, p.j AS end_idx, p.a AS start_frame, p.b AS end_frame, {r('p.s')} AS score FROM (SELECT video_id, unnest(kept) AS p FROM gsp)")
 view("anch", "frames", f"""SELECT video_id, idx, frame_id, min(k)::BIGINT AS k FROM (SELECT f.video_id, t.k, arg_min(f.idx, (abs(f.frame_id-t.target), f.idx)) AS idx, arg_min(f.frame_id, (abs(f.frame_id-t.target), f.idx)) AS frame_id
- FROM frames f JOIN (SELECT video_id, k, min(frame_id)+(max(frame_id)-min(frame_id))*(k/3.0{D}) AS target FROM frames, (VALUES (0),(1),(2),(3)) v(k) GROUP BY ALL) t USING (video_id) GROUP BY ALL) GROUP BY ALL""")
+ FROM frames f JOIN (SELECT video_id, k, a+(z-a)*(k/3.0{D}) AS target FROM (SELECT video_id, min(frame_id) AS a, max(frame_id) AS z FROM frames GROUP BY video_id), (VALUES (0),(1),(2),(3)) v(k)) t USING (video_id) GROUP BY ALL) GROUP BY ALL""")
 oracle("anchors", "anch", "SELECT video_id, idx, frame_id, k FROM anch")
 view("anchs", "anch fspan", "SELECT video_id, start_idx, end_idx, start_frame, end_frame, min(k) AS k FROM anch JOIN fspan USING (video_id, idx) GROUP BY ALL")
 view("bsp", "gsp anchs thr", """SELECT a.video_id, coalesce(len(g.kept),0) AS n, list_reduce(list_concat([coalesce(list_transform(g.kept, lambda x: {a: x.a, b: x.b, i: x.i, j: x.j}), [])], list_transform(a.more, lambda x: [x])),
  lambda acc, x: CASE WHEN NOT a.quiet AND len(list_filter(acc, lambda k: k.a <= x[1].b + 12 AND x[1].a <= k.b + 12)) > 0 THEN acc ELSE list_concat(acc, x) END) AS s
  FROM (SELECT video_id, any_value(max_score) < 0.15::DOUBLE AS quiet, list({a: start_frame, b: end_frame, i: start_idx, j: end_idx} ORDER BY k) AS more FROM anchs JOIN thr USING (video_id) GROUP BY video_id) a LEFT JOIN gsp g ON g.video_id=a.video_id""")
-oracle("boundary_spans", "bsp", "SELECT video_id, p.i AS start_idx, p.j AS end_idx, p.a AS start_frame, p.b AS end_frame, at > n AS is_anchor FROM (SELECT video_id, n, unnest(s) AS p, generate_subscripts(s,1) AS at FROM bsp)")
+oracle("boundary_spans", "bsp", "SELECT video_id, p.i AS start_idx, p.j AS end_idx, p.a AS start_frame, p.b AS end_frame, nth > n AS is_anchor FROM (SELECT video_id, n, unnest(s) AS p, generate_subscripts(s,1) AS nth FROM bsp)")
 
 # spans
 oracle("span_gaps", "nspan", "SELECT video_id, start_frame, end_frame, span_no, left_gap, right_gap FROM nspan")
@@ -397,8 +397,8 @@ def intervals(src: str, gap: int, least: int) -> str:
 view("cps", "cp", f"SELECT video_id, idx, {clip('sum(score) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)/9','0.0','1.0')} AS v FROM cp")
 oracle("pred_intervals", "cps", intervals("cps", 3, 4))
 view("cpn", "cp", "SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM cp")
-view("cpw", "cpn", "SELECT a.video_id, a.idx, b.score, b.idx - greatest(5, least(a.idx, a.n-6)) AS t, a.idx - greatest(5, least(a.idx, a.n-6)) AS at FROM cpn a JOIN cpn b ON a.video_id=b.video_id AND b.idx - greatest(5, least(a.idx, a.n-6)) BETWEEN -5 AND 5")
-view("cpv", "cpw", f"SELECT video_id, idx, {clip(f'sum(score*(89-5*t*t))/429.0{D} + sum(score*t)/110.0{D}*at + (sum(score*t*t)-10*sum(score))/858.0{D}*at*at','0.0','1.0')} AS v FROM cpw GROUP BY video_id, idx, at")
+view("cpw", "cpn", "SELECT a.video_id, a.idx, b.score, b.idx - greatest(5, least(a.idx, a.n-6)) AS t, a.idx - greatest(5, least(a.idx, a.n-6)) AS mid FROM cpn a JOIN cpn b ON a.video_id=b.video_id AND b.idx - greatest(5, least(a.idx, a.n-6)) BETWEEN -5 AND 5")
+view("cpv", "cpw", f"SELECT video_id, idx, {clip(f'sum(score*(89-5*t*t))/429.0{D} + sum(score*t)/110.0{D}*mid + (sum(score*t*t)-10*sum(score))/858.0{D}*mid*mid','0.0','1.0')} AS v FROM cpw GROUP BY video_id, idx, mid")
 oracle("window_baseline", "cpv", intervals("cpv", 3, 4))
 
 # evaluation
