@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 
 from curvetrail.llm.common import _TABLE, arrow_rows, drop_table, materialize, mixed, release, sample_share
 
-LENGTH, SEED, STEP = 100, 24, 16
+LENGTH, SEED, STEP = 100, 24, 8
 SEGMENT = 1 << 19
 #: Hot ranks: found in this share of the documents, kept are at most so many of the most frequent.
 HOT_SHARE, HOT_RANKS, HOT_LEAST = 0.01, 1000, 20
@@ -294,11 +294,15 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     release(spark)
     met = pieces.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
     windows = pieces.join(met, ["one", "two"]).withColumn("nth", F.explode(F.sequence("first", "last")))
-    windows = windows.select("one", "two", "nth", F.expr(f"substring(rim, nth + 1, {step - 1})").alias("rim"), "id", (F.col("origin") - (step - 1) + F.col("nth")).alias("start"))
+    rim = F.expr(f"substring(rim, nth + 1, {step - 1})")
+    # the rank of a whole window: 128 bits of the pair, its place and the rim
+    windows = windows.select(
+        F.xxhash64("one", "two", "nth", rim).alias("left"), F.xxhash64(rim, "nth", "two", "one").alias("right"), "id", (F.col("origin") - (step - 1) + F.col("nth")).alias("start")
+    )
     windows = materialize(windows, "repeat-windows")
     release(spark)
     drop_table(pieces)
-    name = ["one", "two", "nth", "rim"]
+    name = ["left", "right"]
     least = windows.groupBy(*name).agg(F.min(F.struct("id", "start")).alias("least"), F.max(F.struct("id", "start")).alias("most")).where("least <> most").drop("most")
     late = windows.join(least, name).where(F.struct("id", "start") > F.col("least")).select("id", "start", (F.col("start") + length).alias("end"))
 
