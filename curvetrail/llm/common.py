@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -51,9 +52,11 @@ def drop_table(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the driver's cleaner drop the shuffle files of steps whose results are written."""
+    """Lets the driver's cleaner drop the shuffle files of steps whose results are written, before the next step fills
+    the disks again; the cleaner works in the background, so it gets a moment."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(1.5)
 
 
 def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -140,7 +140,9 @@ def find_runs(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> tup
     return tuple(np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds))
 
 
-RUNS = "rank long, whole long, id long, start int, windows int, place int, sides long, settled boolean"
+#: spot packs start << 16 | windows << 8 | (place - start): windows and place - start are under 2 * LENGTH - SEED.
+RUNS = "rank long, whole long, id long, spot long, sides long"
+
 
 
 def _runs(length: int, seed: int):
@@ -157,9 +159,11 @@ def _runs(length: int, seed: int):
             lead = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
             settled = np.zeros(len(k), bool)
             settled[order] = (i != i[lead]) | (s != s[lead])
+            # settled rows need no rank any more: they travel along, dealt by document, with sides -1
+            rank = np.where(settled, mixed(own.view(np.uint64)), rank)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rank.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(own), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sides), pa.array(settled)],
-                names=["rank", "whole", "id", "start", "windows", "place", "sides", "settled"],
+                [pa.array(rank.view(np.int64)), pa.array(np.where(settled, np.uint64(0), whole).view(np.int64)), pa.array(own), pa.array(start << 16 | windows << 8 | place - start), pa.array(np.where(settled, -1, sides))],
+                names=["rank", "whole", "id", "spot", "sides"],
             )
 
     return run
@@ -245,7 +249,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hot_ranks(rows: DataFrame, length: int, seed: int) -> list[int]:
     """Ranks that are frequent in a share of the documents; a bounded list that only spreads work."""
-    sample = rows.where(sample_share(F.col("id")) < HOT_SHARE).mapInArrow(_runs(length, seed), RUNS)
+    sample = rows.where(sample_share(F.col("id")) < HOT_SHARE).mapInArrow(_runs(length, seed), RUNS).where("sides >= 0")
     often = sample.groupBy("rank").count().where(F.col("count") >= HOT_LEAST)
     return [r[0] for r in often.orderBy(F.desc("count"), "rank").limit(HOT_RANKS).collect()]
 
@@ -266,22 +270,27 @@ def _shared_sides(runs: DataFrame, side: int) -> DataFrame:
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, step: int = STEP) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed byte ranges) of every row."""
+    if 2 * length - seed > 255 or not 0 < seed <= length:
+        raise ValueError("places within a run must fit a byte")
     spark = docs.sparkSession
     arrow_rows(spark)
     every = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     rows = every.where("id is not null")
     hot = F.col("rank").isin(hot_ranks(rows, length, seed))
     runs = rows.mapInArrow(_runs(length, seed), RUNS)
-    # settled rows travel along, dealt by document
-    runs = runs.withColumns({"deal": F.when(F.col("settled"), F.xxhash64("id")).otherwise(F.when(hot, F.xxhash64("rank", "whole")).otherwise(F.col("rank"))), "hot": hot})
-    equal = W.partitionBy("deal", "rank", "settled", "whole").orderBy("id", "start")
+    settled = F.col("sides") == -1
+    runs = runs.withColumn("deal", F.when(hot & ~settled, F.xxhash64("rank", "whole")).otherwise(F.col("rank")))
+    equal = W.partitionBy("deal", "rank", "whole", "settled").orderBy("id", "spot")
     alike = W.partitionBy("deal", "rank", "settled")
-    ranked = runs.repartition("deal").withColumns({"nth": F.rank().over(equal), "differ": F.min("whole").over(alike) != F.max("whole").over(alike)})
+    ranked = runs.repartition("deal").withColumn("settled", settled)
+    ranked = ranked.withColumns({"nth": F.rank().over(equal), "differ": F.min("whole").over(alike) != F.max("whole").over(alike)})
     again = F.col("settled") | (F.col("nth") > 1)
-    open_run = ~again & (F.col("hot") | F.col("differ"))
-    first = materialize(
-        ranked.where(again | open_run).select("id", "start", "windows", "place", "rank", "sides", again.alias("again")), "repeat-runs"
+    open_run = ~again & (hot | F.col("differ"))
+    start, windows, ahead = F.shiftright("spot", 16), F.shiftright("spot", 8).bitwiseAND(0xFF), F.col("spot").bitwiseAND(0xFF)
+    ranked = ranked.where(again | open_run).select(
+        "id", start.cast("int").alias("start"), windows.cast("int").alias("windows"), (start + ahead).cast("int").alias("place"), "rank", "sides", again.alias("again")
     )
+    first = materialize(ranked, "repeat-runs")
     release(spark)
     spans = first.where("again").select("id", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
 
