@@ -18,16 +18,16 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
-OP1_SQL = """
+OP1_SQL = r"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
-d AS (SELECT page_id, url, octet_length(encode(body))::BIGINT AS payload_bytes, sha1(body) AS hex,
-  max(page_id) OVER (PARTITION BY sha1(body)) AS kept FROM p),
-b AS (SELECT *, list_aggregate(list_transform(range(0, 40, 5), lambda i: (
-    SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(('0x' || substr(hex, i + 1, 5)) AS BIGINT) >> s) & 31 AS INTEGER) + 1, 1), '' ORDER BY s DESC)
-    FROM (VALUES (0), (5), (10), (15)) v(s))), 'string_agg', '') AS payload_digest FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN kept = page_id THEN NULL ELSE kept END AS refers_to
-FROM b
+d AS (SELECT page_id, url, octet_length(encode(body))::BIGINT AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS kept FROM p),
+n AS (SELECT page_id, i, (('0x' || substr(hex, 5*i + 1, 5))::BIGINT >> s) & 31 AS v, s FROM d, (VALUES (0),(1),(2),(3),(4),(5),(6),(7)) a(i), (VALUES (15),(10),(5),(0)) b(s)),
+b AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v::INT + 1, 1), '' ORDER BY i, s DESC) AS payload_digest FROM n GROUP BY page_id),
+h AS (SELECT page_id, lower(regexp_extract(regexp_extract(url, '://(.*)$', 1), '^([^/?#:]*)', 1)) AS host, regexp_extract(regexp_extract(url, '://(.*)$', 1), '^[^/?#:]*(.*)$', 1) AS tail FROM p)
+SELECT d.page_id, payload_bytes, payload_digest, CASE WHEN kept = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN kept = d.page_id THEN NULL ELSE kept END AS refers_to, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || tail AS url_key,
+  strftime(make_timestamp((1700000000 + d.page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM d JOIN b USING (page_id) JOIN h USING (page_id)
 """
 
 
@@ -121,4 +121,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES = {"op2_urlfilter": OP2_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op2_urlfilter": OP2_SQL}
