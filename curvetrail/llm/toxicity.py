@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from curvetrail.llm.common import arrow_rows, char_grams, letters_only, sample_share, word_codes
 
-FIT_DOCS, WINDOW, BUCKETS, DIM, ROUNDS = 1500, 16, 1 << 16, 6, 30
+FIT_DOCS, WINDOW, BUCKETS, DIM, ROUNDS = 1500, 6, 1 << 18, 6, 30
 GRAM_SIZES = (3, 4, 5)
 MIN_DOCS, SHARPEN, DECAY, RATE, PRIOR = 3, 1.0, 1e-5, 0.03, 8
 
