@@ -74,5 +74,5 @@ def binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with scores that tie."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    score = F.round(F.least("n_chars", F.lit(4000)) / 4000.0, 2)
+    score = F.round(F.least("n_chars", F.lit(4000)) / 4000.0 + 1e-9, 2)
     return lab.join(d, "doc_id").select(F.col("doc_id").alias("ord"), F.col("quality").cast("long").alias("y"), score.alias("score"))

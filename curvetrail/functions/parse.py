@@ -1,8 +1,9 @@
-"""What a model's free-text answer says: JSON with every field checked, as Column expressions."""
+"""What a model's free-text answer says: JSON with every field checked. The parsers take a struct of fields as text;
+with_answer() reads it from raw answers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvetrail.functions.geometry import clip01, num
@@ -47,19 +48,33 @@ def truth(text: Column, default: Column) -> Column:
     return F.when(text.isNull(), default).otherwise(~text.isin("false", "0", "0.0", "", "[]", "{}"))
 
 
-def span_score(raw: Column) -> Column:
+#: The fields that each kind of answer is read for.
+FIELDS = {
+    "span_score": ["anomaly_score", "score", "overall_score", "confidence", "reason"],
+    "span_stage1": ["scene_summary", "main_objects", "motion_summary", "anomaly_hint", "evidence_tags"],
+    "span_stage2": ["anomaly_score", "score", "overall_score", "confidence", "reason", "evidence_tags"],
+    "clip_stage1": ["main_objects", "scene_summary", "chunk_descriptions", "noticeable_change", "likely_abnormal_chunks", "risk_hint"],
+    "chunk_scores": ["chunk_scores", "abnormal_chunks", "anomaly_type", "overall_score", "confidence", "is_anomaly", "short_reason", "supporting_evidence"],
+}
+
+
+def with_answer(df: DataFrame, raw: str, kind: str, out: str, **options) -> DataFrame:
+    """Adds a struct of what the answers in column raw say. The JSON is read once a row: its fields are a column of
+    their own before they are checked."""
+    df = df.withColumn("_fields", fields_of(json_object(F.col(raw)), FIELDS[kind]))
+    return df.withColumn(out, globals()[kind](F.col("_fields"), **options)).drop("_fields")
+
+
+def span_score(f: Column) -> Column:
     """Struct of anomaly_score, confidence, reason. The score is the first present of three names, default 0; the
     confidence defaults to the score; what is no number is 0; all are held to [0, 1]."""
-    names = ["anomaly_score", "score", "overall_score", "confidence", "reason"]
-    f = fields_of(json_object(raw), names)
     given = F.coalesce(f["anomaly_score"], f["score"], f["overall_score"])
     score = clip01(F.coalesce(number(given), num(0)))
     confidence = F.when(f["confidence"].isNull(), score).otherwise(clip01(F.coalesce(number(f["confidence"]), num(0))))
     return F.struct(score.alias("anomaly_score"), confidence.alias("confidence"), F.coalesce(f["reason"], F.lit("")).alias("reason"))
 
 
-def span_stage1(raw: Column) -> Column:
-    f = fields_of(json_object(raw), ["scene_summary", "main_objects", "motion_summary", "anomaly_hint", "evidence_tags"])
+def span_stage1(f: Column) -> Column:
     return F.struct(
         F.coalesce(f["scene_summary"], F.lit("")).alias("scene_summary"), texts(f["main_objects"]).alias("main_objects"),
         F.coalesce(f["motion_summary"], F.lit("")).alias("motion_summary"), word(f["anomaly_hint"], ANOMALY_HINTS, "normal").alias("anomaly_hint"),
@@ -67,9 +82,8 @@ def span_stage1(raw: Column) -> Column:
     )
 
 
-def span_stage2(raw: Column) -> Column:
-    base = span_score(raw)
-    tags = texts(fields_of(json_object(raw), ["evidence_tags"])["evidence_tags"])
+def span_stage2(f: Column) -> Column:
+    base, tags = span_score(f), texts(f["evidence_tags"])
     return F.struct(base["anomaly_score"].alias("anomaly_score"), base["confidence"].alias("confidence"), base["reason"].alias("reason"), tags.alias("evidence_tags"))
 
 
@@ -82,9 +96,8 @@ def _chunk_numbers(items: Column, chunks: int) -> Column:
     return F.filter(whole, lambda x: (x >= 1) & (x <= chunks))
 
 
-def clip_stage1(raw: Column, chunks: int = 4) -> Column:
+def clip_stage1(f: Column, chunks: int = 4) -> Column:
     """Struct of a window's description: lists cut or padded to the number of chunks, chunk numbers in range."""
-    f = fields_of(json_object(raw), ["main_objects", "scene_summary", "chunk_descriptions", "noticeable_change", "likely_abnormal_chunks", "risk_hint"])
     return F.struct(
         texts(f["main_objects"]).alias("main_objects"), F.coalesce(f["scene_summary"], F.lit("")).alias("scene_summary"),
         _padded(texts(f["chunk_descriptions"]), chunks, F.lit("")).alias("chunk_descriptions"),
@@ -94,10 +107,8 @@ def clip_stage1(raw: Column, chunks: int = 4) -> Column:
     )
 
 
-def chunk_scores(raw: Column, chunks: int = 4) -> Column:
+def chunk_scores(f: Column, chunks: int = 4) -> Column:
     """Struct of a window's scores. Where the answer says normal and yet scores high, scores are turned round."""
-    names = ["chunk_scores", "abnormal_chunks", "anomaly_type", "overall_score", "confidence", "is_anomaly", "short_reason", "supporting_evidence"]
-    f = fields_of(json_object(raw), names)
     scores = F.transform(_padded(texts(f["chunk_scores"]), chunks, F.lit("0")), lambda x: clip01(F.coalesce(number(x), num(0))))
     kind = word(f["anomaly_type"], ANOMALY_TYPES, "unknown")
     overall = clip01(F.coalesce(number(f["overall_score"]), num(0)))

@@ -104,10 +104,11 @@ def last_frame_motion(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg:
     change = F.abs(F.col("r1") - F.col("r2")) / F.greatest(num(cfg.min_turn_speed), (F.col("r1") + F.col("r2")) * 0.5)
     enough = F.least("n1", "n2") * F.col("dt") >= F.greatest(num(cfg.min_dir_px), F.col("pair_scale") * cfg.min_dir_ratio)
     turn = F.when(enough, F.abs(F.sin(F.atan2("vy", "vx") - F.atan2("pvy", "pvx")))).otherwise(num(0))
-    judged = full & F.col("stable")
+    t = t.withColumn("judged", full & F.col("stable"))
+    judged = F.col("judged")
     t = t.withColumns({"speed_turn": F.when(judged, change), "dir_turn": F.when(judged, turn)})
     return t.select(
-        "video_id", (F.col("idx") - (size - 1)).alias("window_id"), "track_id", "n", "x0", "y0", "vx", "vy", "stable",
+        "video_id", (F.col("idx") - (size - 1)).alias("window_id"), "track_id", "n", "x0", "y0", "vx", "vy", "stable", "judged",
         (F.col("n2") * F.col("dt") / F.col("s0") * cfg.speed_factor).alias("speed"),
         *[F.when(F.col("stable"), c).alias(f"next_{n}") for n, c in zip(("x1", "y1", "x2", "y2"), nb)],
         F.when(judged, F.hypot(F.col("b.px") - F.col("ex"), F.col("b.py") - F.col("ey")) / F.col("s0")).alias("center_err"),

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from curvetrail.config import Chunks, Spans
 from curvetrail.functions.geometry import clip01, num
-from curvetrail.functions.parse import span_score
+from curvetrail.functions.parse import with_answer
 
 
 def mask_intervals(df: DataFrame, mask: Column, keys: list[str], gap: int = 8, least: int = 10, order: str = "idx") -> DataFrame:
@@ -61,7 +61,7 @@ def span_prior(spans: DataFrame, scores: DataFrame) -> DataFrame:
 def fuse_scores(spans: DataFrame, raw: str = "raw", cfg: Spans = Spans()) -> DataFrame:
     """A span's prior with what the model's answer says. An unsure answer counts as the prior; a score of 0 does too."""
     prior = clip01(F.col("prior_score"))
-    s = spans.withColumn("_a", span_score(F.col(raw)))
+    s = with_answer(spans, raw, "span_score", "_a")
     conf = clip01(F.col("_a.confidence"))
     vlm = F.when(conf < cfg.min_confidence, prior).otherwise(clip01(F.col("_a.anomaly_score")))
     s = s.withColumns({"vlm_confidence": conf, "vlm_score": vlm})

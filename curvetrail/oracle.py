@@ -68,7 +68,7 @@ view("frames", "tracks", "SELECT video_id, f // 2 AS idx, f AS frame_id FROM (SE
 view("scores", "frames", "SELECT f.video_id, f.idx, f.frame_id, least(1.0::DOUBLE, coalesce(avg(t.value), 0.0::DOUBLE)/200.0::DOUBLE) AS score FROM frames f LEFT JOIN tracks t USING (video_id, frame_id) GROUP BY ALL")
 view("gt", "tracks", "SELECT video_id, max(frame_id)+1 AS total_frames, CASE WHEN video_id%4=3 THEN -1 ELSE (video_id*7)%40*2 END AS s, CASE WHEN video_id%4=3 THEN -1 ELSE (video_id*7)%40*2 + 20 + video_id%9 END AS e FROM tracks GROUP BY video_id")
 view("ev", "", "SELECT event_id, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events")
-view("bin", "", f"SELECT d.doc_id AS ord, l.quality::BIGINT AS y, round(least(d.n_chars,4000)/4000.0{D}, 2) AS score, d.doc_id%3 AS part FROM labels l JOIN documents d USING (doc_id)")
+view("bin", "", f"SELECT d.doc_id AS ord, l.quality::BIGINT AS y, round(least(d.n_chars,4000)/4000.0{D} + 1e-9{D}, 2) AS score, d.doc_id%3 AS part FROM labels l JOIN documents d USING (doc_id)")
 view("obs", "frames", f"SELECT t.*, f.idx, (x1+x2)*0.5{D} AS px, y1+(y2-y1)*0.6{D} AS py FROM tracks t JOIN frames f USING (video_id, frame_id)")
 view("spanv", "frames", "SELECT a.video_id, a.frame_id AS start_frame, b.frame_id AS end_frame FROM frames a JOIN frames b ON a.video_id=b.video_id AND b.idx = a.idx+3+(a.video_id+a.idx)%5 WHERE a.idx%8=0")
 view("nspan", "spanv", """
@@ -425,7 +425,7 @@ view("cov", "gt spanv", f"SELECT g.video_id, g.s, g.e, p.start_frame, p.end_fram
 view("best", "cov", f"SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(cover,6) DESC, round(iou,9) DESC, start_frame) AS n, max(iou) OVER (PARTITION BY video_id) AS mi FROM cov")
 oracle("gt_span_metrics", "best", f"SELECT video_id, 1::BIGINT AS num_gt_intervals, {r('(cover>0)::INT')} AS hit_ratio, {r(f'(cover>=0.8{D})::INT')} AS full80_ratio, {r('cover')} AS mean_best_cover, {r('CASE WHEN cover>0 THEN iou ELSE 0 END')} AS mean_best_iou FROM best WHERE n=1")
 oracle("gt_overlap", "best", f"SELECT video_id, s, e, {r('mi')} AS best_iou, mi>0 AS covered FROM best WHERE n=1")
-view("labv", "gt scores", "SELECT f.video_id, f.idx, f.score, (e>=0 AND f.idx BETWEEN greatest(0,s) AND e)::BIGINT AS y, (e>=0)::BIGINT AS video_y FROM scores f JOIN gt USING (video_id)")
+view("labv", "gt scores", "SELECT f.video_id, f.idx, round(f.score, 9) AS score, (e>=0 AND f.idx BETWEEN greatest(0,s) AND e)::BIGINT AS y, (e>=0)::BIGINT AS video_y FROM scores f JOIN gt USING (video_id)")
 view("evr", "labv", f"SELECT 'frame' AS level, video_id*1000000+idx AS ord, y, score FROM labv WHERE video_y=1 UNION ALL SELECT 'video', video_id, video_y, avg(score) FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC) AS n, count(*) OVER (PARTITION BY video_id) AS c FROM labv) WHERE n<=greatest(1,ceil(c*0.1{D})) GROUP BY video_id, video_y")
 rank_views("evr", "level", "e")
 oracle("eval_summary", "eauc eap eeer evr", f"SELECT level, n, positives, {r('auc')} AS auc, {r('ap')} AS ap, {r('eer')} AS eer, {r('edr')} AS edr, {r('threshold_at_eer')} AS threshold_at_eer, {r('accuracy')} AS accuracy FROM (SELECT level, count(*) AS n, sum(y)::BIGINT AS positives, avg(((score>=0.3{D})::INT=y)::INT) AS accuracy FROM evr GROUP BY ALL) LEFT JOIN eauc USING (level) LEFT JOIN eap USING (level) LEFT JOIN eeer USING (level)")

@@ -377,12 +377,12 @@ def q_poly_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_pred_error(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(motion_rows(spark, sf).where("center_err is not null").select("video_id", "window_id", "track_id", "center_err", "iou_err"))
+    return tidy(motion_rows(spark, sf).where("judged").select("video_id", "window_id", "track_id", "center_err", "iou_err"))
 
 
 @query
 def q_turn_rates(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(motion_rows(spark, sf).where("speed_turn is not null").select("video_id", "window_id", "track_id", "speed_turn", "dir_turn", "turned"))
+    return tidy(motion_rows(spark, sf).where("judged").select("video_id", "window_id", "track_id", "speed_turn", "dir_turn", "turned"))
 
 
 @query
@@ -729,7 +729,8 @@ QUERIES["gt_overlap"] = lambda spark, sf: tidy(metrics.gt_overlap(*labelled_span
 @query
 def q_eval_summary(spark: SparkSession, sf: str) -> DataFrame:
     t, f = base(spark, sf)
-    return tidy(pipeline.evaluate(fx.scores(t, f), spans.frame_labels(f, fx.gt(t)), threshold=0.3))
+    s = fx.scores(t, f).withColumn("score", F.round("score", 9))
+    return tidy(pipeline.evaluate(s, spans.frame_labels(f, fx.gt(t)), threshold=0.3))
 
 
 @query
@@ -767,7 +768,7 @@ def q_parse_span_score(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("k") % 5 == 1, F.concat(F.lit('{"score": "0.'), k, F.lit('"}'))).when(F.col("k") % 5 == 2, F.lit('{"overall_score": 0.75, "confidence": "high"}'))
         .when(F.col("k") % 5 == 3, F.lit("nothing")).otherwise(F.lit('{"anomaly_score": "bad", "confidence": -3}'))
     )
-    return tidy(e.select("event_id", parse.span_score(raw).alias("p")).select("event_id", "p.*"))
+    return tidy(parse.with_answer(e.select("event_id", raw.alias("raw")), "raw", "span_score", "p").select("event_id", "p.*"))
 
 
 @query
@@ -779,7 +780,7 @@ def q_parse_chunk_scores(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(', 2, "x"'), F.when(F.col("k") % 3 == 0, ", 0.25, 0.5").otherwise(""), F.lit('], "anomaly_type": "'), F.when(F.col("k") % 5 == 0, "normal").when(F.col("k") % 5 == 1, "odd").otherwise("abnormal_stop"),
         F.lit('", "abnormal_chunks": [3, "1", 9, 3, 2.0], "confidence": 1.5}'),
     )
-    p = e.select("event_id", parse.chunk_scores(raw).alias("p"))
+    p = parse.with_answer(e.select("event_id", raw.alias("raw")), "raw", "chunk_scores", "p")
     return tidy(p.select("event_id", "p.is_anomaly", "p.overall_score", F.array_join(F.transform("p.chunk_scores", lambda x: F.round(x * 100, 0).cast("long").cast("string")), ",").alias("chunks"), "p.anomaly_type", joined(F.col("p.abnormal_chunks")).alias("abnormal"), "p.confidence"))
 
 
@@ -788,7 +789,7 @@ def q_parse_clip_stage1(spark: SparkSession, sf: str) -> DataFrame:
     e = fx.event_numbers(spark, sf)
     k = F.col("k").cast("string")
     raw = F.concat(F.lit('text {"scene_summary": "s'), k, F.lit('", "chunk_descriptions": ["a", "b'), k, F.lit('"], "likely_abnormal_chunks": ["2", 7, "x", 1], "noticeable_change": true, "risk_hint": "'), F.when(F.col("k") % 2 == 0, "clearly_risky").otherwise("none"), F.lit('"} end'))
-    p = e.select("event_id", parse.clip_stage1(raw).alias("p"))
+    p = parse.with_answer(e.select("event_id", raw.alias("raw")), "raw", "clip_stage1", "p")
     return p.select("event_id", "p.scene_summary", F.array_join("p.chunk_descriptions", "|").alias("chunks"), joined(F.col("p.likely_abnormal_chunks")).alias("likely"), "p.noticeable_change", "p.risk_hint")
 
 

@@ -202,13 +202,13 @@ def test_keyframes(spark):
 
 
 def test_answers(spark):
-    say = lambda raw: tuple(spark.createDataFrame([(raw,)], "raw string").select(parse.span_score(F.col("raw")).alias("p")).select("p.*").first())
+    say = lambda raw: tuple(parse.with_answer(spark.createDataFrame([(raw,)], "raw string"), "raw", "span_score", "p").select("p.*").first())
     assert say('x {"anomaly_score": 1.7} y') == (1.0, 1.0, "")
     assert say("no json") == (0.0, 0.0, "") and say(None) == (0.0, 0.0, "") and say("{broken}") == (0.0, 0.0, "")
     raw = '{"is_anomaly": false, "overall_score": 0.9, "chunk_scores": [0.9, 0.8, 0.1, 0]}'
-    p = spark.createDataFrame([(raw,)], "raw string").select(parse.chunk_scores(F.col("raw")).alias("p")).first().p
+    p = parse.with_answer(spark.createDataFrame([(raw,)], "raw string"), "raw", "chunk_scores", "p").first().p
     assert p.overall_score == pytest.approx(0.1) and p.chunk_scores == pytest.approx([0.1, 0.2, 0.9, 1.0])
-    q = spark.createDataFrame([('{"is_anomaly": "false"}',), ("{}",)], "raw string").select(parse.clip_stage1(F.col("raw")).alias("p")).collect()
+    q = parse.with_answer(spark.createDataFrame([('{"is_anomaly": "false"}',), ("{}",)], "raw string"), "raw", "clip_stage1", "p").collect()
     assert all(len(r.p.chunk_descriptions) == 4 for r in q)
 
 
