@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvetrail.config import EngineConfig
-from curvetrail.functions.signals import savgol, series, smooth_edge
+from curvetrail.functions.signals import savgol, series, smooth_edge, top_share_mean
 from curvetrail.operators import gate, metrics, motion, peaks, scene, spans, tracks, windows
 from curvetrail.plans.staging import staged
 
@@ -45,13 +45,11 @@ def window_baseline(frames: DataFrame, chunk_scores: DataFrame, cfg: EngineConfi
 def evaluate(scores: DataFrame, labels: DataFrame, threshold: float = 0.5, share: float = 0.10) -> DataFrame:
     """Pooled measures of frames (of videos with labels) and of videos (mean of the highest frames): level and values.
     labels: video_id, idx, y, video_y."""
-    from curvetrail.functions.signals import top_share_mean
-
     joined = scores.select("video_id", "idx", "score").join(labels.select("video_id", "idx", "y", "video_y"), ["video_id", "idx"])
     frame = joined.where("video_y = 1").select(F.lit("frame").alias("level"), F.struct("video_id", "idx").alias("ord"), "y", "score")
     top = top_share_mean(joined, "score", "score", ["video_id", "video_y"], share)
     video = top.select(F.lit("video").alias("level"), F.struct("video_id", F.lit(0).cast("long").alias("idx")).alias("ord"), F.col("video_y").alias("y"), "score")
-    rows = frame.unionAll(video)
+    rows = staged(frame.unionAll(video), "ranking")
     keys = ["level"]
     n = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
     for part in (metrics.roc_auc(rows, keys), metrics.avg_precision(rows, keys), metrics.eer(rows, keys), metrics.accuracy_at(rows, keys, threshold)):
