@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from curvetrail.llm.common import arrow_rows, char_grams, letters_only, sample_share, word_codes
 
-FIT_DOCS, WINDOW, BUCKETS, DIM, ROUNDS = 1500, 6, 1 << 18, 6, 30
+FIT_DOCS, WINDOW, BUCKETS, DIM, ROUNDS = 1200, 6, 1 << 18, 6, 30
 GRAM_SIZES = (3, 4, 5)
 MIN_DOCS, SHARPEN, DECAY, RATE, PRIOR = 3, 1.0, 1e-5, 0.03, 8
 
@@ -53,6 +53,21 @@ def _documents_with(codes: np.ndarray, starts: np.ndarray, bucket: np.ndarray, b
     return every, toxic
 
 
+def highest(value: np.ndarray, starts: np.ndarray, bias: float) -> np.ndarray:
+    """The highest window's softmax input of each text, from the values of its words in turn."""
+    size = np.diff(starts)
+    out = np.full(len(size), bias)
+    some = np.flatnonzero(size > 0)
+    if not len(some):
+        return out
+    sums = np.concatenate([[0.0], np.cumsum(value)])
+    # the window that ends at each word, cut at the start of its text
+    end = np.arange(1, len(value) + 1)
+    window = sums[end] - sums[np.maximum(end - WINDOW, np.repeat(starts[:-1], size))]
+    out[some] = bias + np.maximum.reduceat(window, starts[:-1][some]) / WINDOW
+    return out
+
+
 class Model:
     """weight: what each n-gram bucket adds to the difference of the two softmax inputs (its vector times the
     difference of the class vectors), which is all that scoring needs."""
@@ -72,19 +87,7 @@ class Model:
     def raw(self, texts: pa.Array) -> np.ndarray:
         """The highest window's softmax input of each text."""
         codes, words, starts = word_codes(texts)
-        out = np.full(len(starts) - 1, self.bias)
-        if not len(codes):
-            return out
-        value = self.word_values(words)[codes]
-        sums = np.concatenate([[0.0], np.cumsum(value)])
-        size = np.diff(starts)
-        some = np.flatnonzero(size > 0)
-        # the window that ends at each word, cut at the start of its text
-        owner = np.repeat(np.arange(len(size)), size)
-        end = np.arange(1, len(codes) + 1)
-        window = sums[end] - sums[np.maximum(end - WINDOW, starts[owner])]
-        out[some] = self.bias + np.maximum.reduceat(window, starts[:-1][some]) / WINDOW
-        return out
+        return highest(self.word_values(words)[codes] if len(codes) else np.zeros(0), starts, self.bias)
 
     def predict(self, texts: pa.Array) -> np.ndarray:
         if self.weight is None:
@@ -92,18 +95,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(texts) + self.shift, -40, 40)))
 
 
-def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
+def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Model:
     """labels: 0 or 1 for each text."""
     if not len(texts) or labels.min() == labels.max():
         return Model(None)
     rng = np.random.default_rng(seed)
-    codes, words, starts = word_codes(pa.array(texts, pa.string()))
+    codes, words, starts = word_codes(texts)
     if not len(words):
         return Model(None)
     norm = pc.dictionary_encode(letters_only(words))
-    codes = np.asarray(norm.indices, dtype=np.int64)[codes]
+    codes = np.asarray(norm.indices, dtype=np.int32)[codes]
+    del texts, words
     bucket, owner = _grams(norm.dictionary)
     n_words = len(norm.dictionary)
+    del norm
     share = (1 / np.maximum(np.bincount(owner, minlength=n_words), 1))[owner].astype(np.float32)
     # n-grams of fewer than MIN_DOCS documents keep the zero vector: too rare to learn from
     size = np.diff(starts)
@@ -136,7 +141,7 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
     word_vec, bag = np.empty((n_words, DIM)), np.empty((n_windows, DIM))
     for step in range(1, ROUNDS + 1):
         for k in axis:
-            word_vec[:, k] = np.bincount(owner, weights=vectors[bucket, k] * share, minlength=n_words)
+            word_vec[:, k] = np.bincount(owner, weights=vectors[:, k].astype(np.float32)[bucket] * share, minlength=n_words)
             bag[:, k] = np.bincount(window, weights=word_vec[codes, k], minlength=n_windows) / WINDOW
         z = bag @ (soft[1] - soft[0]) + bias
         # a document's label is shared out, mostly to its highest window
@@ -162,7 +167,8 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
     weight = np.zeros(BUCKETS)
     weight[used] = vectors @ (soft[1] - soft[0])
     model = Model(weight, float(bias))
-    raw, y = model.raw(pa.array(texts, pa.string())), labels.astype(float)
+    word_value = np.bincount(owner, weights=weight[used].astype(np.float32)[bucket] * share, minlength=n_words)
+    raw, y = highest(word_value[codes], starts, model.bias), labels.astype(float)
     mid, spread = raw.mean(), max(raw.std(), 1e-9)
     a, b, x = 1.0, 0.0, (raw - mid) / spread
     part = np.where(y == 1, 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum())) / 2
@@ -184,7 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample = F.broadcast(labels.where(sample_share(F.col(key)) < share).orderBy(sample_share(F.col(key)), key).limit(4 * fit_docs))
     rows = docs.select(key, F.col(text).alias("text")).join(sample, key).select(key, "label", "text").collect()
     rows = sorted(((r[0], r[1], r[2]) for r in rows), key=lambda r: (r[0], r[2] or ""))
-    return train([r[2] for r in rows], np.array([r[1] for r in rows], dtype=int))
+    labels_of = np.array([r[1] for r in rows], dtype=int)
+    texts = pa.array([r[2] for r in rows], pa.string())
+    del rows
+    return train(texts, labels_of)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", extra: Column | None = None) -> DataFrame:
