@@ -24,6 +24,14 @@ RULES = [
 ]
 
 
+#: Parameters that are passed on as they are: fixed names, values from the settings.
+PASSED_ON = {
+    "DISAPPEAR_LOOKAHEAD": "lookahead", "DISAPPEAR_MIN_TRACK_LEN": "min_seen", "TURN_CHANGE_RATIO": "turn_limit", "SPEED_SCALING_FACTOR": "speed_factor",
+    "TOPK_AGG_COUNT": "top_k", "EDGE_UNSTABLE_RATIO": "edge_ratio", "REPLACEMENT_CENTER_RATIO": "near_ratio", "REPLACEMENT_IOU": "near_iou",
+    "TRACK_POINT_Y_RATIO": "point_height",
+}
+
+
 def outside(rows: DataFrame, gt: DataFrame) -> DataFrame:
     """Rows whose frame lies in no labelled interval of their video."""
     g = gt.where("e >= 0").select(F.col("video_id").alias("_v"), "s", "e")
@@ -93,11 +101,12 @@ def calib_percentiles(stats: DataFrame) -> DataFrame:
     return p.select("stat", "n", *[F.col("p")[i].alias(f"p{q}") for i, q in enumerate(QUANTILES)])
 
 
-def calib_recommend(stats: DataFrame) -> DataFrame:
-    """Parameter and value: a percentile of its measure, held to a range."""
+def calib_recommend(stats: DataFrame, cfg: Motion = Motion()) -> DataFrame:
+    """Parameter and value: a percentile of its measure, held to a range; parameters without a measure as they are."""
     wanted = sorted({q for _, _, q, _, _, _ in RULES})
     p = stats.groupBy("stat").agg(F.percentile("value", F.array(*[num(q / 100) for q in wanted])).alias("p"))
     rules = stats.sparkSession.createDataFrame([(a, b, wanted.index(q), d, lo, hi) for a, b, q, d, lo, hi in RULES], "parameter string, stat string, at int, base double, low double, high double")
     found = rules.join(p, "stat", "left")
     value = F.coalesce(F.get(F.col("p"), F.col("at")), F.col("base"))
-    return found.select("parameter", F.least("high", F.greatest("low", value)).alias("value"))
+    fixed = stats.sparkSession.createDataFrame([(k, float(getattr(cfg, v))) for k, v in PASSED_ON.items()], "parameter string, value double")
+    return found.select("parameter", F.least("high", F.greatest("low", value)).alias("value")).unionAll(fixed)

@@ -455,4 +455,5 @@ view("cst", "fr3 cgone", f"""SELECT video_id, 'track_disp_ratio' AS stat, disp A
 oracle("calib_stats", "cst", f"SELECT video_id, stat, count(*) AS n, {r('sum(value)')} AS total, {r('max(value)')} AS top FROM cst GROUP BY ALL")
 oracle("calib_percentiles", "cst", "SELECT stat, count(*) AS n, " + ", ".join(f"{r(f'quantile_cont(value,{q / 100})')} AS p{q}" for q in (5, 25, 50, 75, 85, 90, 95, 98, 99)) + " FROM cst GROUP BY ALL")
 oracle("calib_recommend", "cst", f"""SELECT parameter, {r('least(hi, greatest(lo, coalesce((SELECT quantile_cont(value, 0.35) FROM cst WHERE stat=s AND q=35), (SELECT quantile_cont(value, 0.85) FROM cst WHERE stat=s AND q=85), (SELECT quantile_cont(value, 0.9) FROM cst WHERE stat=s AND q=90), (SELECT quantile_cont(value, 0.98) FROM cst WHERE stat=s AND q=98), (SELECT quantile_cont(value, 0.99) FROM cst WHERE stat=s AND q=99), base)))')} AS value
- FROM (VALUES ('STATIC_MOVE_RATIO','track_disp_ratio',35,0.15,0.10,0.30),('DISAPPEAR_FAR_EDGE_RATIO','disappear_edge_norm',90,0.18,0.15,0.25),('MIN_TURN_SPEED_RATIO','low_disp_step_ratio',90,0.05,0.03,0.10),('MIN_DIR_MOTION_RATIO','low_disp_step_ratio',85,0.04,0.03,0.10),('MIN_DIR_MOTION_PX','low_disp_step_px',90,3.0,2.0,8.0),('MAX_MOTION_AREA_RATIO','area_ratio',99,1.5,1.5,3.0),('MAX_STEP_RATIO','step_ratio',98,1.5,1.0,3.0)) v(parameter,s,q,base,lo,hi)""")
+ FROM (VALUES ('STATIC_MOVE_RATIO','track_disp_ratio',35,0.15,0.10,0.30),('DISAPPEAR_FAR_EDGE_RATIO','disappear_edge_norm',90,0.18,0.15,0.25),('MIN_TURN_SPEED_RATIO','low_disp_step_ratio',90,0.05,0.03,0.10),('MIN_DIR_MOTION_RATIO','low_disp_step_ratio',85,0.04,0.03,0.10),('MIN_DIR_MOTION_PX','low_disp_step_px',90,3.0,2.0,8.0),('MAX_MOTION_AREA_RATIO','area_ratio',99,1.5,1.5,3.0),('MAX_STEP_RATIO','step_ratio',98,1.5,1.0,3.0)) v(parameter,s,q,base,lo,hi)
+ UNION ALL SELECT p, x::DOUBLE FROM (VALUES ('DISAPPEAR_LOOKAHEAD',2),('DISAPPEAR_MIN_TRACK_LEN',3),('TURN_CHANGE_RATIO',0.5),('SPEED_SCALING_FACTOR',15),('TOPK_AGG_COUNT',3),('EDGE_UNSTABLE_RATIO',0.03),('REPLACEMENT_CENTER_RATIO',0.06),('REPLACEMENT_IOU',0.05),('TRACK_POINT_Y_RATIO',0.6)) w(p,x)""")
