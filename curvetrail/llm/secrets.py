@@ -1,11 +1,11 @@
 """Credential spans in texts: fixed patterns, and formats learnt from what they find.
 
-One pass over the texts gives the spans of the base patterns and all other long runs of token characters as
-candidates. A bounded sample of distinct values that the base patterns labelled (FIT_VALUES of each kind) becomes a
-prefix tree for each kind; states whose outgoing frequencies agree within a Hoeffding bound are merged (the red-blue
-order), which gives a probabilistic automaton of the format. Every candidate of every document is then scored by its
-mean log-likelihood a symbol under each automaton, and those at least as likely as most labelled values (QUANTILE)
-become spans of kind "grammar".
+One pass over the texts gives the spans of the base patterns. A bounded sample of distinct values that they labelled
+(FIT_VALUES of each kind) becomes a prefix tree for each kind; states whose outgoing frequencies agree within a
+Hoeffding bound are merged (the red-blue order), which gives a probabilistic automaton of the format. A second pass
+scores every candidate of every document by its mean log-likelihood a symbol under each automaton, and those at least
+as likely as most labelled values (QUANTILE) become spans of kind "grammar". Candidates are all runs of token
+characters outside base spans, from the least length of a labelled value on; a base span in a run splits it.
 
 All matching is on UTF-8 bytes (the patterns are ASCII); spans are in code points. A null or empty text has no spans;
 an empty table gives an empty result; repeated rows each give a row.
@@ -16,7 +16,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +30,18 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ASSIGN_HEADS = (b"passw", b"secret", b"token", b"api")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-#: Least lengths: the value of assign, all of access and hex, and a candidate.
-LEAST = {"assign": 8, "access": 16, "hex": 32, "candidate": 16}
+#: Least lengths: the value of assign, all of access and hex, and a candidate, which is the least of these.
+LEAST = {"assign": 8, "access": 16, "hex": 32, "candidate": 8}
 
 #: Distinct labelled values of each kind that an automaton is fitted on, at most; none over FIT_LENGTH characters.
 FIT_VALUES, FIT_LENGTH = 400, 256
 ALPHA, QUANTILE = 0.05, 0.1
+#: Verdicts on candidates that a task remembers; words come again and again.
+VERDICTS = 1 << 16
 
 _HEX, _TOKEN = np.zeros(256, bool), np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[list(b"0123456789")] = True
 
 FOUND = "id long, found array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -56,8 +57,8 @@ def _runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return start[keep], end[keep]
 
 
-def find_spans(texts: list[bytes]) -> list[list[tuple[str, int, int, bytes]]]:
-    """For each text: kind, start, end (code points) and value of base spans, then of candidates."""
+def find_spans(texts: list[bytes], accept: Callable[[bytes], bool] | None = None) -> list[list[tuple[str, int, int, bytes]]]:
+    """For each text: kind, start, end (code points) and value of base spans and of the candidates that accept takes."""
     data = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(data, np.uint8)
     starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
@@ -84,14 +85,13 @@ def find_spans(texts: list[bytes]) -> list[list[tuple[str, int, int, bytes]]]:
             last = m.end()
             if m.end(2) - m.start(2) >= LEAST["assign"]:
                 found[np.searchsorted(starts, at, "right") - 1].append(("assign", at, last, m.start(2), last))
-    a, b = _runs(_TOKEN[raw], LEAST["candidate"])
-    if len(a):
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
-        n = digits[b] - digits[a]
-        for x, y in zip(a[(n > 0) & (n < b - a)], b[(n > 0) & (n < b - a)]):
-            own = found[np.searchsorted(starts, x, "right") - 1]
-            if not any(k != "candidate" and s < y and x < e for k, s, e, _, _ in own):
-                own.append(("candidate", x, y, x, y))
+    if accept:
+        token = _TOKEN[raw]
+        for _, x, y, _, _ in [span for own in found for span in own]:
+            token[x:y] = False
+        for x, y in zip(*(e.tolist() for e in _runs(token, LEAST["candidate"]))):
+            if accept(data[x:y]):
+                found[np.searchsorted(starts, x, "right") - 1].append(("candidate", x, y, x, y))
     out = []
     for i, spans in enumerate(found):
         if not spans:
@@ -206,7 +206,7 @@ class Automaton:
 
 def fit_formats(spark: SparkSession, found: DataFrame, fit_values: int = FIT_VALUES) -> dict[str, tuple[Automaton, float]]:
     """An automaton and the least accepted score for each base kind that has values."""
-    values = found.select(F.explode("found").alias("f")).select("f.kind", "f.value").where((F.length("value") <= FIT_LENGTH) & (F.col("kind") != "candidate"))
+    values = found.select(F.explode("found").alias("f")).select("f.kind", "f.value").where(F.length("value") <= FIT_LENGTH)
     out = {}
     for kind in KINDS:
         of = values.where(F.col("kind") == kind).select("value").distinct()
@@ -218,20 +218,24 @@ def fit_formats(spark: SparkSession, found: DataFrame, fit_values: int = FIT_VAL
     return out
 
 
+def _best(models: dict[str, tuple[Automaton, float]]) -> Callable[[bytes], tuple[float, str]]:
+    """Of a candidate: the largest score over a format's threshold, and the format."""
+    fits = lambda value: max(((m.score(value.decode()) - least, k) for k, (m, least) in models.items()), default=(-math.inf, ""))
+    known = lru_cache(VERDICTS)(fits)
+    return lambda value: known(value) if len(value) <= FIT_LENGTH else fits(value)
+
+
 def _judge(models: dict[str, tuple[Automaton, float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("format", pa.string())]))
+        best = _best(models)
         for batch in batches:
             rows = []
-            for found in batch.column(1).to_pylist():
+            for found in find_spans([x.as_py() or b"" for x in batch.column(1)], lambda value: best(value)[0] >= 0):
                 spans = []
-                for f in found or []:
-                    if f["kind"] != "candidate":
-                        spans.append({"kind": f["kind"], "start": f["start"], "end": f["end"], "score": None, "format": None})
-                        continue
-                    fits = [(m.score(f["value"]) - least, k) for k, (m, least) in models.items()]
-                    if fits and max(fits)[0] >= 0:
-                        spans.append({"kind": "grammar", "start": f["start"], "end": f["end"], "score": max(fits)[0], "format": max(fits)[1]})
+                for k, start, end, value in found:
+                    score, format = best(value) if k == "candidate" else (None, None)
+                    spans.append({"kind": "grammar" if k == "candidate" else k, "start": start, "end": end, "score": score, "format": format})
                 rows.append(spans)
             base = [[s for s in spans if s["kind"] in KINDS] for spans in rows]
             text = lambda spans: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
@@ -248,10 +252,9 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", fit_v
     """id, found (kind, start, end, score over the format's threshold, format), counts by base kind, digest and list of spans."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    found = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).mapInArrow(_scan, FOUND)
-    found = materialize(found, "secrets")
-    models = fit_formats(spark, found, fit_values)
-    return found.mapInArrow(
+    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    models = fit_formats(spark, materialize(source.mapInArrow(_scan, FOUND).where("size(found) > 0"), "secrets"), fit_values)
+    return source.mapInArrow(
         _judge(models),
         "id long, found array<struct<kind:string,start:int,end:int,score:double,format:string>>, n_assign long, n_access long, n_hex long, base_sha256 string, spans string",
     )
@@ -267,20 +270,19 @@ def mask(docs: DataFrame, put: str, text: str = "text", length: str = "n_chars",
 
     def masked(data: bytes, spans: list[tuple[str, int, int, bytes]]) -> bytes:
         chars, out, last = data.decode("utf-8", "replace"), [], 0
-        for kind, _, end, value in spans:
+        for _, _, end, value in spans:
             start = end - len(value)
-            if kind == "candidate" and not any(m.score(value.decode()) >= least for m, least in models.values()):
-                continue
             if start >= last:
                 out += [chars[last:start].encode(), new]
             last = max(last, end)
         return b"".join([*out, chars[last:].encode()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _best(models)
         for batch in batches:
             kind = batch.schema.field(at).type
             texts = [None if x is None else x.encode() for x in batch.column(at).to_pylist()]
-            spans = find_spans([t or b"" for t in texts])
+            spans = find_spans([t or b"" for t in texts], lambda value: best(value)[0] >= 0)
             rows = [t if not s else masked(t, s) for t, s in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays([pa.array([None if r is None else r.decode() for r in rows], kind) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 

@@ -135,6 +135,21 @@ def test_grammar_finds_what_the_base_misses(spark):
     assert masked[0] == "some words token = [m] here" and masked[101] == rows[-1][1]
 
 
+def test_every_token_run_is_a_candidate(spark):
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("0123456789") for _ in range(8)) + "".join(rng.choice("ghjkmnpq") for _ in range(4))
+    digits = lambda: "".join(rng.choice("0123456789") for _ in range(12))
+    rows = [(i, f"token = {key() if i % 2 else digits()} here") for i in range(120)]
+    rows += [(200, f"é lone {key()} value"), (201, f"lone {digits()}"), (202, "x " + rng.randbytes(20).hex() + "ZZ" + digits()), (203, "nothing.ELSE+HERE")]
+    got = {r.id: [(f.kind, f.start, f.end) for f in r.found] for r in secrets.find_secrets(docs_of(spark, rows)).collect()}
+    assert got[200] == [("grammar", 7, 19)] and got[201] == [("grammar", 5, 17)] and got[203] == []
+    seen = []
+    secrets.find_spans([t.encode() for i, t in rows if i == 202], lambda value: seen.append(value) or True)
+    assert seen == [rows[122][1][42:].encode()]
+    masked = {r.doc_id: r.text for r in secrets.mask(spark.createDataFrame(rows, DOCS), "[m]").collect()}
+    assert masked[200] == "é lone [m] value" and masked[201] == "lone [m]"
+
+
 # ---------------------------------------------------------------- 4 JPEG
 
 
