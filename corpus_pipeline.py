@@ -48,12 +48,16 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, n_tokens, posteriors and rate: how often each kept document is to be drawn."""
+    """doc_id, lang, source, n_chars, n_tokens, posteriors and rate: how often each kept document is to be drawn. A row
+    for each row of docs with its own tokens; posteriors and rate are those of its id."""
     labels = label_domains(read_table(spark, sf_dir, "labels"))
     rates = mixing.mix(docs, docs, labels, MIX_TARGETS)
-    facts = docs.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in ("lang", "source", "n_chars")])
-    keyed = rates.withColumnRenamed("doc_id", "rated_id")
-    return facts.join(keyed, F.col("doc_id").eqNullSafe(F.col("rated_id"))).drop("rated_id")
+    tokens = F.size(F.filter(F.split(F.coalesce(F.lower("text"), F.lit("")), r"\s+"), lambda x: x != "")).cast("long")
+    facts = docs.select("doc_id", "lang", "source", "n_chars", tokens.alias("n_tokens"))
+    rates = rates.drop("n_tokens")
+    # the null id is one row of rates; as a key it would bring all rows without an id to one task
+    unnamed = facts.where("doc_id is null").crossJoin(F.broadcast(rates.where("doc_id is null").drop("doc_id")))
+    return facts.join(rates, "doc_id").unionByName(unnamed)
 
 
 STAGES = [

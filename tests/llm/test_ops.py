@@ -483,3 +483,17 @@ def test_pipeline(spark, tmp_path):
     assert kept[0] - kept[1] == {200, 201} and kept[1] - kept[2] == {202} and kept[2] == kept[3] == kept[4]
     assert None in kept[4]
     assert cp.run(spark, str(tmp_path)).count() == len(kept[4])
+
+
+def test_mixing_keeps_every_row(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(words(rng, 20)), "en", f"s{i % 3}", i) for i in range(40)]
+    rows += [(None, "two  words", "de", "x", 10), (None, "now three words", None, "y", 15), (None, None, "fr", "z", 0), (5, "again", "es", "w", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = cp.mix_domains(spark, docs, str(tmp_path)).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(((r.doc_id, r.lang, r.source, r.n_chars, r.n_tokens) for r in got), key=key) == sorted(((i, x, s, c, len((t or "").split())) for i, t, x, s, c in rows), key=key)
+    assert all(len({r.rate for r in got if r.doc_id == i}) == 1 for i in (None, 5)) and all(r.rate is not None for r in got)
