@@ -32,8 +32,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar texts the document with the least doc_id stays."""
-    classes = neardup.similar_texts(docs)
+    """Of each group of similar texts the document with the least doc_id stays. A text that is null or has nothing but
+    white space and control characters is no copy of another."""
+    classes = neardup.similar_texts(docs.where(F.col("text").rlike(r"[^\p{Z}\p{Cc}]")))
     return without(docs, classes.where("id <> class_id").select(F.col("id").alias("doc_id")))
 
 

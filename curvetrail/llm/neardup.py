@@ -14,7 +14,8 @@ Words are lower-case letters and digits between white space; n-grams are five wo
 Band and row counts follow from the target recall: with ROWS rows a band, the least number of bands with which a pair
 at the threshold meets with probability RECALL.
 
-Null and empty texts, and those without a letter or digit, are copies of each other. A null id has class null and no
+Texts without a letter or digit are copies where their pieces between white space are the same, control characters
+aside; null, empty and other blank texts are copies of each other. A null id has class null and no
 links. Rows that repeat an id and text are one document; an id with two texts gets the class of the least of them.
 """
 
@@ -45,20 +46,33 @@ def plain_words(words: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(words.cast(pa.large_string())), r"[^\p{L}\p{N}]+", "")
 
 
+def _sequence_hashes(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each text's sequence of word hashes."""
+    size = np.diff(starts)
+    inside = np.arange(len(hashes)) - np.repeat(starts[:-1], size)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes + mixed(inside.astype(np.uint64) + np.uint64(1))), dtype=np.uint64)])
+    one = mixed(sums[starts[1:]] - sums[starts[:-1]] + size.astype(np.uint64))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes ^ mixed(inside.astype(np.uint64) + np.uint64(1 << 40))), dtype=np.uint64)])
+    return one, mixed(sums[starts[1:]] - sums[starts[:-1]] + np.uint64(3) * size.astype(np.uint64))
+
+
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all word n-grams in turn, where each text's start, and two hashes of each word sequence."""
     codes, words, starts = word_codes(texts)
     plain = plain_words(words)
-    keep = np.asarray(pc.greater(pc.binary_length(plain), 0))[codes] if len(words) else np.zeros(0, bool)
+    real = np.asarray(pc.greater(pc.binary_length(plain), 0)) if len(words) else np.zeros(0, bool)
+    keep = real[codes]
+    raw_starts, starts = starts, np.concatenate([[0], np.cumsum(keep)])[starts]
     hashes = word_hashes(plain)[codes][keep]
-    starts = np.concatenate([[0], np.cumsum(keep)])[starts]
     size = np.diff(starts)
+    one, two = _sequence_hashes(hashes, starts)
+    bare = np.repeat(size == 0, np.diff(raw_starts))
+    if bare.any():  # a text without words is the sequence of its signs
+        signs = pc.replace_substring_regex(words.cast(pa.large_string()), r"\p{Cc}+", "")
+        seen = bare & np.asarray(pc.greater(pc.binary_length(signs), 0))[codes]
+        others = _sequence_hashes(word_hashes(signs)[codes][seen], np.concatenate([[0], np.cumsum(seen)])[raw_starts])
+        one, two = (np.where(size == 0, x, y) for x, y in zip(others, (one, two)))
     mult = np.uint64(0x9E3779B97F4A7C15)
-    inside = np.arange(len(hashes)) - np.repeat(starts[:-1], size)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes + mixed(inside.astype(np.uint64) + np.uint64(1))), dtype=np.uint64)])
-    one = mixed(sums[starts[1:]] - sums[starts[:-1]] + size.astype(np.uint64))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes ^ mixed(inside.astype(np.uint64) + np.uint64(1 << 40))), dtype=np.uint64)])
-    two = mixed(sums[starts[1:]] - sums[starts[:-1]] + np.uint64(3) * size.astype(np.uint64))
     count = np.where(size >= n, size - n + 1, np.minimum(size, 1))
     out = np.zeros(int(count.sum()), np.uint64)
     first = np.concatenate([[0], np.cumsum(count)])

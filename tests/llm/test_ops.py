@@ -377,6 +377,16 @@ def test_similar_texts(spark, pairs_up_to):
     assert neardup.similar_texts(docs.where("false")).count() == 0
 
 
+def test_texts_without_words(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rows = [(1, "🙂 🙂"), (2, "🎈"), (3, "🙂\n🙂"), (4, "-----"), (5, "--- --"), (6, None), (7, ""), (8, " \x00"), (9, "-----"), (10, "one two"), (11, "One, two!")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.id: r.copy_of for r in neardup.similar_texts(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6, 8: 6, 9: 4, 10: 10, 11: 10}
+    assert {r.doc_id for r in cp.drop_near_copies(spark, docs, str(tmp_path)).collect()} == {1, 2, 4, 5, 6, 7, 8, 10}
+
+
 def test_bands_follow_recall():
     for recall in (0.9, 0.995):
         b = neardup.band_count(0.8, 8, recall)
