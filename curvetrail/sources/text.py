@@ -107,7 +107,8 @@ def gt_lookup(lines: DataFrame) -> DataFrame:
     t = _text(lines)
     words = F.split("text", r"\s+")
     first = t.withColumn("video_id", words[0]).groupBy("video_id").agg(F.min_by("text", "line_no").alias("text"))
-    numbers = F.filter(F.slice(F.split("text", r"\s+"), 3, 10_000), lambda x: x.rlike(r"^-?[0-9]+$"))
+    words = F.split("text", r"\s+")
+    numbers = F.filter(F.slice(words, 3, F.size(words)), lambda x: x.rlike(r"^-?[0-9]+$"))
     return first.select("video_id", _number_pairs(numbers).alias("intervals"))
 
 
@@ -162,9 +163,13 @@ def digits_frame_id(path: Column) -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """Sorts digit runs as numbers: runs padded with zeros, text in lower case."""
+    """Sorts digit runs as numbers: runs padded with zeros to 20 digits, text in lower case. A longer number has a colon,
+    which follows 9, and its length before it."""
     parts = F.regexp_extract_all(F.lower(path), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(x)), "")
+    bare = lambda x: F.regexp_replace(x, "^0+", "")
+    long = lambda x: F.concat(F.lit(":"), F.lpad(F.length(bare(x)).cast("string"), 10, "0"), bare(x))
+    number = lambda x: F.when(F.length(bare(x)) > 20, long(x)).otherwise(F.lpad(bare(x), 20, "0"))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), number(x)).otherwise(x)), "")
 
 
 def source_kind(path: Column) -> Column:

@@ -355,6 +355,16 @@ def test_manifests(spark, tmp_path):
     assert value(spark, text.sanitize_name(F.lit("__ä b__"))) == "b" and value(spark, text.sanitize_name(F.lit("##"))) == "video"
 
 
+def test_long_lines_and_numbers(spark):
+    line = "clip 9 " + " ".join(f"{i} {i + 1}" for i in range(6000))
+    got = text.gt_lookup(spark.createDataFrame([(1, line)], "line_no long, line string")).first()
+    assert [tuple(p) for p in got.intervals] == [(i, i + 1) for i in range(6000)]
+    names = ["a7", "a" + "0" * 25 + "8", "a" + "9" * 20, "a1" + "0" * 20, "a1" + "0" * 19 + "1", "a2" + "0" * 20, "a1" + "0" * 21]
+    rows = spark.createDataFrame([(n,) for n in names], "path string").withColumn("key", text.natural_key(F.col("path"))).collect()
+    assert [r.path for r in sorted(rows, key=lambda r: r.key)] == sorted(names, key=lambda n: int(n[1:]))
+    assert len({r.key for r in rows}) == len(names)
+
+
 def test_sinks(spark, tmp_path):
     t = tracked(spark, [(1, 0, 5, 0, 1.0, 2.0, 3.0, 4.0), (1, 4, 5, 0, 1.0, 2.0, 3.0, 4.0)])
     f = spark.createDataFrame([(1, i, 2 * i) for i in range(3)], "video_id long, idx long, frame_id long")
