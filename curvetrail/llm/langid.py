@@ -5,7 +5,7 @@ character n-grams of <word>, the longest of which any is known (5, 4, ... 1), at
 with the largest sum wins; the score is its share of the likelihood at equal priors.
 
 The model is fitted on a bounded sample: of the labelled documents of each language about FIT_DOCS, chosen by a hash of
-their id, whole texts. Its words are the VOCABULARY most frequent ones of that sample, so its size is bounded too.
+their id, whole texts. All words of that sample are in it, those seen once too; the sample is its bound.
 Texts without a letter (null and empty ones as well) are "und" with score 0; so is every text if nothing is labelled.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from curvetrail.llm.common import arrow_rows, char_grams, letters_only, sample_share, word_codes
 
-FIT_DOCS, VOCABULARY, LONGEST = 1500, 40_000, 5
+FIT_DOCS, LONGEST = 1500, 5
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,12 +48,11 @@ class Model:
         place, lang = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(self.langs)}
         for x, w, n in rows:
             count[place[w], lang[x]] += n
-        self.words = words
+        self.words = pa.array(words, pa.string())
         self.scores = np.log((count + 0.1) / (count.sum(0) + 0.1 * max(1, len(words))))
         self.grams = {}
-        array = pa.array(words, pa.string())
         for n in range(1, LONGEST + 1):
-            grams, owner = char_grams(array, n)
+            grams, owner = char_grams(self.words, n)
             known, place = np.unique(grams, return_inverse=True)
             table = np.stack([np.bincount(place, weights=count[owner, i], minlength=len(known)) for i in range(len(self.langs))], axis=1) if len(known) else np.zeros((0, len(self.langs)))
             self.grams[n] = known, np.log((table + 0.1) / (table.sum(0) + 0.1 * max(1, len(known))))
@@ -61,7 +60,7 @@ class Model:
     def word_scores(self, words: pa.Array) -> np.ndarray:
         """Log frequency of each word in each language, backed off where it is unknown."""
         out = np.zeros((len(words), len(self.langs)))
-        at = pc.index_in(words.cast(pa.string()), value_set=pa.array(self.words, pa.string()))
+        at = pc.index_in(words.cast(pa.string()), value_set=self.words)
         known = np.asarray(at.is_valid())
         out[known] = self.scores[np.asarray(at.drop_null(), dtype=np.int64)]
         left = np.flatnonzero(~known)
@@ -99,7 +98,7 @@ class Model:
         return [self.langs[b] if s else "und" for b, s in zip(best, some)], np.where(some, share, 0.0)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_docs: int = FIT_DOCS, vocabulary: int = VOCABULARY) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_docs: int = FIT_DOCS) -> Model:
     """labelled: rows to learn from; those with a null label are passed over."""
     spark = labelled.sparkSession
     arrow_rows(spark)
@@ -112,9 +111,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         share = F.when(F.col(lang) == name, F.lit(min(1.0, fit_docs / n))).otherwise(share)
     sample = labelled.where(sample_share(F.col(key)) < share).select(F.col(lang).cast("string"), F.col(text).cast("string"))
     counts = sample.mapInArrow(_count, "lang string, word string, n long").where("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "word", "lang").limit(vocabulary)
-    rows = [tuple(r) for r in top.collect()] or [tuple(r) for r in counts.orderBy(F.desc("n"), "word", "lang").limit(vocabulary).collect()]
-    return Model(rows)
+    return Model(list(zip(*(c.to_pylist() for c in counts.toArrow().columns))))
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", extra: Column | None = None) -> DataFrame:

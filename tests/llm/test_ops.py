@@ -429,6 +429,14 @@ def test_language(spark):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_language_model_has_all_words(spark):
+    letters = "abcdefghij"
+    many = ["w" + "".join(letters[int(c)] for c in str(i)) for i in range(45_000)]
+    rows = [(1, " ".join(many + many), "en"), (2, "once twice twice", "de")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.words.to_pylist()) == {*many, "once", "twice"}
+
+
 def test_unknown_words_back_off():
     model = langid.Model([("en", "walking", 9), ("en", "talking", 9), ("de", "schlange", 9), ("de", "schlagen", 9)])
     s = model.word_scores(pa.array(["stalking", "schlang"]))
