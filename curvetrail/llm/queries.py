@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvetrail.llm import decontam, jpeg, langid, mixing, neardup, repeats, secrets, toxicity, urlfilter, warc
-from curvetrail.llm.common import fold_of, read_table
+from curvetrail.llm.common import fold_of, materialize, read_table
 
 #: Rules of the URL query, as given: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -56,7 +56,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    features = jpeg.media_features(jpeg.store_media(docs))
+    features = jpeg.media_features(materialize(jpeg.store_media(docs), "media"))
     feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), F.col("frames").cast("string"), "thumb_hash")
     return features.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 

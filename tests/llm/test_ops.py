@@ -210,6 +210,16 @@ def test_media(spark):
     assert jpeg.media_features(jpeg.store_media(docs_of(spark, rows).where("false"))).count() == 0
 
 
+def test_media_is_stored(spark, tmp_path, monkeypatch):
+    from curvetrail.llm import common, queries
+
+    monkeypatch.setattr(common, "scratch_root", lambda spark: f"{tmp_path}/shared")
+    docs_of(spark, [(1, "abc"), (2, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.media_sha256 for r in queries.op4_jpeg(spark, str(tmp_path)).collect()}
+    stored = spark.read.parquet(*map(str, (tmp_path / "shared").glob("media-*"))).collect()
+    assert {r.id: hashlib.sha256(r.media).hexdigest() for r in stored} == got and len(got) == 2
+
+
 # ---------------------------------------------------------------- 5 repeats
 
 
