@@ -1,12 +1,11 @@
-"""What the corpus operators share: scratch tables, Arrow batch sizes, word codes and keyed hashes."""
+"""What the corpus operators share: scratch tables, batch sizes within workers, salted joins, word codes, hashes."""
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +13,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; with texts of some KB a batch stays at a few MB.
-BATCH_ROWS = 500
+#: Rows, and bytes of the widest column, that a worker handles at a time.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+#: Parts that the rows of one key are dealt over in salted joins.
+SALTS = 16
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one for a local master;
+    on a cluster that would be a different folder on each machine, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "curvetrail-scratch")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="curvetrail-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -33,35 +36,59 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Shuffle files of a query go when it ends: what is written to a table is never computed from them again.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def drop_table(df: DataFrame) -> None:
-    """Removes a table of materialize() that nothing reads any more."""
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again: lineage ends here, a lost executor costs nothing,
+    and the shuffle files of the steps before are given back. options: of the Parquet writer."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if scratch_root(spark).split(":", 1)[-1].lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver's cleaner drop the shuffle files of steps whose results are written, before the next step fills
-    the disks again; the cleaner works in the background, so it gets a moment."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(1.5)
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder below the shared one."""
+    if path.split(":", 1)[-1].lstrip("/").startswith(scratch_root(spark).split(":", 1)[-1].lstrip("/")):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches that go to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def drop_table(df: DataFrame) -> None:
+    """Removes a table of materialize() that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, folder)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most `rows` rows and about `size` bytes (one row at least), whatever the session's Arrow
+    options are: a worker's memory follows from these two numbers and the longest row."""
+    for batch in batches:
+        wide = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+                wide += np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
+        ends, at = np.cumsum(wide), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = SALTS) -> DataFrame:
+    """rows joined with a table that has a row for each key. A key with a third of all rows is dealt over `salts` tasks:
+    each of its rows takes a salt from `spread`, and the table comes once for each salt, so it should hold only keys
+    that the join has something to say of."""
+    some = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return salted.join(table.withColumn("_salt", some), [*keys, "_salt"], how).drop("_salt")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,10 +7,13 @@ and a banded alignment of the whole item against the region decides. e is RATE o
 short item, so that the bound is at least one q-gram; an item shorter than q is sought exactly.
 
 Texts are compared in lower case with white space runs as one space, whole texts, as code points. The items are the
-query set: they are put into blocks of at most BLOCK_CHARS characters, each of which goes over all documents, so what
-is sent to the executors at a time is bounded whatever the benchmark's size. Null and empty texts or items match
-nothing; repeated rows each match; an item that occurs twice in a document gives its best region (fewest edits, then
-the first).
+query set: they are put into blocks of at most BLOCK_CHARS characters, and one block after the other goes over all
+documents, its results written before the next is sent, so what the executors hold is bounded whatever the benchmark's
+size. Hits are counted HITS at a time, so a passage that many items share does not fill a worker.
+
+Null and empty texts or items match nothing; repeated rows each match; an item that occurs twice in a document gives its
+best region (fewest edits, then the first). An item_id with several texts stands for all of them, its best region is
+that of any; items without an id count as one item with a null id.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvetrail.llm.common import arrow_rows
+from curvetrail.llm.common import materialize, pieces
 
 Q, RATE, BLOCK_CHARS = 10, 0.08, 2_000_000
 MATCHES = "id long, item_id long, edits int, region_start int, region_end int"
+#: Shared q-grams that are spread over bands at a time.
+HITS = 4_000_000
 _BITS = 22
 
 
@@ -56,12 +61,12 @@ def _hashes(points: np.ndarray, q: int) -> np.ndarray:
 class Items:
     """A block of benchmark items, indexed by q-gram."""
 
-    def __init__(self, rows: list[tuple[int, str]], q: int = Q, rate: float = RATE):
-        rows = [(i, t) for i, t in ((i, normal(t)) for i, t in rows) if t]
+    def __init__(self, rows: list[tuple[int | None, str]], q: int = Q, rate: float = RATE):
+        rows = list(dict.fromkeys((i, t) for i, t in ((i, normal(t)) for i, t in rows) if t))
         self.q = q
         self.short = [(i, t) for i, t in rows if len(t) < q]
         rows = [r for r in rows if len(r[1]) >= q]
-        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.ids = [r[0] for r in rows]
         self.text = [_points(r[1]) for r in rows]
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.edits = np.minimum((self.size * rate).astype(np.int64), (self.size - q) // q)
@@ -80,26 +85,33 @@ class Items:
         h = _hashes(points, self.q)
         at = np.flatnonzero(self.mask[h >> np.uint32(32 - _BITS)])
         lo, hi = np.searchsorted(self.gram, h[at], "left"), np.searchsorted(self.gram, h[at], "right")
+        ends, keys, counts, done = np.cumsum(hi - lo), [], [], 0
+        while done < len(at):
+            stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + HITS, "right")))
+            key, count = self._bands(at[done:stop], lo[done:stop], hi[done:stop], owner_of)
+            keys.append(key)
+            counts.append(count)
+            done = stop
+        if not keys:
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
+        doc, item, band = key >> 53, key >> 32 & ((1 << 21) - 1), (key & ((1 << 32) - 1)) - (1 << 31)
+        keep = count >= self.bound[item]
+        doc, item, band = doc[keep], item[keep], band[keep]
+        return doc, item, band * (self.edits[item] + 1)
+
+    def _bands(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner_of) -> tuple[np.ndarray, np.ndarray]:
+        """How many of these places of the text share a q-gram with an item, by document, item and band (in one number)."""
         n = hi - lo
         pos = np.repeat(at, n)
         spot = np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         item = self.item[spot]
         # hashes may collide: the characters decide in the alignment, the count only keeps a band
-        diagonal = pos - self.place[spot]
-        wide = self.edits[item] + 1
-        doc = owner_of(pos)
-        band = diagonal // wide
-        doc, item, band = np.concatenate([doc, doc]), np.concatenate([item, item]), np.concatenate([band, band - 1])
-        if not len(doc):
-            return doc, item, band
-        order = np.lexsort((band, item, doc))
-        doc, item, band = doc[order], item[order], band[order]
-        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])]))
-        count = np.diff(np.append(new, len(doc)))
-        doc, item, band = doc[new], item[new], band[new]
-        keep = count >= self.bound[item]
-        doc, item, band = doc[keep], item[keep], band[keep]
-        return doc, item, band * (self.edits[item] + 1)
+        band = (pos - self.place[spot]) // (self.edits[item] + 1) + (1 << 31)
+        key = owner_of(pos) << 53 | item << 32
+        return np.unique(np.concatenate([key | band, key | band - 1]), return_counts=True)
 
     def align(self, points: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Fewest edits that turn the whole item into some region of points[low:high] on diagonals start - e to
@@ -152,7 +164,7 @@ class Items:
         out = []
         for i, t in self.short:
             out += [(d, i, 0, x.find(t), x.find(t) + len(t)) for d, x in enumerate(texts) if t in x]
-        if not len(self.ids) or not texts:
+        if not self.ids or not texts:
             return out
         starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
         points = _points("\x00".join(texts) + "\x00")
@@ -161,7 +173,7 @@ class Items:
             d, i, b = doc[at : at + 512], item[at : at + 512], band[at : at + 512]
             edits, first, last = self.align(points, starts[d], starts[d + 1] - 1, i, b)
             ok = np.flatnonzero(edits <= self.edits[i])
-            out += zip(d[ok].tolist(), self.ids[i[ok]].tolist(), edits[ok].tolist(), (first[ok] - starts[d[ok]]).tolist(), (last[ok] - starts[d[ok]]).tolist())
+            out += zip(d[ok].tolist(), [self.ids[x] for x in i[ok].tolist()], edits[ok].tolist(), (first[ok] - starts[d[ok]]).tolist(), (last[ok] - starts[d[ok]]).tolist())
         return out
 
 
@@ -184,22 +196,22 @@ def find_leaks(
 ) -> DataFrame:
     """id, item_id, edits and region (normalized text) for each document row and item within the edit budget."""
     spark = docs.sparkSession
-    arrow_rows(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     found = []
     for block in blocks(benchmark, item_key, item_text, block_chars):
         shared = spark.sparkContext.broadcast(Items(block, q, rate))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 ids, texts = batch.column(0).to_pylist(), [normal(t) for t in batch.column(1).to_pylist()]
-                best: dict[tuple[int, int], tuple] = {}
+                best: dict[tuple[int, int | None], tuple] = {}
                 for d, i, e, s, t in shared.value.matches(texts):
                     best[d, i] = min(best.get((d, i), (1 << 30,)), (e, s, t))
-                cols = list(zip(*[(ids[d], i, *v) for (d, i), v in sorted(best.items())])) or [[]] * 5
+                cols = list(zip(*[(ids[d], i, *v) for (d, i), v in best.items()])) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]], names=["id", "item_id", "edits", "region_start", "region_end"])
 
-        found.append(rows.mapInArrow(run, MATCHES))
+        found.append(materialize(rows.mapInArrow(run, MATCHES), "leaks"))
+        shared.destroy()
     if not found:
         return spark.createDataFrame([], MATCHES)
     return reduce(DataFrame.unionAll, found)
@@ -209,15 +221,18 @@ def drop_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
     q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """The rows of docs, all columns, in which no item is found; each block of items filters what the last one kept."""
+    """The rows of docs, all columns, in which no item is found. Each block of items filters what the last one kept,
+    which is written in between; with a benchmark of one block nothing is."""
     spark = docs.sparkSession
-    arrow_rows(spark)
-    at, out = docs.columns.index(text), docs
+    at, out, shared = docs.columns.index(text), docs, None
     for block in blocks(benchmark, item_key, item_text, block_chars):
+        if shared is not None:
+            out = materialize(out, "unleaked")
+            shared.destroy()
         shared = spark.sparkContext.broadcast(Items(block, q, rate))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[m[0] for m in shared.value.matches([normal(t) for t in batch.column(at).to_pylist()])]] = False
                 yield batch.filter(pa.array(keep))

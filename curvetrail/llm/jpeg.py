@@ -22,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvetrail.llm.common import arrow_rows
+from curvetrail.llm.common import pieces
 
 WIDE = 64
 FRAME_ROWS = 8000  # a side has 65,535 samples at most: 8,191 blocks
-#: Bytes of text that are coded at a time in a worker.
+#: Bytes that are coded or decoded at a time in a worker (an image of FRAME_ROWS rows at most where that is more), so a
+#: text of any length costs a few times its own size and a constant.
 GROUP_BYTES = 1 << 20
+#: Options for a Parquet table of files: a task holds one row group of them.
+SMALL_GROUPS = {"parquet.block.size": 16 << 20, "parquet.enable.dictionary": "false"}
 
 # Code lengths for the DC categories 0..8 of text bytes and the sole AC symbol (end of block), chosen freely.
 DC_SYMBOLS = [7, 6, 5, 4, 3, 2, 1, 0, 8]
@@ -110,21 +113,27 @@ def store_bytes(payloads: list[bytes]) -> list[bytes]:
     """Each payload (a positive multiple of 64 bytes) as one image, or several in a row."""
     if not payloads:
         return []
-    rows = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, WIDE)
-    data, sizes = encode_rows(rows)
-    data, ends = data.tobytes(), np.concatenate([[0], np.cumsum(sizes)]).tolist()
-    out, r = [], 0
-    for p in payloads:
-        parts, left = [], len(p) // WIDE
-        while left:
-            n = min(left, FRAME_ROWS)
+    # short payloads are coded together, a long one image by image
+    frames = [(t, p[at : at + FRAME_ROWS * WIDE]) for t, p in enumerate(payloads) for at in range(0, len(p), FRAME_ROWS * WIDE)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    at = 0
+    while at < len(frames):
+        end, size = at, 0
+        while end < len(frames) and (end == at or size + len(frames[end][1]) <= GROUP_BYTES):
+            size += len(frames[end][1])
+            end += 1
+        data, sizes = encode_rows(np.frombuffer(b"".join(f for _, f in frames[at:end]), np.uint8).reshape(-1, WIDE))
+        data, ends, r = data.tobytes(), np.concatenate([[0], np.cumsum(sizes)]).tolist(), 0
+        for t, frame in frames[at:end]:
+            n = len(frame) // WIDE
+            parts = out[t]
             parts.append(_header(n))
             for i in range(n):
                 parts.append(data[ends[r + i] : ends[r + i + 1]])
                 parts.append(bytes((0xFF, 0xD0 + i % 8 if i < n - 1 else 0xD9)))
-            r, left = r + n, left - n
-        out.append(b"".join(parts))
-    return out
+            r += n
+        at = end
+    return [b"".join(parts) for parts in out]
 
 
 class Image:
@@ -261,6 +270,19 @@ def _decode_lanes(words: np.ndarray, bit: np.ndarray, blocks: np.ndarray, order:
     return out.T
 
 
+def _groups(images: list[tuple[int, Image]], members: list[int]) -> Iterator[list[int]]:
+    """Members in turn, about GROUP_BYTES of scans at a time."""
+    group, size = [], 0
+    for i in members:
+        if group and size + len(images[i][1].scan) > GROUP_BYTES:
+            yield group
+            group, size = [], 0
+        group.append(i)
+        size += len(images[i][1].scan)
+    if group:
+        yield group
+
+
 def read_images(files: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
     """Width, height and DC-only luminance thumbnail (uint8, one sample a block) of each image of each file."""
     images = [(f, im) for f, data in enumerate(files) for im in parse_images(data)]
@@ -269,7 +291,7 @@ def read_images(files: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
     for i, (_, im) in enumerate(images):
         kinds.setdefault((tuple(im.order), tuple(im.dc), tuple(im.ac)), []).append(i)
     thumbs: dict[int, np.ndarray] = {}
-    for (order, dc, ac), members in kinds.items():
+    for (order, dc, ac), members in ((kind, group) for kind, every in kinds.items() for group in _groups(images, every)):
         raw = np.frombuffer(b"\xff\xd0".join(images[i][1].scan for i in members) + b"\xff\xd0" + bytes(8), np.uint8)
         lead = np.flatnonzero(raw[:-1] == 0xFF)
         follow = raw[lead + 1]
@@ -326,7 +348,7 @@ def thumb_hash(thumb: np.ndarray) -> str:
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         texts = [x.as_py() or b"" for x in batch.column(1)]
         at = 0
         while at < len(texts):
@@ -341,14 +363,13 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_media(docs: DataFrame, key: str = "doc_id", payload: str = "text") -> DataFrame:
     """id, n_bytes (before padding) and media: the JPEG file of each row's payload in UTF-8."""
-    arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(payload).cast("binary").alias("payload"))
     return rows.mapInArrow(_store, "id long, n_bytes long, media binary")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "thumb_hash", "frames"]
-    for batch in batches:
+    for batch in pieces(batches):
         files = [x.as_py() for x in batch.column(2)]
         at = 0
         while at < len(files):

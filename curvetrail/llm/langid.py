@@ -19,14 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvetrail.llm.common import arrow_rows, char_grams, letters_only, sample_share, word_codes
+from curvetrail.llm.common import char_grams, letters_only, pieces, sample_share, word_codes
 
 FIT_DOCS, LONGEST = 1500, 5
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts by language within a batch."""
-    for batch in batches:
+    for batch in pieces(batches):
         langs = batch.column(0).to_pylist()
         codes, words, starts = word_codes(batch.column(1))
         norm = pc.dictionary_encode(letters_only(words))
@@ -100,8 +100,6 @@ class Model:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_docs: int = FIT_DOCS) -> Model:
     """labelled: rows to learn from; those with a null label are passed over."""
-    spark = labelled.sparkSession
-    arrow_rows(spark)
     labelled = labelled.where(F.col(lang).isNotNull())
     sizes = labelled.groupBy(lang).count().collect()
     if not sizes:
@@ -116,12 +114,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", extra: Column | None = None) -> DataFrame:
     """id, lang_pred, score; extra: a boolean column that is carried along as held_out."""
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             names, score = shared.value.predict(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["id", "held_out", "lang_pred", "score"])
 

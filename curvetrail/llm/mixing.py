@@ -1,118 +1,173 @@
 """Document rates that give domains their target share of tokens. DataFrame operations only.
 
 1. A labelled table gives domains. On a bounded sample of it (about FIT_DOCS documents of each domain, chosen by a hash
-   of the id; whole texts) word counts in hashed buckets give a naive Bayes model, a table of BUCKETS rows at most.
-2. Every document of the input gets its tokens counted and its posterior over domains: mean log-likelihood of its
-   words, weighted as EVIDENCE tokens at most, so that membership stays soft. Words meet the model by a broadcast join
-   (the model's size is bounded) and are summed before the shuffle.
-3. The rates r >= 0 start at 1 and follow projected gradient steps on the least squares of expected domain token totals
-   sum_i r_i n_i p_id against target share times all tokens, each domain's square weighted by one over its token mass.
-   A step sums domain totals over all documents (as many numbers as domains reach the driver) and moves every rate.
+   of the id; whole texts) word counts in hashed buckets give a naive Bayes model of BUCKETS numbers a domain.
+2. Every row gets its tokens counted and its posterior over domains, by expressions over its own words alone: nothing is
+   shuffled, and rows stay rows. Words of a text are not independent, so the evidence of n tokens counts as that of
+   n * EVIDENCE / (n + EVIDENCE), one smooth rule for all lengths, and membership stays soft.
+3. The rates r >= 0 start at 1 and follow accelerated projected gradient steps on the least squares of expected domain
+   token totals sum_i r_i n_i p_id against target share times all tokens, each domain's square weighted by one over its
+   token mass. With steps scaled by tokens its gradient has Lipschitz constant 1, so no step size is chosen. A step sums
+   domain totals over all documents (as many numbers as domains reach the driver) and moves every rate. Steps end when
+   totals are within CLOSE of the targets or stand still; if neither comes within STEPS a warning says how far they are.
+   A rate follows from a row's posterior and the totals of the steps, so rows get theirs without a join.
 
 Tokens are pieces between white space. A null or empty text has none: its posterior is the prior and it moves no total.
-Rows that repeat an id are one document (tokens add up); a null id is an id of its own. A target for a domain that no
-document has any mass in cannot be met and is left out, and shares are scaled to sum to one. Without labelled rows all
-rates are 1 and the posterior is null; an empty input gives an empty result.
+Each row counts for itself, also where ids repeat or are null. A target for a domain that no document has any mass in
+cannot be met and is left out, and shares are scaled to sum to one. Without labelled rows all rates are 1 and there are
+no posteriors; an empty input gives an empty result. Columns of the input that have the names of new ones are replaced.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvetrail.llm.common import materialize, sample_share
+from curvetrail.llm.common import drop_table, materialize, sample_share
 
-FIT_DOCS, BUCKETS, LEAN, EVIDENCE, STEPS, CLOSE = 2000, 1 << 14, 5000.0, 30, 40, 1e-4
+FIT_DOCS, BUCKETS, LEAN, EVIDENCE, STEPS, CLOSE = 2000, 1 << 14, 5000.0, 30.0, 300, 1e-4
 #: Steps after which rates are written to a table, so that expressions stay small.
 WRITE_EVERY = 8
 
 
-def _words(docs: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
-    body = F.coalesce(F.lower(F.col(text)), F.lit(""))
-    return docs.select(F.col(key), *keep, F.explode(F.split(body, r"\s+")).alias("word"))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(F.lower(text), F.lit("")), r"\s+"), lambda w: w != "")
 
 
 def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", fit_docs: int = FIT_DOCS) -> tuple[list[str], list[float], DataFrame | None]:
+def num(x: float) -> Column:
+    return F.lit(float(x))
+
+
+def _summed(places: str, table: Column) -> Column:
+    return F.aggregate(places, num(0), lambda acc, k: acc + F.get(table, k))
+
+
+def _numbers(values: list[float]) -> Column:
+    """A constant array; the optimizer folds it, whatever its length."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", fit_docs: int = FIT_DOCS
+) -> tuple[list[str], list[float], list[list[float]]]:
     """labels: key and domain (nulls are passed over; of an id's several domains the least counts). Gives the domains,
-    their log priors, and for each bucket the log frequency in each domain (columns w0, w1, ...)."""
+    their log priors, and for each the log frequency of each bucket."""
     labels = labels.where(F.col(domain).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(domain).alias("domain"))
     sizes = {r[0]: r[1] for r in labels.groupBy("domain").count().collect()}
     names = sorted(sizes)
     if not names:
-        return [], [], None
+        return [], [], []
     share = F.lit(0.0)
     for name in names:
         share = F.when(F.col("domain") == name, F.lit(min(1.0, fit_docs / sizes[name]))).otherwise(share)
     unit = sample_share(F.col(key))
     sample = F.broadcast(labels.where(unit < share).orderBy(unit, key).limit(2 * len(names) * fit_docs))
-    words = _words(docs.join(sample, key), key, text, "domain").where("word <> ''")
+    words = docs.select(key, F.col(text).alias("text")).join(sample, key).select("domain", F.explode(_words(F.col("text"))).alias("word"))
     counts = words.groupBy(_bucket(F.col("word")).alias("bucket")).agg(*[F.count_if(F.col("domain") == x).alias(f"c{i}") for i, x in enumerate(names)])
-    counts = materialize(counts, "mixing-counts")
-    total = counts.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(len(names))]).first()
+    count = np.zeros((len(names), BUCKETS))
+    for r in counts.collect():
+        count[:, r[0]] = r[1:]
     # each domain's frequency leans on that of all domains together, so a bucket rare in a small domain says little
-    base = (sum((F.col(f"c{i}") for i in range(1, len(names))), F.col("c0")) + 1.0) / (float(sum(total)) + BUCKETS)
-    logs = [F.log((F.col(f"c{i}") + LEAN * base) / (float(total[i]) + LEAN)).alias(f"w{i}") for i in range(len(names))]
-    priors = [math.log(sizes[x] / sum(sizes.values())) for x in names]
-    return names, priors, counts.select("bucket", *logs)
-
-
-def posteriors(docs: DataFrame, model: tuple[list[str], list[float], DataFrame | None], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens and p0, p1, ... of every document."""
-    names, priors, table = model
-    words = _words(docs, key, text)
-    real = F.col("word") != ""
-    if not names:
-        return words.groupBy(key).agg(F.count_if(real).alias("n_tokens"))
-    words = words.withColumn("bucket", F.when(real, _bucket(F.col("word"))))
-    met = words.join(F.broadcast(table), "bucket", "left")
-    sums = met.groupBy(key).agg(F.count_if(real).alias("n_tokens"), F.count("w0").alias("known"), *[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(names))])
-    weight = F.least(F.col("known"), F.lit(EVIDENCE)) / F.greatest(F.col("known"), F.lit(1))
-    sums = sums.select(key, "n_tokens", *[(F.lit(p) + F.coalesce(F.col(f"s{i}") * weight, F.lit(0.0))).alias(f"z{i}") for i, p in enumerate(priors)])
-    zs = [F.col(f"z{i}") for i in range(len(names))]
-    top = F.greatest(*zs) if len(zs) > 1 else zs[0]
-    sums = sums.select(key, "n_tokens", *[F.exp(z - top).alias(f"e{i}") for i, z in enumerate(zs)])
-    whole = sum((F.col(f"e{i}") for i in range(1, len(names))), F.col("e0"))
-    return sums.select(key, "n_tokens", *[(F.col(f"e{i}") / whole).alias(f"p{i}") for i in range(len(names))])
-
-
-def solve_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, close: float = CLOSE) -> DataFrame:
-    """soft: n_tokens and p0, p1, ...; targets: a share for each. Adds rate."""
+    base = (count.sum(0) + 1.0) / (count.sum() + BUCKETS)
+    logs = np.log((count + LEAN * base) / (count.sum(1, keepdims=True) + LEAN))
+    return names, [math.log(sizes[x] / sum(sizes.values())) for x in names], logs.tolist()
+
+
+def posteriors(docs: DataFrame, model: tuple[list[str], list[float], list[list[float]]], text: str = "text") -> DataFrame:
+    """docs with n_tokens and p0, p1, ... of every row."""
+    names, priors, logs = model
+    own = docs.withColumn("_at", F.transform(_words(F.col(text)), _bucket)).withColumn("n_tokens", F.size("_at").cast("long"))
+    weight = num(EVIDENCE) / (F.col("n_tokens") + EVIDENCE)
+    zs = [num(0)]  # log odds against the first domain
+    for i in range(1, len(names)):
+        zs.append(_summed("_at", _numbers([a - b for a, b in zip(logs[i], logs[0])])) * weight + (priors[i] - priors[0]))
+    own = own.withColumns({f"_z{i}": z for i, z in enumerate(zs)})
+    top = F.greatest(*[F.col(f"_z{i}") for i in range(len(zs))]) if len(zs) > 1 else F.col("_z0")
+    own = own.withColumn("_top", top).withColumns({f"_e{i}": F.exp(F.col(f"_z{i}") - F.col("_top")) for i in range(len(zs))})
+    whole = sum((F.col(f"_e{i}") for i in range(1, len(zs))), F.col("_e0"))
+    return own.select(*docs.columns, "n_tokens", *[(F.col(f"_e{i}") / whole).alias(f"p{i}") for i in range(len(names))])
+
+
+def _moved(now: Column, before: Column, pull: list[float], beta: float, probabilities: list[Column]) -> Column:
+    """One step: from `now` on along the last move, then against the gradient, never below 0."""
+    toward = sum((num(e) * p for e, p in zip(pull[1:], probabilities[1:])), num(pull[0]) * probabilities[0])
+    return F.greatest(num(0), now + (now - before) * beta - toward)
+
+
+def solve_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, close: float = CLOSE) -> tuple[list[int], list[tuple[list[float], float]]]:
+    """soft: n_tokens and p0, p1, ...; targets: a share for each. Gives the domains with mass and, for each step, the
+    pull of each such domain and the weight of the last move."""
     d = len(targets)
     mass = soft.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * F.col(f"p{i}")) for i in range(d)]).first()
     tokens = float(mass[0] or 0)
     held = [i for i in range(d) if mass[i + 1]]
     whole = sum(targets[i] for i in held)
-    rated = soft.withColumn("rate", F.lit(1.0))
     if not tokens or not whole:
-        return rated
-    share = {i: mass[i + 1] / tokens for i in held}
-    goal = {i: targets[i] / whole for i in held}
-    rate: Column = F.col("rate")
-    now = dict(share)
+        return held, []
+    share, goal = np.array([mass[i + 1] / tokens for i in held]), np.array([targets[i] / whole for i in held])
+    cols = [F.col(f"p{i}") for i in held]
+    rated = soft.select("n_tokens", *[f"p{i}" for i in held]).withColumns({"now": num(1), "before": num(1)})
+    at, last, moved, path, still, table = share.copy(), share.copy(), 1.0, [], 0, None
+    now, before = F.col("now"), F.col("before")
     for step in range(1, steps + 1):
-        error = {i: (now[i] - goal[i]) / share[i] for i in held}
-        if max(abs(now[i] - goal[i]) for i in held) < close:
+        if np.abs(at - goal).max() < close or still >= 3:
             break
-        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(error[i]) * F.col(f"p{i}") for i in held[1:]), F.lit(error[held[0]]) * F.col(f"p{held[0]}")))
+        follow = (1 + math.sqrt(1 + 4 * moved * moved)) / 2
+        beta = (moved - 1) / follow
+        ahead = at + beta * (at - last)
+        pull = ((ahead - goal) / share).tolist()
+        path.append((pull, beta))
+        now, before = _moved(now, before, pull, beta, cols), now
         if step % WRITE_EVERY == 0:
-            rated = materialize(rated.withColumn("rate", rate), "mixing-rates")
-            rate = F.col("rate")
-        sums = rated.select(rate.alias("rate"), "n_tokens", *[f"p{i}" for i in held]).agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p{i}")) for i in held]).first()
-        now = {i: sums[k] / tokens for k, i in enumerate(held)}
-    return rated.withColumn("rate", rate)
+            fresh = materialize(rated.withColumns({"_n": now, "_b": before}).select("n_tokens", *[f"p{i}" for i in held], F.col("_n").alias("now"), F.col("_b").alias("before")), "mixing-rates")
+            if table is not None:
+                drop_table(table)
+            rated = table = fresh
+            now, before = F.col("now"), F.col("before")
+        sums = rated.select(now.alias("r"), "n_tokens", *cols).agg(*[F.sum(F.col("r") * F.col("n_tokens") * c) for c in cols]).first()
+        last, at = at, np.array([float(x) for x in sums]) / tokens
+        still = still + 1 if np.abs(at - last).max() < close / 10 else 0
+        worse = (((at - goal) ** 2) / share).sum() > (((last - goal) ** 2) / share).sum()
+        moved = 1.0 if worse else follow  # momentum that leads away starts anew
+    else:
+        warnings.warn(f"rates stopped after {steps} steps, {np.abs(at - goal).max():.4f} from the target shares", stacklevel=2)
+    return held, path
+
+
+def rate_of(held: list[int], path: list[tuple[list[float], float]]) -> Column:
+    """The rate that the steps give a row with posteriors p0, p1, ..."""
+    if not path:
+        return num(1)
+    cols = [F.col(f"p{i}") for i in held]
+    flat = F.split(F.lit(";".join(",".join(map(repr, [*pull, beta])) for pull, beta in path)), ";")
+    stops = F.transform(flat, lambda x: F.split(x, ",").cast("array<double>"))
+
+    def step(acc: Column, x: Column) -> Column:
+        toward = sum((F.get(x, F.lit(k)) * cols[k] for k in range(1, len(held))), F.get(x, F.lit(0)) * cols[0])
+        new = F.greatest(num(0), acc["now"] + (acc["now"] - acc["before"]) * F.get(x, F.lit(len(held))) - toward)
+        return F.struct(new.alias("now"), acc["now"].alias("before"))
+
+    return F.aggregate(stops, F.struct(num(1).alias("now"), num(1).alias("before")), step, lambda acc: acc["now"])
 
 
 def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", fit_docs: int = FIT_DOCS) -> DataFrame:
-    """key, n_tokens, p_<domain> of each domain and rate for every document of docs. labelled: where the texts of
+    """docs, every row and column, with n_tokens, p_<domain> of each domain and rate. labelled: where the texts of
     labels (key, domain) are; targets: domain to share, 0 where absent."""
-    model = fit(labelled, labels, key, text, domain, fit_docs)
-    names = model[0]
-    soft = materialize(posteriors(docs, model, key, text), "mixing-posteriors")
-    rated = solve_rates(soft, [float(targets.get(x, 0.0)) for x in names]) if names else soft.withColumn("rate", F.lit(1.0))
-    return rated.select(key, "n_tokens", *[F.col(f"p{i}").alias(f"p_{x}") for i, x in enumerate(names)], "rate")
+    names, priors, logs = fit(labelled, labels, key, text, domain, fit_docs)
+    new = {"n_tokens", "rate", *[f"p_{x}" for x in names]}
+    kept = [c for c in docs.columns if c not in new]
+    plain = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col(text).alias("text"))
+    if not names:
+        return plain.select("row.*", F.size(_words(F.col("text"))).cast("long").alias("n_tokens"), num(1).alias("rate"))
+    rows = posteriors(plain, (names, priors, logs))
+    soft = materialize(rows.select("n_tokens", *[f"p{i}" for i in range(len(names))]), "mixing-posteriors")
+    held, path = solve_rates(soft, [float(targets.get(x, 0.0)) for x in names])
+    return rows.select("row.*", "n_tokens", *[F.col(f"p{i}").alias(f"p_{x}") for i, x in enumerate(names)], rate_of(held, path).alias("rate"))

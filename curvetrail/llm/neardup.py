@@ -9,14 +9,18 @@ Words are lower-case letters and digits between white space; n-grams are five wo
 3. Texts of larger buckets that are unlike the least id are compared with the whole bucket, block of texts by block of
    texts in one matrix product each; of the links found only a spanning forest becomes rows. Nothing is capped.
 4. Verified links are contracted to classes. Within a class, the links of each text are counted exactly, block of
-   texts by block of texts, so that a class of any size is spread over tasks and its pairs are never rows.
+   texts by block of texts, so that a class of any size is spread over tasks and its pairs are never rows. The price of
+   an exact count is quadratic in the different texts of a class (copies are one text): n / BLOCK times each set is
+   shuffled, n^2 / 2 overlaps are counted in matrix products. links=False leaves it out; n_links is null then.
 
 Band and row counts follow from the target recall: with ROWS rows a band, the least number of bands with which a pair
 at the threshold meets with probability RECALL.
 
 Texts without a letter or digit are copies where their pieces between white space are the same, control characters
 aside; null, empty and other blank texts are copies of each other. A null id has class null and no
-links. Rows that repeat an id and text are one document; an id with two texts gets the class of the least of them.
+links. Rows that repeat an id and text are one document; of an id with several texts the one with the least hash counts.
+
+A text, word sequence or class that a third of all rows share: joins that bring rows to it are salted.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvetrail.llm.common import arrow_rows, materialize, mixed, release, word_codes, word_hashes
+from curvetrail.llm.common import materialize, mixed, pieces, salted_join, word_codes, word_hashes
 from curvetrail.llm.components import connected_components
 
 WORDS, THRESHOLD, ROWS, RECALL, PAIRS_UP_TO, BLOCK = 5, 0.8, 8, 0.995, 8, 256
@@ -114,7 +118,7 @@ def band_hashes(grams: np.ndarray, first: np.ndarray, bands: int, rows: int, see
 
 def _signatures(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             grams, first, one, two = shingles(batch.column(1), words)
             sig = band_hashes(grams, first, bands, rows)
             size = np.diff(first)
@@ -126,12 +130,13 @@ def _signatures(words: int, bands: int, rows: int):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams, first, _, _ = shingles(batch.column(1), words)
+        for batch in pieces(batches):
+            grams, first, one, two = shingles(batch.column(1), words)
             grams = grams.view(np.int64)
             own = [np.unique(grams[a:b]) for a, b in zip(first, first[1:])]
             place = np.cumsum([0, *map(len, own)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(np.concatenate(own) if own else grams))], names=["id", "grams"])
+            sets = pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(np.concatenate(own) if own else grams))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), sets], names=["id", "one", "two", "grams"])
 
     return run
 
@@ -232,35 +237,36 @@ def _candidates(members: DataFrame, pairs_up_to: int) -> DataFrame:
 
 def similar_texts(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
-    rows: int = ROWS, recall: float = RECALL, pairs_up_to: int = PAIRS_UP_TO, block: int = BLOCK,
+    rows: int = ROWS, recall: float = RECALL, pairs_up_to: int = PAIRS_UP_TO, block: int = BLOCK, links: bool = True,
 ) -> DataFrame:
     """id, class_id, copy_of (the least id with the same words) and n_links (texts with other words that are similar).
     One row for each distinct id; null ids are absent."""
-    spark = docs.sparkSession
-    arrow_rows(spark)
     bands = band_count(threshold, rows, recall)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
     signed = materialize(
         source.mapInArrow(_signatures(words, bands, rows), "id long, one long, two long, grams int, bands array<long>"), "signatures"
     )
-    first = signed.groupBy("one", "two").agg(F.min("id").alias("copy_of"))
-    copies = materialize(signed.select("id", "one", "two").distinct().join(first, ["one", "two"]).groupBy("id").agg(F.min("copy_of").alias("copy_of")), "copies")
-    # of equal texts the least id goes on: min_by gives each class one signature
-    lead = signed.where("grams > 0").groupBy("one", "two").agg(F.min_by(F.struct("id", "bands"), "id").alias("r")).select("r.*")
-    members = lead.select("id", F.explode("bands").alias("bucket"))
+    name = ["one", "two"]
+    own = signed.groupBy("id").agg(F.min(F.struct(*name)).alias("n")).select("id", "n.*")
+    own = materialize(own, "sequences")
+    shared = own.groupBy(*name).agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select(*name, "least")
+    copies = salted_join(own, shared, name, F.col("id")).select("id", *name, F.coalesce("least", "id").alias("copy_of"))
+    copies = materialize(copies, "copies")
+    # of equal texts the least id goes on, with one signature
+    lead = copies.where("id = copy_of").select("id", *name)
+    some = signed.where("grams > 0").select("id", *name, "bands").join(lead, ["id", *name]).dropDuplicates(["id"])
+    members = some.select("id", F.explode("bands").alias("bucket"))
 
     todo = materialize(_candidates(members, pairs_up_to), "candidates")
-    release(spark)
     pairs = materialize(todo.select("center", "id").distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("center", "id")).alias("id")).distinct()
     wanted = source.join(ids.hint("shuffle_hash"), "id", "left_semi")
-    sets = materialize(wanted.mapInArrow(_sets(words), "id long, grams array<long>").dropDuplicates(["id"]), "sets")
-    release(spark)
+    found = wanted.mapInArrow(_sets(words), "id long, one long, two long, grams array<long>")
+    sets = materialize(found.join(lead, ["id", *name], "left_semi").dropDuplicates(["id"]).select("id", "grams"), "sets")
     with_left = pairs.join(sets.select(F.col("id").alias("center"), F.col("grams").alias("x")), "center")
     both = with_left.join(sets.select("id", F.col("grams").alias("y")), "id")
     inter = F.size(F.array_intersect("x", "y"))
     judged = materialize(both.select("center", "id", (inter / (F.size("x") + F.size("y") - inter) >= threshold).alias("ok")), "judged")
-    release(spark)
     # in large buckets, texts unlike the least id meet the whole bucket
     odd = todo.where("not small").join(judged.where("not ok"), ["center", "id"], "left_semi").select("bucket", "id")
     odd = materialize(odd, "odd")
@@ -270,16 +276,18 @@ def similar_texts(
     edges = judged.where("ok").select(F.col("center").alias("a"), F.col("id").alias("b")).unionAll(more)
 
     classes = materialize(connected_components(edges), "classes")
-    numbered = classes.join(sets, "id").select("id", "class", "grams")
-    sized = classes.groupBy("class").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    numbered = numbered.join(sized, "class").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = numbered.withColumn("other", other).select(
-        "class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "grams"
-    )
-    counts = dealt.groupBy("class", "i", "j").applyInPandas(_count_links(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n_links"))
-    release(spark)
+    counts = classes.select("id", F.lit(None).cast("long").alias("n_links"))
+    if links:
+        sized = classes.groupBy("class").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+        placed = salted_join(classes, sized, ["class"], F.col("id"), "inner")
+        numbered = placed.join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        dealt = numbered.withColumn("other", other).select(
+            "class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "grams"
+        )
+        counts = dealt.groupBy("class", "i", "j").applyInPandas(_count_links(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n_links"))
     texts = classes.join(counts, "id", "left").select(F.col("id").alias("copy_of"), F.col("class").alias("class_id"), "n_links")
-    return copies.join(texts, "copy_of", "left").select(
-        "id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", F.coalesce("n_links", F.lit(0)).alias("n_links")
+    none = F.lit(0 if links else None).cast("long")
+    return salted_join(copies.select("id", "copy_of"), texts, ["copy_of"], F.col("id")).select(
+        "id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", F.coalesce("n_links", none).alias("n_links")
     )

@@ -56,7 +56,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    features = jpeg.media_features(materialize(jpeg.store_media(docs), "media"))
+    features = jpeg.media_features(materialize(jpeg.store_media(docs), "media", **jpeg.SMALL_GROUPS))
     feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), F.col("frames").cast("string"), "thumb_hash")
     return features.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
@@ -84,7 +84,7 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mixing.mix(docs, docs, label_domains(read_table(spark, sf_dir, "labels")), MIX_TARGETS)
+    return mixing.mix(docs, docs, label_domains(read_table(spark, sf_dir, "labels")), MIX_TARGETS).drop("text")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,11 +18,13 @@ position leaves as soon as its rank is unique or its prefix reaches LENGTH:
 
 Order is (doc_id, start). Ranks are 64-bit fingerprints (polynomials over the ring of 64-bit numbers, mixed), compared
 in pairs of 128 bits. A rank with a third of all rows: within a batch all but its first row are settled before the
-shuffle, ranks that are frequent in a sample of documents are dealt by pair instead of by rank, and later steps count
-ranks pre-aggregated and join the counts back.
+shuffle, ranks that are frequent in a sample of documents are dealt by pair instead of by rank (a rank that is not
+among the HOT_RANKS listed has less than one in HOT_RANKS of the sample's rows), and later steps count ranks
+pre-aggregated and join the counts back.
 
 Null and empty texts have no bytes. Rows that repeat an id and text are one document: neither is earlier, each is
-returned. An id must not come with two texts. Rows with a null id are returned whole and are not compared.
+returned. Of an id with several texts the one with the least hash is the document; rows with its other texts, like
+rows with a null id, are returned whole and are not compared.
 """
 
 from __future__ import annotations
@@ -32,11 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from curvetrail.llm.common import _TABLE, arrow_rows, drop_table, materialize, mixed, release, sample_share
+from curvetrail.llm.common import _TABLE, drop_table, materialize, mixed, pieces, sample_share
 
 LENGTH, SEED, STEP = 100, 24, 8
 SEGMENT = 1 << 19
@@ -147,7 +149,7 @@ RUNS = "rank long, whole long, id long, spot long, sides long"
 
 def _runs(length: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids = np.asarray(batch.column(0), dtype=np.int64)
             text, start, windows, place, rank, whole, sides = find_runs([x.as_py() or b"" for x in batch.column(1)], length, seed)
             own = ids[text]
@@ -177,7 +179,7 @@ def _pieces(length: int, step: int):
     half = (core + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids = np.asarray(batch.column(0), dtype=np.int64)
             for row in range(len(ids)):
                 text, runs = batch.column(1)[row].as_py() or b"", batch.column(2)[row].values
@@ -231,7 +233,7 @@ def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         rows = []
         for text, starts, ends in zip(batch.column(1), batch.column(2), batch.column(3)):
             data = text.as_py() or b""
@@ -247,6 +249,18 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
+def _one_text(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows with the mark whether they are compared, and those that are: one text for each id."""
+    digest = F.xxhash64("text")
+    several = every.where("id is not null").select("id", digest.alias("d")).groupBy("id").agg(F.min("d").alias("d"), F.max("d").alias("z"))
+    several = materialize(several.where("d <> z").select("id", F.col("d").alias("least")), "repeat-ids")
+    if several.isEmpty():
+        every = every.withColumn("compared", F.col("id").isNotNull())
+    else:
+        every = every.join(several.hint("shuffle_hash"), "id", "left").withColumn("compared", F.col("id").isNotNull() & (F.coalesce("least", digest) == digest)).drop("least")
+    return every, every.where("compared").select("id", "text")
+
+
 def hot_ranks(rows: DataFrame, length: int, seed: int) -> list[int]:
     """Ranks that are frequent in a share of the documents; a bounded list that only spreads work."""
     sample = rows.where(sample_share(F.col("id")) < HOT_SHARE).mapInArrow(_runs(length, seed), RUNS).where("sides >= 0")
@@ -272,10 +286,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed byte ranges) of every row."""
     if 2 * length - seed > 255 or not 0 < seed <= length:
         raise ValueError("places within a run must fit a byte")
-    spark = docs.sparkSession
-    arrow_rows(spark)
     every = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    rows = every.where("id is not null")
+    every, rows = _one_text(every)
     hot = F.col("rank").isin(hot_ranks(rows, length, seed))
     runs = rows.mapInArrow(_runs(length, seed), RUNS)
     settled = F.col("sides") == -1
@@ -291,26 +303,22 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
         "id", start.cast("int").alias("start"), windows.cast("int").alias("windows"), (start + ahead).cast("int").alias("place"), "rank", "sides", again.alias("again")
     )
     first = materialize(ranked, "repeat-runs")
-    release(spark)
     spans = first.where("again").select("id", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
 
-    arrow_rows(spark, 50)
     todo = _shared_sides(first.where("not again").distinct(), (length - seed) // 2)
     todo = todo.groupBy("id").agg(F.collect_list(F.struct("start", "windows", "place")).alias("runs"))
     # a repeated row must not count as a second occurrence
     once = rows.join(todo.hint("shuffle_hash"), "id").select("id", "text", "runs")
-    pieces = materialize(once.mapInArrow(_pieces(length, step), PIECES), "repeat-pieces")
-    release(spark)
-    met = pieces.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-    windows = pieces.join(met, ["one", "two"]).withColumn("nth", F.explode(F.sequence("first", "last")))
+    cores = materialize(once.mapInArrow(_pieces(length, step), PIECES), "repeat-pieces")
+    met = cores.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
+    windows = cores.join(met, ["one", "two"]).withColumn("nth", F.explode(F.sequence("first", "last")))
     rim = F.expr(f"substring(rim, nth + 1, {step - 1})")
     # the rank of a whole window: 128 bits of the pair, its place and the rim
     windows = windows.select(
         F.xxhash64("one", "two", "nth", rim).alias("left"), F.xxhash64(rim, "nth", "two", "one").alias("right"), "id", (F.col("origin") - (step - 1) + F.col("nth")).alias("start")
     )
     windows = materialize(windows, "repeat-windows")
-    release(spark)
-    drop_table(pieces)
+    drop_table(cores)
     name = ["left", "right"]
     least = windows.groupBy(*name).agg(F.min(F.struct("id", "start")).alias("least"), F.max(F.struct("id", "start")).alias("most")).where("least <> most").drop("most")
     late = windows.join(least, name).where(F.struct("id", "start") > F.col("least")).select("id", "start", (F.col("start") + length).alias("end"))
@@ -318,9 +326,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     # windows in a row are one span already where they are settled together, so a document has few
     gathered = spans.unionAll(late).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("s"))
     gathered = materialize(gathered.select("id", F.col("s.start").alias("starts"), F.col("s.end").alias("ends")), "repeat-spans")
-    release(spark)
     drop_table(windows)
     drop_table(first)
-    arrow_rows(spark)
-    whole = every.join(gathered.hint("shuffle_hash"), "id", "left").select("id", "text", "starts", "ends")
+    mine = F.when(F.col("compared"), F.col("id"))
+    whole = every.withColumn("mine", mine).join(gathered.withColumnRenamed("id", "mine").hint("shuffle_hash"), "mine", "left").select("id", "text", "starts", "ends")
     return whole.mapInArrow(_kept, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvetrail.llm.common import arrow_rows, materialize
+from curvetrail.llm.common import materialize, pieces
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -105,7 +105,7 @@ def find_spans(texts: list[bytes], accept: Callable[[bytes], bool] | None = None
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-    for batch in batches:
+    for batch in pieces(batches):
         spans = find_spans([x.as_py() or b"" for x in batch.column(1)])
         rows = [[{"kind": k, "start": s, "end": e, "value": v.decode()} for k, s, e, v in x] for x in spans]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["id", "found"])
@@ -229,7 +229,7 @@ def _judge(models: dict[str, tuple[Automaton, float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("format", pa.string())]))
         best = _best(models)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for found in find_spans([x.as_py() or b"" for x in batch.column(1)], lambda value: best(value)[0] >= 0):
                 spans = []
@@ -251,7 +251,6 @@ def _judge(models: dict[str, tuple[Automaton, float]]):
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", fit_values: int = FIT_VALUES) -> DataFrame:
     """id, found (kind, start, end, score over the format's threshold, format), counts by base kind, digest and list of spans."""
     spark = docs.sparkSession
-    arrow_rows(spark)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     models = fit_formats(spark, materialize(source.mapInArrow(_scan, FOUND).where("size(found) > 0"), "secrets"), fit_values)
     return source.mapInArrow(
@@ -263,7 +262,6 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", fit_v
 def mask(docs: DataFrame, put: str, text: str = "text", length: str = "n_chars", fit_values: int = FIT_VALUES) -> DataFrame:
     """docs with put in place of each found value, and length (where there is such a column) as it is then."""
     spark = docs.sparkSession
-    arrow_rows(spark)
     found = materialize(docs.select(F.lit(0).cast("long"), F.col(text).cast("binary")).mapInArrow(_scan, FOUND).where("size(found) > 0"), "secrets")
     models = fit_formats(spark, found, fit_values)
     at, new = docs.columns.index(text), put.encode()
@@ -279,7 +277,7 @@ def mask(docs: DataFrame, put: str, text: str = "text", length: str = "n_chars",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _best(models)
-        for batch in batches:
+        for batch in pieces(batches):
             kind = batch.schema.field(at).type
             texts = [None if x is None else x.encode() for x in batch.column(at).to_pylist()]
             spans = find_spans([t or b"" for t in texts], lambda value: best(value)[0] >= 0)

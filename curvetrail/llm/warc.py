@@ -1,20 +1,31 @@
 """WARC archives and their capture index.
 
-Records are written by Spark's text sink (one row is a record, the record separator is the line separator), so the
-archives may live in any file system that Spark reaches, and are read back as binary files. Each archive yields a
-run of captures sorted by (URL key, timestamp, page); runs are dealt by range of that key, and within a range a
-loser tree merges them, so that partition after partition gives the global capture history. A range holds parts of
-equal keys too (the page number is part of the sort key), so one URL with a third of all captures is split.
+Archives are WARC/1.1 with every record a gzip member of its own, so that a capture is read by its offset alone. They
+are written by Spark's text sink: a row is an archive, at most ARCHIVE_BYTES long but for a single record that is longer
+(an empty gzip member stands as line separator), so they may live in any file system that Spark reaches, and are read
+back as binary files.
+
+Each archive yields a run: its captures sorted by (URL key, timestamp, page) where it is parsed, stored with their place
+in the run. Runs are dealt by range of that key into ranges of about RANGE_ROWS captures, whatever the size of the
+input; in a range the parts of the runs come in run order, by place alone, and a loser tree merges them. Partition after
+partition gives the global capture history. The page number is part of the key, so one URL with a third of all captures
+is split.
+
+Which of equal payloads is the response is decided on (digest, page) alone. Payloads travel once, compressed; within a
+batch only those of the largest page of a digest do, as the others are revisits in any case.
 
 Nulls and ties: a null payload is empty; a null URL has the empty URL key and no target header; of records with
 equal payloads the largest page_id is the response (null ids come last; rows that repeat that page_id are responses
-as well); an empty table gives an empty history. Other columns of the input are ignored.
+as well); an empty table gives an empty history. Other columns of the input are ignored. A payload over ARCHIVE_BYTES
+has an archive to itself.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,85 +33,153 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvetrail.llm.common import arrow_rows, materialize, scratch_path
+from curvetrail.llm.common import drop_path, materialize, pieces, salted_join, scratch_path
 
-#: Records in an archive at most: it bounds what one task reads back at a time.
-RECORDS_PER_FILE = 500
+#: Bytes of an archive: it bounds what one task reads back at a time.
+ARCHIVE_BYTES = 32 << 20
+#: Captures of a range of the merge, about.
+RANGE_ROWS = 100_000
+#: gzip level of records.
+LEVEL = 6
+
+#: An empty gzip member.
+_EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + bytes(8)
 
 RUN_SCHEMA = (
     "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, "
     "refers_to long, archive string, place long, record_offset long, record_bytes long"
 )
+_NAMES = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
+_KINDS = [pa.string() if c.endswith("string") else pa.int64() for c in RUN_SCHEMA.split(", ")]
+
 
+def url_key(url: str | None) -> str:
+    """Host labels from the right, then port, path and query: com,example,www)/path."""
+    if url is None:
+        return ""
+    found = re.match(r"[^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)(.*)", url, re.DOTALL)
+    if not found or not (found[1] or found[2]):
+        return url
+    return ",".join(reversed(found[1].lower().split("."))) + ")" + found[2]
+
+
+# ---------------------------------------------------------------- writing
+
+
+def _packed(min_bytes: int):
+    """Digest, size and compressed payload of each capture; a payload that another of the batch has for sure stays behind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            pages = batch.column(0).to_pylist()
+            bodies = [x.as_py() or b"" for x in batch.column(2)]
+            digests = [hashlib.sha1(b).hexdigest() for b in bodies]
+            top: dict[str, int] = {}
+            for page, digest, body in zip(pages, digests, bodies):
+                if page is not None and len(body) >= min_bytes:
+                    top[digest] = max(page, top.get(digest, page))
+            packed = [zlib.compress(b, LEVEL) if d not in top or top[d] == p else None for p, d, b in zip(pages, digests, bodies)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(digests), pa.array([len(b) for b in bodies], pa.int64()), pa.array(packed, pa.binary())],
+                names=["page_id", "url", "captured", "digest", "size", "packed"],
+            )
 
-def base32_of_hex(digest: Column) -> Column:
-    """Upper-case base 32 of a SHA-1 in hexadecimal: 5 hexadecimal digits are 4 of base 32."""
-    parts = [F.lpad(F.conv(F.substring(digest, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
-    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    return run
 
 
-def url_key(url: Column) -> Column:
-    """Host labels from the right, then port, path and query: com,example,www)/path."""
-    rest = F.regexp_extract(url, r"(?s)^[^:/?#]*://(.*)$", 1)
-    host = F.lower(F.regexp_extract(rest, r"^(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    tail = F.regexp_extract(rest, r"(?s)^[^/?#:]*(.*)$", 1)
-    key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), tail)
-    return F.coalesce(F.when(F.length(rest) > 0, key).otherwise(url), F.lit(""))
+def _line(name: str, value: object) -> str:
+    return f"{name}: {value}\r\n"
+
+
+def _ident(page: int | None) -> str:
+    return f"<urn:page:{'none' if page is None else page}>"
+
+
+def record(page: int | None, url: str | None, captured: str | None, digest: str, size: int, payload: bytes | None, kept: int | None) -> bytes:
+    """One record. kept: the page of the response that it revisits; its payload is not stored then."""
+    revisit = payload is None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    head = "WARC/1.1\r\n" + _line("WARC-Type", "revisit" if revisit else "response") + _line("WARC-Record-ID", _ident(page))
+    head += _line("WARC-Date", captured or "1970-01-01T00:00:00Z")
+    if url is not None:
+        head += _line("WARC-Target-URI", re.sub(r"[\r\n]", " ", url))
+    if revisit:
+        head += _line("WARC-Refers-To", _ident(kept)) + _line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+    head += _line("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())
+    head += _line("Content-Type", "application/http; msgtype=response") + _line("Content-Length", len(http) + (0 if revisit else size)) + "\r\n"
+    return b"".join([head.encode("utf-8", "replace"), http, payload or b"", b"\r\n\r\n"])
+
+
+def _member(data: bytes) -> bytes:
+    coder = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return coder.compress(data) + coder.flush()
+
+
+def _archives(archive_bytes: int, min_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        out = lambda parts: pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["archive"])
+        for batch in pieces(batches):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                page, url, captured, digest, n, packed, kept = row
+                revisit = kept is not None and kept != page and n >= min_bytes
+                member = _member(record(page, url, captured, digest, n, None if revisit else zlib.decompress(packed), kept))
+                if held and size + len(member) > archive_bytes:
+                    yield out(held)
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield out(held)
+
+    return run
 
 
 def write_archives(
     captures: DataFrame, path: str, page: str = "page_id", url: str = "url", payload: str = "html", captured: Column | None = None,
-    min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE,
+    min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES,
 ) -> None:
     """Writes one record per row. Of equal payloads of at least min_bytes only the response stores the payload."""
     when = captured if captured is not None else F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col(page), F.lit(0)))
     rows = captures.select(
-        F.col(page).cast("long").alias("page_id"),
-        F.col(url).cast("string").alias("url"),
-        F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"),
-        F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"),
-    ).withColumn("digest", F.sha1("payload"))
-    shared = F.when(F.length("payload") >= min_bytes, F.col("digest"))
-    # the digests and pages alone decide; equal digests meet pre-aggregated, and only a page number goes back
-    chosen = rows.where(shared.isNotNull()).groupBy("digest").agg(F.max("page_id").alias("kept_page"), F.count("*").alias("copies"))
-    chosen = chosen.where("copies > 1").select("digest", "kept_page")
-    rows = rows.join(chosen, "digest", "left")
-    revisit = F.coalesce(F.col("kept_page") != F.col("page_id"), F.col("kept_page").isNotNull()) & (F.length("payload") >= min_bytes)
-    size = F.length("payload")
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    ident = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
-    block = F.length(http) + F.when(revisit, F.lit(0)).otherwise(size)
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", ident(F.col("page_id"))),
-        line("WARC-Date", F.coalesce(F.col("captured"), F.lit("1970-01-01T00:00:00Z"))),
-        F.when(F.col("url").isNotNull(), line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " "))).otherwise(""),
-        F.when(revisit, line("WARC-Refers-To", ident(F.col("kept_page")))).otherwise(""),
-        F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n")).otherwise(""),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.col("digest")))),
-        F.lit("Content-Type: application/http; msgtype=response\r\n"),
-        line("Content-Length", block.cast("string")),
-        F.lit("\r\n"),
+        F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
+        F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"),
     )
-    record = F.concat(F.concat(head, http).cast("binary"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
-    out = rows.select(record.cast("string").alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    # digests and pages alone decide; counts and largest pages are summed before they are shuffled
+    facts = rows.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").alias("size")).where(F.col("size") >= min_bytes)
+    chosen = facts.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1").select("digest", "kept")
+    packed = rows.mapInArrow(_packed(min_bytes), "page_id long, url string, captured string, digest string, size long, packed binary")
+    met = salted_join(packed, chosen, ["digest"], F.struct("page_id", "url")).select("page_id", "url", "captured", "digest", "size", "packed", "kept")
+    files = met.mapInArrow(_archives(archive_bytes, min_bytes), "archive binary").select(F.col("archive").cast("string"))
+    files.write.option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
+
+
+# ---------------------------------------------------------------- reading
 
 
-def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """Headers, block, offset and length of each record. Lengths come from the headers, so payloads may hold anything."""
+def read_members(data: bytes, step: int = 1 << 16) -> Iterator[tuple[bytes, int, int]]:
+    """Each gzip member that is not empty: what it holds, its offset and its length."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].split(b"\r\n")
-        if not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = {k.decode().lower(): v.decode("utf-8", "replace") for k, _, v in (x.partition(b": ") for x in lines[1:])}
-        size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size], at, end + 4 + size + 4 - at
-        at = end + 4 + size + 4
+        coder, parts, end = zlib.decompressobj(31), [], at
+        while not coder.eof:
+            if end >= len(data):
+                raise ValueError(f"the member at byte {at} has no end")
+            parts.append(coder.decompress(data[end : end + step]))
+            end = min(end + step, len(data)) - len(coder.unused_data)
+        if content := b"".join(parts):
+            yield content, at, end - at
+        at = end
+
+
+def read_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of a record. The length comes from the headers, so a payload may hold anything."""
+    end = data.index(b"\r\n\r\n")
+    lines = data[:end].split(b"\r\n")
+    if not lines[0].startswith(b"WARC/"):
+        raise ValueError("no record")
+    headers = {k.decode().lower(): v.decode("utf-8", "replace") for k, _, v in (x.partition(b": ") for x in lines[1:])}
+    return headers, data[end + 4 : end + 4 + int(headers["content-length"])]
 
 
 def _page(ident: str | None) -> int | None:
@@ -108,38 +187,41 @@ def _page(ident: str | None) -> int | None:
     return int(body) if body not in ("", "none") else None
 
 
+def capture_of(data: bytes) -> tuple:
+    """URL key, timestamp, page, payload bytes, payload digest, record type and page referred to of one record."""
+    headers, block = read_record(data)
+    kind, (http, _, payload) = headers["warc-type"], block.partition(b"\r\n\r\n")
+    digest = headers["warc-payload-digest"].removeprefix("sha1:")
+    if kind == "response":
+        n = len(payload)
+        if digest != base64.b32encode(hashlib.sha1(payload).digest()).decode():
+            raise ValueError(f"a payload of {headers['warc-record-id']} does not fit its digest")
+    else:
+        n = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
+    return url_key(headers.get("warc-target-uri")), headers["warc-date"], _page(headers["warc-record-id"]), n, digest, kind, _page(headers.get("warc-refers-to"))
+
+
+def _before_null(page: int | None) -> int:
+    return -(1 << 63) - 1 if page is None else page
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sorted run of captures per archive."""
-    for batch in batches:
-        for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-            run = []
-            for headers, block, at, size in read_records(data.as_py()):
-                kind = headers["warc-type"]
-                http, _, payload = block.partition(b"\r\n\r\n")
-                if kind == "response":
-                    n, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    if headers["warc-payload-digest"] != f"sha1:{digest}":
-                        raise ValueError(f"{name}: payload at byte {at} does not fit its digest")
-                else:
-                    n = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
-                    digest = headers["warc-payload-digest"].removeprefix("sha1:")
-                run.append((headers.get("warc-target-uri"), headers["warc-date"], _page(headers["warc-record-id"]), n, digest, kind, _page(headers.get("warc-refers-to")), name, at, size))
-            cols = list(zip(*run)) if run else [[]] * 10
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string()), pa.array(cols[6], pa.int64()), pa.array(cols[7], pa.string()), pa.array(cols[8], pa.int64()), pa.array(cols[9], pa.int64())],
-                names=["url", "captured", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "record_offset", "record_bytes"],
-            )
+    """The sorted run of each archive."""
+    for batch in pieces(batches, rows=1):
+        name = batch.column(0)[0].as_py()
+        run = [(*capture_of(data), at, size) for data, at, size in read_members(batch.column(1)[0].as_py())]
+        run.sort(key=lambda c: (c[0], c[1], _before_null(c[2])))
+        for at in range(0, len(run), 10_000):
+            part = run[at : at + 10_000]
+            cols = [list(c) for c in zip(*part)]
+            cols[7:7] = [[name] * len(part), list(range(at, at + len(part)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS)], names=_NAMES)
 
 
 def index_runs(spark: SparkSession, path: str) -> DataFrame:
     """Reads archives back: captures with their place in the sorted run of their archive."""
-    arrow_rows(spark, 1)  # an archive at a time
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    flat = files.mapInArrow(
-        _index,
-        "url string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long, record_bytes long",
-    )
-    return flat.select(url_key(F.col("url")).alias("url_key"), *[c for c in flat.columns if c != "url"])
+    return files.mapInArrow(_index, RUN_SCHEMA)
 
 
 class LoserTree:
@@ -182,32 +264,38 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches hold the runs of one range one after another; gives them merged."""
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
+    """Batches hold the parts of runs of one range one after another, each in its order; gives them merged."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
-    table = table.combine_chunks()
+    table = pa.Table.from_batches(held).combine_chunks()
     archive = table.column("archive").to_numpy(zero_copy_only=False)
     cuts = np.flatnonzero(np.concatenate([[True], archive[1:] != archive[:-1]]))
-    keys = list(zip(table.column("url_key").to_pylist(), table.column("captured").to_pylist(), [-1 if x is None else x for x in table.column("page_id").to_pylist()]))
-    runs = [keys[a:b] for a, b in zip(cuts, [*cuts[1:], len(keys)])]
-    order = np.fromiter((cuts[r] + i for r, i in LoserTree(runs)), np.int64, len(keys))
-    yield from table.take(pa.array(order)).to_batches(max_chunksize=10_000)
-
-
-def merge_index(runs: DataFrame) -> DataFrame:
-    """Runs of archives to one capture history in global order of (URL key, timestamp, page)."""
-    spark = runs.sparkSession
-    runs = materialize(runs, "warc-runs")  # the range sampling below would else parse all archives twice
-    arrow_rows(spark, 10_000)
-    keys = ["url_key", "captured", "page_id"]
-    dealt = runs.repartitionByRange(*keys).sortWithinPartitions("archive", *keys)
-    return dealt.mapInArrow(_merge, runs.schema)
-
-
-def capture_history(captures: DataFrame, path: str | None = None, **options) -> DataFrame:
-    """Writes archives of all captures, reads them back, and merges their runs."""
+    keys = list(zip(table.column("url_key").to_pylist(), table.column("captured").to_pylist(), map(_before_null, table.column("page_id").to_pylist())))
+    order: list[int] = []
+    for run, at in LoserTree([keys[a:b] for a, b in zip(cuts, [*cuts[1:], len(keys)])]):
+        order.append(int(cuts[run]) + at)
+        if len(order) == 10_000:
+            yield from table.take(pa.array(order)).combine_chunks().to_batches()
+            order = []
+    if order:
+        yield from table.take(pa.array(order)).combine_chunks().to_batches()
+
+
+def merge_index(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Runs of archives (a table, read twice) to one capture history in global order of (URL key, timestamp, page)."""
+    ranges = -(-max(1, runs.count()) // range_rows)
+    dealt = runs.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("archive", "place")
+    return dealt.mapInArrow(_merge, RUN_SCHEMA)
+
+
+def capture_history(captures: DataFrame, path: str | None = None, range_rows: int = RANGE_ROWS, **options) -> DataFrame:
+    """Writes archives of all captures, reads them back, and merges their runs. Archives without a path of their own go
+    when they are indexed."""
     spark = captures.sparkSession
-    path = path or scratch_path(spark, "warc")
-    write_archives(captures, path, **options)
-    return merge_index(index_runs(spark, path))
+    where = path or scratch_path(spark, "warc")
+    write_archives(captures, where, **options)
+    runs = materialize(index_runs(spark, where), "warc-runs")
+    if path is None:
+        drop_path(spark, where)
+    return merge_index(runs, range_rows)
