@@ -1,6 +1,7 @@
 """A corpus from documents to rates: five stages, each written as Parquet and read again by the next.
 
-Every stage but the last returns the columns of documents. Rows with a null doc_id cannot be named in a decision and
+Every stage but the last returns the columns of documents, the last those and its own; of them only doc_id and text have
+to be there. Rows with a null doc_id cannot be named in a decision and
 are kept; rows that repeat a doc_id are kept or go together.
 """
 
@@ -20,7 +21,7 @@ MASK = "[secret]"
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in ids; only ids are sorted or hashed, texts stream past."""
+    """docs but for those whose doc_id is in ids. Both sides are shuffled by doc_id once; ids are hashed, texts not sorted."""
     return docs.join(ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -34,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar texts the document with the least doc_id stays. A text that is null or has nothing but
     white space and control characters is no copy of another."""
-    classes = neardup.similar_texts(docs.where(F.col("text").rlike(r"[^\p{Z}\p{Cc}]")))
+    classes = neardup.similar_texts(docs.where(F.col("text").rlike(r"[^\p{Z}\p{Cc}]")), links=False)
     return without(docs, classes.where("id <> class_id").select(F.col("id").alias("doc_id")))
 
 
@@ -49,16 +50,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, n_tokens, posteriors and rate: how often each kept document is to be drawn. A row
-    for each row of docs with its own tokens; posteriors and rate are those of its id."""
+    """Each row of docs, all columns, with n_tokens, posteriors and rate: how often the document is to be drawn."""
     labels = label_domains(read_table(spark, sf_dir, "labels"))
-    rates = mixing.mix(docs, docs, labels, MIX_TARGETS)
-    tokens = F.size(F.filter(F.split(F.coalesce(F.lower("text"), F.lit("")), r"\s+"), lambda x: x != "")).cast("long")
-    facts = docs.select("doc_id", "lang", "source", "n_chars", tokens.alias("n_tokens"))
-    rates = rates.drop("n_tokens")
-    # the null id is one row of rates; as a key it would bring all rows without an id to one task
-    unnamed = facts.where("doc_id is null").crossJoin(F.broadcast(rates.where("doc_id is null").drop("doc_id")))
-    return facts.join(rates, "doc_id").unionByName(unnamed)
+    return mixing.mix(docs, docs, labels, MIX_TARGETS)
 
 
 STAGES = [
