@@ -59,15 +59,15 @@ def gt(tracks: DataFrame) -> DataFrame:
 
 
 def event_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "props")
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "props")
+    return e.select("event_id", F.floor(F.col("user_id") / 15).alias("video_id"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers to score spans: JSON between other words."""
     k = F.col("k")
     raw = F.concat(F.lit('answer: {"anomaly_score": '), (k / 80.0).cast("string"), F.lit(', "confidence": '), ((99 - k) / 100.0).cast("string"), F.lit("} end"))
-    return event_numbers(spark, sf_dir).select("event_id", "k", raw.alias("raw"))
+    return event_numbers(spark, sf_dir).select("event_id", "video_id", "k", raw.alias("raw"))
 
 
 def binary(spark: SparkSession, sf_dir: str) -> DataFrame:

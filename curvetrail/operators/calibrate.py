@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from curvetrail.config import Motion
 from curvetrail.functions.geometry import area_ratio, box, box_iou, diagonal, edge_distance, num, point_x, point_y, scale
+from curvetrail.operators.ranking import exact_percentiles
 from curvetrail.operators.windows import with_idx
 
 QUANTILES = [5, 25, 50, 75, 85, 90, 95, 98, 99]
@@ -97,14 +98,14 @@ def _vanished(free: DataFrame, frames: DataFrame, cfg: Motion) -> DataFrame:
 
 def calib_percentiles(stats: DataFrame) -> DataFrame:
     """Count and exact percentiles of each measure over all videos."""
-    p = stats.groupBy("stat").agg(F.count("*").alias("n"), F.percentile("value", F.array(*[num(q / 100) for q in QUANTILES])).alias("p"))
+    p = exact_percentiles(stats, ["stat"], "value", [q / 100 for q in QUANTILES])
     return p.select("stat", "n", *[F.col("p")[i].alias(f"p{q}") for i, q in enumerate(QUANTILES)])
 
 
 def calib_recommend(stats: DataFrame, cfg: Motion = Motion()) -> DataFrame:
     """Parameter and value: a percentile of its measure, held to a range; parameters without a measure as they are."""
     wanted = sorted({q for _, _, q, _, _, _ in RULES})
-    p = stats.groupBy("stat").agg(F.percentile("value", F.array(*[num(q / 100) for q in wanted])).alias("p"))
+    p = exact_percentiles(stats, ["stat"], "value", [q / 100 for q in wanted]).drop("n")
     rules = stats.sparkSession.createDataFrame([(a, b, wanted.index(q), d, lo, hi) for a, b, q, d, lo, hi in RULES], "parameter string, stat string, at int, base double, low double, high double")
     found = rules.join(p, "stat", "left")
     value = F.coalesce(F.get(F.col("p"), F.col("at")), F.col("base"))

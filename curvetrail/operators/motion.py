@@ -1,8 +1,10 @@
 """Motion features of sliding windows.
 
 What a window says of the objects on its last frame needs only each object's own last `size` observations, so it comes
-from range frames over (video, track) without exploding observations into windows. Window rows arise only where a feature needs
-them: pairs of predicted boxes, objects that vanish, and window counts. Frame sizes are a property of the video.
+from range frames over (video, track) without exploding observations into windows. _windowed() takes all of that in
+one shuffle by track; track_features() writes its rows once, and every feature reads them. Window rows arise only where
+a feature needs them: objects that vanish, and window counts. All features of a window then meet in one aggregation, the
+window's own frames among its rows. Frame sizes are a property of the video.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Window as W
 
 from curvetrail.config import Motion
 from curvetrail.functions.geometry import area_ratio, box, box_at, box_iou, diagonal, edge_unstable, far_score, num, point_x, point_y, scale, top_mean
-from curvetrail.operators.windows import sliding_windows, with_idx
+from curvetrail.plans.staging import staged
 
 FEATURES = [
     "track_count", "speeds_mean", "pred_center_max_err", "pred_iou_max_err", "pred_center_sum_err", "pred_iou_sum_err",
@@ -23,10 +25,34 @@ FEATURES = [
 
 
 def _sized(tracks: DataFrame) -> DataFrame:
-    """frame_w and frame_h of the video; 640 x 480 where unknown."""
+    """frame_w and frame_h of each video; 640 x 480 where unknown."""
     size = tracks.groupBy("video_id").agg(F.max("frame_w").alias("fw"), F.max("frame_h").alias("fh"))
-    size = size.select("video_id", F.when(F.col("fw") > 0, F.col("fw")).otherwise(num(640)).alias("fw"), F.when(F.col("fh") > 0, F.col("fh")).otherwise(num(480)).alias("fh"))
-    return tracks.join(size, "video_id")
+    known = lambda c, usual: F.when(F.col(c) > 0, F.col(c)).otherwise(num(usual)).alias(c)
+    return size.select("video_id", known("fw", 640), known("fh", 480))
+
+
+def frame_facts(tracks: DataFrame, frames: DataFrame) -> DataFrame:
+    """Sampled frames with the last place and the frame size of their video."""
+    last = F.max("idx").over(W.partitionBy("video_id"))
+    return frames.select("video_id", "frame_id", "idx", last.alias("last_idx")).join(_sized(tracks), "video_id", "left")
+
+
+def _windowed(tracks: DataFrame, facts: DataFrame, size: int, cfg: Motion) -> DataFrame:
+    """Observations on sampled frames with what lies around them on their track, within the window that ends there:
+    seq (its observations), n, disp_ratio and whether it is static; and the places before and after."""
+    obs = F.struct("frame_id", "idx", "px", "py", "area", "x1", "y1", "x2", "y2")
+    w = W.partitionBy("video_id", "track_id").orderBy("idx")
+    back, ahead = w.rangeBetween(-(size - 1), 0), w.rangeBetween(0, size - 1)
+    t = tracks.withColumns({"px": point_x(), "py": point_y(height=cfg.point_height)}).join(facts, ["video_id", "frame_id"])
+    t = t.select(
+        "video_id", "track_id", "cls_id", "frame_id", "idx", "last_idx", "fw", "fh", "x1", "y1", "x2", "y2", "px", "py",
+        F.collect_list(obs).over(back).alias("seq"), F.avg("area").over(back).alias("mean_area"), F.lag("idx").over(w).alias("prev_idx"), F.lead("idx").over(w).alias("next_idx"),
+    ).withColumn("n", F.size("seq"))
+    o = F.try_element_at("seq", F.lit(1))
+    moved = F.hypot(F.col("px") - o["px"], F.col("py") - o["py"])
+    t = t.withColumn("disp_ratio", moved / F.sqrt(F.greatest(num(1), F.col("mean_area"))))
+    t = t.withColumn("still", (F.col("n") >= max(3, size)) & (F.col("disp_ratio") < cfg.static_ratio))
+    return t.withColumn("still_ends", F.collect_list(F.when(F.col("still") & (F.col("idx") >= size - 1), F.col("idx"))).over(ahead))
 
 
 def _sums(seq: Column, t0: Column) -> Column:
@@ -61,7 +87,7 @@ def _solved(s: Column, degree: Column) -> dict[str, Column]:
     return out
 
 
-def last_frame_motion(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg: Motion = Motion()) -> DataFrame:
+def _fitted(t: DataFrame, size: int, cfg: Motion) -> DataFrame:
     """A row for each track on the last frame of a window that it has been seen in three times or more, static ones
     left out: fitted value and velocity, speed, whether the last step is stable, the predicted next box, and for tracks
     of full history the errors of the previous fit and the changes of speed and direction. The observations of a track
@@ -69,16 +95,8 @@ def last_frame_motion(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg:
     if cfg.fit_degree not in (1, 2):
         raise ValueError("fits are linear or quadratic")
     hist = min(size, max(3, cfg.history)) if cfg.history is not None else size
-    obs = F.struct("frame_id", "px", "py", "area", "x1", "y1", "x2", "y2")
-    w = W.partitionBy("video_id", "track_id").orderBy("idx").rangeBetween(-(size - 1), 0)
-    t = with_idx(_sized(tracks).withColumns({"px": point_x(), "py": point_y(height=cfg.point_height)}), frames)
-    t = t.select("video_id", "track_id", "idx", "fw", "fh", F.collect_list(obs).over(w).alias("seq")).withColumn("n", F.size("seq"))
-    t = t.where((F.col("idx") >= size - 1) & (F.col("n") >= 3))
-    cur, prev, first = (F.try_element_at("seq", F.lit(k)) for k in (-1, -2, 1))
-    t = t.withColumns({"a": prev, "b": cur, "o": first})
-    mean_area = F.aggregate("seq", num(0), lambda acc, x: acc + x["area"]) / F.col("n")
-    moved = F.hypot(F.col("b.px") - F.col("o.px"), F.col("b.py") - F.col("o.py"))
-    t = t.where(~((F.col("n") >= max(3, size)) & (moved / F.sqrt(F.greatest(num(1), mean_area)) < cfg.static_ratio)))
+    t = t.where((F.col("idx") >= size - 1) & (F.col("n") >= 3) & ~F.col("still"))
+    t = t.select("video_id", "track_id", "idx", "fw", "fh", "seq", "n", F.try_element_at("seq", F.lit(-2)).alias("a"), F.try_element_at("seq", F.lit(-1)).alias("b"))
     # the current fit takes the last `hist` observations, the one before it those without the current one
     now = F.slice("seq", F.greatest(F.lit(1), F.col("n") - hist + 1), hist)
     before = F.slice("seq", F.greatest(F.lit(1), F.col("n") - hist), F.least(F.col("n") - 1, F.lit(hist)))
@@ -117,11 +135,15 @@ def last_frame_motion(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg:
     )
 
 
+def last_frame_motion(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg: Motion = Motion()) -> DataFrame:
+    return _fitted(_windowed(tracks, frame_facts(tracks, frames), size, cfg), size, cfg)
+
+
 def stable_pairs(tracks: DataFrame, cfg: Motion = Motion()) -> DataFrame:
     """Consecutive observations of a track and whether the step between them is stable."""
     w = W.partitionBy("video_id", "track_id").orderBy("frame_id")
     names = ["frame_id", "x1", "y1", "x2", "y2", "area", "px", "py"]
-    t = _sized(tracks).withColumns({"px": point_x(), "py": point_y(height=cfg.point_height)})
+    t = tracks.join(_sized(tracks), "video_id").withColumns({"px": point_x(), "py": point_y(height=cfg.point_height)})
     t = t.withColumns({f"p_{c}": F.lag(c).over(w) for c in names}).where("p_frame_id is not null")
     ratio = area_ratio(F.col("p_area"), F.col("area"))
     step = F.hypot(F.col("px") - F.col("p_px"), F.col("py") - F.col("p_py")) / F.greatest(num(1), (scale(F.col("p_area")) + scale(F.col("area"))) * 0.5)
@@ -132,90 +154,128 @@ def stable_pairs(tracks: DataFrame, cfg: Motion = Motion()) -> DataFrame:
 
 def static_tracks(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg: Motion = Motion()) -> DataFrame:
     """(video_id, window_id, track_id, disp_ratio) of tracks seen on every frame of a window that barely move."""
-    t = with_idx(tracks.withColumns({"px": point_x(), "py": point_y(height=cfg.point_height)}), frames)
-    w = W.partitionBy("video_id", "track_id").orderBy("idx").rangeBetween(-(size - 1), 0)
-    t = t.withColumns({"n": F.count("*").over(w), "fx": F.first("px").over(w), "fy": F.first("py").over(w), "ma": F.avg("area").over(w)})
-    ratio = F.hypot(F.col("px") - F.col("fx"), F.col("py") - F.col("fy")) / F.sqrt(F.greatest(num(1), F.col("ma")))
-    kept = t.where((F.col("idx") >= size - 1) & (F.col("n") >= max(3, size)) & (ratio < cfg.static_ratio))
-    return kept.select("video_id", (F.col("idx") - (size - 1)).alias("window_id"), "track_id", ratio.alias("disp_ratio"))
+    t = _windowed(tracks, frame_facts(tracks, frames), size, cfg)
+    return t.where(F.col("still") & (F.col("idx") >= size - 1)).select("video_id", (F.col("idx") - (size - 1)).alias("window_id"), "track_id", "disp_ratio")
 
 
-def vanished(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg: Motion = Motion()) -> DataFrame:
-    """Objects that are gone from the next frames of a window, after being seen often enough in it:
-    (video_id, window_id, track_id, idx, end, far) with the window's last frame. Lookahead never leaves the window."""
-    t = with_idx(_sized(tracks).withColumns({"px": point_x(), "py": point_y(height=cfg.point_height)}), frames)
-    w = W.partitionBy("video_id", "track_id").orderBy("idx")
-    last = frames.groupBy("video_id").agg(F.max("idx").alias("last_idx"))
-    seen = F.array_compact(F.array(*[F.lag("idx", k).over(w) if k else F.col("idx") for k in range(size)]))
-    t = t.withColumns({"next_idx": F.lead("idx").over(w), "seen": seen}).join(last, "video_id")
+EVENT = ["video_id", "track_id", "idx"]
+
+
+def _lost(t: DataFrame, size: int, cfg: Motion) -> DataFrame:
+    """Observations after which a track is not on the next frame, with the first and last place of a window that could
+    say so, and how far inside the frame they are. Rows of _windowed()."""
     t = t.where(F.col("next_idx").isNull() | (F.col("next_idx") > F.col("idx") + 1))
-    end_last = F.least(F.col("idx") + (size - 1), F.col("last_idx"))
-    t = t.where((end_last > F.col("idx")) & (end_last >= size - 1))
-    t = t.withColumn("end", F.explode(F.sequence(F.greatest(F.col("idx") + 1, F.lit(size - 1).cast("long")), end_last)))
-    gone = F.col("next_idx").isNull() | (F.col("next_idx") > F.least(F.col("idx") + cfg.lookahead, F.col("end")))
-    often = F.size(F.filter("seen", lambda i: i > F.col("end") - size)) >= cfg.min_seen
     far = far_score(F.col("px"), F.col("py"), F.col("fw"), F.col("fh"), cfg.far_from, cfg.far_to)
-    out = t.where(gone & often)
-    return out.select("video_id", (F.col("end") - (size - 1)).alias("window_id"), "track_id", "cls_id", "idx", "end", "x1", "y1", "x2", "y2", "px", "py", "fw", "fh", far.alias("far"))
+    t = t.withColumns({
+        "first_end": F.greatest(F.col("idx") + 1, F.lit(size - 1).cast("long")), "last_end": F.least(F.col("idx") + (size - 1), F.col("last_idx")),
+        "seen": F.transform("seq", lambda o: o["idx"]), "far": far,
+    })
+    keep = ["cls_id", "x1", "y1", "x2", "y2", "px", "py", "fw", "fh", "next_idx", "first_end", "last_end", "seen", "far"]
+    return t.where("first_end <= last_end").select(*EVENT, *keep)
 
 
-def near_replacements(gone: DataFrame, tracks: DataFrame, frames: DataFrame, static: DataFrame, cfg: Motion = Motion()) -> DataFrame:
-    """Of vanished objects those for which another of the class appears close by on the next frames of the window."""
-    ahead = gone.withColumn("look", F.explode(F.sequence(F.col("idx") + 1, F.least(F.col("idx") + cfg.lookahead, F.col("end")))))
-    other = with_idx(tracks.withColumns({"px": point_x(), "py": point_y(height=cfg.point_height)}), frames).select(
-        "video_id", "cls_id", F.col("idx").alias("look"), *[F.col(c).alias(f"o_{c}") for c in ("track_id", "x1", "y1", "x2", "y2", "px", "py")]
-    )
-    met = ahead.join(other, ["video_id", "cls_id", "look"]).where("track_id <> o_track_id")
+def _gone(lost: DataFrame, size: int, cfg: Motion) -> DataFrame:
+    """A row for each window (its last place is end) in which a lost track stays away long enough, after being seen
+    often enough. Lookahead never leaves the window."""
+    t = lost.withColumn("end", F.explode(F.sequence("first_end", "last_end")))
+    away = F.col("next_idx").isNull() | (F.col("next_idx") > F.least(F.col("idx") + cfg.lookahead, F.col("end")))
+    often = F.size(F.filter("seen", lambda i: i > F.col("end") - size)) >= cfg.min_seen
+    return t.where(away & often).withColumn("window_id", F.col("end") - (size - 1))
+
+
+def _with_rivals(lost: DataFrame, t: DataFrame, cfg: Motion) -> DataFrame:
+    """lost with the observations of others of the class close by on the next frames: where, and the windows (by their
+    last place) in which each is static. One shuffle to meet them, one to bring them to the lost track's row."""
+    ahead = F.explode(F.sequence(F.col("idx") + 1, F.least(F.col("idx") + cfg.lookahead, F.col("last_end"))))
+    look = lost.select(*EVENT, "cls_id", "x1", "y1", "x2", "y2", "px", "py", "fw", "fh", ahead.alias("look"))
+    others = t.select("video_id", "cls_id", F.col("idx").alias("look"), F.col("track_id").alias("o_track_id"), "still_ends", *[F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2", "px", "py")])
+    met = look.join(others, ["video_id", "cls_id", "look"]).where("track_id <> o_track_id")
     close = F.hypot(F.col("o_px") - F.col("px"), F.col("o_py") - F.col("py")) / diagonal(F.col("fw"), F.col("fh")) <= cfg.near_ratio
-    met = met.where(close | (box_iou(box(""), box("o_")) >= cfg.near_iou))
-    still = static.select("video_id", "window_id", F.col("track_id").alias("o_track_id"))
-    return met.join(still, ["video_id", "window_id", "o_track_id"], "left_anti").select("video_id", "window_id", "track_id", "idx").distinct()
+    near = met.where(close | (box_iou(box(""), box("o_")) >= cfg.near_iou)).select(*EVENT, F.struct("look", "still_ends").alias("rival"))
+    rest = [c for c in lost.columns if c not in EVENT]
+    both = lost.select(*EVENT, F.struct(*rest).alias("own")).unionByName(near, allowMissingColumns=True)
+    return both.groupBy(*EVENT).agg(F.first("own", ignorenulls=True).alias("own"), F.collect_list("rival").alias("rivals")).select(*EVENT, "own.*", "rivals")
+
+
+def _replaced(cfg: Motion) -> Column:
+    """Whether a rival that is not static in the window shows up within it."""
+    until = F.least(F.col("idx") + cfg.lookahead, F.col("end"))
+    return F.exists("rivals", lambda r: (r["look"] <= until) & ~F.array_contains(r["still_ends"], F.col("end")))
+
+
+def vanished(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg: Motion = Motion()) -> DataFrame:
+    """Objects that are gone from the next frames of a window: video_id, window_id, track_id, idx, end, far."""
+    gone = _gone(_lost(_windowed(tracks, frame_facts(tracks, frames), size, cfg), size, cfg), size, cfg)
+    return gone.select("video_id", "window_id", "track_id", "idx", "end", "far")
+
+
+def near_replacements(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg: Motion = Motion()) -> DataFrame:
+    """Of vanished objects those for which another of the class appears close by on the next frames of the window."""
+    t = staged(_windowed(tracks, frame_facts(tracks, frames), size, cfg), "observations")
+    gone = _gone(_with_rivals(_lost(t, size, cfg), t, cfg), size, cfg)
+    return gone.where(_replaced(cfg)).select("video_id", "window_id", "track_id", "idx")
+
+
+def _far(t: DataFrame, size: int, cfg: Motion) -> DataFrame:
+    """Far scores of vanished objects without a replacement, a row each."""
+    gone = _gone(_with_rivals(_lost(t, size, cfg).where("far > 0"), t, cfg), size, cfg)
+    return gone.where(~_replaced(cfg)).select("video_id", "window_id", "far")
 
 
 def disappear_far(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg: Motion = Motion()) -> DataFrame:
     """Top mean of far scores of vanished objects without a replacement, by window (windows without any are absent)."""
-    gone = vanished(tracks, frames, size, cfg)
-    near = near_replacements(gone, tracks, frames, static_tracks(tracks, frames, size, cfg), cfg)
-    left = gone.where("far > 0").join(near, ["video_id", "window_id", "track_id", "idx"], "left_anti")
-    return left.groupBy("video_id", "window_id").agg(F.count("*").alias("n_far"), top_mean(F.collect_list("far"), cfg.top_k).alias("disappear_far_sum"))
+    t = staged(_windowed(tracks, frame_facts(tracks, frames), size, cfg), "observations")
+    return _far(t, size, cfg).groupBy("video_id", "window_id").agg(F.count("*").alias("n_far"), top_mean(F.collect_list("far"), cfg.top_k).alias("disappear_far_sum"))
+
+
+def _largest_overlap(boxes: Column) -> Column:
+    """Largest overlap of two boxes of an array (those predicted on one frame); null for fewer than two."""
+    sides = lambda b: tuple(b[c] for c in ("x1", "y1", "x2", "y2"))
+    with_later = lambda b, i: F.transform(F.slice(boxes, i + 2, F.size(boxes)), lambda c: box_iou(sides(b), sides(c)))
+    return F.array_max(F.flatten(F.transform(boxes, with_later)))
+
+
+def _next_box() -> Column:
+    return F.struct(*[F.col(f"next_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 def collision_warning(motion: DataFrame) -> DataFrame:
     """Largest overlap of two predicted boxes of a window."""
-    sides = ("x1", "y1", "x2", "y2")
-    boxes = motion.where("stable").select("video_id", "window_id", "track_id", *[f"next_{c}" for c in sides])
-    left = boxes.select("video_id", "window_id", F.col("track_id").alias("a_id"), *[F.col(f"next_{c}").alias(f"a_{c}") for c in sides])
-    right = boxes.select("video_id", "window_id", F.col("track_id").alias("b_id"), *[F.col(f"next_{c}").alias(f"b_{c}") for c in sides])
-    pairs = left.join(right, ["video_id", "window_id"]).where("a_id < b_id")
-    return pairs.groupBy("video_id", "window_id").agg(F.max(box_iou(box("a_"), box("b_"))).alias("collision_warning"))
-
-
-def track_counts(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg: Motion = Motion()) -> DataFrame:
-    """Tracks of each window, static ones not counted. A track is counted where it is first seen in a window, so a row
-    arises for each window and track, not for each observation."""
-    t = with_idx(tracks.select("video_id", "frame_id", "track_id"), frames)
-    w = W.partitionBy("video_id", "track_id").orderBy("idx")
-    last = frames.groupBy("video_id").agg((F.max("idx") - (size - 1)).alias("last_window"))
-    t = t.withColumn("before", F.lag("idx").over(w)).join(last, "video_id")
-    first = F.greatest(F.coalesce(F.col("before") + 1, F.lit(0)), F.col("idx") - (size - 1), F.lit(0).cast("long"))
-    until = F.least("idx", "last_window")
-    t = t.where(first <= until).select("video_id", F.explode(F.sequence(first, until)).alias("window_id"))
-    still = static_tracks(tracks, frames, size, cfg).select("video_id", "window_id", F.lit(-1).alias("one"))
-    return t.select("video_id", "window_id", F.lit(1).alias("one")).unionAll(still).groupBy("video_id", "window_id").agg(F.sum("one").alias("track_count"))
+    boxes = motion.where("stable").groupBy("video_id", "window_id").agg(F.collect_list(_next_box()).alias("boxes"))
+    return boxes.where("size(boxes) > 1").select("video_id", "window_id", _largest_overlap(F.col("boxes")).alias("collision_warning"))
+
+
+def _counts(t: DataFrame, size: int) -> DataFrame:
+    """1 for each window and track of it, -1 where the track is static. A track is counted where it is first seen in a
+    window, so a row arises for each window and track, not for each observation."""
+    first = F.greatest(F.coalesce(F.col("prev_idx") + 1, F.lit(0)), F.col("idx") - (size - 1), F.lit(0).cast("long"))
+    until = F.least(F.col("idx"), F.col("last_idx") - (size - 1))
+    entry = lambda w, one: F.struct(w.alias("window_id"), F.lit(one).alias("one"))
+    new = F.when(first <= until, F.transform(F.sequence(first, F.greatest(first, until)), lambda w: entry(w, 1))).otherwise(F.array().cast("array<struct<window_id:bigint,one:int>>"))
+    still = F.when(F.col("still") & (F.col("idx") >= size - 1), F.array(entry(F.col("idx") - (size - 1), -1))).otherwise(F.array().cast("array<struct<window_id:bigint,one:int>>"))
+    return t.select("video_id", F.explode(F.concat(new, still)).alias("e")).select("video_id", "e.window_id", "e.one")
 
 
 def track_features(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg: Motion = Motion()) -> DataFrame:
     """The thirteen motion features of every window; windows without objects have zeros."""
-    motion = last_frame_motion(tracks, frames, size, cfg)
+    facts = staged(frame_facts(tracks, frames), "frame-facts")
+    t = staged(_windowed(tracks, facts, size, cfg), "observations")
+    motion = _fitted(t, size, cfg)
+    values = ["speed", "center_err", "iou_err", "speed_turn", "dir_turn", "turned"]
+    ends = F.explode(F.array(
+        F.struct(F.col("idx").alias("window_id"), F.col("frame_id").alias("start_frame"), F.lit(None).cast("long").alias("end_frame")),
+        F.struct((F.col("idx") - (size - 1)).alias("window_id"), F.lit(None).cast("long").alias("start_frame"), F.col("frame_id").alias("end_frame")),
+    ))
+    rows = facts.select("video_id", ends.alias("e")).select("video_id", "e.*")
+    for part in (_counts(t, size), motion.select("video_id", "window_id", *values, F.when(F.col("stable"), _next_box()).alias("next_box")), _far(t, size, cfg)):
+        rows = rows.unionByName(part, allowMissingColumns=True)
     top = lambda c: top_mean(F.collect_list(c), cfg.top_k)
-    seen = motion.groupBy("video_id", "window_id").agg(
+    out = rows.groupBy("video_id", "window_id").agg(
+        F.max("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), F.sum("one").alias("track_count"),
         F.avg("speed").alias("speeds_mean"), F.max("center_err").alias("pred_center_max_err"), F.max("iou_err").alias("pred_iou_max_err"),
         top("center_err").alias("pred_center_sum_err"), top("iou_err").alias("pred_iou_sum_err"),
         F.max("speed_turn").alias("speed_turn_rates_max"), top("speed_turn").alias("speed_turn_rates_sum"),
         F.max("dir_turn").alias("dir_turn_rates_max"), top("dir_turn").alias("dir_turn_rates_sum"), F.avg("turned").alias("turn_active_ratio"),
-    )
-    keys = ["video_id", "window_id"]
-    out = sliding_windows(frames, size)
-    for part in (track_counts(tracks, frames, size, cfg), seen, collision_warning(motion), disappear_far(tracks, frames, size, cfg).drop("n_far")):
-        out = out.join(part, keys, "left")
-    return out.select(*keys, "start_frame", "end_frame", *[F.coalesce(F.col(c).cast("double"), num(0)).alias(c) for c in FEATURES])
+        F.collect_list("next_box").alias("boxes"), top("far").alias("disappear_far_sum"),
+    ).where("start_frame is not null and end_frame is not null").withColumn("collision_warning", _largest_overlap(F.col("boxes")))
+    return out.select("video_id", "window_id", "start_frame", "end_frame", *[F.coalesce(F.col(c).cast("double"), num(0)).alias(c) for c in FEATURES])

@@ -150,14 +150,18 @@ def _assign(frame: pd.DataFrame) -> pd.DataFrame:
 
 def refine_ids(tracks: DataFrame, cfg: Refinement = Refinement()) -> DataFrame:
     """video_id, track_id, new_id: the id each track goes on under, -1 for false tracks.
-    Only track summaries and candidate pairs of a video meet in one task; observations do not."""
+    Only track summaries and candidate pairs of a part of a video meet in one task; observations do not."""
     facts = short_tracks(tracks, cfg).select("video_id", "track_id", "dropped")
     alive = tracks.join(facts.where("not dropped"), ["video_id", "track_id"], "left_semi")
     pairs = stitch_candidates(alive, cfg).select("video_id", F.col("dst").alias("track_id"), "src", "score")
-    first = tracks.groupBy("video_id", "track_id").agg(F.min("frame_id").alias("start_frame"))
-    every = first.join(facts, ["video_id", "track_id"]).join(pairs, ["video_id", "track_id"], "left")
-    rows = every.select("video_id", F.col("track_id").alias("dst"), "start_frame", F.col("track_id").alias("first_seen"), "dropped", "src", "score")
-    return rows.groupBy("video_id").applyInPandas(_assign, "video_id long, track_id long, new_id long")
+    ends = tracks.groupBy("video_id", "track_id").agg(F.min("frame_id").alias("start_frame"), F.max("frame_id").alias("end_frame"))
+    # tracks on either side of a pause of more than max_gap frames never chain: a long video falls into parts
+    w = W.partitionBy("video_id").orderBy("start_frame", "track_id")
+    until = F.max("end_frame").over(w.rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.withColumn("_cut", (F.col("start_frame") > until + max(1, cfg.max_gap)).cast("int")).withColumn("part", F.sum(F.coalesce("_cut", F.lit(0))).over(w))
+    every = ends.join(facts, ["video_id", "track_id"]).join(pairs, ["video_id", "track_id"], "left")
+    rows = every.select("video_id", "part", F.col("track_id").alias("dst"), "start_frame", F.col("track_id").alias("first_seen"), "dropped", "src", "score")
+    return rows.groupBy("video_id", "part").applyInPandas(_assign, "video_id long, track_id long, new_id long")
 
 
 def apply_id_map(tracks: DataFrame, id_map: DataFrame) -> DataFrame:

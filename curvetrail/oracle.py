@@ -67,7 +67,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) -
 view("frames", "tracks", "SELECT video_id, f // 2 AS idx, f AS frame_id FROM (SELECT video_id, unnest(generate_series(0, max(frame_id), 2)) AS f FROM tracks GROUP BY video_id)")
 view("scores", "frames", "SELECT f.video_id, f.idx, f.frame_id, least(1.0::DOUBLE, coalesce(avg(t.value), 0.0::DOUBLE)/200.0::DOUBLE) AS score FROM frames f LEFT JOIN tracks t USING (video_id, frame_id) GROUP BY ALL")
 view("gt", "tracks", "SELECT video_id, max(frame_id)+1 AS total_frames, CASE WHEN video_id%4=3 THEN -1 ELSE (video_id*7)%40*2 END AS s, CASE WHEN video_id%4=3 THEN -1 ELSE (video_id*7)%40*2 + 20 + video_id%9 END AS e FROM tracks GROUP BY video_id")
-view("ev", "", "SELECT event_id, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events")
+view("ev", "", "SELECT event_id, user_id // 15 AS video_id, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events")
 view("bin", "", f"SELECT d.doc_id AS ord, l.quality::BIGINT AS y, round(least(d.n_chars,4000)/4000.0{D} + 1e-9{D}, 2) AS score, d.doc_id%3 AS part FROM labels l JOIN documents d USING (doc_id)")
 view("obs", "frames", f"SELECT t.*, f.idx, (x1+x2)*0.5{D} AS px, y1+(y2-y1)*0.6{D} AS py FROM tracks t JOIN frames f USING (video_id, frame_id)")
 view("spanv", "frames", "SELECT a.video_id, a.frame_id AS start_frame, b.frame_id AS end_frame FROM frames a JOIN frames b ON a.video_id=b.video_id AND b.idx = a.idx+3+(a.video_id+a.idx)%5 WHERE a.idx%8=0")
@@ -78,7 +78,9 @@ view("prop", "nspan scores", f"""
 SELECT n.*, min(s.idx) AS start_idx, max(s.idx) AS end_idx, arg_max(s.idx, (s.score, -s.idx)) AS peak_idx, arg_max(s.frame_id, (s.score, -s.idx)) AS peak_frame,
   max(s.score) AS eventness_peak, avg(s.score) AS eventness_mean, 0.7{D}*max(s.score)+0.3{D}*avg(s.score) AS prior_score
 FROM nspan n JOIN scores s ON s.video_id=n.video_id AND s.frame_id BETWEEN n.start_frame AND n.end_frame GROUP BY ALL""")
-view("ans", "ev", f"SELECT event_id%40 AS video_id, event_id//40+1 AS span_no, k/80.0{D} AS a, (99-k)/100.0{D} AS c FROM ev WHERE event_id < 1600")
+view("ans", "ev spanv", f"""
+SELECT video_id, event_id%n + 1 + (event_id%n)//4 AS span_no, arg_min(k/80.0{D}, event_id) AS a, arg_min((99-k)/100.0{D}, event_id) AS c
+FROM ev JOIN (SELECT video_id, count(*) AS n FROM spanv GROUP BY ALL) USING (video_id) GROUP BY ALL""")
 view("fused0", "prop ans", f"""
 SELECT p.*, {clip('p.prior_score','0.0','1.0')} AS pr, coalesce({clip('a.c','0.0','1.0')}, 0.0{D}) AS vlm_confidence,
   CASE WHEN coalesce(a.c,0.0{D}) < 0.35{D} THEN {clip('p.prior_score','0.0','1.0')} ELSE {clip('a.a','0.0','1.0')} END AS vlm_score

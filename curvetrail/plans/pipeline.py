@@ -49,9 +49,11 @@ def evaluate(scores: DataFrame, labels: DataFrame, threshold: float = 0.5, share
     frame = joined.where("video_y = 1").select(F.lit("frame").alias("level"), F.struct("video_id", "idx").alias("ord"), "y", "score")
     top = top_share_mean(joined, "score", "score", ["video_id", "video_y"], share)
     video = top.select(F.lit("video").alias("level"), F.struct("video_id", F.lit(0).cast("long").alias("idx")).alias("ord"), F.col("video_y").alias("y"), "score")
-    rows = staged(frame.unionAll(video), "ranking")
+    rows = frame.unionAll(video)
     keys = ["level"]
-    n = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
-    for part in (metrics.roc_auc(rows, keys), metrics.avg_precision(rows, keys), metrics.eer(rows, keys), metrics.accuracy_at(rows, keys, threshold)):
+    counts = staged(metrics.ranked_counts(rows, keys), "ranking")
+    n = counts.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
+    curve = metrics.curve_of(metrics.by_threshold(counts, keys), keys)
+    for part in (metrics.auc_of(counts, keys), metrics.precision_of(counts, keys), metrics.eer_of(curve, keys), metrics.accuracy_at(counts, keys, threshold)):
         n = n.join(part, keys, "left")
     return n

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -11,9 +10,15 @@ from pyspark.sql import DataFrame
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df once, so that what follows reads it instead of planning and computing it again, and a lost executor
-    loses nothing. The folder is spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    loses nothing. The folder is spark.checkpoint.dir; where that is unset, a temporary one for a local master, and an
+    error on a cluster, whose machines would each have their own."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "curvetrail-staged")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="curvetrail-")
+        spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -64,10 +64,13 @@ def spans_view(frames: DataFrame) -> DataFrame:
     return s.join(end, ["video_id", "j"]).drop("j")
 
 
-def answers_view(spark: SparkSession, sf: str) -> DataFrame:
-    """The n-th answer belongs to span n div 40 + 1 of video n mod 40."""
-    r = fx.responses(spark, sf).where("event_id < 1600")
-    return r.select((F.col("event_id") % 40).alias("video_id"), (F.floor(F.col("event_id") / 40) + 1).alias("span_no"), "raw")
+def answers_view(spark: SparkSession, sf: str, spans: DataFrame) -> DataFrame:
+    """Every answer belongs to a span of its own video, by its number; every fifth span gets none. Of a span's answers
+    the first counts."""
+    n = spans.groupBy("video_id").agg(F.count("*").alias("n"))
+    r = fx.responses(spark, sf).join(n, "video_id").withColumn("slot", F.col("event_id") % F.col("n"))
+    r = r.withColumn("span_no", F.col("slot") + 1 + F.floor(F.col("slot") / 4))
+    return r.groupBy("video_id", "span_no").agg(F.min_by("raw", "event_id").alias("raw"))
 
 
 def proposals(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +79,8 @@ def proposals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fused(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.fuse_scores(proposals(spark, sf).join(answers_view(spark, sf), ["video_id", "span_no"], "left"))
+    p = proposals(spark, sf)
+    return spans.fuse_scores(p.join(answers_view(spark, sf, p), ["video_id", "span_no"], "left"))
 
 
 def gate_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -361,8 +365,7 @@ def q_disappeared(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_near_replacement(spark: SparkSession, sf: str) -> DataFrame:
-    t, f = base(spark, sf)
-    return tidy(motion.near_replacements(motion.vanished(t, f), t, f, motion.static_tracks(t, f)))
+    return tidy(motion.near_replacements(*base(spark, sf)))
 
 
 @query
@@ -604,7 +607,8 @@ def q_merge_spans(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def q_refine_spans(spark: SparkSession, sf: str) -> DataFrame:
     s = curve(spark, sf)
-    return tidy(spans.refine_spans(spans_view(s.select("video_id", "idx", "frame_id")), s, answers_view(spark, sf), Spans(positive_from=0.3)).select(*MERGED))
+    v = spans_view(s.select("video_id", "idx", "frame_id"))
+    return tidy(spans.refine_spans(v, s, answers_view(spark, sf, v), Spans(positive_from=0.3)).select(*MERGED))
 
 
 @query
