@@ -2,15 +2,16 @@
 
 1. A labelled table gives domains. On a bounded sample of it (about FIT_DOCS documents of each domain, chosen by a hash
    of the id; whole texts) word counts in hashed buckets give a naive Bayes model of BUCKETS numbers a domain.
-2. Every row gets its tokens counted and its posterior over domains, by expressions over its own words alone: nothing is
-   shuffled, and rows stay rows. Words of a text are not independent, so the evidence of n tokens counts as that of
+2. Every text gets its tokens counted and its posterior over domains. Words meet the model by a broadcast join (BUCKETS
+   rows) and are summed before the shuffle, by id and hashes of the text, so rows that share an id but not their text
+   stay apart. Words of a text are not independent, so the evidence of n tokens counts as that of
    n * EVIDENCE / (n + EVIDENCE), one smooth rule for all lengths, and membership stays soft.
 3. The rates r >= 0 start at 1 and follow accelerated projected gradient steps on the least squares of expected domain
    token totals sum_i r_i n_i p_id against target share times all tokens, each domain's square weighted by one over its
    token mass. With steps scaled by tokens its gradient has Lipschitz constant 1, so no step size is chosen. A step sums
    domain totals over all documents (as many numbers as domains reach the driver) and moves every rate. Steps end when
    totals are within CLOSE of the targets or stand still; if neither comes within STEPS a warning says how far they are.
-   A rate follows from a row's posterior and the totals of the steps, so rows get theirs without a join.
+   A rate follows from a text's posterior and the totals of the steps. Rows get theirs by one join on id and hashes.
 
 Tokens are pieces between white space. A null or empty text has none: its posterior is the prior and it moves no total.
 Each row counts for itself, also where ids repeat or are null. A target for a domain that no document has any mass in
@@ -34,25 +35,24 @@ FIT_DOCS, BUCKETS, LEAN, EVIDENCE, STEPS, CLOSE = 2000, 1 << 14, 5000.0, 30.0, 3
 WRITE_EVERY = 8
 
 
+def num(x: float) -> Column:
+    return F.lit(float(x))
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(F.lower(text), F.lit("")), r"\s+"), lambda w: w != "")
+    return F.split(F.coalesce(F.lower(text), F.lit("")), r"\s+")
 
 
 def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def num(x: float) -> Column:
-    return F.lit(float(x))
-
-
-def _summed(places: str, table: Column) -> Column:
-    return F.aggregate(places, num(0), lambda acc, k: acc + F.get(table, k))
+def _named(key: str, text: str) -> list[Column]:
+    """What names a text: its id and two hashes."""
+    return [F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_one"), F.hash(F.col(text)).alias("_two")]
 
 
-def _numbers(values: list[float]) -> Column:
-    """A constant array; the optimizer folds it, whatever its length."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+NAME = ["_id", "_one", "_two"]
 
 
 def fit(
@@ -70,7 +70,7 @@ def fit(
         share = F.when(F.col("domain") == name, F.lit(min(1.0, fit_docs / sizes[name]))).otherwise(share)
     unit = sample_share(F.col(key))
     sample = F.broadcast(labels.where(unit < share).orderBy(unit, key).limit(2 * len(names) * fit_docs))
-    words = docs.select(key, F.col(text).alias("text")).join(sample, key).select("domain", F.explode(_words(F.col("text"))).alias("word"))
+    words = docs.select(key, F.col(text).alias("text")).join(sample, key).select("domain", F.explode(_words(F.col("text"))).alias("word")).where("word <> ''")
     counts = words.groupBy(_bucket(F.col("word")).alias("bucket")).agg(*[F.count_if(F.col("domain") == x).alias(f"c{i}") for i, x in enumerate(names)])
     count = np.zeros((len(names), BUCKETS))
     for r in counts.collect():
@@ -81,19 +81,33 @@ def fit(
     return names, [math.log(sizes[x] / sum(sizes.values())) for x in names], logs.tolist()
 
 
-def posteriors(docs: DataFrame, model: tuple[list[str], list[float], list[list[float]]], text: str = "text") -> DataFrame:
-    """docs with n_tokens and p0, p1, ... of every row."""
+def _soft(docs: DataFrame, model: tuple[list[str], list[float], list[list[float]]], key: str, text: str) -> DataFrame:
+    """For each different text of an id: rows that have it, n_tokens of each, and p0, p1, ..."""
     names, priors, logs = model
-    own = docs.withColumn("_at", F.transform(_words(F.col(text)), _bucket)).withColumn("n_tokens", F.size("_at").cast("long"))
-    weight = num(EVIDENCE) / (F.col("n_tokens") + EVIDENCE)
-    zs = [num(0)]  # log odds against the first domain
-    for i in range(1, len(names)):
-        zs.append(_summed("_at", _numbers([a - b for a, b in zip(logs[i], logs[0])])) * weight + (priors[i] - priors[0]))
-    own = own.withColumns({f"_z{i}": z for i, z in enumerate(zs)})
-    top = F.greatest(*[F.col(f"_z{i}") for i in range(len(zs))]) if len(zs) > 1 else F.col("_z0")
-    own = own.withColumn("_top", top).withColumns({f"_e{i}": F.exp(F.col(f"_z{i}") - F.col("_top")) for i in range(len(zs))})
-    whole = sum((F.col(f"_e{i}") for i in range(1, len(zs))), F.col("_e0"))
-    return own.select(*docs.columns, "n_tokens", *[(F.col(f"_e{i}") / whole).alias(f"p{i}") for i in range(len(names))])
+    table = docs.sparkSession.createDataFrame([(k, *map(float, w)) for k, w in enumerate(np.array(logs).T)], "bucket int, " + ", ".join(f"w{i} double" for i in range(len(names))))
+    words = docs.select(*_named(key, text), F.posexplode(_words(F.col(text))).alias("at", "word"))
+    met = words.withColumn("bucket", F.when(F.col("word") != "", _bucket(F.col("word")))).join(F.broadcast(table), "bucket", "left")
+    sums = met.groupBy(*NAME).agg(F.count_if(F.col("at") == 0).alias("rows"), F.count("bucket").alias("all"), *[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(names))])
+    sums = sums.withColumn("n_tokens", F.floor(F.col("all") / F.col("rows")))
+    weight = num(EVIDENCE) / (F.col("n_tokens") + EVIDENCE) / F.col("rows")
+    sums = sums.withColumns({f"z{i}": F.coalesce(F.col(f"s{i}") * weight, num(0)) + p for i, p in enumerate(priors)})
+    top = F.greatest(*[F.col(f"z{i}") for i in range(len(names))]) if len(names) > 1 else F.col("z0")
+    sums = sums.withColumn("top", top).withColumns({f"e{i}": F.exp(F.col(f"z{i}") - F.col("top")) for i in range(len(names))})
+    whole = sum((F.col(f"e{i}") for i in range(1, len(names))), F.col("e0"))
+    return sums.select(*NAME, "rows", "n_tokens", *[(F.col(f"e{i}") / whole).alias(f"p{i}") for i in range(len(names))])
+
+
+def _given(docs: DataFrame, facts: DataFrame, key: str, text: str) -> DataFrame:
+    """Every row of docs with the facts of its text. Facts are the smaller side; rows of docs are shuffled, not sorted."""
+    new = [c for c in facts.columns if c not in NAME]
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c not in new]).alias("_row"), *_named(key, text)).alias("a")
+    met = rows.join(facts.alias("b").hint("shuffle_hash"), F.expr(" and ".join(f"a.{c} <=> b.{c}" for c in NAME)))
+    return met.select("_row.*", *new)
+
+
+def posteriors(docs: DataFrame, model: tuple[list[str], list[float], list[list[float]]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with n_tokens and p0, p1, ... of every row."""
+    return _given(docs, _soft(docs, model, key, text).drop("rows"), key, text)
 
 
 def _moved(now: Column, before: Column, pull: list[float], beta: float, probabilities: list[Column]) -> Column:
@@ -161,13 +175,13 @@ def rate_of(held: list[int], path: list[tuple[list[float], float]]) -> Column:
 def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", fit_docs: int = FIT_DOCS) -> DataFrame:
     """docs, every row and column, with n_tokens, p_<domain> of each domain and rate. labelled: where the texts of
     labels (key, domain) are; targets: domain to share, 0 where absent."""
-    names, priors, logs = fit(labelled, labels, key, text, domain, fit_docs)
-    new = {"n_tokens", "rate", *[f"p_{x}" for x in names]}
-    kept = [c for c in docs.columns if c not in new]
-    plain = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col(text).alias("text"))
+    model = fit(labelled, labels, key, text, domain, fit_docs)
+    names = model[0]
     if not names:
-        return plain.select("row.*", F.size(_words(F.col("text"))).cast("long").alias("n_tokens"), num(1).alias("rate"))
-    rows = posteriors(plain, (names, priors, logs))
-    soft = materialize(rows.select("n_tokens", *[f"p{i}" for i in range(len(names))]), "mixing-posteriors")
-    held, path = solve_rates(soft, [float(targets.get(x, 0.0)) for x in names])
-    return rows.select("row.*", "n_tokens", *[F.col(f"p{i}").alias(f"p_{x}") for i, x in enumerate(names)], rate_of(held, path).alias("rate"))
+        tokens = F.size(F.filter(_words(F.col(text)), lambda w: w != "")).cast("long")
+        return docs.withColumns({"n_tokens": tokens, "rate": num(1)})
+    soft = materialize(_soft(docs, model, key, text), "mixing-posteriors")
+    p = [f"p{i}" for i in range(len(names))]
+    held, path = solve_rates(soft.select((F.col("n_tokens") * F.col("rows")).alias("n_tokens"), *p), [float(targets.get(x, 0.0)) for x in names])
+    facts = soft.select(*NAME, "n_tokens", *[F.col(c).alias(f"p_{x}") for c, x in zip(p, names)], rate_of(held, path).alias("rate"))
+    return _given(docs, facts, key, text)
