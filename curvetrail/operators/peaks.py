@@ -1,7 +1,9 @@
 """Spans around the peaks of a curve.
 
 Thresholds, local maxima, spans and anchors are window functions and range lookups. The two greedy choices (peaks far
-enough apart, spans far enough apart) are folds over the peaks of one series, which are few, as higher-order functions.
+enough apart, spans far enough apart) are folds, as higher-order functions, over clusters: peaks or spans in a row
+of which each is close to some one before it. What lies in different clusters cannot clash, so a long series costs what its
+clusters cost.
 """
 
 from __future__ import annotations
@@ -63,11 +65,21 @@ def _fold(items: Column, kind: str, clashes) -> Column:
     return F.aggregate(items, F.array().cast(kind), lambda kept, x: F.when(F.exists(kept, lambda k: clashes(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
 
 
-def nms_peaks(peaks: DataFrame, cfg: Boundary = Boundary()) -> DataFrame:
-    """Strongest first, those more than peak_gap frames from all kept."""
-    kept = _fold(F.col("items"), "array<struct<low:double,idx:bigint,frame_id:bigint>>", lambda k, x: F.abs(k["frame_id"] - x["frame_id"]) <= cfg.peak_gap)
-    grouped = peaks.groupBy("video_id").agg(_ranked("frame_id").alias("items"))
-    return grouped.select("video_id", F.explode(kept).alias("p")).select("video_id", F.col("p.idx").alias("idx"), F.col("p.frame_id").alias("frame_id"), (-F.col("p.low")).alias("score"))
+def _clustered(df: DataFrame, first: str, last: str, reach: int) -> DataFrame:
+    """Adds the number of the cluster: a new one begins where a row starts more than reach past all ends before it."""
+    w = W.partitionBy("video_id").orderBy(first, last)
+    cut = F.col(first) > F.max(last).over(w.rowsBetween(W.unboundedPreceding, -1)) + reach
+    return df.withColumn("_cut", F.coalesce(cut.cast("int"), F.lit(0))).withColumn("_cluster", F.sum("_cut").over(w)).drop("_cut")
+
+
+def nms_peaks(peaks: DataFrame, cfg: Boundary = Boundary(), *carried: str) -> DataFrame:
+    """Strongest first, those more than peak_gap frames from all kept. carried: other columns to keep (bigint)."""
+    names = ["frame_id", *carried]
+    kind = "array<struct<low:double,idx:bigint," + ",".join(f"{c}:bigint" for c in names) + ">>"
+    kept = _fold(F.col("items"), kind, lambda k, x: F.abs(k["frame_id"] - x["frame_id"]) <= cfg.peak_gap)
+    grouped = _clustered(peaks, "frame_id", "frame_id", int(cfg.peak_gap)).groupBy("video_id", "_cluster").agg(_ranked(*names).alias("items"))
+    out = grouped.select("video_id", F.explode(kept).alias("p"))
+    return out.select("video_id", F.col("p.idx").alias("idx"), *[F.col(f"p.{c}").alias(c) for c in names], (-F.col("p.low")).alias("score"))
 
 
 def frame_spans(frames: DataFrame, cfg: Boundary = Boundary()) -> DataFrame:
@@ -91,7 +103,8 @@ SPAN = "start_frame:bigint,end_frame:bigint,start_idx:bigint,end_idx:bigint"
 def greedy_spans(spans: DataFrame, cfg: Boundary = Boundary()) -> DataFrame:
     """Strongest first, spans that keep more than merge_gap frames from all kept."""
     kept = _fold(F.col("items"), f"array<struct<low:double,idx:bigint,{SPAN}>>", _close(cfg))
-    grouped = spans.groupBy("video_id").agg(_ranked("start_frame", "end_frame", "start_idx", "end_idx").alias("items"))
+    near = _clustered(spans, "start_frame", "end_frame", int(cfg.merge_gap))
+    grouped = near.groupBy("video_id", "_cluster").agg(_ranked("start_frame", "end_frame", "start_idx", "end_idx").alias("items"))
     out = grouped.select("video_id", F.explode(kept).alias("p"))
     return out.select("video_id", F.col("p.idx").alias("peak_idx"), *[F.col(f"p.{c}").alias(c) for c in ("start_idx", "end_idx", "start_frame", "end_frame")], (-F.col("p.low")).alias("score"))
 
@@ -111,22 +124,31 @@ def anchor_spans(frames: DataFrame, cfg: Boundary = Boundary()) -> DataFrame:
     return a.groupBy("video_id", "start_idx", "end_idx", "start_frame", "end_frame").agg(F.min("k").alias("k"))
 
 
+def _nearest(k: int, cfg: Boundary, names: list[str]) -> Column:
+    """Within a video: what the frame nearest to target k has (of equally near ones the first)."""
+    target = F.col("_a") + (F.col("_z") - F.col("_a")) * (k / max(1, cfg.anchors - 1))
+    return F.min_by(F.struct("idx", *names), F.struct(F.abs(F.col("frame_id") - target), "idx"))
+
+
 def boundary_spans(scores: DataFrame, cfg: Boundary = Boundary()) -> DataFrame:
     """Kept spans and, where no kept or earlier one is too close, anchor spans: video_id, start_idx, end_idx,
-    start_frame, end_frame, is_anchor. A curve that stays under min_peak has anchor spans alone."""
-    s = check_frames(sanitize(scores))
-    frames = s.select("video_id", "idx", "frame_id")
-    peaks = high_peaks(s, cfg)
-    kept = greedy_spans(peak_spans(nms_peaks(peaks, cfg), frames, cfg), cfg)
+    start_frame, end_frame, is_anchor. A curve that stays under min_peak has anchor spans alone. Thresholds, peaks and
+    spans of all frames come from windows by video in one shuffle, which both the peaks and the anchors read."""
     names = ["start_frame", "end_frame", "start_idx", "end_idx"]
-    item = F.struct(*[F.col(c).cast("long").alias(c) for c in names])
-    have = kept.groupBy("video_id").agg(F.collect_list(item).alias("kept"))
-    more = anchor_spans(frames, cfg).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("k", *[F.col(c).cast("long").alias(c) for c in names]))).alias("more"))
-    quiet = s.groupBy("video_id").agg((F.max("score") < cfg.min_peak).alias("quiet"))
-    both = more.join(have, "video_id", "left").join(quiet, "video_id")
+    w, whole = W.partitionBy("video_id").orderBy("idx"), W.partitionBy("video_id")
+    reach = W.partitionBy("video_id").orderBy("frame_id").rangeBetween(-int(cfg.expand[0]), int(cfg.expand[1]))
+    s = with_thresholds(check_frames(sanitize(scores)), cfg)
+    s = s.withColumns({"peak": local_peak(F.col("score"), w), "_a": F.min("frame_id").over(whole), "_z": F.max("frame_id").over(whole)})
+    ends = {"start_idx": F.min("idx"), "end_idx": F.max("idx"), "start_frame": F.min("frame_id"), "end_frame": F.max("frame_id")}
+    s = s.withColumns({c: e.over(reach).cast("long") for c, e in ends.items()})
+    high = s.where(F.col("peak") & (F.col("score") >= F.greatest("high", num(cfg.min_peak))) & (F.col("max_score") >= cfg.min_peak))
+    kept = greedy_spans(nms_peaks(high.select("video_id", "idx", "frame_id", "score", *names), cfg, *names), cfg)
+    have = kept.groupBy("video_id").agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in names])).alias("kept"))
+    facts = s.groupBy("video_id").agg((F.max("score") < cfg.min_peak).alias("quiet"), F.array(*[_nearest(k, cfg, names) for k in range(cfg.anchors)]).alias("near"))
+    both = facts.join(have, "video_id", "left")
     kind = f"array<struct<{SPAN}>>"
-    first = F.when(F.col("quiet") | F.col("kept").isNull(), F.array().cast(kind)).otherwise(F.col("kept"))
-    bare = F.transform("more", lambda x: F.struct(*[x[c].alias(c) for c in names]))
+    first = F.coalesce("kept", F.array().cast(kind))
+    bare = F.array_distinct(F.transform("near", lambda x: F.struct(*[x[c].cast("long").alias(c) for c in names])))
     close = _close(cfg)
     joined = F.aggregate(bare, first, lambda acc, x: F.when(~F.col("quiet") & F.exists(acc, lambda k: close(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
     placed = both.withColumn("n", F.size(first)).select("video_id", "n", F.posexplode(joined).alias("at", "s"))
