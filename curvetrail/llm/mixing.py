@@ -10,7 +10,7 @@
    token totals sum_i r_i n_i p_id against target share times all tokens, each domain's square weighted by one over its
    token mass. With steps scaled by tokens its gradient has Lipschitz constant 1, so no step size is chosen. A step sums
    domain totals over all documents (as many numbers as domains reach the driver) and moves every rate. Steps end when
-   totals are within CLOSE of the targets or stand still; if neither comes within STEPS a warning says how far they are.
+   totals are within CLOSE (of all tokens) of the targets or stand still; if neither comes within STEPS a warning says how far they are.
    A rate follows from a text's posterior and the totals of the steps. Rows get theirs by one join on id and hashes.
 
 Tokens are pieces between white space. A null or empty text has none: its posterior is the prior and it moves no total.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from curvetrail.llm.common import drop_table, materialize, sample_share
 
-FIT_DOCS, BUCKETS, LEAN, EVIDENCE, STEPS, CLOSE = 2000, 1 << 14, 5000.0, 30.0, 300, 1e-4
+FIT_DOCS, BUCKETS, LEAN, EVIDENCE, STEPS, CLOSE = 2000, 1 << 14, 5000.0, 30.0, 200, 1e-3
 #: Steps after which rates are written to a table, so that expressions stay small.
 WRITE_EVERY = 8
 
