@@ -6,12 +6,13 @@
    rows) and are summed before the shuffle, by id and hashes of the text, so rows that share an id but not their text
    stay apart. Words of a text are not independent, so the evidence of n tokens counts as that of
    n * EVIDENCE / (n + EVIDENCE), one smooth rule for all lengths, and membership stays soft.
-3. The rates r >= 0 start at 1 and follow accelerated projected gradient steps on the least squares of expected domain
-   token totals sum_i r_i n_i p_id against target share times all tokens, each domain's square weighted by one over its
-   token mass. With steps scaled by tokens its gradient has Lipschitz constant 1, so no step size is chosen. A step sums
-   domain totals over all documents (as many numbers as domains reach the driver) and moves every rate. Steps end when
-   totals are within CLOSE (of all tokens) of the targets or stand still; if neither comes within STEPS a warning says how far they are.
-   A rate follows from a text's posterior and the totals of the steps. Rows get theirs by one join on id and hashes.
+3. The rates r >= 0 start at 1 and follow projected gradient steps on the least squares of expected domain token totals
+   sum_i r_i n_i p_id against target share times all tokens. A step is scaled by the inverse of the domains' Gram matrix
+   over the texts that still have a rate (as many numbers as pairs of domains, with a little of the masses on its
+   diagonal), and by a factor that halves when the squares have grown. Each step sums totals and Gram matrix over all
+   documents in one pass and moves every rate. Steps end when totals are within CLOSE (of all tokens) of the targets; if
+   that does not come within STEPS, a warning says how far they are. Rates stay beside posteriors in a narrow table,
+   written now and then; rows get theirs by one join on id and hashes.
 
 Tokens are pieces between white space. A null or empty text has none: its posterior is the prior and it moves no total.
 Each row counts for itself, also where ids repeat or are null. A target for a domain that no document has any mass in
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from curvetrail.llm.common import drop_table, materialize, sample_share
 
-FIT_DOCS, BUCKETS, LEAN, EVIDENCE, STEPS, CLOSE = 2000, 1 << 14, 5000.0, 30.0, 200, 1e-3
+FIT_DOCS, BUCKETS, LEAN, EVIDENCE, STEPS, CLOSE, RIDGE = 2000, 1 << 14, 5000.0, 30.0, 60, 1e-4, 1e-5
 #: Steps after which rates are written to a table, so that expressions stay small.
 WRITE_EVERY = 8
 
@@ -110,66 +111,45 @@ def posteriors(docs: DataFrame, model: tuple[list[str], list[float], list[list[f
     return _given(docs, _soft(docs, model, key, text).drop("rows"), key, text)
 
 
-def _moved(now: Column, before: Column, pull: list[float], beta: float, probabilities: list[Column]) -> Column:
-    """One step: from `now` on along the last move, then against the gradient, never below 0."""
-    toward = sum((num(e) * p for e, p in zip(pull[1:], probabilities[1:])), num(pull[0]) * probabilities[0])
-    return F.greatest(num(0), now + (now - before) * beta - toward)
-
-
-def solve_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, close: float = CLOSE) -> tuple[list[int], list[tuple[list[float], float]]]:
-    """soft: n_tokens and p0, p1, ...; targets: a share for each. Gives the domains with mass and, for each step, the
-    pull of each such domain and the weight of the last move."""
+def solve_rates(soft: DataFrame, targets: list[float], weight: str = "n_tokens", steps: int = STEPS, close: float = CLOSE) -> DataFrame:
+    """soft: tokens in column weight, p0, p1, ...; targets: a share for each. Adds rate."""
     d = len(targets)
-    mass = soft.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * F.col(f"p{i}")) for i in range(d)]).first()
+    mass = soft.agg(F.sum(weight), *[F.sum(F.col(weight) * F.col(f"p{i}")) for i in range(d)]).first()
     tokens = float(mass[0] or 0)
     held = [i for i in range(d) if mass[i + 1]]
     whole = sum(targets[i] for i in held)
     if not tokens or not whole:
-        return held, []
+        return soft.withColumn("rate", num(1))
     share, goal = np.array([mass[i + 1] / tokens for i in held]), np.array([targets[i] / whole for i in held])
     cols = [F.col(f"p{i}") for i in held]
-    rated = soft.select("n_tokens", *[f"p{i}" for i in held]).withColumns({"now": num(1), "before": num(1)})
-    at, last, moved, path, still, table = share.copy(), share.copy(), 1.0, [], 0, None
-    now, before = F.col("now"), F.col("before")
-    for step in range(1, steps + 1):
-        if np.abs(at - goal).max() < close or still >= 3:
+    pairs = [(a, b) for a in range(len(held)) for b in range(a + 1)]
+    rated, rate, table, factor, squares = soft.withColumn("_rate", num(1)), F.col("_rate"), None, 1.0, math.inf
+    for step in range(steps + 1):
+        mass = F.col("r") * F.col(weight)
+        on = F.when(F.col("r") > 0, F.col(weight)).otherwise(F.lit(0))
+        sums = rated.select(rate.alias("r"), weight, *cols).agg(*[F.sum(mass * c) for c in cols], *[F.sum(on * cols[a] * cols[b]) for a, b in pairs]).first()
+        off = np.array(sums[: len(held)], dtype=float) / tokens - goal
+        if np.abs(off).max() < close:
+            break
+        if step == steps:
+            warnings.warn(f"rates stopped after {steps} steps, {np.abs(off).max():.4f} from the target shares", stacklevel=2)
             break
-        follow = (1 + math.sqrt(1 + 4 * moved * moved)) / 2
-        beta = (moved - 1) / follow
-        ahead = at + beta * (at - last)
-        pull = ((ahead - goal) / share).tolist()
-        path.append((pull, beta))
-        now, before = _moved(now, before, pull, beta, cols), now
-        if step % WRITE_EVERY == 0:
-            fresh = materialize(rated.withColumns({"_n": now, "_b": before}).select("n_tokens", *[f"p{i}" for i in held], F.col("_n").alias("now"), F.col("_b").alias("before")), "mixing-rates")
+        gram = np.diag(RIDGE * share)
+        for (a, b), x in zip(pairs, sums[len(held) :]):
+            gram[a, b] += x / tokens
+            if a != b:
+                gram[b, a] += x / tokens
+        now = float((off**2 / share).sum())
+        factor = max(factor / 2, 0.1) if now > squares else min(1.0, factor * 1.3)
+        squares = now
+        pull = (factor * np.linalg.solve(gram, off)).tolist()
+        rate = F.greatest(num(0), rate - sum((num(e) * c for e, c in zip(pull[1:], cols[1:])), num(pull[0]) * cols[0]))
+        if (step + 1) % WRITE_EVERY == 0:
+            rated = materialize(rated.select(*soft.columns, rate.alias("_rate")), "mixing-rates")
             if table is not None:
                 drop_table(table)
-            rated = table = fresh
-            now, before = F.col("now"), F.col("before")
-        sums = rated.select(now.alias("r"), "n_tokens", *cols).agg(*[F.sum(F.col("r") * F.col("n_tokens") * c) for c in cols]).first()
-        last, at = at, np.array([float(x) for x in sums]) / tokens
-        still = still + 1 if np.abs(at - last).max() < close / 10 else 0
-        worse = (((at - goal) ** 2) / share).sum() > (((last - goal) ** 2) / share).sum()
-        moved = 1.0 if worse else follow  # momentum that leads away starts anew
-    else:
-        warnings.warn(f"rates stopped after {steps} steps, {np.abs(at - goal).max():.4f} from the target shares", stacklevel=2)
-    return held, path
-
-
-def rate_of(held: list[int], path: list[tuple[list[float], float]]) -> Column:
-    """The rate that the steps give a row with posteriors p0, p1, ..."""
-    if not path:
-        return num(1)
-    cols = [F.col(f"p{i}") for i in held]
-    flat = F.split(F.lit(";".join(",".join(map(repr, [*pull, beta])) for pull, beta in path)), ";")
-    stops = F.transform(flat, lambda x: F.split(x, ",").cast("array<double>"))
-
-    def step(acc: Column, x: Column) -> Column:
-        toward = sum((F.get(x, F.lit(k)) * cols[k] for k in range(1, len(held))), F.get(x, F.lit(0)) * cols[0])
-        new = F.greatest(num(0), acc["now"] + (acc["now"] - acc["before"]) * F.get(x, F.lit(len(held))) - toward)
-        return F.struct(new.alias("now"), acc["now"].alias("before"))
-
-    return F.aggregate(stops, F.struct(num(1).alias("now"), num(1).alias("before")), step, lambda acc: acc["now"])
+            rate, table = F.col("_rate"), rated
+    return rated.select(*soft.columns, rate.alias("rate"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", fit_docs: int = FIT_DOCS) -> DataFrame:
@@ -180,8 +160,7 @@ def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, targets: dict[s
     if not names:
         tokens = F.size(F.filter(_words(F.col(text)), lambda w: w != "")).cast("long")
         return docs.withColumns({"n_tokens": tokens, "rate": num(1)})
-    soft = materialize(_soft(docs, model, key, text), "mixing-posteriors")
-    p = [f"p{i}" for i in range(len(names))]
-    held, path = solve_rates(soft.select((F.col("n_tokens") * F.col("rows")).alias("n_tokens"), *p), [float(targets.get(x, 0.0)) for x in names])
-    facts = soft.select(*NAME, "n_tokens", *[F.col(c).alias(f"p_{x}") for c, x in zip(p, names)], rate_of(held, path).alias("rate"))
+    soft = materialize(_soft(docs, model, key, text).withColumn("tokens", F.col("n_tokens") * F.col("rows")), "mixing-posteriors")
+    rated = solve_rates(soft, [float(targets.get(x, 0.0)) for x in names], "tokens")
+    facts = rated.select(*NAME, "n_tokens", *[F.col(f"p{i}").alias(f"p_{x}") for i, x in enumerate(names)], "rate")
     return _given(docs, facts, key, text)

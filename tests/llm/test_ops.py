@@ -415,13 +415,12 @@ def test_rates_reach_the_least_squares(spark, targets):
     p = rng.dirichlet([2, 1.5, 1], 200)
     n = rng.integers(0, 50, 200)
     soft = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p)], "n_tokens long, p0 double, p1 double, p2 double")
-    if targets[2] > 0.9:  # far out of reach: 24 steps lower the squares, and say that there is more
+    if targets[2] > 0.9:  # out of reach: steps lower the squares, and say that there is more
         with pytest.warns(UserWarning, match="from the target shares"):
-            held, path = mixing.solve_rates(soft, targets, steps=24)
+            rated = mixing.solve_rates(soft, targets, steps=24)
     else:
-        held, path = mixing.solve_rates(soft, targets, close=1e-4)
-        assert len(path) < mixing.STEPS
-    rate = np.array([r[0] for r in soft.select(mixing.rate_of(held, path)).collect()])
+        rated = mixing.solve_rates(soft, targets)
+    p, n, rate = (np.array(x) for x in zip(*[((r.p0, r.p1, r.p2), r.n_tokens, r.rate) for r in rated.collect()]))
     share = (n[:, None] * p).sum(0) / n.sum()
     value = lambda r: ((((r * n)[:, None] * p).sum(0) / n.sum() - targets) ** 2 / share).sum()
     best = np.ones(200)
