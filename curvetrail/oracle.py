@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from curvetrail.config import Gate
+from curvetrail.functions.signals import orthogonal_rows
 
 D = "::DOUBLE"
 VIEWS: dict[str, tuple[list[str], str]] = {}
@@ -13,19 +14,25 @@ def view(name: str, needs: str, sql: str) -> None:
     VIEWS[name] = (needs.split(), sql)
 
 
-def oracle(name: str, needs: str, sql: str) -> None:
+def chain(needs: str, instead: dict[str, str] | None = None) -> str:
+    """WITH and the views in order of need; instead: other definitions for some of them, which need nothing."""
     order: list[str] = []
 
     def visit(v: str) -> None:
-        for n in VIEWS[v][0]:
-            visit(n)
+        if not (instead and v in instead):
+            for n in VIEWS[v][0]:
+                visit(n)
         if v not in order:
             order.append(v)
 
     for n in needs.split():
         visit(n)
-    head = "WITH " + ",\n".join(f"{v} AS ({VIEWS[v][1]})" for v in order) + "\n" if order else ""
-    ORACLES[name] = head + sql
+    text = lambda v: instead[v] if instead and v in instead else VIEWS[v][1]
+    return "WITH RECURSIVE " + ",\n".join(f"{v} AS ({text(v)})" for v in order) + "\n" if order else ""
+
+
+def oracle(name: str, needs: str, sql: str) -> None:
+    ORACLES[name] = chain(needs) + sql
 
 
 def r(x: str) -> str:
@@ -166,17 +173,30 @@ view("tailv", "tracks", f"""SELECT video_id, track_id, coalesce(list_sort(list(v
  SELECT video_id, track_id, row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame_id DESC) AS n, ((x1+x2)*0.5{D}-lag((x1+x2)*0.5{D}) OVER w)/greatest(1, frame_id-lag(frame_id) OVER w) AS vx, (y2-lag(y2) OVER w)/greatest(1, frame_id-lag(frame_id) OVER w) AS vy
  FROM tracks WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame_id)) WHERE n<=3 GROUP BY ALL""")
 oracle("tail_velocity", "tailv", f"SELECT video_id, track_id, {r('vx')} AS vx, {r('vy')} AS vy FROM tailv")
-oracle("stitch_candidates", "seg tailv", f"""
+STITCH = f"""
 SELECT video_id, src, dst, gap, {r('score')} AS score FROM (SELECT *, dist/diag + 0.2{D}*abs(ln(ratio)) AS score FROM (SELECT s.video_id, s.track_id AS src, d.track_id AS dst, d.start_frame-s.end_frame AS gap,
  greatest(sqrt(greatest(s.earea,1.0{D}))/sqrt(greatest(d.sarea,1.0{D})), sqrt(greatest(d.sarea,1.0{D}))/sqrt(greatest(s.earea,1.0{D}))) AS ratio, sqrt(v.vx**2+v.vy**2) AS sn,
  sqrt(((d.sx1+d.sx2)*0.5{D}-(s.ex1+s.ex2)*0.5{D})**2+(d.sy2-s.ey2)**2) AS dn, v.vx*((d.sx1+d.sx2)*0.5{D}-(s.ex1+s.ex2)*0.5{D})+v.vy*(d.sy2-s.ey2) AS dot,
  sqrt(((s.ex1+s.ex2)*0.5{D}+v.vx*(d.start_frame-s.end_frame)-(d.sx1+d.sx2)*0.5{D})**2+(s.ey2+v.vy*(d.start_frame-s.end_frame)-d.sy2)**2) AS dist,
  greatest(1.0{D}, sqrt(greatest(640.0{D},s.ex2,d.sx2)**2+greatest(480.0{D},s.ey2,d.sy2)**2)) AS diag
  FROM seg s JOIN tailv v ON v.video_id=s.video_id AND v.track_id=s.track_id JOIN seg d ON d.video_id=s.video_id AND d.cls_id=s.cls_id AND d.track_id<>s.track_id AND d.start_frame-s.end_frame BETWEEN 1 AND 6))
-WHERE ratio<=2.5{D} AND (sn<=1e-4{D} OR dn<=1e-4{D} OR (dot/greatest(1e-6{D},sn*dn)>=-0.1{D} AND greatest((dn/gap)/greatest(1e-6{D},sn), sn/greatest(1e-6{D},dn/gap))<=3.5{D})) AND score <= 0.12{D}*(1+greatest(0,gap-1)*0.25{D})""")
+WHERE ratio<=2.5{D} AND (sn<=1e-4{D} OR dn<=1e-4{D} OR (dot/greatest(1e-6{D},sn*dn)>=-0.1{D} AND greatest((dn/gap)/greatest(1e-6{D},sn), sn/greatest(1e-6{D},dn/gap))<=3.5{D})) AND score <= 0.12{D}*(1+greatest(0,gap-1)*0.25{D})"""
+oracle("stitch_candidates", "seg tailv", STITCH)
 oracle("apply_id_map", "short", f"""
 SELECT video_id, frame_id, new_id AS track_id, {r('cx')} AS cx FROM (SELECT t.*, CASE WHEN t.track_id%5=0 THEN t.track_id WHEN s.dropped THEN -1 WHEN t.track_id%4=1 THEN t.track_id-1 ELSE t.track_id END AS new_id FROM tracks t JOIN short s USING (video_id, track_id)) WHERE new_id<>-1""")
 
+# greedy chains: one step a track in order of start; a source serves once, and a track takes the root of its source
+view("cand", "seg tailv short", f"""SELECT o.video_id, o.track_id, o.dropped, o.k, coalesce(list_sort(list({{score: p.score, src: p.src}}) FILTER (p.src IS NOT NULL)), []) AS cs
+ FROM (SELECT s.video_id, s.track_id, h.dropped, row_number() OVER (PARTITION BY s.video_id ORDER BY s.start_frame, s.track_id) AS k FROM seg s JOIN short h USING (video_id, track_id)) o
+ LEFT JOIN (SELECT p.* FROM ({STITCH.replace(r('score'), 'score')}) p JOIN short a ON a.video_id=p.video_id AND a.track_id=p.src JOIN short b ON b.video_id=p.video_id AND b.track_id=p.dst WHERE NOT a.dropped AND NOT b.dropped) p
+ ON p.video_id=o.video_id AND p.dst=o.track_id GROUP BY ALL""")
+view("steps", "cand", """SELECT DISTINCT video_id, 0::BIGINT AS k, []::BIGINT[] AS used, []::STRUCT(t BIGINT, r BIGINT)[] AS roots FROM cand
+ UNION ALL SELECT video_id, k, CASE WHEN b IS NULL OR dropped THEN used ELSE list_append(used, b.src) END,
+  list_append(roots, {t: track_id, r: CASE WHEN dropped THEN -1 WHEN b IS NULL THEN track_id ELSE list_filter(roots, lambda x: x.t = b.src)[1].r END})
+ FROM (SELECT s.video_id, c.k, s.used, s.roots, c.track_id, c.dropped, list_filter(c.cs, lambda x: NOT list_contains(s.used, x.src))[1] AS b FROM steps s JOIN cand c ON c.video_id=s.video_id AND c.k=s.k+1)""")
+view("idmap", "steps", "SELECT video_id, x.t AS track_id, x.r AS new_id FROM (SELECT video_id, unnest(arg_max(roots, k)) AS x FROM steps GROUP BY video_id)")
+oracle("refine_ids", "idmap", "SELECT * FROM idmap")
+
 # windows and motion
 oracle("sliding_windows", "frames", "SELECT a.video_id, a.idx AS window_id, a.frame_id AS start_frame, b.frame_id AS end_frame, s AS step FROM frames a JOIN frames b ON a.video_id=b.video_id AND b.idx=a.idx+7, (VALUES (1::BIGINT),(3::BIGINT)) v(s) WHERE a.idx%s=0")
 view("memb0", "obs", """SELECT a.video_id, a.idx-7 AS window_id, a.track_id, a.idx AS aidx, a.frame_id AS af, b.idx, b.frame_id, b.px, b.py, b.area, b.x1, b.y1, b.x2, b.y2,
@@ -459,3 +479,29 @@ oracle("calib_percentiles", "cst", "SELECT stat, count(*) AS n, " + ", ".join(f"
 oracle("calib_recommend", "cst", f"""SELECT parameter, {r('least(hi, greatest(lo, coalesce((SELECT quantile_cont(value, 0.35) FROM cst WHERE stat=s AND q=35), (SELECT quantile_cont(value, 0.85) FROM cst WHERE stat=s AND q=85), (SELECT quantile_cont(value, 0.9) FROM cst WHERE stat=s AND q=90), (SELECT quantile_cont(value, 0.98) FROM cst WHERE stat=s AND q=98), (SELECT quantile_cont(value, 0.99) FROM cst WHERE stat=s AND q=99), base)))')} AS value
  FROM (VALUES ('STATIC_MOVE_RATIO','track_disp_ratio',35,0.15,0.10,0.30),('DISAPPEAR_FAR_EDGE_RATIO','disappear_edge_norm',90,0.18,0.15,0.25),('MIN_TURN_SPEED_RATIO','low_disp_step_ratio',90,0.05,0.03,0.10),('MIN_DIR_MOTION_RATIO','low_disp_step_ratio',85,0.04,0.03,0.10),('MIN_DIR_MOTION_PX','low_disp_step_px',90,3.0,2.0,8.0),('MAX_MOTION_AREA_RATIO','area_ratio',99,1.5,1.5,3.0),('MAX_STEP_RATIO','step_ratio',98,1.5,1.0,3.0)) v(parameter,s,q,base,lo,hi)
  UNION ALL SELECT p, x::DOUBLE FROM (VALUES ('DISAPPEAR_LOOKAHEAD',2),('DISAPPEAR_MIN_TRACK_LEN',3),('TURN_CHANGE_RATIO',0.5),('SPEED_SCALING_FACTOR',15),('TOPK_AGG_COUNT',3),('EDGE_UNSTABLE_RATIO',0.03),('REPLACEMENT_CENTER_RATIO',0.06),('REPLACEMENT_IOU',0.05),('TRACK_POINT_Y_RATIO',0.6)) w(p,x)""")
+
+# whole analysis: the views of features, gate and boundaries over repaired tracks
+REPAIRED = {
+    "tracks": chain("tracks idmap") + "SELECT t.* EXCLUDE (track_id), m.new_id AS track_id FROM tracks t JOIN idmap m USING (video_id, track_id) WHERE m.new_id <> -1",
+    "frames": chain("frames") + "SELECT * FROM frames",
+}
+TRIGGER = chain("tracks frames tgf", REPAIRED) + f"SELECT video_id, window_id, rho*(CASE WHEN nx=0 THEN 0.0{D} ELSE dt/greatest(sm,1e-6{D}) END) AS trigger FROM tgf"
+SMOOTH = REPAIRED | {"scores": f"""SELECT video_id, idx, frame_id, (coalesce(lag(v) OVER w, v) + v + coalesce(lead(v) OVER w, v))/3.0{D} AS score FROM (
+ SELECT f.video_id, f.idx, f.frame_id, coalesce(t.trigger, 0.0{D}) AS v FROM (SELECT *, max(idx) OVER (PARTITION BY video_id) AS m FROM ({REPAIRED['frames']})) f
+ LEFT JOIN ({TRIGGER}) t ON t.video_id=f.video_id AND t.window_id=greatest(f.idx-7, 0) AND f.m>=7) WINDOW w AS (PARTITION BY video_id ORDER BY idx)"""}
+ORACLES["analyze"] = chain("tracks frames scores bsp", SMOOTH) + ORACLES["boundary_spans"][ORACLES["boundary_spans"].rindex("\nSELECT video_id, p.i") + 1 :]
+
+# more sources, answers and prompts
+oracle("listed_pictures", "fv", """
+SELECT 'root/' || folder AS folder, 'root/' || path AS path, stem, pos, CASE WHEN mixed THEN pos ELSE k END AS frame_id FROM (SELECT *, bool_or(odd) OVER (PARTITION BY folder) AS mixed,
+  row_number() OVER (PARTITION BY folder ORDER BY odd, CASE WHEN NOT odd THEN k END, CASE WHEN odd THEN stem END) - 1 AS pos FROM fv WHERE NOT txt AND length(path)%2=0)""")
+oracle("parse_span_stage1", "ev", "SELECT event_id, CASE WHEN k%3=0 THEN 's' || k ELSE '' END AS scene_summary, CASE WHEN k%3=0 THEN 'car|' || k ELSE '' END AS objects, CASE WHEN k%3=0 THEN 'fast' ELSE '' END AS motion_summary, CASE WHEN k%6=0 THEN 'clearly_abnormal' ELSE 'normal' END AS anomaly_hint, CASE WHEN k%3=0 THEN 'near|' ELSE '' END AS tags FROM ev")
+oracle("parse_span_stage2", "ev", f"""SELECT event_id, {r(f"CASE k%3 WHEN 0 THEN least(1.0{D}, k/50.0{D}) WHEN 1 THEN 0.25{D} ELSE 0.0{D} END")} AS anomaly_score, {r(f"CASE k%3 WHEN 0 THEN least(1.0{D}, k/50.0{D}) WHEN 1 THEN 1.0{D} ELSE 0.0{D} END")} AS confidence,
+ CASE k%3 WHEN 1 THEN 'why ' || k ELSE '' END AS reason, CASE k%3 WHEN 0 THEN 'a|b' ELSE '' END AS tags FROM ev""")
+FACTS = """'{"start_frame":' || start_frame || ',"end_frame":' || end_frame || ',"peak_frame":' || peak_frame || '}'"""
+oracle("prompt_stages", "prop", f"""SELECT video_id, span_no, 'You see one picture that tiles the key frames in time order. Describe it without judging. Facts: ' || {FACTS} || '. Reply with a JSON object alone: scene_summary, main_objects, motion_summary, anomaly_hint, evidence_tags.' AS stage1,
+ 'An observer of key frames with boxes and trails drawn, and a close-up of the main object noted: note ' || span_no || '. Facts: ' || {FACTS} || '. Reply with a JSON object alone: anomaly_score, confidence, reason, evidence_tags.' AS stage2,
+ 'The pictures are 16 frames of a clip in time order, 4 for each of its 4 parts. Describe each part. Reply with a JSON object alone: main_objects, scene_summary, chunk_descriptions, noticeable_change, likely_abnormal_chunks, risk_hint.' AS clip1,
+ 'Notes on a clip: note ' || span_no || '. Score each of the 4 parts. Reply with a JSON object alone: is_anomaly, overall_score, chunk_scores, anomaly_type, abnormal_chunks, confidence, short_reason.' AS clip2 FROM prop""")
+AXES = orthogonal_rows(64, 4)
+oracle("random_projection", "", "SELECT vec_id, " + ", ".join(f"{r('list_inner_product(embedding::DOUBLE[], [' + ','.join(repr(float(x)) + D for x in row) + '])')} AS p{i}" for i, row in enumerate(AXES)) + " FROM embeddings")

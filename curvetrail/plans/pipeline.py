@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from curvetrail.config import EngineConfig
 from curvetrail.functions.signals import savgol, series, smooth_edge, top_share_mean
 from curvetrail.operators import gate, metrics, motion, peaks, scene, spans, tracks, windows
+from curvetrail.operators.plugins import FeatureSet
 from curvetrail.plans.staging import staged
 
 
-def analyze(observations: DataFrame, frames: DataFrame, answers: DataFrame | None = None, cfg: EngineConfig = EngineConfig()) -> dict[str, DataFrame]:
+def analyze(
+    observations: DataFrame, frames: DataFrame, answers: DataFrame | None = None, cfg: EngineConfig = EngineConfig(), plugins: FeatureSet | None = None
+) -> dict[str, DataFrame]:
     """Repair ids, window features, gate, dense and smoothed curve, spans; with answers (video_id, span_no, raw) also
-    scored and merged spans. All videos at once; every step is keyed by video_id."""
+    scored and merged spans. plugins: further features that the gate listens to. All videos at once; every step is keyed by
+    video_id."""
     ids = tracks.refine_ids(observations, cfg.refinement)
     ids = staged(ids, "id-map")
     refined = staged(tracks.apply_id_map(observations, ids), "tracks")
     frames = staged(frames, "frames")
     size = cfg.sampling.window
     features = motion.track_features(refined, frames, size, cfg.motion).join(scene.scene_counts(refined, frames, size), ["video_id", "window_id"])
+    if plugins:
+        features = plugins.extend(features, refined, frames, size)
     features = staged(features, "features")
-    curves = gate.trigger_curve(features, cfg.gate)
+    curves = gate.trigger_curve(features, plugins.gate(cfg.gate) if plugins else cfg.gate)
     dense = windows.dense_curve(frames, curves, "trigger", size).withColumnRenamed("trigger", "raw_score")
     scores = dense.withColumn("score", smooth_edge(F.col("raw_score"), series("video_id"), cfg.boundary.smooth))
     scores = staged(scores, "scores")

@@ -205,6 +205,15 @@ def q_list_pictures(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(text.list_pictures(files_view(spark, sf)))
 
 
+@query
+def q_listed_pictures(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders whose files a list names: every other file, with a comment and an empty line between."""
+    named = files_view(spark, sf).where(F.length("path") % 2 == 0).select(F.col("path").alias("line"))
+    notes = spark.createDataFrame([("# a note",), ("  ",), ("seq0/missing_1.png",)], "line string")
+    files = files_view(spark, sf).select(F.concat(F.lit("root/"), "path").alias("path"))
+    return tidy(text.listed_pictures(named.unionAll(notes), "root/", files))
+
+
 @query
 def q_path_keys(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("path")
@@ -456,6 +465,12 @@ def q_layout_change(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(scene.pair_errors(scene.layout_vectors(scene.layout_cells(t, f), f), ["video_id"], "idx"))
 
 
+@query
+def q_random_projection(spark: SparkSession, sf: str) -> DataFrame:
+    e = fx.table(spark, sf, "embeddings").select("vec_id", signals.project(F.col("embedding").cast("array<double>"), signals.orthogonal_rows(64, 4)).alias("p"))
+    return tidy(e.select("vec_id", *[F.col("p")[i].alias(f"p{i}") for i in range(4)]))
+
+
 # ---------------------------------------------------------------- curves
 
 
@@ -643,6 +658,15 @@ def q_prompt_build(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("video_id", "span_no", prompts.span_prompt(s, "frames").alias("prompt"))
 
 
+@query
+def q_prompt_stages(spark: SparkSession, sf: str) -> DataFrame:
+    s, note = F.struct("start_frame", "end_frame", "peak_frame"), F.concat(F.lit("note "), F.col("span_no").cast("string"))
+    return proposals(spark, sf).select(
+        "video_id", "span_no", prompts.span_stage1_prompt(s).alias("stage1"), prompts.span_stage2_prompt(note, s, "enhanced").alias("stage2"),
+        F.lit(prompts.clip_stage1_prompt()).alias("clip1"), prompts.clip_stage2_prompt(note).alias("clip2"),
+    )
+
+
 @query
 def q_uniform_sample(spark: SparkSession, sf: str) -> DataFrame:
     c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 90 + 1).alias("n"))
@@ -797,6 +821,29 @@ def q_parse_clip_stage1(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("event_id", "p.scene_summary", F.array_join("p.chunk_descriptions", "|").alias("chunks"), joined(F.col("p.likely_abnormal_chunks")).alias("likely"), "p.noticeable_change", "p.risk_hint")
 
 
+@query
+def q_parse_span_stage1(spark: SparkSession, sf: str) -> DataFrame:
+    e = fx.event_numbers(spark, sf)
+    k = F.col("k").cast("string")
+    hint = F.when(F.col("k") % 2 == 0, "clearly_abnormal").otherwise("odd")
+    full = F.concat(F.lit('{"scene_summary": "s'), k, F.lit('", "main_objects": ["car", "'), k, F.lit('"], "motion_summary": "fast", "anomaly_hint": "'), hint, F.lit('", "evidence_tags": ["near", ""]}'))
+    raw = F.when(F.col("k") % 3 == 0, full).when(F.col("k") % 3 == 1, F.lit("{}")).otherwise(F.lit("none"))
+    p = parse.with_answer(e.select("event_id", raw.alias("raw")), "raw", "span_stage1", "p")
+    return p.select("event_id", "p.scene_summary", F.array_join("p.main_objects", "|").alias("objects"), "p.motion_summary", "p.anomaly_hint", F.array_join("p.evidence_tags", "|").alias("tags"))
+
+
+@query
+def q_parse_span_stage2(spark: SparkSession, sf: str) -> DataFrame:
+    e = fx.event_numbers(spark, sf)
+    k = F.col("k").cast("string")
+    raw = (
+        F.when(F.col("k") % 3 == 0, F.concat(F.lit('{"score": '), (F.col("k") / 50.0).cast("string"), F.lit(', "evidence_tags": ["a", "b"]}')))
+        .when(F.col("k") % 3 == 1, F.concat(F.lit('ok {"anomaly_score": 0.25, "confidence": 7, "reason": "why '), k, F.lit('", "evidence_tags": "none"}'))).otherwise(F.lit("[]"))
+    )
+    p = parse.with_answer(e.select("event_id", raw.alias("raw")), "raw", "span_stage2", "p")
+    return tidy(p.select("event_id", "p.anomaly_score", "p.confidence", "p.reason", F.array_join("p.evidence_tags", "|").alias("tags")))
+
+
 # ---------------------------------------------------------------- calibration
 
 

@@ -395,6 +395,124 @@ def test_streaming(spark, tmp_path):
     assert sorted((r.n, r.mean_value) for r in event_counts(ev).collect()) == [(2, 2.0), (2, 2.0)]
 
 
+def random_tracks(rng, videos=2, n=30):
+    rows = []
+    for v in range(videos):
+        for t in range(6):
+            x, y = rng.uniform(40, 500), rng.uniform(40, 350)
+            for f in range(rng.randrange(0, 8), n):
+                if rng.random() < 0.85:
+                    rows.append((v, 2 * f, t, t % 2, x + f * (t - 2), y + f, x + f * (t - 2) + 40, y + f + 30))
+    return rows
+
+
+def test_streamed_motion_equals_batch(spark, tmp_path):
+    from curvetrail.streaming.online import OBJECTS, motion_stream
+
+    t = tracked(spark, random_tracks(random.Random(4)))
+    f = spark.createDataFrame([(v, i, 2 * i) for v in range(2) for i in range(30)], "video_id long, idx long, frame_id long")
+    obj = F.struct("track_id", "cls_id", "x1", "y1", "x2", "y2", "area", "frame_w", "frame_h")
+    per = t.groupBy("video_id", "frame_id").agg(F.collect_list(obj).alias("objects"))
+    rows = f.join(per, ["video_id", "frame_id"], "left").select("video_id", "idx", "frame_id", F.timestamp_seconds(F.col("idx") + 1_700_000_000).alias("ts"), F.coalesce("objects", F.array().cast(OBJECTS)).alias("objects"))
+    for part, (a, b) in enumerate(((0, 11), (11, 13), (13, 30))):
+        rows.where(f"idx >= {a} and idx < {b}").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = []
+    q = motion_stream(stream, lambda df, n: got.extend(df.collect()), str(tmp_path / "ck"), availableNow=True)
+    try:
+        assert q.awaitTermination(120)
+    finally:
+        q.stop()
+    key = lambda r: (r.video_id, r.window_id)
+    want = sorted(motion.track_features(t, f).collect(), key=key)
+    got = sorted(got, key=key)
+    assert [key(r) for r in got] == [key(r) for r in want]
+    for a, b in zip(got, want):
+        assert [a[c] for c in motion.FEATURES] == pytest.approx([b[c] for c in motion.FEATURES], abs=1e-9)
+
+
+def test_scorer_slot(spark):
+    from curvetrail.operators.scorer import answers_of, with_answers
+
+    asked = []
+
+    def model(rows, budget):
+        asked.append((len(rows), budget))
+        if len(rows) > 2 or (rows[0]["n"] == 5 and budget > 50):
+            raise RuntimeError("CUDA out of memory")
+        return [f" answer {r['n']} " for r in rows]
+
+    assert answers_of(model, [{"n": i} for i in range(7)], 100) == [f"answer {i}" for i in range(7)]
+    assert (1, 50) in asked and max(n for n, _ in asked) == 7
+    with pytest.raises(ValueError):
+        answers_of(lambda rows, budget: int("x"), [{"n": 1}], 10)
+
+    def load():
+        return lambda rows, budget: [f'{{"anomaly_score": 0.{r["n"]}}}' for r in rows]
+
+    df = spark.createDataFrame([(i, "x") for i in range(10)], "n long, other string").repartition(3)
+    got = parse.with_answer(with_answers(df, load, ["n"], batch=2), "raw", "span_score", "p").select("n", "p.anomaly_score").collect()
+    assert sorted((r.n, r.anomaly_score) for r in got) == [(i, i / 10) for i in range(10)]
+    assert with_answers(df.where("false"), load, ["n"]).count() == 0
+
+
+def test_plugged_in_feature(spark):
+    from curvetrail.operators.plugins import FeatureSet
+    from curvetrail.plans.pipeline import analyze
+
+    extra = FeatureSet()
+
+    @extra.register("many_objects", weight=2.0)
+    def many_objects(tracks, frames, size):
+        at = tracks.join(frames, ["video_id", "frame_id"]).groupBy("video_id", "idx").agg(F.count("*").alias("many_objects"))
+        return at.where(f"idx >= {size - 1}").select("video_id", (F.col("idx") - (size - 1)).alias("window_id"), "many_objects")
+
+    t = tracked(spark, random_tracks(random.Random(6), videos=1))
+    f = spark.createDataFrame([(0, i, 2 * i) for i in range(30)], "video_id long, idx long, frame_id long")
+    out = analyze(t, f, plugins=extra)
+    assert "many_objects" in out["features"].columns and ("many_objects", 2.0) in extra.gate().weights
+    assert out["features"].count() == 23 and out["curves"].count() == 23
+    with pytest.raises(ValueError):
+        extra.register("many_objects")(many_objects)
+
+
+def test_running_sums_and_percentiles(spark):
+    from curvetrail.operators.ranking import exact_percentiles, running_sums
+
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), rng.choice([0.0, 0.0, rng.random()]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double, ord long")
+    got = {(r.k, r.ord): (r.upto, r.all_upto) for r in running_sums(df, ["k"], [F.desc("v"), F.col("ord")], {"upto": F.col("ord")}).collect()}
+    for k in "ab":
+        own, total = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2])), 0
+        for r in own:
+            total += r[2]
+            assert got[k, r[2]] == (total, sum(x[2] for x in own))
+    p = {r.k: (r.n, r.p) for r in exact_percentiles(df, ["k"], "v", [0.0, 0.35, 0.9, 1.0]).collect()}
+    for k in "ab":
+        v = pd.Series([r[1] for r in rows if r[0] == k])
+        assert p[k][0] == len(v) and p[k][1] == pytest.approx([v.quantile(q) for q in (0.0, 0.35, 0.9, 1.0)])
+
+
+def test_chains_part_at_pauses(spark):
+    """A video with long pauses is repaired part by part, with the same result."""
+    rng = random.Random(3)
+    rows = [(1, 400 * part + 2 * f, 10 * part + t, 0, 50.0 + t * 90 + f, 60.0, 90.0 + t * 90 + f, 100.0) for part in range(4) for t in range(3) for f in range(10) if rng.random() < 0.9]
+    df = tracked(spark, rows)
+    got = {r.track_id: r.new_id for r in tracks.refine_ids(df).collect()}
+    for part in range(4):
+        alone = tracked(spark, [r for r in rows if r[1] // 400 == part])
+        assert {r.track_id: r.new_id for r in tracks.refine_ids(alone).collect()} == {t: n for t, n in got.items() if t // 10 == part}
+
+
+def test_write_result(spark, tmp_path):
+    df = spark.createDataFrame([(i, i * 0.5) for i in range(20)], "video_id long, score double")
+    for kind in ("parquet", "json"):
+        sinks.write_result(df, str(tmp_path / kind), kind)
+        back = spark.read.format(kind).load(str(tmp_path / kind))
+        assert sorted((r.video_id, r.score) for r in back.collect()) == [(i, i * 0.5) for i in range(20)] and "video_bucket" in back.columns
+
+
 def test_empty_inputs(spark):
     none = curve(spark, [0.0]).where("false")
     assert peaks.boundary_spans(none).count() == 0
