@@ -86,7 +86,8 @@ def _soft(docs: DataFrame, model: tuple[list[str], list[float], list[list[float]
     """For each different text of an id: rows that have it, n_tokens of each, and p0, p1, ..."""
     names, priors, logs = model
     table = docs.sparkSession.createDataFrame([(k, *map(float, w)) for k, w in enumerate(np.array(logs).T)], "bucket int, " + ", ".join(f"w{i} double" for i in range(len(names))))
-    words = docs.select(*_named(key, text), F.posexplode(_words(F.col(text))).alias("at", "word"))
+    named = docs.select(*_named(key, text), _words(F.col(text)).alias("words"))  # hashed once a text, not once a word
+    words = named.select(*NAME, F.posexplode("words").alias("at", "word"))
     met = words.withColumn("bucket", F.when(F.col("word") != "", _bucket(F.col("word")))).join(F.broadcast(table), "bucket", "left")
     sums = met.groupBy(*NAME).agg(F.count_if(F.col("at") == 0).alias("rows"), F.count("bucket").alias("all"), *[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(names))])
     sums = sums.withColumn("n_tokens", F.floor(F.col("all") / F.col("rows")))

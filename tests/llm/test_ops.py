@@ -119,6 +119,15 @@ def test_urls(spark, limit):
     assert urlfilter.judge_urls(df.where("false"), rows).count() == 0
 
 
+def test_urls_with_clashing_columns_and_long_hosts(spark):
+    long = "a." * 3000 + "example.com"
+    rows = [(1, f"http://{long}/de/x", "p", "q"), (2, "http://x.org/fr/", "p", "q"), (2, "http://x.org/fr/", "p", "q"), (3, "http://" + "b" * 9000 + "/", None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, best string, digest string")
+    rules = spark.createDataFrame([("example.com", "/de/", "block"), ("org", "/fr/", "allow")], "host string, path string, verdict string")
+    got = sorted((r.page_id, r.rule, r.verdict, r.best) for r in urlfilter.judge_urls(df, rules).collect())
+    assert got == [(1, "example.com/de/", "block", "p"), (2, "org/fr/", "allow", "p"), (2, "org/fr/", "allow", "p"), (3, None, "allow", None)]
+
+
 # ---------------------------------------------------------------- 3 secrets
 
 
@@ -182,6 +191,13 @@ def test_every_token_run_is_a_candidate(spark):
     assert masked[200] == "é lone [m] value" and masked[201] == "lone [m]"
 
 
+def test_secrets_of_a_long_text():
+    """Thousands of spans and candidates in one text take time in proportion."""
+    text = " ".join(f"token = {i:012d} word{i} {i:040x}" for i in range(8000)).encode()
+    found = secrets.find_spans([text], lambda value: False)[0]
+    assert len([s for s in found if s[0] == "assign"]) == len([s for s in found if s[0] == "hex"]) == 8000
+
+
 # ---------------------------------------------------------------- 4 JPEG
 
 
@@ -199,6 +215,18 @@ def test_jpeg_of_many_rows_is_cut():
     assert len(images) == 2 and b"".join(t.tobytes() for _, _, t in images) == p
 
 
+def test_long_media_stay_bounded():
+    """A long payload is coded and decoded image by image: memory is a few times its size."""
+    import tracemalloc
+
+    p = np.random.default_rng(2).integers(97, 123, 64 * 60_000, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    images = jpeg.read_images(jpeg.store_bytes([p]))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert b"".join(t.tobytes() for _, _, t in images) == p and peak < 60 * len(p)
+
+
 def bits_of(items):
     text = "".join(format(c, f"0{n}b") for c, n in items if n)
     text += "1" * (-len(text) % 8)
@@ -291,6 +319,16 @@ def test_repeats_keep_first_of_repeated_rows(spark):
     assert repeats.find_repeats(docs_of(spark, rows).where("false")).count() == 0
 
 
+def test_repeats_of_an_id_with_two_texts(spark):
+    rng = random.Random(5)
+    a, b = ("".join(rng.choice("abcdef") for _ in range(250)) for _ in range(2))
+    got = [(r.id, r.n_bytes, r.n_removed) for r in repeats.find_repeats(docs_of(spark, [(1, a), (1, b + "x"), (2, a), (3, b), (3, b)])).collect()]
+    # one of the two texts of id 1 is the document, the other is not compared; so either a or b repeats later, not both
+    assert sorted(got)[:2] == [(1, 250, 0), (1, 251, 0)]
+    later = {i: n for i, _, n in got if i > 1}
+    assert sorted(later.values()) == [0, 250] and len(got) == 5
+
+
 def test_long_texts_come_in_parts(monkeypatch):
     rng = random.Random(3)
     text = "".join(rng.choice("abcdefghij") for _ in range(5000)).encode()
@@ -347,6 +385,17 @@ def test_leaks_against_full_alignment(spark):
     assert decontam.find_leaks(docs_of(spark, rows).where("false"), bench).count() == 0
 
 
+def test_items_without_an_id_and_shared_passages(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "HITS", 50)  # many rounds of counting
+    rng = random.Random(7)
+    stock = " ".join(words(rng, 30, 5000))
+    items = [(None, stock + " one"), (None, stock + " two"), (7, stock + " three"), (7, "another text altogether, long enough"), (8, stock + " three")]
+    docs = [(1, "x " + stock + " three y"), (2, "say another text altogether, long enough"), (3, "nothing here at all")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.id, r.item_id, r.edits) for r in decontam.find_leaks(docs_of(spark, docs), bench, block_chars=400).collect()}
+    assert {(1, 7, 0), (1, 8, 0), (2, 7, 0)} <= got and {g[:2] for g in got} == {(1, 7), (1, 8), (1, None), (2, 7)}
+
+
 # ---------------------------------------------------------------- 7 mixing
 
 
@@ -474,6 +523,33 @@ def test_similar_texts(spark, pairs_up_to):
     assert neardup.similar_texts(docs.where("false")).count() == 0
 
 
+def test_recall_of_production_bands(spark):
+    """Pairs of different texts between 0.8 and 0.9, found with the parameters of the query: at least 0.9 of them."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(250):
+        text = words(rng, 100, 5000)
+        copy = list(text)
+        for p in rng.sample(range(5, 95), rng.choice([1, 1, 2])):
+            copy[p] = f"n{rng.randrange(10_000)}"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(96)} for _, t in rows]
+    true = {i for i in range(250) if len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) >= 0.8}
+    got = {r.id: (r.class_id, r.n_links) for r in neardup.similar_texts(docs_of(spark, rows)).collect()}
+    found = {i for i in range(250) if got[2 * i][0] == got[2 * i + 1][0]}
+    assert found <= true and len(found) >= 0.9 * len(true) and len(true) > 150
+    assert all(got[2 * i][1] == got[2 * i + 1][1] == 1 for i in found)
+
+
+def test_similar_texts_of_an_id_with_two_texts(spark):
+    rng = random.Random(22)
+    a, b = (" ".join(words(rng, 40, 5000)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, b)]
+    runs = [{r.id: r.class_id for r in neardup.similar_texts(docs_of(spark, rows).repartition(k)).collect()} for k in (1, 3)]
+    assert runs[0] == runs[1] and set(runs[0]) == {1, 2, 3}
+    assert sorted(runs[0].values()) in ([1, 1, 2], [1, 1, 3])  # id 1 is one of its texts, the same in every run
+
+
 def test_texts_without_words(spark, tmp_path):
     import corpus_pipeline as cp
 
@@ -540,6 +616,75 @@ def test_unknown_words_back_off():
     assert s[0, 1] > s[0, 0] and s[1, 0] > s[1, 1]
 
 
+def test_language_against_a_plain_scorer(spark):
+    """The model's tables read word by word in plain Python, on odd, long and repeated texts and clashing columns."""
+    rng = random.Random(12)
+    say = lambda k: " ".join(rng.choice(["the", "and", "was"] if k == "en" else ["der", "und", "war"]) + rng.choice(["", "s", "en"]) for _ in range(20))
+    rows = [(i, say(k), k) for i, k in enumerate(["en", "de"] * 30)]
+    rows += [(100 + i, t, "en") for i, t in enumerate([None, "", "é" * 700, "the " * 20_000, "1 2 3", "undthe wxyz", "The, THE; the!"])] + [rows[0]]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, lang_pred string, score int")
+    model = langid.fit(df.where("doc_id < 50"))
+    known = {w: i for i, w in enumerate(model.words.to_pylist())}
+
+    def plain(word):
+        if word in known:
+            return model.scores[known[word]]
+        for n in range(langid.LONGEST, 0, -1):
+            table, logs = model.grams[n]
+            grams, _ = langid.char_grams(pa.array([word]), n)
+            hits = [logs[np.searchsorted(table, g)] for g in grams if g in set(table.tolist())]
+            if hits:
+                return np.mean(hits, axis=0)
+        return np.zeros(len(model.langs))
+
+    got = langid.predict(df, model).collect()
+    assert len(got) == len(rows)
+    text = dict((i, t) for i, t, _ in rows)
+    for r in got:
+        ws = [w for w in ("".join(c for c in w.lower() if c.isalpha()) for w in (text[r.id] or "").split()) if w]
+        if not ws:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = sum((plain(w) for w in ws), np.zeros(len(model.langs)))
+        assert r.lang_pred == model.langs[int(total.argmax())]
+        assert r.score == pytest.approx(1 / np.exp(total - total.max()).sum(), abs=1e-9)
+    assert langid.predict(df.where("false"), model).count() == 0
+
+
+def test_toxicity_against_a_plain_scorer(spark):
+    """Scores of a given weight table by a plain loop over words and windows; repeated rows, clashing columns, no rows."""
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS), bias=-3.0, scale=1.3, shift=-0.4)
+    texts = [*ODD_TEXTS, "one two three four five", "One, TWO three! 12 é"]
+
+    def value(word):
+        if not word:
+            return 0.0
+        buckets, _ = toxicity._grams(pa.array([word], pa.large_string()))
+        return model.weight[buckets].mean()
+
+    soft = lambda z: np.log1p(np.exp(z))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4])]
+    df = docs_of(spark, rows).withColumn("score", F.lit("x"))
+    got = toxicity.score(df, model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        vs = [value("".join(c for c in w.lower() if c.isalpha())) for w in (texts[r.id] or "").split()]
+        ws = [vs[k : k + toxicity.WINDOW] for k in range(0, len(vs), toxicity.WINDOW)]
+        s = sum(max(0.0, soft(sum(w) / toxicity.WINDOW - 3.0) - soft(-3.0)) for w in ws)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(1.3 * np.log(toxicity.SOFTEN + s) - 0.4, -40, 40))), abs=1e-9)
+    assert toxicity.score(df.where("false"), model).count() == 0
+
+
+def test_toxicity_fit_converges():
+    rng = random.Random(3)
+    bad = ["grumblefex", "snorkwad"]
+    texts = [" ".join([*words(rng, 40, 400), *([rng.choice(bad), rng.choice(bad)] if i % 3 == 0 else [])]) for i in range(240)]
+    trace = []
+    toxicity.train(pa.array(texts), np.array([int(i % 3 == 0) for i in range(240)]), trace=trace)
+    assert trace[-1] < 0.3 * trace[0] and len(trace) <= toxicity.EPOCHS
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     bad = ["grumblefex", "snorkwad", "blattertot"]
