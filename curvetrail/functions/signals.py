@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from fractions import Fraction
 
 import numpy as np
@@ -77,25 +78,22 @@ def savgol(df: DataFrame, value: str, out: str, keys: list[str], width: int = 11
     width takes its own (odd) length; one too short for the order is averaged. idx counts from 0."""
     width = max(3, width) + (1 - max(3, width) % 2)
     w = series(*keys, order=idx)
-    whole = W.partitionBy(*keys)
-    v = F.col(value)
-    df = df.withColumn("_n", F.count("*").over(whole))
+    v, i = F.col(value), F.col(idx)
+    sizes = list(range(3 if order < 3 else order + 1 + order % 2, width + 1, 2))
+    # the weights of every size and place in a stretch: a constant that rows look up
+    table = F.from_json(F.lit(json.dumps([savgol_weights(m, order) for m in sizes])), "array<array<array<double>>>")
+    near = F.collect_list(F.struct(v.cast("double").alias("v"))).over(w.rowsBetween(-(width - 1), width - 1))
+    df = df.withColumns({"_n": F.count("*").over(W.partitionBy(*keys)), "_near": near, "_flat": smooth_zero(v, w, average)})
     # each row's stretch begins where a full one fits
-    own = F.least(F.lit(width), F.col("_n") - 1 + F.col("_n") % 2)
-    result = smooth_zero(v, w, average)
-    choice = None
-    for size in range(3 if order < 3 else order + 1 + order % 2, width + 1, 2):
-        weights, half = savgol_weights(size, order), size // 2
-        shift = F.greatest(F.lit(0), half - F.col(idx)) + F.least(F.lit(0), F.col("_n") - 1 - half - F.col(idx))
-        near = {k: F.lag(v, -k).over(w) if k else v for k in range(-size + 1, size)}
-        fitted = None
-        for s in range(-half, half + 1):  # the stretch's middle lies s to the right of the row
-            total = num(0)
-            for j in range(size):
-                total = total + near[s - half + j] * weights[half - s][j]
-            fitted = F.when(shift == s, total) if fitted is None else fitted.when(shift == s, total)
-        choice = F.when(own == size, fitted) if choice is None else choice.when(own == size, fitted)
-    return df.withColumn(out, clip01(F.coalesce(choice, result))).drop("_n")
+    df = df.withColumn("_m", F.least(F.lit(width), F.col("_n") - 1 + F.col("_n") % 2).cast("int"))
+    begin = F.greatest(F.lit(0), F.least(i - F.floor(F.col("_m") / 2), F.col("_n") - F.col("_m")))
+    df = df.withColumn("_at", (i - begin).cast("int"))
+    here = F.least(i, F.lit(width - 1)).cast("int")
+    stretch = F.slice("_near", here - F.col("_at") + 1, F.greatest(F.lit(0), F.col("_m")))
+    weights = F.get(F.get(table, ((F.col("_m") - sizes[0]) / 2).cast("int")), F.col("_at"))
+    fitted = F.aggregate(F.zip_with(stretch, weights, lambda x, k: x["v"] * k), num(0), lambda acc, x: acc + x)
+    fitted = F.when(F.col("_m") >= sizes[0], fitted)
+    return df.withColumn(out, clip01(F.coalesce(fitted, F.col("_flat")))).drop("_n", "_near", "_flat", "_m", "_at")
 
 
 def local_peak(value: Column, w) -> Column:
