@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvetrail.llm import decontam, jpeg, langid, mixing, neardup, repeats, secrets, toxicity, urlfilter, warc
+from curvetrail.llm import bpe, decontam, jpeg, langid, mixing, neardup, repeats, secrets, toxicity, urlfilter, warc
 from curvetrail.llm.common import fold_of, materialize, read_table
 
 #: Rules of the URL query, as given: host, path, verdict.
@@ -108,6 +108,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = bpe.decode(bpe.encode(docs, tokens, public_tokenizers.PATTERN), tokens)
+    spaced = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(spaced, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_urlfilter": op2_urlfilter,
@@ -119,6 +129,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLES = {"op1_warc": OP1_SQL, "op2_urlfilter": OP2_SQL}
