@@ -1,8 +1,10 @@
 """Baseline JPEG in numpy: payloads stored as luminance blocks, and the reader for such and other baseline images.
 
-store_bytes() lays each byte as one 8x8 block of even grey: the quantized DC coefficient is byte - 128 with a DC step
-of 8, so the DC-only thumbnail of the image (one sample a block, dc * 8 / 8 + 128) is the payload again, exactly.
-Rows are 64 blocks wide and end at a restart marker; a payload over FRAME_ROWS rows is cut into several images.
+store_bytes() lays each byte as one 8x8 block of even grey: the quantized DC coefficient is a level from -128 to 127 with
+a DC step of 8, so the DC-only thumbnail of the image has one 8-bit sample (level + 128) for each byte. The bytes of an
+image take levels by how often they are in it (0, 1, -1, 2 ...), which keeps the coded differences short; a comment
+segment lists them in that order, as a palette does, so the payload comes back exactly. Rows are 64 blocks wide, a restart
+marker ends every INTERVAL blocks; a payload over FRAME_ROWS rows is cut into several images.
 
 read_images() parses markers, Huffman-decodes the scan of one or three components at any sampling, and keeps the DC
 coefficients of the luminance. All restart intervals of a batch are decoded in step, a symbol each at a time, so numpy
@@ -25,17 +27,22 @@ from pyspark.sql import functions as F
 from curvetrail.llm.common import pieces
 
 WIDE = 64
+INTERVAL = 4 * WIDE
 FRAME_ROWS = 8000  # a side has 65,535 samples at most: 8,191 blocks
 #: Bytes that are coded or decoded at a time in a worker (an image of FRAME_ROWS rows at most where that is more), so a
 #: text of any length costs a few times its own size and a constant.
 GROUP_BYTES = 1 << 20
 #: Options for a Parquet table of files: a task holds one row group of them.
-SMALL_GROUPS = {"parquet.block.size": 16 << 20, "parquet.enable.dictionary": "false"}
+SMALL_GROUPS = {"parquet.block.size": 16 << 20, "parquet.enable.dictionary": "false", "compression": "zstd"}
 
-# Code lengths for the DC categories 0..8 of text bytes and the sole AC symbol (end of block), chosen freely.
-DC_SYMBOLS = [7, 6, 5, 4, 3, 2, 1, 0, 8]
+# Code lengths for the DC categories 0..8 of ranked bytes and the sole AC symbol (end of block), chosen freely.
+DC_SYMBOLS = [2, 3, 1, 4, 5, 0, 6, 7, 8]
 DC_LENGTHS = [2, 2, 3, 3, 3, 4, 5, 6, 7]
 EOB_LENGTH = 1
+#: What the comment segment with the ranked bytes begins with.
+RANKED = b"ranked\x00"
+#: The sample of each rank: level 0, 1, -1, 2, -2 ... 127, -127, -128, plus 128.
+SAMPLE_OF_RANK = np.array([128 + ((r + 1) // 2 if r % 2 else -(r // 2)) for r in range(255)] + [0], np.uint8)
 
 
 def canonical(symbols: list[int], lengths: list[int]) -> dict[int, tuple[int, int]]:
@@ -52,15 +59,22 @@ def _segment(marker: int, body: bytes) -> bytes:
     return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
 
 
-def _header(rows: int) -> bytes:
+def ranked_bytes(data: np.ndarray) -> np.ndarray:
+    """The byte values of data, the most frequent first, ties by value."""
+    counts = np.bincount(data, minlength=256)
+    return np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)].astype(np.uint8)
+
+
+def _header(rows: int, ranked: bytes) -> bytes:
     table = lambda kind, symbols, lengths: bytes([kind]) + bytes(lengths.count(n) for n in range(1, 17)) + bytes(symbols)
     return (
         b"\xff\xd8"
+        + _segment(0xFE, RANKED + ranked)
         + _segment(0xDB, b"\x00" + bytes([8] + [1] * 63))
         + _segment(0xC0, b"\x08" + (8 * rows).to_bytes(2, "big") + (8 * WIDE).to_bytes(2, "big") + b"\x01\x01\x11\x00")
         + _segment(0xC4, table(0x00, DC_SYMBOLS, DC_LENGTHS))
         + _segment(0xC4, table(0x10, [0], [EOB_LENGTH]))
-        + _segment(0xDD, WIDE.to_bytes(2, "big"))
+        + _segment(0xDD, INTERVAL.to_bytes(2, "big"))
         + _segment(0xDA, b"\x01\x01\x00\x00\x3f\x00")
     )
 
@@ -81,11 +95,15 @@ def _code_of_diff() -> tuple[np.ndarray, np.ndarray]:
 _VALUE, _SIZE = _code_of_diff()
 
 
-def encode_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """uint8 [n, 64] to the entropy-coded bytes of each row, one row after another, stuffed; and each row's bytes."""
+def encode_rows(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Samples, uint8 [n, INTERVAL], of which a row has its count, to the entropy-coded bytes of each row, one row after
+    another, stuffed; and each row's bytes."""
     level = rows.astype(np.int16) - 128
     diff = np.diff(level, axis=1, prepend=np.int16(0)) + 255
     value, size = _VALUE[diff], _SIZE[diff].astype(np.int64)
+    if (counts < rows.shape[1]).any():
+        beyond = np.arange(rows.shape[1]) >= counts[:, None]
+        value[beyond] = size[beyond] = 0
     bits = size.sum(axis=1)
     row_bytes = (bits + 7) // 8
     base = np.concatenate([[0], np.cumsum(row_bytes)])
@@ -122,12 +140,21 @@ def store_bytes(payloads: list[bytes]) -> list[bytes]:
         while end < len(frames) and (end == at or size + len(frames[end][1]) <= GROUP_BYTES):
             size += len(frames[end][1])
             end += 1
-        data, sizes = encode_rows(np.frombuffer(b"".join(f for _, f in frames[at:end]), np.uint8).reshape(-1, WIDE))
+        lanes = [-(-len(f) // INTERVAL) for _, f in frames[at:end]]
+        rows, counts, heads, r = np.zeros((sum(lanes), INTERVAL), np.uint8), np.full(sum(lanes), INTERVAL), [], 0
+        for (_, frame), n in zip(frames[at:end], lanes):
+            raw, sample = np.frombuffer(frame, np.uint8), np.zeros(256, np.uint8)
+            ranked = ranked_bytes(raw)
+            sample[ranked] = SAMPLE_OF_RANK[: len(ranked)]
+            rows[r : r + n].reshape(-1)[: len(raw)] = sample[raw]
+            counts[r + n - 1] = len(raw) - (n - 1) * INTERVAL
+            heads.append(_header(len(raw) // WIDE, ranked.tobytes()))
+            r += n
+        data, sizes = encode_rows(rows, counts)
         data, ends, r = data.tobytes(), np.concatenate([[0], np.cumsum(sizes)]).tolist(), 0
-        for t, frame in frames[at:end]:
-            n = len(frame) // WIDE
+        for (t, _), n, head in zip(frames[at:end], lanes, heads):
             parts = out[t]
-            parts.append(_header(n))
+            parts.append(head)
             for i in range(n):
                 parts.append(data[ends[r + i] : ends[r + i + 1]])
                 parts.append(bytes((0xFF, 0xD0 + i % 8 if i < n - 1 else 0xD9)))
@@ -139,7 +166,15 @@ def store_bytes(payloads: list[bytes]) -> list[bytes]:
 class Image:
     """What the markers of one image say; scan is its entropy-coded part."""
 
-    __slots__ = ("components", "dc", "ac", "height", "order", "quant", "restart", "scan", "width")
+    __slots__ = ("components", "dc", "ac", "height", "order", "quant", "ranked", "restart", "scan", "width")
+
+    def pixels(self, samples: np.ndarray) -> np.ndarray:
+        """The bytes that samples stand for: the samples themselves where no ranked bytes are given."""
+        if self.ranked is None:
+            return samples
+        table = np.zeros(256, np.uint8)
+        table[SAMPLE_OF_RANK[: len(self.ranked)]] = np.frombuffer(self.ranked, np.uint8)
+        return table[samples]
 
 
 def parse_images(data: bytes) -> list[Image]:
@@ -150,7 +185,7 @@ def parse_images(data: bytes) -> list[Image]:
             raise ValueError(f"no image at byte {at}")
         at += 2
         im, quant, tables = Image(), {}, {}
-        im.restart = 0
+        im.restart, im.ranked = 0, None
         while True:
             if data[at] != 0xFF:
                 raise ValueError(f"no marker at byte {at}")
@@ -173,6 +208,8 @@ def parse_images(data: bytes) -> list[Image]:
                     lengths = tuple(n + 1 for n in range(16) for _ in range(body[1 + n]))
                     tables[body[0]] = (tuple(body[17 : 17 + count]), lengths)
                     body = body[17 + count :]
+            elif kind == 0xFE and body.startswith(RANKED):
+                im.ranked = body[len(RANKED) :]
             elif kind == 0xDD:
                 im.restart = int.from_bytes(body[:2], "big")
             elif kind == 0xDA:
@@ -218,15 +255,16 @@ def _decode_lanes(words: np.ndarray, bit: np.ndarray, blocks: np.ndarray, order:
     """Decodes lanes in step. words: 8 bytes from each byte on, as big-endian numbers; bit: where each lane begins;
     blocks: how many blocks it has. Gives the DC levels [lane, block]."""
     n, most = len(bit), int(blocks.max(initial=0))
+    longest = np.argsort(-blocks, kind="stable")  # the lanes that still have blocks come first
+    left = np.searchsorted(-blocks[longest], -np.arange(most), "left")
     out = np.zeros((most, n), np.int16)
     pred = [np.zeros(n, np.int64) for _ in dc]
-    bit = bit.copy()
-    even = bool((blocks == most).all())
+    bit = bit[longest]
     u = np.uint64
     for b in range(most):
         c = order[b % len(order)]
-        lanes = None if even else np.flatnonzero(blocks > b)
-        at = bit if even else bit[lanes]
+        live = int(left[b])
+        at = bit[:live]
         w = words[at >> 3] << (at & 7).astype(u)
         hit = _peek(dc[c])[(w >> u(48)).astype(np.int64)]
         size, length = (hit & 15).astype(np.int64), (hit >> 8).astype(np.int64)
@@ -235,12 +273,8 @@ def _decode_lanes(words: np.ndarray, bit: np.ndarray, blocks: np.ndarray, order:
         v = ((w << length.astype(u)) >> u(1) >> (63 - size).astype(u)).astype(np.int64)
         low = v < (1 << size >> 1)
         v = v - low * ((1 << size) - 1)
-        if even:
-            pred[c] += v
-            out[b] = pred[c]
-        else:
-            pred[c][lanes] += v
-            out[b, lanes] = pred[c][lanes]
+        pred[c][:live] += v
+        out[b, :live] = pred[c][:live]
         used = length + size
         # AC: the usual case is that the block ends at once
         hit = _peek(ac[c])[((w << used.astype(u)) >> u(48)).astype(np.int64)]
@@ -250,24 +284,23 @@ def _decode_lanes(words: np.ndarray, bit: np.ndarray, blocks: np.ndarray, order:
         if len(more):
             k = np.zeros(len(more), np.int64)
             here, sym = at[more], (hit & 255).astype(np.int64)[more]
-            live = np.arange(len(more))
-            while len(live):
-                here[live] += sym[live] & 15
-                k[live] += (sym[live] >> 4) + 1
-                live = live[k[live] < 63]
-                if not len(live):
+            open_ = np.arange(len(more))
+            while len(open_):
+                here[open_] += sym[open_] & 15
+                k[open_] += (sym[open_] >> 4) + 1
+                open_ = open_[k[open_] < 63]
+                if not len(open_):
                     break
-                x = words[here[live] >> 3] << (here[live] & 7).astype(u)
+                x = words[here[open_] >> 3] << (here[open_] & 7).astype(u)
                 hit = _peek(ac[c])[(x >> u(48)).astype(np.int64)]
-                here[live] += hit >> 8
-                sym[live] = hit & 255
-                live = live[sym[live] != 0]
+                here[open_] += hit >> 8
+                sym[open_] = hit & 255
+                open_ = open_[sym[open_] != 0]
             at[more] = here
-        if even:
-            bit = at
-        else:
-            bit[lanes] = at
-    return out.T
+        bit[:live] = at
+    back = np.empty((n, most), np.int16)
+    back[longest] = out.T
+    return back
 
 
 def _groups(images: list[tuple[int, Image]], members: list[int]) -> Iterator[list[int]]:
@@ -326,7 +359,7 @@ def read_images(files: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
             grid = flat[:, : h * v].reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
             grid = grid[: -(-im.height // 8), : -(-im.width // 8)]
             # a block's mean is its DC coefficient over 8, rounded half up
-            thumbs[i] = np.clip((grid.astype(np.int64) * im.quant[0] + 4 >> 3) + 128, 0, 255).astype(np.uint8)
+            thumbs[i] = im.pixels(np.clip((grid.astype(np.int64) * im.quant[0] + 4 >> 3) + 128, 0, 255).astype(np.uint8))
     for i, (f, im) in enumerate(images):
         out[f].append((im.width, im.height, thumbs[i]))
     return out
