@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvetrail.llm import bpe, decontam, jpeg, langid, mixing, neardup, repeats, secrets, toxicity, urlfilter, warc
+from curvetrail.llm import bpe, decontam, jpeg, langid, mixing, neardup, repeats, secrets, toxicity, urlfilter, vectorcodes, warc
 from curvetrail.llm.common import fold_of, materialize, read_table
 
 #: Rules of the URL query, as given: host, path, verdict.
@@ -108,6 +108,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return vectorcodes.compress(rows, parts=16, entries=64, rounds=2, scale=256).withColumnRenamed("id", "vec_id")
+
+
+def _op11_sql() -> str:
+    """One assignment and one update of the entries for each round."""
+    near = """a{n} AS MATERIALIZED (SELECT vec_id, label, part, u, least % 64 AS e, least // 64 AS d FROM (
+  SELECT vec_id, any_value(label) AS label, p.part, any_value(u) AS u, min(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(u, c)])::BIGINT * 64 + e) AS least
+  FROM p JOIN c{n} c ON c.part = p.part GROUP BY vec_id, p.part)),
+"""
+    move = """s{n} AS (SELECT part, e, i, sum(u[i + 1])::BIGINT AS s, count(*) AS n FROM a{n}, range(4) r(i) GROUP BY part, e, i),
+m{n} AS (SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{n} GROUP BY part, e),
+c{k} AS MATERIALIZED (SELECT c{n}.part, c{n}.e, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} ON m{n}.part = c{n}.part AND m{n}.e = c{n}.e),
+"""
+    return (
+        """WITH k AS MATERIALIZED (SELECT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, v[part * 4 + 1 : part * 4 + 4] AS u FROM k, range(16) r(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, u AS c FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64)),
+"""
+        + near.format(n=0) + move.format(n=0, k=1) + near.format(n=1) + move.format(n=1, k=2) + near.format(n=2)
+        + """h AS (SELECT sha256(string_agg(c[i + 1]::VARCHAR, ',' ORDER BY part, e, i)) AS codebooks_sha256 FROM c2, range(4) r(i)),
+o AS (SELECT vec_id, any_value(label) AS label, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o, h"""
+    )
+
+
+OP11_SQL = _op11_sql()
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -129,7 +160,8 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
+    "op11_vectorcodes": op11_vectorcodes,
     "op13_bpe": op13_bpe,
 }
 
-ORACLES = {"op1_warc": OP1_SQL, "op2_urlfilter": OP2_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op2_urlfilter": OP2_SQL, "op11_vectorcodes": OP11_SQL}
