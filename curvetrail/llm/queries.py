@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvetrail.llm import bpe, decontam, jpeg, langid, mixing, neardup, repeats, secrets, toxicity, urlfilter, vectorcodes, warc
+from curvetrail.llm import bpe, conversations, decontam, jpeg, langid, mixing, neardup, repeats, secrets, toxicity, urlfilter, vectorcodes, warc
 from curvetrail.llm.common import fold_of, materialize, read_table
 
 #: Rules of the URL query, as given: host, path, verdict.
@@ -139,6 +139,11 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 OP11_SQL = _op11_sql()
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair(conversations.damaged(rows))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -161,6 +166,7 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
     "op11_vectorcodes": op11_vectorcodes,
+    "op12_conversations": op12_conversations,
     "op13_bpe": op13_bpe,
 }
 
