@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from curvetrail.llm.common import pieces
 
 #: Pieces of a longer text are taken in blocks of so many.
-BLOCK_PIECES = 500_000
+BLOCK_PIECES = 300_000
 #: Bytes of unknown pieces that one query contracts; ids that one query decodes.
-ROUND_BYTES, DECODE_IDS = 1 << 20, 1 << 19
+ROUND_BYTES, DECODE_IDS = 1 << 20, 1 << 18
 #: Pieces whose ids a worker keeps. When there are more, it starts anew.
 KNOWN_PIECES = 250_000
 #: Bytes from which a piece is contracted at all allowed places of a round at once.
@@ -37,16 +37,17 @@ LONG = 48
 #: Ids are packed into a pair as left * SHIFT + right.
 SHIFT = 1 << 31
 
-_PAIRS = """SELECT p.word, p.place, q.place AS second, m.merged, m.size, m.safe FROM bpe p
-  JOIN bpe q ON q.place = p.place + p.size AND q.word = p.word JOIN merges m ON m.pair = p.token::BIGINT * 2147483648 + q.token"""
+#: Neighbours that the merge table has. A piece ends with a free place, so the last token of a piece meets no other.
+_PAIRS = """SELECT p.word, p.place, p.after AS second, q.after, m.merged, m.safe FROM bpe p
+  JOIN bpe q ON q.place = p.after JOIN merges m ON m.pair = p.token::BIGINT * 2147483648 + q.token"""
 
 #: Each piece's leftmost pair of least rank.
-_LEFTMOST = f"""SELECT word, min(merged::BIGINT << 32 | place) AS least, (least & 4294967295)::INT AS place, (least >> 32)::INT AS merged,
-  arg_min(second, merged::BIGINT << 32 | place) AS second, arg_min(size, merged::BIGINT << 32 | place) AS size FROM ({_PAIRS}) GROUP BY word"""
+_LEFTMOST = f"""SELECT word, (least & 4294967295)::INT AS place, (least >> 32)::INT AS merged, (ends >> 32)::INT AS second, (ends & 4294967295)::INT AS after FROM (
+  SELECT word, min(merged::BIGINT << 32 | place) AS least, arg_min(second::BIGINT << 32 | after, merged::BIGINT << 32 | place) AS ends FROM ({_PAIRS}) GROUP BY word)"""
 
 #: Its pairs of least rank from left to right, each second one of those that overlap, if contracting one makes no pair of
 #: lower rank; else the leftmost.
-_ALL = f"""SELECT word, place, merged, second, size FROM (
+_ALL = f"""SELECT word, place, merged, second, after FROM (
   SELECT *, row_number() OVER chain AS nth, row_number() OVER piece AS spot FROM (
     SELECT *, sum(starts) OVER (PARTITION BY word ORDER BY place) AS island FROM (
       SELECT *, (lag(second) OVER (PARTITION BY word ORDER BY place) IS DISTINCT FROM place)::INT AS starts FROM (
@@ -55,17 +56,17 @@ _ALL = f"""SELECT word, place, merged, second, size FROM (
   WHERE CASE WHEN safe THEN nth % 2 = 1 ELSE spot = 1 END"""
 
 _CONTRACT = """WITH RECURSIVE bpe AS (
-  SELECT word, place, token, 1 AS size, 0 AS round FROM bytes
+  SELECT word, place, place + 1 AS after, token, 0 AS round FROM bytes
   UNION ALL ({step})),
 ended AS (SELECT word, max(round) AS round FROM bpe GROUP BY word)
 SELECT word, token FROM bpe JOIN ended USING (word, round) ORDER BY place"""
 
 #: A chosen pair's first place takes the merged token, its second place goes; pieces without a pair are left behind.
 _CONTRACT_ONE = _CONTRACT.format(step=f"""
-  SELECT t.word, t.place, CASE WHEN t.place = c.place THEN c.merged ELSE t.token END, CASE WHEN t.place = c.place THEN c.size ELSE t.size END, t.round + 1
+  SELECT t.word, t.place, CASE WHEN t.place = c.place THEN c.after ELSE t.after END, CASE WHEN t.place = c.place THEN c.merged ELSE t.token END, t.round + 1
   FROM bpe t JOIN ({_LEFTMOST}) c ON c.word = t.word WHERE t.place <> c.second""")
 _CONTRACT_ALL = _CONTRACT.format(step=f"""WITH c AS MATERIALIZED ({_ALL})
-  SELECT t.word, t.place, coalesce(c.merged, t.token), coalesce(c.size, t.size), t.round + 1
+  SELECT t.word, t.place, coalesce(c.after, t.after), coalesce(c.merged, t.token), t.round + 1
   FROM bpe t LEFT JOIN c ON c.place = t.place WHERE t.word IN (SELECT word FROM c) AND t.place NOT IN (SELECT second FROM c)""")
 
 _DECODE = """SELECT part, unhex(string_agg(v.hex, '' ORDER BY i.place)) AS piece, count(*) = count(v.hex) AS known
@@ -87,16 +88,15 @@ def read_ranks(path: str) -> list[bytes | None]:
 
 
 def merge_table(tokens: list[bytes | None]) -> pa.Table:
-    """All pairs of tokens that together are a token: pair, merged (its rank), size (bytes), safe (no pair that has the
-    merged token in it has a lower rank)."""
+    """All pairs of tokens that together are a token: pair, merged (its rank), safe (no pair that has the merged token in it
+    has a lower rank)."""
     rank = {t: r for r, t in enumerate(tokens) if t is not None}
     rows = [(a, b, r) for t, r in rank.items() for k in range(1, len(t)) if (a := rank.get(t[:k])) is not None and (b := rank.get(t[k:])) is not None]
     left, right, merged = np.array(rows, np.int64).reshape(-1, 3).T
     least = np.full(len(tokens), len(tokens), np.int64)
     np.minimum.at(least, left, merged)
     np.minimum.at(least, right, merged)
-    sizes = np.array([len(t or b"") for t in tokens], np.int32)
-    return pa.table({"pair": left * SHIFT + right, "merged": merged.astype(np.int32), "size": sizes[merged], "safe": least[merged] > merged})
+    return pa.table({"pair": left * SHIFT + right, "merged": merged.astype(np.int32), "safe": least[merged] > merged})
 
 
 class Coder:
@@ -109,10 +109,18 @@ class Coder:
         self.bytes = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
-        merges = merge_table(tokens)
-        vocabulary = pa.table({"token": pa.array(range(len(tokens)), pa.int32()), "hex": pa.array([t.hex() if t is not None else None for t in tokens], pa.string())})
-        self.query("CREATE TABLE merges AS SELECT * FROM given", given=merges)
-        self.query("CREATE TABLE vocabulary AS SELECT * FROM given WHERE hex IS NOT NULL", given=vocabulary)
+        self.tokens, self.tables = tokens, set()
+
+    def need(self, name: str) -> None:
+        """Makes the merge table or the vocabulary when it is first needed: most workers only encode or only decode."""
+        if name in self.tables:
+            return
+        if name == "merges":
+            given = merge_table(self.tokens)
+        else:
+            given = pa.table({"token": pa.array(self.rank.values(), pa.int32()), "hex": pa.array([t.hex() for t in self.rank], pa.string())})
+        self.query(f"CREATE TABLE {name} AS SELECT * FROM given", given=given)
+        self.tables.add(name)
 
     def query(self, sql: str, **tables: pa.Table) -> pa.Table | None:
         for name, table in tables.items():
@@ -126,8 +134,10 @@ class Coder:
 
     def contract(self, words: list[bytes], sql: str) -> list[bytes]:
         """The ids of each piece (32 bits each), none of them a token by itself."""
+        self.need("merges")
         data, sizes = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
-        rows = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "place": np.arange(len(data), dtype=np.int32), "token": self.bytes[data]})
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        rows = pa.table({"word": word, "place": np.arange(len(data), dtype=np.int32) + word, "token": self.bytes[data]})
         out = self.query(sql, bytes=rows)
         word, token = out.column(0).to_numpy(), np.ascontiguousarray(out.column(1).to_numpy(), dtype=np.int32)
         ends = np.searchsorted(word, np.arange(len(words)), "right") * 4
@@ -154,20 +164,17 @@ class Coder:
                     some.append(pair)
                     size += len(pair[1])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a list of pieces in turn, and how many each has."""
-        coded = pc.dictionary_encode(pa.array(texts, pa.large_string()))
-        words = coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > KNOWN_PIECES:
+    def encode(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids (32 bits each) of each list of pieces, in turn."""
+        new = set().union(*texts)
+        if len(self.known) + len(new) > KNOWN_PIECES:
             self.known = {}
-        self.learn([w for w in words if w not in self.known])
-        ids = [self.known[w] for w in words]
-        codes = np.asarray(coded.indices)
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)[codes] if words else np.zeros(0, np.int64)
-        return np.frombuffer(b"".join([ids[c] for c in codes.tolist()]), np.int32), sizes
+        self.learn(list(new.difference(self.known)))
+        return [b"".join(map(self.known.__getitem__, t)) for t in texts]
 
     def decode(self, ids: np.ndarray, known: np.ndarray, part: np.ndarray, parts: int) -> tuple[list[bytes], list[bool]]:
         """The bytes of each part's ids in order, and whether the vocabulary has all of them."""
+        self.need("vocabulary")
         out, whole = [b""] * parts, [True] * parts
         if len(ids):
             rows = pa.table({"part": part, "place": np.arange(len(ids), dtype=np.int32), "token": pa.array(ids, mask=~known)})
@@ -205,33 +212,20 @@ def encode(docs: DataFrame, tokens: list[bytes | None], pattern: str, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, split = coder(tokens), regex.compile(pattern)
         for batch in pieces(batches):
-            rows: list[list[np.ndarray]] = []
-            some: list[str] = []  # pieces of texts that are encoded together
-            ends: list[int] = []
-
-            def flush():
-                ids, sizes = own.encode(some)
-                at = np.concatenate([[0], np.cumsum(sizes)])[np.array([0, *ends])]
-                rows.extend([ids[a:b]] for a, b in zip(at[:-1], at[1:]))
-                some.clear()
-                ends.clear()
-
+            rows: list[bytes] = []
+            some: list[list[str]] = []  # texts that are encoded together
             for text in batch.column(1).to_pylist():
                 blocks = _split(split, text or "")
-                first = next(blocks, [])
-                second = next(blocks, None)
-                if second is None:
-                    some += first
-                    ends.append(len(some))
-                    if len(some) > BLOCK_PIECES:
-                        flush()
-                else:
-                    flush()
-                    rows.append([own.encode(b)[0] for b in itertools.chain([first, second], blocks)])
-            flush()
-            flat = [x for row in rows for x in row]
-            offsets = np.cumsum([0, *(sum(map(len, row)) for row in rows)])
-            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
+                first, second = next(blocks, []), next(blocks, None)
+                some.append(first)
+                if second is not None or sum(map(len, some)) > BLOCK_PIECES:
+                    rows += own.encode(some)
+                    some = []
+                if second is not None:
+                    rows[-1] = b"".join([rows[-1], *(own.encode([b])[0] for b in itertools.chain([second], blocks))])
+            rows += own.encode(some)
+            offsets = np.cumsum([0, *(len(row) // 4 for row in rows)])
+            values = pa.array(np.frombuffer(b"".join(rows), np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["id", "ids"])
 
     kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
