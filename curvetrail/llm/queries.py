@@ -26,7 +26,7 @@ b AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v::I
 h AS (SELECT page_id, lower(regexp_extract(regexp_extract(url, '://(.*)$', 1), '^([^/?#:]*)', 1)) AS host, regexp_extract(regexp_extract(url, '://(.*)$', 1), '^[^/?#:]*(.*)$', 1) AS tail FROM p)
 SELECT d.page_id, payload_bytes, payload_digest, CASE WHEN kept = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN kept = d.page_id THEN NULL ELSE kept END AS refers_to, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || tail AS url_key,
-  strftime(make_timestamp((1700000000 + d.page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+  strftime(make_timestamp((1700000000 + ((d.page_id % 1000000000) + 1000000000) % 1000000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
 FROM d JOIN b USING (page_id) JOIN h USING (page_id)
 """
 

@@ -3,7 +3,8 @@
 Archives are WARC/1.1 with every record a gzip member of its own, so that a capture is read by its offset alone. They
 are written by Spark's text sink: a row is an archive, at most ARCHIVE_BYTES long but for a single record that is longer
 (an empty gzip member stands as line separator), so they may live in any file system that Spark reaches, and are read
-back as binary files.
+back as binary files. The sink is handed the bytes as a string: it writes the bytes of a string as they are, whether
+they are UTF-8 or not, and the tests hold each record against its bytes by offset.
 
 Each archive yields a run: its captures sorted by (URL key, timestamp, page) where it is parsed, stored with their place
 in the run. Runs are dealt by range of that key into ranges of about RANGE_ROWS captures, whatever the size of the
@@ -17,7 +18,9 @@ batch only those of the largest page of a digest do, as the others are revisits
 Nulls and ties: a null payload is empty; a null URL has the empty URL key and no target header; of records with
 equal payloads the largest page_id is the response (null ids come last; rows that repeat that page_id are responses
 as well); an empty table gives an empty history. Other columns of the input are ignored. A payload over ARCHIVE_BYTES
-has an archive to itself.
+has an archive to itself. A page without a capture time takes one from its id, modulo SPAN seconds, so any long gives a
+time of four-digit years, in whose text order is time order. Line breaks in a URL are percent-encoded, in the archive
+and thus in its key.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ from curvetrail.llm.common import drop_path, materialize, pieces, salted_join, s
 ARCHIVE_BYTES = 32 << 20
 #: Captures of a range of the merge, about.
 RANGE_ROWS = 100_000
+#: Capture times of pages that have none: seconds after EPOCH, fewer than SPAN.
+EPOCH, SPAN = 1_700_000_000, 1_000_000_000
 #: gzip level of records.
 LEVEL = 6
 
@@ -102,7 +107,7 @@ def record(page: int | None, url: str | None, captured: str | None, digest: str,
     head = "WARC/1.1\r\n" + _line("WARC-Type", "revisit" if revisit else "response") + _line("WARC-Record-ID", _ident(page))
     head += _line("WARC-Date", captured or "1970-01-01T00:00:00Z")
     if url is not None:
-        head += _line("WARC-Target-URI", re.sub(r"[\r\n]", " ", url))
+        head += _line("WARC-Target-URI", re.sub(r"[\r\n]", lambda c: f"%{ord(c[0]):02X}", url))
     if revisit:
         head += _line("WARC-Refers-To", _ident(kept)) + _line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     head += _line("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())
@@ -140,7 +145,7 @@ def write_archives(
     min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES,
 ) -> None:
     """Writes one record per row. Of equal payloads of at least min_bytes only the response stores the payload."""
-    when = captured if captured is not None else F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col(page), F.lit(0)))
+    when = captured if captured is not None else F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(F.col(page).cast("long"), F.lit(0).cast("long")), F.lit(SPAN)))
     rows = captures.select(
         F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"),

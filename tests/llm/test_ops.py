@@ -87,6 +87,18 @@ def test_warc_runs_and_ranges(spark, tmp_path):
     assert out.where("page_id = 1000").first().payload_bytes == 300_000
 
 
+def test_warc_of_any_id_and_line_breaks(spark, tmp_path):
+    """Ids up to the largest long, negative and null ones: times of four-digit years, one order; URLs that would break a line."""
+    ids = [10**13, 3 * 10**11, -1, 0, 5, (1 << 63) - 1, -(1 << 63), None]
+    pages = spark.createDataFrame([(p, f"http://h/{k % 2}", f"body {k}") for k, p in enumerate(ids)] + [(77, "http://h/\r\nWARC-Type: x", "b")], "page_id long, url string, html string")
+    out = warc.capture_history(pages, str(tmp_path / "w")).collect()
+    assert len(out) == len(ids) + 1 and {r.page_id for r in out} == {*ids, 77}
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r.captured) for r in out)
+    keys = [(r.url_key, r.captured, -(1 << 63) - 1 if r.page_id is None else r.page_id) for r in out]
+    assert keys == sorted(keys)
+    assert next(r for r in out if r.page_id == 77).url_key == "h)/%0D%0AWARC-Type: x"
+
+
 def test_url_keys():
     assert [warc.url_key(u) for u in (None, "", "no url", "http://", "HTTP://u:p@A.b.C:80/x?q", "x://h\n/p", "//a/b")] == [
         "", "", "no url", "http://", "c,b,a):80/x?q", "h\n)/p", "//a/b"
