@@ -1,26 +1,23 @@
 """Bytes that repeat: every byte covered by a LENGTH-byte string that also starts earlier is removed.
 
-Prefix doubling over sampled positions. Positions are ranked by growing prefixes, pairs of ranks are sorted, and a
-position leaves as soon as its rank is unique or its prefix reaches LENGTH:
-
-1. SEED bytes. Of the SEED-byte prefixes that start in a LENGTH-byte window the one with the least hash ranks the
-   window; windows in a row that share it form a run. Equal windows have equal ranks, so a window whose rank is unique
-   is done. Only one row a run is sorted, about one in (LENGTH - SEED) / 2 bytes. Runs that are equal as a whole (pair
-   of rank and rank of all bytes of the run) are settled here too: all but the first repeat it.
-2. Of runs that share a rank but differ as a whole, the ranks of twice the length or more are compared: every window of
-   a run holds either the bytes from SIDE before the ranked seed to its end, or those from its start to SIDE after it.
-   Windows for which no other run has that stretch are done.
-3. What is left is cut where the position modulo STEP from the ranked place is 0;
-   each piece has a core that all its windows contain, named by the pair of the ranks of its halves, the second at
-   half a core's offset. Pieces with a unique pair are done.
-4. LENGTH bytes. Windows of the other pieces are ranked by the pair with the bytes that they add to their core on
-   either side; all but the first of a rank repeat it.
+Prefix doubling over positions that can still repeat. A rank names a prefix; pairs of ranks at growing offsets are brought
+together, ranked anew, and a position leaves as soon as its rank is unique or its prefix reaches LENGTH:
+
+1. SEED bytes. Of the SEED-byte prefixes that start in a LENGTH-byte window the one with the least hash ranks the window;
+   windows in a row that share it form a run. Equal windows have equal ranks, so windows whose rank is unique are done,
+   and one row a run is counted, about one in (LENGTH - SEED) / 2 bytes. Of runs that are equal as a whole (pair of rank
+   and rank of all bytes of the run) all but the first repeat it; one of each stays if its rank has several.
+2. The windows of these runs are told apart from the text around the ranked seed. Every STEP-th place from the seed on is
+   a position; a window has a position in its first STEP bytes, and equal windows have it at the same place. In round
+   after round the rank of a position's first k bytes is paired with the rank at k (or less) bytes further on, equal
+   pairs are counted, and the positions whose pair is unique leave, as do those whose partner has left: 24, 48, 88 bytes.
+3. LENGTH bytes. Windows are ranked by the pair of their position and the bytes around it; all but the first of a rank
+   repeat it.
 
 Order is (doc_id, start). Ranks are 64-bit fingerprints (polynomials over the ring of 64-bit numbers, mixed), compared
-in pairs of 128 bits. A rank with a third of all rows: within a batch all but its first row are settled before the
-shuffle, ranks that are frequent in a sample of documents are dealt by pair instead of by rank (a rank that is not
-among the HOT_RANKS listed has less than one in HOT_RANKS of the sample's rows), and later steps count ranks
-pre-aggregated and join the counts back.
+in pairs of 128 bits. A rank with a third of all rows: within a batch all but its first run are settled before the
+shuffle; counts are summed within tasks before they are shuffled; rows meet the counts in joins, whose large partitions
+adaptive execution splits. No rank is gathered or listed.
 
 Null and empty texts have no bytes. Rows that repeat an id and text are one document: neither is earlier, each is
 returned. Of an id with several texts the one with the least hash is the document; rows with its other texts, like
@@ -38,12 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from curvetrail.llm.common import _TABLE, drop_table, materialize, mixed, pieces, sample_share
+from curvetrail.llm.common import _TABLE, drop_table, materialize, mixed, pieces
 
 LENGTH, SEED, STEP = 100, 24, 8
 SEGMENT = 1 << 19
-#: Hot ranks: found in this share of the documents, kept are at most so many of the most frequent.
-HOT_SHARE, HOT_RANKS, HOT_LEAST = 0.01, 1000, 20
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -100,10 +95,8 @@ def segments(texts: list[bytes], overlap: int) -> Iterator[tuple[np.ndarray, lis
 
 
 def find_runs(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """Of all runs: text, start of the first window, windows, place of the ranked seed, its rank, rank of the whole, and
-    16 bits each of the ranks of the stretches to its left and right."""
-    out = [[], [], [], [], [], [], []]
-    side = (length - seed) // 2
+    """Of all runs: text, start of the first window, windows, place of the ranked seed, its rank, and rank of the whole."""
+    out = [[], [], [], [], [], []]
     wide = length - seed + 1
     for raw, parts in segments(texts, length - 1):
         begin = np.array([p[2] for p in parts])
@@ -134,24 +127,19 @@ def find_runs(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> tup
         out[3].append(place[start] + shift)
         out[4].append(rank[place[start]])
         out[5].append(prints.of(start, stop - 1 + length))
-        at = place[start]
-        left = prints.of(np.maximum(at - side, 0), at + seed) >> np.uint64(48)
-        right = prints.of(at, np.minimum(at + seed + side, len(raw))) >> np.uint64(48)
-        out[6].append((left << np.uint64(16) | right).astype(np.int64))
-    kinds = [np.int64] * 4 + [np.uint64] * 2 + [np.int64]
+    kinds = [np.int64] * 4 + [np.uint64] * 2
     return tuple(np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds))
 
 
 #: spot packs start << 16 | windows << 8 | (place - start): windows and place - start are under 2 * LENGTH - SEED.
-RUNS = "rank long, whole long, id long, spot long, sides long"
-
+RUNS = "rank long, whole long, id long, spot long, settled boolean"
 
 
 def _runs(length: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             ids = np.asarray(batch.column(0), dtype=np.int64)
-            text, start, windows, place, rank, whole, sides = find_runs([x.as_py() or b"" for x in batch.column(1)], length, seed)
+            text, start, windows, place, rank, whole = find_runs([x.as_py() or b"" for x in batch.column(1)], length, seed)
             own = ids[text]
             # all but the first of equal runs in this batch repeat it
             key = mixed(rank ^ (whole * np.uint64(3)))
@@ -161,61 +149,85 @@ def _runs(length: int, seed: int):
             lead = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
             settled = np.zeros(len(k), bool)
             settled[order] = (i != i[lead]) | (s != s[lead])
-            # settled rows need no rank any more: they travel along, dealt by document, with sides -1
-            rank = np.where(settled, mixed(own.view(np.uint64)), rank)
+            # settled rows need no rank any more: they travel along, dealt by document and place
+            rank, whole = np.where(settled, mixed(own.view(np.uint64)), rank), np.where(settled, start.view(np.uint64), whole)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rank.view(np.int64)), pa.array(np.where(settled, np.uint64(0), whole).view(np.int64)), pa.array(own), pa.array(start << 16 | windows << 8 | place - start), pa.array(np.where(settled, -1, sides))],
-                names=["rank", "whole", "id", "spot", "sides"],
+                [pa.array(rank.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(own), pa.array(start << 16 | windows << 8 | place - start), pa.array(settled)],
+                names=["rank", "whole", "id", "spot", "settled"],
             )
 
     return run
 
 
-PIECES = "one long, two long, id long, origin int, first int, last int, rim binary"
+STRETCHES = "id long, start int, windows int, place int, stretch binary"
 
 
-def _pieces(length: int, step: int):
-    core = length - step + 1
-    half = (core + 1) // 2
+def _stretches(length: int):
+    """The text of each open run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            ids = np.asarray(batch.column(0), dtype=np.int64)
-            for row in range(len(ids)):
+            for row in range(batch.num_rows):
                 text, runs = batch.column(1)[row].as_py() or b"", batch.column(2)[row].values
                 start, windows, place = (np.asarray(runs.field(n), dtype=np.int64) for n in ("start", "windows", "place"))
                 for at in range(0, len(start), 20_000):
-                    yield _pieces_of(int(ids[row]), text, start[at : at + 20_000], windows[at : at + 20_000], place[at : at + 20_000], length, step, core, half)
+                    s, w, p = (x[at : at + 20_000] for x in (start, windows, place))
+                    data = [text[a:z] for a, z in zip(s.tolist(), (s + w - 1 + length).tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(s), batch.column(0)[row].as_py())), *(pa.array(x.astype(np.int32)) for x in (s, w, p)), pa.array(data, pa.binary())],
+                        names=["id", "start", "windows", "place", "stretch"],
+                    )
 
     return run
 
 
-def _pieces_of(ident: int, text: bytes, start, windows, place, length: int, step: int, core: int, half: int) -> pa.RecordBatch:
-    # piece b of a run: windows whose distance before the ranked place is in [b * step, (b + 1) * step)
-    low = (place - (start + windows - 1)) // step
-    high = (place - start) // step
-    n = high - low + 1
-    of = np.repeat(np.arange(len(start)), n)
-    piece = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    origin = place[of] - step * piece  # where the core begins
-    first = np.maximum(0, start[of] - (origin - step + 1))
-    last = np.minimum(step - 1, start[of] + windows[of] - 1 - (origin - step + 1))
-    # only the stretch of text around these runs is hashed
-    base, end = int(start.min()) if len(start) else 0, int((start + windows).max()) + length if len(start) else 0
-    raw = np.frombuffer(text, np.uint8)[base:end]
-    prints = Prints(raw)
-    x = origin - base
-    pad = np.concatenate([np.zeros(step, np.uint8), raw, np.zeros(step, np.uint8)])
-    around = np.concatenate([x[:, None] + np.arange(1, step), x[:, None] + step + core + np.arange(step - 1)], axis=1)
-    rim = pad[np.clip(around, 0, len(pad) - 1)]
-    flat = np.ascontiguousarray(rim).tobytes()
-    size = 2 * (step - 1)
-    rims = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * size).astype(np.int32).tobytes()), pa.py_buffer(flat)])
-    one, two = prints.of(x, x + half), prints.of(x + core - half, x + core)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(x), ident)), pa.array(origin.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), rims],
-        names=["one", "two", "id", "origin", "first", "last", "rim"],
-    )
+#: at: bytes from the start of the run; head: whether windows have it among their first bytes.
+POSITIONS = "id long, start int, at int, head boolean, one long, two long"
+
+
+def heads_of(windows: np.ndarray, ahead: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run the first and the last position (from its start) that a window has in its first `step` bytes. ahead:
+    where the ranked seed is; positions are a whole number of steps from it."""
+    return ahead - step * (ahead // step), ahead - step * ((ahead - windows + 1) // step)
+
+
+def _first_pairs(length: int, seed: int, step: int, core: int):
+    """Positions of the runs' stretches with the pair of the ranks of their first two SEED bytes."""
+    reach = core - min(core, 2 * seed)  # partners lie up to here after a head
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            ids, start, windows, place = (np.asarray(batch.column(k), dtype=np.int64) for k in range(4))
+            texts = batch.column(4).to_pylist()
+            low, high = heads_of(windows, place - start, step)
+            n = (high + reach - low) // step + 1
+            of = np.repeat(np.arange(len(ids)), n)
+            at = np.repeat(low, n) + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            begin = np.cumsum([0, *map(len, texts)])[:-1]
+            prints = Prints(np.frombuffer(b"".join(texts), np.uint8))
+            x = begin[of] + at
+            second = min(seed, core - seed)
+            pairs = [prints.of(x, x + seed).view(np.int64), prints.of(x + second, x + second + seed).view(np.int64)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[of]), pa.array(start[of].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(at <= high[of]), *map(pa.array, pairs)],
+                names=["id", "start", "at", "head", "one", "two"],
+            )
+
+    return run
+
+
+def _not_unique(positions: DataFrame) -> DataFrame:
+    """The positions whose pair of ranks another has too, written out."""
+    met = positions.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
+    return materialize(positions.join(met, ["one", "two"]).select("id", "start", "at", "head", "one", "two"), "repeat-ranks")
+
+
+def _double(ranked: DataFrame, offset: int) -> DataFrame:
+    """Pairs of the ranks of each position and of the one `offset` bytes on, each named by 128 bits. Partners are of the
+    same run, so one shuffle by run brings them together."""
+    on = W.partitionBy("id", "start").orderBy("at").rangeBetween(offset, offset)
+    pairs = ranked.withColumns({"one_on": F.first("one").over(on), "two_on": F.first("two").over(on)}).where("one_on is not null")
+    return pairs.select("id", "start", "at", "head", F.xxhash64("one", "two", "one_on", "two_on").alias("one"), F.xxhash64("two_on", "one", "one_on", "two").alias("two"))
 
 
 def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -261,64 +273,51 @@ def _one_text(every: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every, every.where("compared").select("id", "text")
 
 
-def hot_ranks(rows: DataFrame, length: int, seed: int) -> list[int]:
-    """Ranks that are frequent in a share of the documents; a bounded list that only spreads work."""
-    sample = rows.where(sample_share(F.col("id")) < HOT_SHARE).mapInArrow(_runs(length, seed), RUNS).where("sides >= 0")
-    often = sample.groupBy("rank").count().where(F.col("count") >= HOT_LEAST)
-    return [r[0] for r in often.orderBy(F.desc("count"), "rank").limit(HOT_RANKS).collect()]
-
-
-def _shared_sides(runs: DataFrame, side: int) -> DataFrame:
-    """Cuts runs to the windows whose longer stretch another run of the rank has too. A window that begins at least
-    `side` before the ranked seed holds the left stretch, one that begins at most `side` before it the right one."""
-    left, right = F.shiftright("sides", 16), F.col("sides").bitwiseAND(0xFFFF)
-    middle = F.col("place") - side  # the last window that holds the left stretch
-    end = F.col("start") + F.col("windows") - 1
-    cut = lambda a, z, which, stretch: F.struct(F.lit(which).alias("which"), stretch.alias("stretch"), a.alias("a"), z.alias("z"))
-    parts = F.explode(F.array(cut(F.col("start"), F.least(end, middle), 0, left), cut(F.greatest("start", middle + 1), end, 1, right)))
-    halves = runs.select("rank", "id", "place", parts.alias("p")).select("rank", "id", "place", "p.*").where("a <= z")
-    key = ["rank", "which", "stretch"]
-    met = halves.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
-    return halves.join(met, key).select("id", F.col("a").cast("int").alias("start"), (F.col("z") - F.col("a") + 1).cast("int").alias("windows"), "place")
-
-
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, step: int = STEP) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed byte ranges) of every row."""
     if 2 * length - seed > 255 or not 0 < seed <= length:
         raise ValueError("places within a run must fit a byte")
+    core = seed + step * ((length - step + 1 - seed) // step)  # what a head's windows have in common, in whole steps
+    if seed % step or core <= seed:
+        raise ValueError("the seed must be a whole number of steps, and a step shorter than what a window has besides")
     every = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     every, rows = _one_text(every)
-    hot = F.col("rank").isin(hot_ranks(rows, length, seed))
     runs = rows.mapInArrow(_runs(length, seed), RUNS)
-    settled = F.col("sides") == -1
-    runs = runs.withColumn("deal", F.when(hot & ~settled, F.xxhash64("rank", "whole")).otherwise(F.col("rank")))
-    equal = W.partitionBy("deal", "rank", "whole", "settled").orderBy("id", "spot")
-    alike = W.partitionBy("deal", "rank", "settled")
-    ranked = runs.repartition("deal").withColumn("settled", settled)
-    ranked = ranked.withColumns({"nth": F.rank().over(equal), "differ": F.min("whole").over(alike) != F.max("whole").over(alike)})
-    again = F.col("settled") | (F.col("nth") > 1)
-    open_run = ~again & (hot | F.col("differ"))
+    counted = runs.where("not settled").groupBy("rank").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("differ"))
+    shared = materialize(counted.where("n > 1").select("rank", "differ"), "repeat-seeds")
+    live = materialize(runs.join(shared, "rank", "left").where("settled or differ is not null"), "repeat-runs")
+    whole = live.where("not settled").groupBy("rank", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "spot")).alias("least"))
+    later = whole.where("n > 1").select("rank", "whole", "least")
+    again = F.col("settled") | (F.col("least").isNotNull() & (F.struct("id", "spot") > F.col("least")))
     start, windows, ahead = F.shiftright("spot", 16), F.shiftright("spot", 8).bitwiseAND(0xFF), F.col("spot").bitwiseAND(0xFF)
-    ranked = ranked.where(again | open_run).select(
-        "id", start.cast("int").alias("start"), windows.cast("int").alias("windows"), (start + ahead).cast("int").alias("place"), "rank", "sides", again.alias("again")
-    )
-    first = materialize(ranked, "repeat-runs")
+    first = live.join(later, ["rank", "whole"], "left").withColumn("again", again).where("again or differ")
+    first = materialize(first.select("id", start.cast("int").alias("start"), windows.cast("int").alias("windows"), (start + ahead).cast("int").alias("place"), "again"), "repeat-runs")
+    drop_table(live)
+    drop_table(shared)
     spans = first.where("again").select("id", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
 
-    todo = _shared_sides(first.where("not again").distinct(), (length - seed) // 2)
-    todo = todo.groupBy("id").agg(F.collect_list(F.struct("start", "windows", "place")).alias("runs"))
     # a repeated row must not count as a second occurrence
+    todo = first.where("not again").distinct().groupBy("id").agg(F.collect_list(F.struct("start", "windows", "place")).alias("runs"))
     once = rows.join(todo.hint("shuffle_hash"), "id").select("id", "text", "runs")
-    cores = materialize(once.mapInArrow(_pieces(length, step), PIECES), "repeat-pieces")
-    met = cores.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-    windows = cores.join(met, ["one", "two"]).withColumn("nth", F.explode(F.sequence("first", "last")))
-    rim = F.expr(f"substring(rim, nth + 1, {step - 1})")
-    # the rank of a whole window: 128 bits of the pair, its place and the rim
-    windows = windows.select(
-        F.xxhash64("one", "two", "nth", rim).alias("left"), F.xxhash64(rim, "nth", "two", "one").alias("right"), "id", (F.col("origin") - (step - 1) + F.col("nth")).alias("start")
-    )
+    stretches = materialize(once.mapInArrow(_stretches(length), STRETCHES), "repeat-stretches")
+    ranked = _not_unique(stretches.mapInArrow(_first_pairs(length, seed, step, core), POSITIONS))
+    known = min(core, 2 * seed)
+    while known < core:
+        offset = min(known, core - known)
+        before, ranked = ranked, _not_unique(_double(ranked, offset))
+        drop_table(before)
+        known += offset
+
+    # a window has its head at most step - 1 bytes after its start, and length - core bytes around the head's prefix
+    whole_run = stretches.select("id", "start", "windows", "stretch")
+    windows = ranked.where("head").join(whole_run, ["id", "start"])
+    windows = windows.withColumn("nth", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - step + 1), F.least("at", F.col("windows") - 1))))
+    around = F.concat(F.expr("substring(stretch, nth + 1, at - nth)"), F.expr(f"substring(stretch, at + {core} + 1, nth + {length} - at - {core})"))
+    windows = windows.select("one", "two", (F.col("at") - F.col("nth")).alias("d"), around.alias("rim"), "id", (F.col("start") + F.col("nth")).alias("start"))
+    windows = windows.select(F.xxhash64("one", "two", "d", "rim").alias("left"), F.xxhash64("rim", "d", "two", "one").alias("right"), "id", "start")
     windows = materialize(windows, "repeat-windows")
-    drop_table(cores)
+    drop_table(ranked)
+    drop_table(stretches)
     name = ["left", "right"]
     least = windows.groupBy(*name).agg(F.min(F.struct("id", "start")).alias("least"), F.max(F.struct("id", "start")).alias("most")).where("least <> most").drop("most")
     late = windows.join(least, name).where(F.struct("id", "start") > F.col("least")).select("id", "start", (F.col("start") + length).alias("end"))
