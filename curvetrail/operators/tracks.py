@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from curvetrail.config import Refinement
 from curvetrail.functions.geometry import diagonal, foot_y, num, point_x, scale, upper_median
+from curvetrail.operators.components import components
+from curvetrail.plans.staging import staged
 
 
 def parse_tracks(results: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -98,17 +101,16 @@ def _candidate_terms(cfg: Refinement) -> tuple[Column, Column]:
     return ok, score
 
 
-def stitch_candidates(tracks: DataFrame, cfg: Refinement = Refinement()) -> DataFrame:
-    """Pairs (src, dst) of one class where dst starts 1 to max_gap frames after src ends and passes all tests.
+def _candidates(ends: DataFrame, cfg: Refinement) -> DataFrame:
+    """Candidate pairs of tracks (video_id, track_id, cls_id, start_frame, end_frame, start, end, vx, vy).
     The range join is an equi join on bins of max_gap frames: a start meets ends of its own bin and the one before."""
-    seg = track_segments(tracks)
     width = max(1, cfg.max_gap)
-    src = seg.join(tail_velocity(tracks), ["video_id", "track_id"]).select(
+    src = ends.select(
         "video_id", "cls_id", F.col("track_id").alias("src"), F.col("end_frame").alias("s_end_frame"), F.col("end").alias("s_end"), "vx", "vy",
         F.floor(F.col("end_frame") / width).alias("bin"),
     )
     here = F.floor(F.col("start_frame") / width)
-    dst = seg.select(
+    dst = ends.select(
         "video_id", "cls_id", F.col("track_id").alias("dst"), F.col("start_frame").alias("d_start_frame"), F.col("start").alias("d_start"),
         F.explode(F.array(here, here - 1)).alias("bin"),
     )
@@ -118,50 +120,90 @@ def stitch_candidates(tracks: DataFrame, cfg: Refinement = Refinement()) -> Data
     return met.select("video_id", "src", "dst", gap.alias("gap"), score.alias("score"))
 
 
-def _assign(frame: pd.DataFrame) -> pd.DataFrame:
-    """Chains of one video: in order of start, each track takes the best free tail among its candidates. Tails keep the
-    order in which their chains began; of equal scores the first wins."""
-    rows = frame.sort_values(["start_frame", "first_seen", "dst"], kind="stable")
-    order, options, dropped = [], {}, set()
-    for r in rows.itertuples():
-        if r.dst not in options:
-            order.append(r.dst)
-            options[r.dst] = {}
-            if r.dropped:
-                dropped.add(r.dst)
-        if r.src is not None and r.src == r.src:
-            options[r.dst][int(r.src)] = r.score
-    chain = {t: -1 if t in dropped else t for t in order}
-    tails = {t: t for t in order if t not in dropped}
-    for t in order:
-        if chain[t] != t:
-            continue
-        best, root = None, None
-        for canonical, tail in tails.items():
-            score = options[t].get(tail)
-            if tail != t and score is not None and (best is None or score < best):
-                best, root = score, canonical
-        if root is not None:
-            chain[t] = root
-            tails[root] = t
-            tails.pop(t, None)
-    return pd.DataFrame({"video_id": frame["video_id"].iloc[0], "track_id": order, "new_id": [chain[t] for t in order]})
+def stitch_candidates(tracks: DataFrame, cfg: Refinement = Refinement()) -> DataFrame:
+    """Pairs (src, dst) of one class where dst starts 1 to max_gap frames after src ends and passes all tests."""
+    return _candidates(track_segments(tracks).join(tail_velocity(tracks), ["video_id", "track_id"]), cfg)
+
+
+def track_summary(tracks: DataFrame, cfg: Refinement = Refinement(), tail: int = 4) -> DataFrame:
+    """All that the repair of ids asks of a track, from one shuffle: what track_segments, short_tracks and tail_velocity say
+    of it. Medians are picked by place, so no list of a whole track is made."""
+    track = W.partitionBy("video_id", "track_id")
+    w = track.orderBy("frame_id")
+    t = tracks.withColumns({"px": point_x(), "py": foot_y()})
+    dt = F.greatest(F.lit(1), F.col("frame_id") - F.lag("frame_id").over(w))
+    t = t.withColumns({
+        "vx": (F.col("px") - F.lag("px").over(w)) / dt, "vy": (F.col("py") - F.lag("py").over(w)) / dt, "nth": F.row_number().over(w),
+        "by_area": F.row_number().over(track.orderBy("area")), "n": F.count("*").over(track),
+    })
+    end = F.struct("frame_id", "x1", "y1", "x2", "y2", "area", "frame_w", "frame_h")
+    late = F.col("n") - F.col("nth") < max(2, tail) - 1
+    steps = lambda c: F.collect_list(F.when(late, F.col(c)))
+    out = t.groupBy("video_id", "track_id").agg(
+        F.min_by(F.struct("cls_id", end.alias("o")), "frame_id").alias("a"), F.max_by(end, "frame_id").alias("z"), F.count("*").alias("n_obs"),
+        F.max(F.when(F.col("by_area") == F.floor(F.col("n") / 2) + 1, F.col("area"))).alias("median_area"),
+        F.max("frame_w").alias("fw"), F.max("frame_h").alias("fh"), steps("vx").alias("vxs"), steps("vy").alias("vys"),
+    )
+    span = F.col("z.frame_id") - F.col("a.o.frame_id") + 1
+    frame_area = F.when((F.col("fw") > 1) & (F.col("fh") > 1), F.col("fw") * F.col("fh")).otherwise(num(640 * 360))
+    is_short = ~((F.col("n_obs") >= cfg.min_len) & (span >= cfg.min_span))
+    tiny = (F.col("median_area") < cfg.min_area) | (F.col("median_area") / frame_area < cfg.min_area_ratio)
+    usual = lambda c: F.when(F.size(c) > 0, upper_median(F.col(c))).otherwise(num(0))
+    return out.select(
+        "video_id", "track_id", F.col("a.cls_id").alias("cls_id"), F.col("a.o.frame_id").alias("start_frame"), F.col("z.frame_id").alias("end_frame"),
+        F.col("a.o").alias("start"), F.col("z").alias("end"), "n_obs", "median_area", (is_short & tiny).alias("dropped"), usual("vxs").alias("vx"), usual("vys").alias("vy"),
+    )
+
+
+def _chained(rows: Iterable[tuple[int, int, float]]) -> Iterator[tuple[int, int]]:
+    """(track, chain) of one component. rows: (dst, src or None, score) in order of start. Each track takes the free tail
+    of best score among its candidates; of equal scores that of the chain that began first."""
+    root: dict[int, int] = {}  # of each free tail
+    began: dict[int, int] = {}  # the place of each chain's first track
+    for dst, options in groupby(rows, key=lambda r: r[0]):
+        best = min(((score, began[root[src]], src) for _, src, score in options if src in root), default=None)
+        chain = root.pop(best[2]) if best else dst
+        root[dst] = chain
+        began.setdefault(dst, len(began))
+        yield dst, chain
+
+
+def _chain_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by component and start, to the chain of each track: one component is held at a time."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+    out: list[tuple[int, int, int]] = []
+    kinds = [pa.int64()] * 3
+    make = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["video_id", "track_id", "new_id"])
+    for (video, _), part in groupby(rows, key=lambda r: (r[0], r[1])):
+        out += [(video, track, chain) for track, chain in _chained((dst, src, score) for _, _, _, dst, src, score in part)]
+        if len(out) >= 10_000:
+            yield make()
+            out = []
+    if out:
+        yield make()
+
+
+def chain_components(tracks: DataFrame, cfg: Refinement = Refinement()) -> DataFrame:
+    """video_id, track_id, component: tracks that candidate pairs connect, named by their least track; a track that no
+    candidate pair has is its own. Tails compete within a component only."""
+    ends = staged(track_summary(tracks, cfg), "track-ends")
+    parts = components(_candidates(ends.where("not dropped"), cfg), ["video_id"], "src", "dst").withColumnRenamed("node", "track_id")
+    return ends.select("video_id", "track_id").join(parts, ["video_id", "track_id"], "left").withColumn("component", F.coalesce("component", "track_id"))
 
 
 def refine_ids(tracks: DataFrame, cfg: Refinement = Refinement()) -> DataFrame:
     """video_id, track_id, new_id: the id each track goes on under, -1 for false tracks.
-    Only track summaries and candidate pairs of a part of a video meet in one task; observations do not."""
-    facts = short_tracks(tracks, cfg).select("video_id", "track_id", "dropped")
-    alive = tracks.join(facts.where("not dropped"), ["video_id", "track_id"], "left_semi")
-    pairs = stitch_candidates(alive, cfg).select("video_id", F.col("dst").alias("track_id"), "src", "score")
-    ends = tracks.groupBy("video_id", "track_id").agg(F.min("frame_id").alias("start_frame"), F.max("frame_id").alias("end_frame"))
-    # tracks on either side of a pause of more than max_gap frames never chain: a long video falls into parts
-    w = W.partitionBy("video_id").orderBy("start_frame", "track_id")
-    until = F.max("end_frame").over(w.rowsBetween(W.unboundedPreceding, -1))
-    ends = ends.withColumn("_cut", (F.col("start_frame") > until + max(1, cfg.max_gap)).cast("int")).withColumn("part", F.sum(F.coalesce("_cut", F.lit(0))).over(w))
-    every = ends.join(facts, ["video_id", "track_id"]).join(pairs, ["video_id", "track_id"], "left")
-    rows = every.select("video_id", "part", F.col("track_id").alias("dst"), "start_frame", F.col("track_id").alias("first_seen"), "dropped", "src", "score")
-    return rows.groupBy("video_id", "part").applyInPandas(_assign, "video_id long, track_id long, new_id long")
+    Tracks become one summary each; the candidate pairs of a connected component are what meets in one task, so a camera
+    that never pauses falls into as many parts as its tracks leave apart. Tracks without candidates keep their ids."""
+    ends = staged(track_summary(tracks, cfg), "track-ends")
+    pairs = staged(_candidates(ends.where("not dropped"), cfg), "candidates")
+    parts = components(pairs, ["video_id"], "src", "dst").withColumnRenamed("node", "dst")
+    begins = ends.select("video_id", F.col("track_id").alias("dst"), "start_frame")
+    rows = parts.join(begins, ["video_id", "dst"]).join(pairs, ["video_id", "dst"], "left")
+    rows = rows.repartition("video_id", "component").sortWithinPartitions("video_id", "component", "start_frame", "dst", "src")
+    chained = rows.select("video_id", "component", "start_frame", "dst", "src", "score").mapInArrow(_chain_parts, "video_id long, track_id long, new_id long")
+    known = ends.select("video_id", "track_id", "dropped").join(chained, ["video_id", "track_id"], "left")
+    return known.select("video_id", "track_id", F.when(F.col("dropped"), F.lit(-1)).otherwise(F.coalesce("new_id", "track_id")).cast("long").alias("new_id"))
 
 
 def apply_id_map(tracks: DataFrame, id_map: DataFrame) -> DataFrame:

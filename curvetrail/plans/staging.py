@@ -22,3 +22,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables of staged() that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        root = (spark.conf.get("spark.checkpoint.dir", None) or "").rstrip("/").split(":", 1)[-1].lstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if root and folder.split(":", 1)[-1].lstrip("/").startswith(root):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
