@@ -33,10 +33,17 @@ PASSED_ON = {
 }
 
 
+#: Frames of a bin of the anti join with labelled intervals.
+BIN = 512
+
+
 def outside(rows: DataFrame, gt: DataFrame) -> DataFrame:
-    """Rows whose frame lies in no labelled interval of their video."""
-    g = gt.where("e >= 0").select(F.col("video_id").alias("_v"), "s", "e")
-    return rows.join(g, (F.col("video_id") == F.col("_v")) & (F.col("frame_id") >= F.col("s")) & (F.col("frame_id") <= F.col("e")), "left_anti")
+    """Rows whose frame lies in no labelled interval of their video. A row meets only intervals that reach into its own
+    bin of frames."""
+    spread = F.explode(F.sequence(F.floor(F.col("s") / BIN), F.floor(F.col("e") / BIN)))
+    g = gt.where("e >= 0 and s <= e").select(F.col("video_id").alias("_v"), "s", "e", spread.alias("_bin"))
+    here = (F.col("video_id") == F.col("_v")) & (F.floor(F.col("frame_id") / BIN) == F.col("_bin"))
+    return rows.join(g, here & (F.col("frame_id") >= F.col("s")) & (F.col("frame_id") <= F.col("e")), "left_anti")
 
 
 def calib_stats(tracks: DataFrame, frames: DataFrame, gt: DataFrame, window: int = 8, cfg: Motion = Motion()) -> DataFrame:

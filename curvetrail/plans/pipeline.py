@@ -52,6 +52,7 @@ def evaluate(scores: DataFrame, labels: DataFrame, threshold: float = 0.5, share
     """Pooled measures of frames (of videos with labels) and of videos (mean of the highest frames): level and values.
     labels: video_id, idx, y, video_y."""
     joined = scores.select("video_id", "idx", "score").join(labels.select("video_id", "idx", "y", "video_y"), ["video_id", "idx"])
+    joined = staged(joined, "labelled-scores")  # read by both levels, and by the ranking's own sample
     frame = joined.where("video_y = 1").select(F.lit("frame").alias("level"), F.struct("video_id", "idx").alias("ord"), "y", "score")
     top = top_share_mean(joined, "score", "score", ["video_id", "video_y"], share)
     video = top.select(F.lit("video").alias("level"), F.struct("video_id", F.lit(0).cast("long").alias("idx")).alias("ord"), F.col("video_y").alias("y"), "score")
