@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from curvetrail.config import Motion
+from curvetrail.functions.fits import fit_slope, fit_value, orthogonal_fit
 from curvetrail.functions.geometry import area_ratio, box, box_at, box_iou, diagonal, edge_unstable, far_score, num, point_x, point_y, scale, top_mean
 from curvetrail.plans.staging import staged
 
@@ -87,23 +88,35 @@ def _solved(s: Column, degree: Column) -> dict[str, Column]:
     return out
 
 
+def _orthogonal(seq: Column, t0: Column, degree: Column) -> Column:
+    """The fit of x and y over observations, for degrees beyond the closed forms; times from t0."""
+    times = F.transform(seq, lambda o: (o["frame_id"] - t0).cast("double"))
+    return orthogonal_fit(times, {"x": F.transform(seq, lambda o: o["px"]), "y": F.transform(seq, lambda o: o["py"])}, degree)
+
+
 def _fitted(t: DataFrame, size: int, cfg: Motion) -> DataFrame:
     """A row for each track on the last frame of a window that it has been seen in three times or more, static ones
     left out: fitted value and velocity, speed, whether the last step is stable, the predicted next box, and for tracks
     of full history the errors of the previous fit and the changes of speed and direction. The observations of a track
     within a window are a range frame over its own rows, at most `size` of them."""
-    if cfg.fit_degree not in (1, 2):
-        raise ValueError("fits are linear or quadratic")
+    if cfg.fit_degree < 1:
+        raise ValueError("a fit has a degree of 1 at least")
     hist = min(size, max(3, cfg.history)) if cfg.history is not None else size
     t = t.where((F.col("idx") >= size - 1) & (F.col("n") >= 3) & ~F.col("still"))
     t = t.select("video_id", "track_id", "idx", "fw", "fh", "seq", "n", F.try_element_at("seq", F.lit(-2)).alias("a"), F.try_element_at("seq", F.lit(-1)).alias("b"))
     # the current fit takes the last `hist` observations, the one before it those without the current one
     now = F.slice("seq", F.greatest(F.lit(1), F.col("n") - hist + 1), hist)
     before = F.slice("seq", F.greatest(F.lit(1), F.col("n") - hist), F.least(F.col("n") - 1, F.lit(hist)))
-    t = t.withColumns({"s_now": _sums(now, F.col("b.frame_id")), "s_before": _sums(before, F.col("a.frame_id"))})
     degree = lambda full: F.when(full, F.lit(cfg.fit_degree)).otherwise(F.lit(1))
     full = F.col("n") >= hist
-    t = t.withColumns(_solved(F.col("s_now"), degree(full)) | {f"p{k}": v for k, v in _solved(F.col("s_before"), degree(F.col("n") - 1 >= hist)).items()})
+    if cfg.fit_degree <= 2:
+        t = t.withColumns({"s_now": _sums(now, F.col("b.frame_id")), "s_before": _sums(before, F.col("a.frame_id"))})
+        t = t.withColumns(_solved(F.col("s_now"), degree(full)) | {f"p{k}": v for k, v in _solved(F.col("s_before"), degree(F.col("n") - 1 >= hist)).items()})
+        at = lambda p, c, d: F.col(f"{p}{c}0") + F.col(f"{p}v{c}") * F.col(d) + F.col(f"{p}q{c}") * F.col(d) * F.col(d)
+    else:
+        t = t.withColumns({"fit": _orthogonal(now, F.col("b.frame_id"), degree(full)), "pfit": _orthogonal(before, F.col("a.frame_id"), degree(F.col("n") - 1 >= hist))})
+        t = t.withColumns({f"{p}{c}0": fit_value(F.col(f"{p}fit"), c, num(0)) for p in ("", "p") for c in "xy"} | {f"{p}v{c}": fit_slope(F.col(f"{p}fit"), c, num(0)) for p in ("", "p") for c in "xy"})
+        at = lambda p, c, d: fit_value(F.col(f"{p}fit"), c, F.col(d))
     gaps = F.zip_with(F.slice(now, 2, hist), F.slice(now, 1, F.size(now) - 1), lambda z, y: z["frame_id"] - y["frame_id"])
     usual = F.greatest(F.lit(1), F.try_element_at(F.array_sort(gaps), F.floor(F.size(gaps) / 2).cast("int") + 1)).cast("double")
     fw, fh = F.col("fw"), F.col("fh")
@@ -114,7 +127,6 @@ def _fitted(t: DataFrame, size: int, cfg: Motion) -> DataFrame:
     stable = stable & (area_ratio(F.col("a.area"), F.col("b.area")) <= cfg.max_area_ratio) & (step / pair_scale <= cfg.max_step_ratio)
     dt = F.greatest(F.lit(1), F.col("b.frame_id") - F.col("a.frame_id")).cast("double")
     t = t.withColumns({"stable": stable, "dt": dt, "next_dt": usual, "s0": s0, "pair_scale": pair_scale, "n1": F.hypot("pvx", "pvy"), "n2": F.hypot("vx", "vy")})
-    at = lambda p, c, d: F.col(f"{p}{c}0") + F.col(f"{p}v{c}") * F.col(d) + F.col(f"{p}q{c}") * F.col(d) * F.col(d)
     dims = lambda p: (F.col(f"{p}.x2") - F.col(f"{p}.x1"), F.col(f"{p}.y2") - F.col(f"{p}.y1"))
     nb = box_at(at("", "x", "next_dt"), at("", "y", "next_dt"), *dims("b"), cfg.point_height)
     t = t.withColumns({"ex": at("p", "x", "dt"), "ey": at("p", "y", "dt"), "r1": F.col("n1") * F.col("dt") / F.col("pair_scale"), "r2": F.col("n2") * F.col("dt") / F.col("pair_scale")})

@@ -130,6 +130,7 @@ SELECT p_partkey, w, h, CASE WHEN greatest(w,h)<=896 THEN w ELSE greatest(1, rou
   CASE WHEN greatest(w,h)<=896 THEN h ELSE greatest(1, round_even(h*(896.0{D}/greatest(w,h)),0))::BIGINT END AS new_h
 FROM (SELECT p_partkey, (p_size*37+5)::BIGINT AS w, p_partkey%53*21+7 AS h FROM part)""")
 oracle("resume", "", "SELECT c_custkey AS video_id FROM customer WHERE c_custkey%3<>0 ORDER BY 1 LIMIT 25")
+oracle("tracks_by_id", "tracks", f"SELECT video_id, track_id, first_value(cls_id) OVER w AS cls_id, row_number() OVER w - 1 AS pos, frame_id, {r('x1')} AS x1, {r('y1')} AS y1, {r('x2')} AS x2, {r('y2')} AS y2 FROM tracks WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame_id)")
 oracle("tracks_json", "tracks", f"SELECT video_id, frame_id, track_id, cls_id, {r('x1')} AS x1, {r('y1')} AS y1, {r('x2')} AS x2, {r('y2')} AS y2 FROM tracks")
 
 
@@ -197,6 +198,11 @@ view("steps", "cand", """SELECT DISTINCT video_id, 0::BIGINT AS k, []::BIGINT[]
 view("idmap", "steps", "SELECT video_id, x.t AS track_id, x.r AS new_id FROM (SELECT video_id, unnest(arg_max(roots, k)) AS x FROM steps GROUP BY video_id)")
 oracle("refine_ids", "idmap", "SELECT * FROM idmap")
 
+view("cedge", "seg tailv short", f"""SELECT p.video_id, unnest([p.src, p.dst]) AS a, unnest([p.dst, p.src]) AS b FROM ({STITCH}) p
+ JOIN short x ON x.video_id=p.video_id AND x.track_id=p.src JOIN short y ON y.video_id=p.video_id AND y.track_id=p.dst WHERE NOT x.dropped AND NOT y.dropped""")
+view("creach", "cedge", "SELECT video_id, a AS node, a AS component FROM cedge UNION SELECT c.video_id, e.b, c.component FROM creach c JOIN cedge e ON e.video_id=c.video_id AND e.a=c.node")
+oracle("chain_components", "short creach", "SELECT s.video_id, s.track_id, coalesce(min(c.component), s.track_id) AS component FROM short s LEFT JOIN creach c ON c.video_id=s.video_id AND c.node=s.track_id GROUP BY s.video_id, s.track_id")
+
 # windows and motion
 oracle("sliding_windows", "frames", "SELECT a.video_id, a.idx AS window_id, a.frame_id AS start_frame, b.frame_id AS end_frame, s AS step FROM frames a JOIN frames b ON a.video_id=b.video_id AND b.idx=a.idx+7, (VALUES (1::BIGINT),(3::BIGINT)) v(s) WHERE a.idx%s=0")
 view("memb0", "obs", """SELECT a.video_id, a.idx-7 AS window_id, a.track_id, a.idx AS aidx, a.frame_id AS af, b.idx, b.frame_id, b.px, b.py, b.area, b.x1, b.y1, b.x2, b.y2,
@@ -387,10 +393,16 @@ FROM (SELECT *, start_frame AS ord, sum(cut) OVER (PARTITION BY video_id ORDER B
 
 view("mprior", "prop", "SELECT * EXCLUDE (prior_score), prior_score, prior_score AS vlm_score, prior_score AS fused_score FROM prop")
 oracle("merge_spans", "mprior", f"SELECT 10::BIGINT AS gap, * FROM ({merged('mprior', 10, f'prior_score>=0.3{D}')}) UNION ALL SELECT 0::BIGINT AS gap, * FROM ({merged('mprior', 0, f'prior_score>=0.3{D}')})")
+oracle("run_results", "mprior frames", f"""SELECT f.video_id, n AS num_sampled_frames, greatest(0, n - 7) AS num_windows, coalesce(np, 0) AS num_pred_spans, coalesce(nm, 0) AS num_final_spans, coalesce(ps, '') AS pred_spans, coalesce(ms, '') AS final_spans
+FROM (SELECT video_id, count(*) AS n FROM frames GROUP BY 1) f LEFT JOIN (SELECT video_id, count(*) AS np, string_agg(concat_ws('-', start_frame, end_frame, peak_frame), ',' ORDER BY start_frame, end_frame, peak_frame) AS ps FROM prop GROUP BY 1) p ON p.video_id=f.video_id
+LEFT JOIN (SELECT video_id, count(*) AS nm, string_agg(concat_ws('-', start_frame, end_frame, peak_frame), ',' ORDER BY start_frame, end_frame, peak_frame) AS ms FROM ({merged('mprior', 10, f'prior_score>=0.3{D}')}) GROUP BY 1) m ON m.video_id=f.video_id""")
 oracle("refine_spans", "fused", merged("fused", 10, f"fused_score>=0.3{D}"))
 view("mid", "prop", f"SELECT p.video_id, p.start_frame, p.end_frame, p.peak_frame, arg_min(f.frame_id, (abs(f.frame_id-(p.start_frame+p.end_frame)/2.0{D}), f.frame_id)) AS m FROM prop p JOIN frames f ON f.video_id=p.video_id AND f.frame_id BETWEEN p.start_frame AND p.end_frame GROUP BY ALL")
 view("kf", "mid", "SELECT *, list_reduce([[start_frame],[m],[peak_frame],[end_frame]], lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_concat(a, x) END) AS ks FROM mid")
 oracle("keyframes", "kf", "SELECT video_id, start_frame, array_to_string(ks, ',') AS frames FROM kf")
+oracle("keyframe_table", "kf", "SELECT video_id, start_frame, generate_subscripts(ks, 1) - 1 AS pos, unnest(ks) AS frame_id FROM kf")
+oracle("keyframe_numbers", "kf", """SELECT video_id, span_no, pos, frame_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id ORDER BY span_no, pos) AS nth FROM (
+ SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start_frame, end_frame) AS span_no, ks FROM kf) k, LATERAL (SELECT generate_subscripts(k.ks, 1) - 1 AS pos, unnest(k.ks) AS frame_id) x) WHERE nth = 1""")
 oracle("select_keyframes", "prop", """SELECT video_id, start_frame, array_to_string(list_sort(list_distinct(CASE WHEN list_contains(p, peak_frame) THEN p ELSE [p[1], p[2], peak_frame, p[4]] END)), ',') AS frames
 FROM (SELECT *, [start_frame, start_frame+st, start_frame+2*st, end_frame] AS p FROM (SELECT *, greatest(1, (end_frame-start_frame)//3) AS st FROM prop))""")
 oracle("evidence_frames", "kf", "SELECT k.video_id, k.start_frame, k.end_frame, k.pos, k.frame_id, count(t.track_id) AS n_tracks FROM (SELECT video_id, start_frame, end_frame, unnest(ks) AS frame_id, generate_subscripts(ks,1)-1 AS pos FROM kf) k LEFT JOIN tracks t ON t.video_id=k.video_id AND t.frame_id=k.frame_id GROUP BY ALL")

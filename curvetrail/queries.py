@@ -14,7 +14,7 @@ from curvetrail import fixtures as fx
 from curvetrail.config import Chunks, Gate, Spans
 from curvetrail.functions import geometry as g
 from curvetrail.functions import parse, prompts, signals
-from curvetrail.operators import calibrate, gate, keyframes, metrics, motion, peaks, scene, spans, tracks, windows
+from curvetrail.operators import calibrate, gate, keyframes, metrics, motion, peaks, scene, spans, tables, tracks, windows
 from curvetrail.plans import pipeline
 from curvetrail.sources import sinks, text
 
@@ -244,6 +244,15 @@ def q_tracks_json(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(sinks.flat_tracks(back))
 
 
+@query
+def q_tracks_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks nested by id, as JSON text and back."""
+    nested = sinks.tracks_by_id(fx.tracks(spark, sf))
+    back = nested.select(F.from_json(F.to_json(F.struct("video_id", "tracks")), nested.schema).alias("r")).select("r.*")
+    flat = back.select("video_id", F.explode("tracks").alias("t")).select("video_id", "t.track_id", "t.cls_id", F.posexplode("t.seen").alias("pos", "o"))
+    return tidy(flat.select("video_id", "track_id", "cls_id", "pos", "o.*"))
+
+
 @query
 def q_subscore_table(spark: SparkSession, sf: str) -> DataFrame:
     """The dense per-frame table that the CSV sink writes."""
@@ -343,6 +352,11 @@ def q_refine_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tracks.refine_ids(fx.tracks(spark, sf))
 
 
+@query
+def q_chain_components(spark: SparkSession, sf: str) -> DataFrame:
+    return tracks.chain_components(fx.tracks(spark, sf))
+
+
 @query
 def q_apply_id_map(spark: SparkSession, sf: str) -> DataFrame:
     t = fx.tracks(spark, sf)
@@ -619,6 +633,16 @@ def q_merge_spans(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(near.unionByName(spans.merge_spans(f, 0).withColumn("gap", F.lit(0))).select("gap", *MERGED))
 
 
+@query
+def q_run_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The result row of each video, spans as text."""
+    p = proposals(spark, sf)
+    f = p.withColumns({"vlm_score": F.col("prior_score"), "vlm_confidence": g.num(0.5), "fused_score": F.col("prior_score"), "is_positive": F.col("prior_score") >= 0.3})
+    out = sinks.run_results(base(spark, sf)[1], p, spans.merge_spans(f, 10))
+    named = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", *[x[k].cast("string") for k in ("start_frame", "end_frame", "peak_frame")])), ",").alias(c)
+    return tidy(out.select("video_id", "num_sampled_frames", "num_windows", "num_pred_spans", "num_final_spans", named("pred_spans"), named("final_spans")))
+
+
 @query
 def q_refine_spans(spark: SparkSession, sf: str) -> DataFrame:
     s = curve(spark, sf)
@@ -633,6 +657,27 @@ def q_keyframes(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(k.select("video_id", "start_frame", joined(c).alias("frames")))
 
 
+def keyed_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return keyframes.nearest_to_middle(proposals(spark, sf).select("video_id", "start_frame", "end_frame", "peak_frame"), base(spark, sf)[1])
+
+
+@query
+def q_keyframe_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Key frames by a table function that SQL calls for each span."""
+    tables.register(spark)
+    sql = "SELECT s.video_id, s.start_frame, k.pos, k.frame_id FROM {spans} s, LATERAL key_frames(s.start_frame, s.middle_frame, s.peak_frame, s.end_frame) k"
+    return tidy(spark.sql(sql, spans=keyed_spans(spark, sf)))
+
+
+@query
+def q_keyframe_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Key frames of whole videos by a table function with partitions and an order; a frame counts for its first span."""
+    tables.register(spark)
+    spans_of = keyed_spans(spark, sf).select("video_id", "start_frame", "middle_frame", "peak_frame", "end_frame")
+    sql = "SELECT * FROM numbered_key_frames(TABLE({spans}) PARTITION BY video_id ORDER BY (start_frame, end_frame))"
+    return tidy(spark.sql(sql, spans=spans_of))
+
+
 @query
 def q_select_keyframes(spark: SparkSession, sf: str) -> DataFrame:
     p = proposals(spark, sf)

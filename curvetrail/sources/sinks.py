@@ -41,3 +41,27 @@ def write_curves(curves: DataFrame, path: str) -> None:
 def write_result(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Parquet or JSON, a folder for each bucket of videos, so that readers prune."""
     df.withColumn("video_bucket", F.pmod(F.xxhash64("video_id"), F.lit(64))).write.mode("overwrite").partitionBy("video_bucket").format(kind).save(path)
+
+
+def tracks_by_id(tracks: DataFrame) -> DataFrame:
+    """One row a video: its tracks, each with its observations in frame order."""
+    seen = F.struct("frame_id", "x1", "y1", "x2", "y2")
+    per = tracks.groupBy("video_id", "track_id").agg(F.min_by("cls_id", "frame_id").alias("cls_id"), F.array_sort(F.collect_list(seen)).alias("seen"))
+    return per.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("track_id", "cls_id", "seen"))).alias("tracks"))
+
+
+def run_results(frames: DataFrame, spans: DataFrame, merged: DataFrame, window: int = 8) -> DataFrame:
+    """One row a video, those without spans too: counts of sampled frames and windows, the proposed spans with their peaks
+    and the merged ones, in order. frames: video_id, idx, frame_id; spans: video_id, start_frame, end_frame, peak_frame;
+    merged: these and merged_id, fused_score. Each side is summed up by video before they meet."""
+    span = F.struct("start_frame", "end_frame", "peak_frame")
+    final = F.struct("start_frame", "end_frame", "peak_frame", "merged_id", "fused_score")
+    f = frames.groupBy("video_id").agg(F.count("*").alias("num_sampled_frames"))
+    s = spans.groupBy("video_id").agg(F.count("*").alias("num_pred_spans"), F.array_sort(F.collect_list(span)).alias("pred_spans"))
+    m = merged.groupBy("video_id").agg(F.count("*").alias("num_final_spans"), F.array_sort(F.collect_list(final)).alias("final_spans"))
+    out = f.join(s, "video_id", "left").join(m, "video_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    windows = F.greatest(F.lit(0), F.col("num_sampled_frames") - (window - 1)).cast("long").alias("num_windows")
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
+    kinds = {x.name: x.dataType.simpleString() for x in out.schema}
+    return out.select("video_id", zero("num_sampled_frames"), windows, zero("num_pred_spans"), zero("num_final_spans"), none("pred_spans", kinds["pred_spans"]), none("final_spans", kinds["final_spans"]))

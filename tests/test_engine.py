@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from curvetrail.config import Boundary, Chunks, EngineConfig, Refinement, load_config, merged
+from curvetrail.config import Boundary, Chunks, EngineConfig, Motion, Refinement, build, load_config
 from curvetrail.functions import geometry as g
 from curvetrail.functions import parse, signals
 from curvetrail.operators import gate, keyframes, metrics, motion, peaks, spans, tracks, windows
@@ -38,7 +38,8 @@ def tracked(spark, rows):
 def test_config():
     cfg = load_config({"boundary": {"peak_gap": 9}, "gate": {"weights": [["a", 1.0]]}})
     assert cfg.boundary.peak_gap == 9 and cfg.boundary.merge_gap == 12 and cfg.gate.weights == (("a", 1.0),)
-    assert merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
+    two = build(EngineConfig, {"boundary": {"peak_gap": 9, "merge_gap": 5}, "motion": {"top_k": 1}}, {"boundary": {"peak_gap": 7}})
+    assert (two.boundary.peak_gap, two.boundary.merge_gap, two.boundary.anchors, two.motion.top_k) == (7, 5, 4, 1)
     with pytest.raises(KeyError):
         load_config({"nothing": 1})
     assert Chunks().step == 45 and Chunks(max_stride_ratio=0.5).step == 30
@@ -257,6 +258,46 @@ def test_static_and_fit(spark):
     assert motion.track_features(t, few).count() == 0
 
 
+@pytest.mark.parametrize("degree", [1, 2, 3, 4, 6])
+def test_fits_of_any_degree(spark, degree):
+    """Orthogonal fits against the library's least squares, with times that repeat and fewer points than terms."""
+    import numpy as np
+
+    from curvetrail.functions.fits import fit_slope, fit_value, orthogonal_fit
+
+    rng = random.Random(degree)
+    rows = []
+    for i in range(60):
+        n = rng.randrange(1, 12)
+        t = sorted(float(-rng.randrange(0, 40)) for _ in range(n)) if i % 2 else [float(-2 * k) for k in range(n)][::-1]
+        rows.append((i, t, [rng.uniform(-50, 50) for _ in t]))
+    df = spark.createDataFrame(rows, "i long, t array<double>, x array<double>")
+    fit = F.col("fit")
+    got = df.withColumn("fit", orthogonal_fit(F.col("t"), {"x": F.col("x")}, F.lit(degree))).select("i", fit_value(fit, "x", F.lit(0.0)).alias("v"), fit_slope(fit, "x", F.lit(0.0)).alias("s"), fit_value(fit, "x", F.lit(3.0)).alias("ahead"))
+    for r in got.collect():
+        _, t, x = rows[r.i]
+        if len(set(t)) == 1:
+            assert (r.v, r.s, r.ahead) == pytest.approx((np.mean(x), 0.0, np.mean(x)), abs=1e-9)
+            continue
+        p = np.polynomial.Polynomial.fit(t, x, min(degree, len(set(t)) - 1))
+        assert (r.v, r.s, r.ahead) == pytest.approx((p(0), p.deriv()(0), p(3)), rel=1e-6, abs=1e-6)
+
+
+def test_motion_with_cubic_fits(spark):
+    """A cubic path is followed exactly: no error of prediction, and the velocity of its derivative."""
+    x, y = lambda f: 20.0 + 3 * f + 0.05 * f * f - 0.001 * f**3, lambda f: 300.0 - 2 * f + 0.02 * f * f
+    rows = [(1, 2 * i, 7, 0, x(2 * i) - 15, y(2 * i) - 15, x(2 * i) + 15, y(2 * i) + 15) for i in range(20)]
+    f = spark.createDataFrame([(1, i, 2 * i) for i in range(20)], "video_id long, idx long, frame_id long")
+    cfg = Motion(fit_degree=3, history=6)
+    got = motion.last_frame_motion(tracked(spark, rows), f, 8, cfg).where("judged").collect()
+    assert len(got) == 13
+    for r in got:
+        at = 2 * (r.window_id + 7)
+        assert r.vx == pytest.approx(3 + 0.1 * at - 0.003 * at * at, abs=1e-6) and r.center_err == pytest.approx(0, abs=1e-6)
+    with pytest.raises(ValueError):
+        motion.last_frame_motion(tracked(spark, rows), f, 8, Motion(fit_degree=0))
+
+
 def test_gate_without_signal(spark):
     f = spark.createDataFrame([(1, i, 0.5) for i in range(10)], "video_id long, window_id long, turn_active_ratio double")
     for r in gate.trigger_curve(f).collect():
@@ -505,6 +546,67 @@ def test_chains_part_at_pauses(spark):
         assert {r.track_id: r.new_id for r in tracks.refine_ids(alone).collect()} == {t: n for t, n in got.items() if t // 10 == part}
 
 
+def test_components(spark):
+    """Random graphs and a long path, dealt over tasks so that several rounds are needed, against a plain union-find."""
+    from curvetrail.operators.components import components
+
+    rng = random.Random(4)
+    edges = [(v, rng.randrange(120), rng.randrange(120)) for v in (1, 2) for _ in range(100)] + [(3, i, i + 1) for i in range(60)] + [(4, 5, 5)] * 2
+    rng.shuffle(edges)
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for v, a, b in edges:
+        a, b = root((v, a)), root((v, b))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    want = {(v, x): root((v, x))[1] for v, a, b in edges if a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "video_id long, a long, b long").repartition(7)
+    got = components(df, ["video_id"]).collect()
+    assert {(r.video_id, r.node): r.component for r in got} == want and len(got) == len(want)
+    assert components(df.where("false"), ["video_id"]).count() == 0
+
+
+def test_a_camera_without_pauses_falls_into_parts(spark):
+    """Tracks that overlap all day long: the lanes and gaps leave them in many components, and the repair is that of the
+    plain fold over the whole video."""
+    rng = random.Random(6)
+    rows = []
+    for lane in range(5):
+        frame, size = 0, rng.choice([25, 40])
+        for piece in range(12):
+            x, y = 60.0 + 100 * lane + rng.uniform(-3, 3), 100.0 + 8 * piece
+            for _ in range(rng.choice([7, 9, 14])):
+                rows.append((1, frame, lane * 100 + piece, lane % 2, x, y, x + size, y + size))
+                x, y, frame = x + rng.uniform(0, 2), y + rng.uniform(0, 2), frame + 2
+            frame += rng.choice([0, 2, 4])
+    df = tracked(spark, rows)
+    parts = {r.track_id: r.component for r in tracks.chain_components(df).collect()}
+    got = {r.track_id: r.new_id for r in tracks.refine_ids(df).collect()}
+    assert got == refine_plain(rows) and len(set(parts.values())) >= 5
+    assert all(parts[t] == parts[n] for t, n in got.items() if n != -1) and len(set(got.values())) < len(got)
+
+
+def test_percentiles_of_odd_values(spark, monkeypatch):
+    """Values of all magnitudes, infinities and NaN, narrowed in several passes."""
+    from curvetrail.operators import ranking
+
+    rng = random.Random(5)
+    rows = [("wide", rng.choice([1, -1]) * math.exp(rng.uniform(-600, 600))) for _ in range(900)] + [("same", 7.5)] * 300 + [("one", 1.0)]
+    rows += [("odd", v) for v in (float("nan"), float("inf"), 1.0, 2.0, float("-inf"))] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    monkeypatch.setattr(ranking, "PICK_ROWS", 3)
+    got = {r.k: (r.n, r.p) for r in ranking.exact_percentiles(df, ["k"], "v", [0.0, 0.25, 0.5, 1.0]).collect()}
+    wide = pd.Series([v for k, v in rows if k == "wide"])
+    assert got["wide"][0] == 900 and got["wide"][1] == pytest.approx([wide.quantile(q, interpolation="linear") for q in (0.0, 0.25, 0.5, 1.0)], rel=1e-9)
+    assert got["same"] == (300, [7.5] * 4) and got["one"] == (1, [1.0] * 4) and "none" not in got
+    assert got["odd"][1][:3] == [float("-inf"), 1.0, 2.0] and math.isnan(got["odd"][1][3])
+
+
 def test_write_result(spark, tmp_path):
     df = spark.createDataFrame([(i, i * 0.5) for i in range(20)], "video_id long, score double")
     for kind in ("parquet", "json"):
