@@ -11,11 +11,11 @@ together, ranked anew, and a position leaves as soon as its rank is unique or it
    a position; a window has a position in its first STEP bytes, and equal windows have it at the same place. In round
    after round the rank of a position's first k bytes is paired with the rank at k (or less) bytes further on, equal
    pairs are counted, and the positions whose pair is unique leave, as do those whose partner has left: 24, 48, 88 bytes.
-3. LENGTH bytes. Windows are ranked by the pair of their position and the bytes around it; all but the first of a rank
+3. LENGTH bytes. The windows of the positions that are left are ranked by all their bytes; all but the first of a rank
    repeat it.
 
-Order is (doc_id, start). Ranks are 64-bit fingerprints (polynomials over the ring of 64-bit numbers, mixed), compared
-in pairs of 128 bits. A rank with a third of all rows: within a batch all but its first run are settled before the
+Order is (doc_id, start). Ranks are 64-bit fingerprints (polynomials over the ring of 64-bit numbers, mixed). Equal ones
+of different bytes would only keep a position that could leave; what is removed is decided by pairs of 128 bits. A rank with a third of all rows: within a batch all but its first run are settled before the
 shuffle; counts are summed within tasks before they are shuffled; rows meet the counts in joins, whose large partitions
 adaptive execution splits. No rank is gathered or listed.
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -181,8 +181,9 @@ def _stretches(length: int):
     return run
 
 
-#: at: bytes from the start of the run; head: whether windows have it among their first bytes.
-POSITIONS = "id long, start int, at int, head boolean, one long, two long"
+#: spot packs start << 17 | at << 1 | head. at: bytes from the start of the run; head: whether windows have the position
+#: among their first bytes.
+POSITIONS = "rank long, id long, spot long"
 
 
 def heads_of(windows: np.ndarray, ahead: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,27 +208,29 @@ def _first_pairs(length: int, seed: int, step: int, core: int):
             prints = Prints(np.frombuffer(b"".join(texts), np.uint8))
             x = begin[of] + at
             second = min(seed, core - seed)
-            pairs = [prints.of(x, x + seed).view(np.int64), prints.of(x + second, x + second + seed).view(np.int64)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[of]), pa.array(start[of].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(at <= high[of]), *map(pa.array, pairs)],
-                names=["id", "start", "at", "head", "one", "two"],
-            )
+            rank = mixed(prints.of(x, x + seed) + prints.of(x + second, x + second + seed) * np.uint64(_BASE))
+            spot = start[of] << 17 | at << 1 | (at <= high[of])
+            yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(ids[of]), pa.array(spot)], names=["rank", "id", "spot"])
 
     return run
 
 
 def _not_unique(positions: DataFrame) -> DataFrame:
-    """The positions whose pair of ranks another has too, written out."""
-    met = positions.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-    return materialize(positions.join(met, ["one", "two"]).select("id", "start", "at", "head", "one", "two"), "repeat-ranks")
+    """The positions whose rank another has too, written out."""
+    met = positions.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
+    return materialize(positions.join(met, "rank"), "repeat-ranks")
+
+
+def _at() -> Column:
+    return F.shiftright("spot", 1).bitwiseAND(0xFFFF)
 
 
 def _double(ranked: DataFrame, offset: int) -> DataFrame:
-    """Pairs of the ranks of each position and of the one `offset` bytes on, each named by 128 bits. Partners are of the
-    same run, so one shuffle by run brings them together."""
-    on = W.partitionBy("id", "start").orderBy("at").rangeBetween(offset, offset)
-    pairs = ranked.withColumns({"one_on": F.first("one").over(on), "two_on": F.first("two").over(on)}).where("one_on is not null")
-    return pairs.select("id", "start", "at", "head", F.xxhash64("one", "two", "one_on", "two_on").alias("one"), F.xxhash64("two_on", "one", "one_on", "two").alias("two"))
+    """Positions ranked by the pair of their rank and that of the position `offset` bytes on. Partners are of the same run,
+    so one shuffle by run brings them together."""
+    on = W.partitionBy("id", F.shiftright("spot", 17)).orderBy(_at()).rangeBetween(offset, offset)
+    pairs = ranked.withColumn("rank_on", F.first("rank").over(on)).where("rank_on is not null")
+    return pairs.select(F.xxhash64("rank", "rank_on").alias("rank"), "id", "spot")
 
 
 def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -308,13 +311,12 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
         drop_table(before)
         known += offset
 
-    # a window has its head at most step - 1 bytes after its start, and length - core bytes around the head's prefix
-    whole_run = stretches.select("id", "start", "windows", "stretch")
-    windows = ranked.where("head").join(whole_run, ["id", "start"])
+    # a window has its head at most step - 1 bytes after its start
+    heads = ranked.where(F.col("spot").bitwiseAND(1) == 1).select("id", F.shiftright("spot", 17).cast("int").alias("start"), _at().cast("int").alias("at"))
+    windows = heads.join(stretches.select("id", "start", "windows", "stretch"), ["id", "start"])
     windows = windows.withColumn("nth", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - step + 1), F.least("at", F.col("windows") - 1))))
-    around = F.concat(F.expr("substring(stretch, nth + 1, at - nth)"), F.expr(f"substring(stretch, at + {core} + 1, nth + {length} - at - {core})"))
-    windows = windows.select("one", "two", (F.col("at") - F.col("nth")).alias("d"), around.alias("rim"), "id", (F.col("start") + F.col("nth")).alias("start"))
-    windows = windows.select(F.xxhash64("one", "two", "d", "rim").alias("left"), F.xxhash64("rim", "d", "two", "one").alias("right"), "id", "start")
+    window = F.expr(f"substring(stretch, nth + 1, {length})")
+    windows = windows.select(F.xxhash64(window).alias("left"), F.xxhash64(F.lit(1), window).alias("right"), "id", (F.col("start") + F.col("nth")).alias("start"))
     windows = materialize(windows, "repeat-windows")
     drop_table(ranked)
     drop_table(stretches)
