@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from curvetrail.config import Motion
 from curvetrail.functions.geometry import area_ratio, box, box_iou, diagonal, edge_distance, num, point_x, point_y, scale
 from curvetrail.operators.ranking import exact_percentiles
-from curvetrail.operators.windows import with_idx
+from curvetrail.plans.staging import staged
 
 QUANTILES = [5, 25, 50, 75, 85, 90, 95, 98, 99]
 
@@ -49,7 +49,8 @@ def outside(rows: DataFrame, gt: DataFrame) -> DataFrame:
 def calib_stats(tracks: DataFrame, frames: DataFrame, gt: DataFrame, window: int = 8, cfg: Motion = Motion()) -> DataFrame:
     """Long rows (video_id, stat, value) of ten measures. Observations in labelled intervals leave before pairs are
     made, so a pair may bridge an interval."""
-    free = outside(tracks, gt).withColumns({"px": point_x(), "py": point_y(height=cfg.point_height)})
+    kept = ["video_id", "frame_id", "track_id", "cls_id", "x1", "y1", "x2", "y2", "area", "frame_w", "frame_h"]
+    free = staged(outside(tracks.select(*kept), gt).withColumns({"px": point_x(), "py": point_y(height=cfg.point_height)}), "free")  # read twice
     w = W.partitionBy("video_id", "track_id").orderBy("frame_id")
     whole = W.partitionBy("video_id", "track_id")
     full = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -86,11 +87,11 @@ def calib_stats(tracks: DataFrame, frames: DataFrame, gt: DataFrame, window: int
 
 def _vanished(free: DataFrame, frames: DataFrame, cfg: Motion) -> DataFrame:
     """Edge distance of objects that are gone from the next sampled frames and not replaced close by."""
-    t = with_idx(free, frames)
+    ends = frames.select("video_id", "frame_id", "idx", F.max("idx").over(W.partitionBy("video_id")).alias("last_idx"))
     w = W.partitionBy("video_id", "track_id").orderBy("idx")
-    last = frames.groupBy("video_id").agg(F.max("idx").alias("last_idx"))
     per = W.partitionBy("video_id", "idx")
-    t = t.withColumns({"next_idx": F.lead("idx").over(w), "seen": F.row_number().over(w), "mw": F.max("frame_w").over(per), "mh": F.max("frame_h").over(per)}).join(last, "video_id")
+    t = free.join(ends, ["video_id", "frame_id"])
+    t = staged(t.withColumns({"next_idx": F.lead("idx").over(w), "seen": F.row_number().over(w), "mw": F.max("frame_w").over(per), "mh": F.max("frame_h").over(per)}), "followed")
     gone = t.where((F.col("idx") < F.col("last_idx")) & (F.col("seen") >= cfg.min_seen) & (F.col("next_idx").isNull() | (F.col("next_idx") > F.col("idx") + cfg.lookahead)))
     gone = gone.withColumn("diag", diagonal(F.col("mw"), F.col("mh")))
     look = gone.withColumn("look", F.explode(F.array(*[F.col("idx") + k for k in range(1, cfg.lookahead + 1)])))

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from curvetrail.config import Motion
 from curvetrail.functions.fits import fit_slope, fit_value, orthogonal_fit
 from curvetrail.functions.geometry import area_ratio, box, box_at, box_iou, diagonal, edge_unstable, far_score, num, point_x, point_y, scale, top_mean
+from curvetrail.operators.grid import cell_at, cells, overlapping_pairs
 from curvetrail.plans.staging import staged
 
 FEATURES = [
@@ -138,7 +139,7 @@ def _fitted(t: DataFrame, size: int, cfg: Motion) -> DataFrame:
     judged = F.col("judged")
     t = t.withColumns({"speed_turn": F.when(judged, change), "dir_turn": F.when(judged, turn)})
     return t.select(
-        "video_id", (F.col("idx") - (size - 1)).alias("window_id"), "track_id", "n", "x0", "y0", "vx", "vy", "stable", "judged",
+        "video_id", (F.col("idx") - (size - 1)).alias("window_id"), "track_id", "fw", "fh", "n", "x0", "y0", "vx", "vy", "stable", "judged",
         (F.col("n2") * F.col("dt") / F.col("s0") * cfg.speed_factor).alias("speed"),
         *[F.when(F.col("stable"), c).alias(f"next_{n}") for n, c in zip(("x1", "y1", "x2", "y2"), nb)],
         F.when(judged, F.hypot(F.col("b.px") - F.col("ex"), F.col("b.py") - F.col("ey")) / F.col("s0")).alias("center_err"),
@@ -197,11 +198,19 @@ def _gone(lost: DataFrame, size: int, cfg: Motion) -> DataFrame:
 
 def _with_rivals(lost: DataFrame, t: DataFrame, cfg: Motion) -> DataFrame:
     """lost with the observations of others of the class close by on the next frames: where, and the windows (by their
-    last place) in which each is static. One shuffle to meet them, one to bring them to the lost track's row."""
+    last place) in which each is static. They meet by cells of a grid: a lost track looks as far as its box and the
+    circle of near_ratio around its point reach, another is where its box is. One shuffle to meet them, one to bring
+    them to the lost track's row."""
     ahead = F.explode(F.sequence(F.col("idx") + 1, F.least(F.col("idx") + cfg.lookahead, F.col("last_end"))))
-    look = lost.select(*EVENT, "cls_id", "x1", "y1", "x2", "y2", "px", "py", "fw", "fh", ahead.alias("look"))
-    others = t.select("video_id", "cls_id", F.col("idx").alias("look"), F.col("track_id").alias("o_track_id"), "still_ends", *[F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2", "px", "py")])
-    met = look.join(others, ["video_id", "cls_id", "look"]).where("track_id <> o_track_id")
+    reach = diagonal(F.col("fw"), F.col("fh")) * cfg.near_ratio
+    seen = {"r_x1": F.least(F.col("x1"), F.col("px") - reach), "r_y1": F.least(F.col("y1"), F.col("py") - reach), "r_x2": F.greatest(F.col("x2"), F.col("px") + reach), "r_y2": F.greatest(F.col("y2"), F.col("py") + reach)}
+    frame = (F.col("fw"), F.col("fh"))
+    look = lost.select(*EVENT, "cls_id", "x1", "y1", "x2", "y2", "px", "py", *frame, ahead.alias("look")).withColumns(seen)
+    look = look.withColumn("cell", F.explode(cells(*map(F.col, seen), *frame)))
+    where = F.explode(cells(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), *frame)).alias("cell")
+    others = t.select("video_id", "cls_id", F.col("idx").alias("look"), F.col("track_id").alias("o_track_id"), "still_ends", *[F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2", "px", "py")], where)
+    met = look.join(others, ["video_id", "cls_id", "look", "cell"]).where("track_id <> o_track_id")
+    met = met.where(F.col("cell") == cell_at(F.greatest("r_x1", "o_x1"), F.greatest("r_y1", "o_y1"), *frame))
     close = F.hypot(F.col("o_px") - F.col("px"), F.col("o_py") - F.col("py")) / diagonal(F.col("fw"), F.col("fh")) <= cfg.near_ratio
     near = met.where(close | (box_iou(box(""), box("o_")) >= cfg.near_iou)).select(*EVENT, F.struct("look", "still_ends").alias("rival"))
     rest = [c for c in lost.columns if c not in EVENT]
@@ -240,21 +249,17 @@ def disappear_far(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg: Moti
     return _far(t, size, cfg).groupBy("video_id", "window_id").agg(F.count("*").alias("n_far"), top_mean(F.collect_list("far"), cfg.top_k).alias("disappear_far_sum"))
 
 
-def _largest_overlap(boxes: Column) -> Column:
-    """Largest overlap of two boxes of an array (those predicted on one frame); null for fewer than two."""
-    sides = lambda b: tuple(b[c] for c in ("x1", "y1", "x2", "y2"))
-    with_later = lambda b, i: F.transform(F.slice(boxes, i + 2, F.size(boxes)), lambda c: box_iou(sides(b), sides(c)))
-    return F.array_max(F.flatten(F.transform(boxes, with_later)))
-
-
-def _next_box() -> Column:
-    return F.struct(*[F.col(f"next_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+def _overlaps(motion: DataFrame) -> DataFrame:
+    """Overlapping pairs of boxes predicted within a window: video_id, window_id, a, b, iou."""
+    boxes = motion.where("stable").select("video_id", "window_id", "track_id", *[F.col(f"next_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")], "fw", "fh")
+    return overlapping_pairs(boxes, ["video_id", "window_id"], "track_id")
 
 
 def collision_warning(motion: DataFrame) -> DataFrame:
-    """Largest overlap of two predicted boxes of a window."""
-    boxes = motion.where("stable").groupBy("video_id", "window_id").agg(F.collect_list(_next_box()).alias("boxes"))
-    return boxes.where("size(boxes) > 1").select("video_id", "window_id", _largest_overlap(F.col("boxes")).alias("collision_warning"))
+    """Largest overlap of two predicted boxes of a window; 0 where there are two that do not overlap."""
+    several = motion.where("stable").groupBy("video_id", "window_id").agg(F.count("*").alias("n")).where("n > 1")
+    top = _overlaps(motion).groupBy("video_id", "window_id").agg(F.max("iou").alias("top"))
+    return several.join(top, ["video_id", "window_id"], "left").select("video_id", "window_id", F.coalesce("top", num(0)).alias("collision_warning"))
 
 
 def _counts(t: DataFrame, size: int) -> DataFrame:
@@ -272,14 +277,14 @@ def track_features(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg: Mot
     """The thirteen motion features of every window; windows without objects have zeros."""
     facts = staged(frame_facts(tracks, frames), "frame-facts")
     t = staged(_windowed(tracks, facts, size, cfg), "observations")
-    motion = _fitted(t, size, cfg)
+    motion = staged(_fitted(t, size, cfg), "motion")
     values = ["speed", "center_err", "iou_err", "speed_turn", "dir_turn", "turned"]
     ends = F.explode(F.array(
         F.struct(F.col("idx").alias("window_id"), F.col("frame_id").alias("start_frame"), F.lit(None).cast("long").alias("end_frame")),
         F.struct((F.col("idx") - (size - 1)).alias("window_id"), F.lit(None).cast("long").alias("start_frame"), F.col("frame_id").alias("end_frame")),
     ))
     rows = facts.select("video_id", ends.alias("e")).select("video_id", "e.*")
-    for part in (_counts(t, size), motion.select("video_id", "window_id", *values, F.when(F.col("stable"), _next_box()).alias("next_box")), _far(t, size, cfg)):
+    for part in (_counts(t, size), motion.select("video_id", "window_id", *values), _overlaps(motion).select("video_id", "window_id", "iou"), _far(t, size, cfg)):
         rows = rows.unionByName(part, allowMissingColumns=True)
     top = lambda c: top_mean(F.collect_list(c), cfg.top_k)
     out = rows.groupBy("video_id", "window_id").agg(
@@ -288,6 +293,6 @@ def track_features(tracks: DataFrame, frames: DataFrame, size: int = 8, cfg: Mot
         top("center_err").alias("pred_center_sum_err"), top("iou_err").alias("pred_iou_sum_err"),
         F.max("speed_turn").alias("speed_turn_rates_max"), top("speed_turn").alias("speed_turn_rates_sum"),
         F.max("dir_turn").alias("dir_turn_rates_max"), top("dir_turn").alias("dir_turn_rates_sum"), F.avg("turned").alias("turn_active_ratio"),
-        F.collect_list("next_box").alias("boxes"), top("far").alias("disappear_far_sum"),
-    ).where("start_frame is not null and end_frame is not null").withColumn("collision_warning", _largest_overlap(F.col("boxes")))
+        F.max("iou").alias("collision_warning"), top("far").alias("disappear_far_sum"),
+    ).where("start_frame is not null and end_frame is not null")
     return out.select("video_id", "window_id", "start_frame", "end_frame", *[F.coalesce(F.col(c).cast("double"), num(0)).alias(c) for c in FEATURES])

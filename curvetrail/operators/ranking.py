@@ -30,7 +30,7 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[Column], sums: di
 
 
 #: Bins that a stretch of values is cut into, rows of a stretch that one task may put in order, most narrowing passes.
-BINS, PICK_ROWS, PASSES = 4096, 50_000, 4
+BINS, PICK_ROWS, PASSES = 4096, 1_000_000, 4
 
 
 def _narrowed(values: DataFrame, state: DataFrame, keys: list[str], first: bool) -> DataFrame:
@@ -52,9 +52,10 @@ def _narrowed(values: DataFrame, state: DataFrame, keys: list[str], first: bool)
     return c.select(*keys, (F.col("slot") * (BINS + 3) + F.col("bin") + 1).alias("slot"), "lo", "hi", "n", "below", "ranks")
 
 
-def _picked(values: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+def _picked(values: DataFrame, state: DataFrame, keys: list[str], first: bool) -> DataFrame:
     """Ranks within stretches that are few rows, by the order of their values."""
-    met = values.join(state.select(*keys, "slot", "lo", "hi"), keys).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    met = values.join(state.select(*keys, "slot", "lo", "hi"), keys)
+    met = met if first else met.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
     counts = met.groupBy(*keys, "slot", "v").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(W.partitionBy(*keys, "slot").orderBy("v"))
     c = counts.join(state.select(*keys, "slot", "below", "ranks"), [*keys, "slot"]).withColumn("below", F.col("below") + upto - F.col("n"))
@@ -76,7 +77,13 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: list
     ranks = F.array(*[F.struct(F.lit(i).alias("i"), r.cast("long").alias("rank")) for i, r in enumerate(wanted)])
     whole = staged(whole.withColumns({"ranks": ranks, "slot": F.lit(0).cast("long"), "below": F.lit(0).cast("long")}), "stretches")
     found, state = [], whole
-    for nth in range(PASSES):
+    most = whole.agg(F.max("n")).first()[0]
+    for nth in range(PASSES + 1):
+        if most is None:
+            break
+        if most <= PICK_ROWS or nth == PASSES:
+            found.append(_picked(values, state, keys, nth == 0))
+            break
         cut = staged(_narrowed(values, state, keys, nth == 0), "stretches")
         r = cut.select(*keys, "slot", "lo", "hi", "n", "below", F.explode("ranks").alias("r"))
         first, last = F.col("lo").eqNullSafe(F.col("hi")) | (F.col("r.rank") == F.col("below")), F.col("r.rank") == F.col("below") + F.col("n") - 1
@@ -84,13 +91,8 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: list
         found.append(r.where("value is not null").select(*keys, F.col("r.i").alias("i"), "value"))
         state = r.where("value is null").groupBy(*keys, "slot", "lo", "hi", "n", "below").agg(F.collect_list("r").alias("ranks"))
         most = state.agg(F.max("n")).first()[0]
-        if most is None:
-            break
-        if most <= PICK_ROWS or nth == PASSES - 1:
-            found.append(_picked(values, state, keys))
-            break
-    every = found[0]
-    for more in found[1:]:
+    every = values.select(*keys, F.lit(0).alias("i"), F.col("v").alias("value")).where("false")
+    for more in found:
         every = every.unionAll(more)
     picked = [F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"_p{i}") for i in range(2 * len(shares))]
     out = every.groupBy(*keys).agg(*picked).join(whole.select(*keys, "n"), keys)

@@ -198,6 +198,7 @@ view("steps", "cand", """SELECT DISTINCT video_id, 0::BIGINT AS k, []::BIGINT[]
 view("idmap", "steps", "SELECT video_id, x.t AS track_id, x.r AS new_id FROM (SELECT video_id, unnest(arg_max(roots, k)) AS x FROM steps GROUP BY video_id)")
 oracle("refine_ids", "idmap", "SELECT * FROM idmap")
 
+oracle("box_pairs", "tracks", f"SELECT a.video_id, a.frame_id, a.track_id AS a, b.track_id AS b, {r(iou('a.', 'b.'))} AS iou FROM tracks a JOIN tracks b ON a.video_id=b.video_id AND a.frame_id=b.frame_id AND a.track_id<b.track_id AND least(a.x2,b.x2)>greatest(a.x1,b.x1) AND least(a.y2,b.y2)>greatest(a.y1,b.y1)")
 view("cedge", "seg tailv short", f"""SELECT p.video_id, unnest([p.src, p.dst]) AS a, unnest([p.dst, p.src]) AS b FROM ({STITCH}) p
  JOIN short x ON x.video_id=p.video_id AND x.track_id=p.src JOIN short y ON y.video_id=p.video_id AND y.track_id=p.dst WHERE NOT x.dropped AND NOT y.dropped""")
 view("creach", "cedge", "SELECT video_id, a AS node, a AS component FROM cedge UNION SELECT c.video_id, e.b, c.component FROM creach c JOIN cedge e ON e.video_id=c.video_id AND e.a=c.node")

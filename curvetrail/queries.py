@@ -14,7 +14,7 @@ from curvetrail import fixtures as fx
 from curvetrail.config import Chunks, Gate, Spans
 from curvetrail.functions import geometry as g
 from curvetrail.functions import parse, prompts, signals
-from curvetrail.operators import calibrate, gate, keyframes, metrics, motion, peaks, scene, spans, tables, tracks, windows
+from curvetrail.operators import calibrate, gate, grid, keyframes, metrics, motion, peaks, scene, spans, tables, tracks, windows
 from curvetrail.plans import pipeline
 from curvetrail.sources import sinks, text
 
@@ -352,6 +352,13 @@ def q_refine_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tracks.refine_ids(fx.tracks(spark, sf))
 
 
+@query
+def q_box_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping boxes of a frame, met by cells of a grid."""
+    t = fx.tracks(spark, sf).withColumnsRenamed({"frame_w": "fw", "frame_h": "fh"})
+    return tidy(grid.overlapping_pairs(t, ["video_id", "frame_id"], "track_id"))
+
+
 @query
 def q_chain_components(spark: SparkSession, sf: str) -> DataFrame:
     return tracks.chain_components(fx.tracks(spark, sf))

@@ -591,6 +591,30 @@ def test_a_camera_without_pauses_falls_into_parts(spark):
     assert all(parts[t] == parts[n] for t, n in got.items() if n != -1) and len(set(got.values())) < len(got)
 
 
+def test_box_grid(spark):
+    """Boxes of all sizes, on and off the frame, against all pairs; boxes that are spread out meet few others."""
+    from curvetrail.operators import grid
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(160):
+        x, y, w, h = rng.uniform(-200, 900), rng.uniform(-200, 700), rng.choice([0.0, 5.0, 40.0, 900.0]), rng.choice([3.0, 40.0, 700.0])
+        rows.append((i % 2, i, x, y, x + w, y + h, 640.0, 480.0))
+    df = spark.createDataFrame(rows, "video_id long, k long, x1 double, y1 double, x2 double, y2 double, fw double, fh double")
+
+    def overlap(a, b):
+        w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+        return w * h if w > 0 and h > 0 else 0
+
+    area = lambda r: (r[4] - r[2]) * (r[5] - r[3])
+    want = {(a[0], a[1], b[1]): overlap(a, b) / (area(a) + area(b) - overlap(a, b)) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and overlap(a, b) > 0}
+    got = grid.overlapping_pairs(df, ["video_id"], "k").collect()
+    assert len(got) == len(want) and all(r.iou == pytest.approx(want[r.video_id, r.a, r.b], abs=1e-6) for r in got)
+    apart = spark.range(400).selectExpr("0L AS v", "id AS k", "id % 20 * 32.0D AS x1", "floor(id / 20) * 24.0D AS y1", "640.0D AS fw", "480.0D AS fh").selectExpr("*", "x1 + 10 AS x2", "y1 + 10 AS y2")
+    held = apart.select(F.explode(grid.cells(*map(F.col, ("x1", "y1", "x2", "y2", "fw", "fh")))).alias("c")).groupBy("c").count().agg(F.max("count")).first()[0]
+    assert held <= 6 and grid.overlapping_pairs(apart, ["v"], "k").count() == 0
+
+
 def test_percentiles_of_odd_values(spark, monkeypatch):
     """Values of all magnitudes, infinities and NaN, narrowed in several passes."""
     from curvetrail.operators import ranking
