@@ -317,9 +317,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     windows = windows.withColumn("nth", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - step + 1), F.least("at", F.col("windows") - 1))))
     window = F.expr(f"substring(stretch, nth + 1, {length})")
     windows = windows.select(F.xxhash64(window).alias("left"), F.xxhash64(F.lit(1), window).alias("right"), "id", (F.col("start") + F.col("nth")).alias("start"))
-    windows = materialize(windows, "repeat-windows")
-    drop_table(ranked)
-    drop_table(stretches)
+    # named twice, once to count and once to meet the counts: a table of all windows would take more disk than both shuffles
     name = ["left", "right"]
     least = windows.groupBy(*name).agg(F.min(F.struct("id", "start")).alias("least"), F.max(F.struct("id", "start")).alias("most")).where("least <> most").drop("most")
     late = windows.join(least, name).where(F.struct("id", "start") > F.col("least")).select("id", "start", (F.col("start") + length).alias("end"))
@@ -327,8 +325,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     # windows in a row are one span already where they are settled together, so a document has few
     gathered = spans.unionAll(late).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("s"))
     gathered = materialize(gathered.select("id", F.col("s.start").alias("starts"), F.col("s.end").alias("ends")), "repeat-spans")
-    drop_table(windows)
-    drop_table(first)
+    for table in (ranked, stretches, first):
+        drop_table(table)
     mine = F.when(F.col("compared"), F.col("id"))
     whole = every.withColumn("mine", mine).join(gathered.withColumnRenamed("id", "mine").hint("shuffle_hash"), "mine", "left").select("id", "text", "starts", "ends")
     return whole.mapInArrow(_kept, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")

@@ -1,7 +1,7 @@
 """Credential spans in texts: fixed patterns, and formats learnt from what they find.
 
 One pass over the texts gives the spans of the base patterns. A bounded sample of distinct values that they labelled
-(FIT_VALUES of each kind) becomes a prefix tree for each kind; states whose outgoing frequencies agree within a
+(FIT_VALUES of each kind, FIT_CHARS characters) becomes a prefix tree for each kind; states whose outgoing frequencies agree within a
 Hoeffding bound are merged (the red-blue order), which gives a probabilistic automaton of the format. A second pass
 scores every candidate of every document by its mean log-likelihood a symbol under each automaton, and those at least
 as likely as most labelled values (QUANTILE) become spans of kind "grammar". Candidates are all runs of token
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from curvetrail.llm.common import materialize, pieces
 
@@ -33,11 +34,12 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 #: Least lengths: the value of assign, all of access and hex, and a candidate, which is the least of these.
 LEAST = {"assign": 8, "access": 16, "hex": 32, "candidate": 8}
 
-#: Distinct labelled values of each kind that an automaton is fitted on, at most; none over FIT_LENGTH characters.
-FIT_VALUES, FIT_LENGTH = 400, 256
+#: Distinct labelled values of each kind that an automaton is fitted on, and their characters together, at most. Values are
+#: taken whole, in the order of their hashes, whatever their length.
+FIT_VALUES, FIT_CHARS = 400, 200_000
 ALPHA, QUANTILE = 0.05, 0.1
-#: Verdicts on candidates that a task remembers; words come again and again.
-VERDICTS = 1 << 16
+#: Verdicts on candidates that a task remembers, and the longest candidate of these; words come again and again.
+VERDICTS, VERDICT_LENGTH = 1 << 16, 256
 
 _HEX, _TOKEN = np.zeros(256, bool), np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
@@ -204,13 +206,16 @@ class Automaton:
         return total / (len(parts) + 1)
 
 
-def fit_formats(spark: SparkSession, found: DataFrame, fit_values: int = FIT_VALUES) -> dict[str, tuple[Automaton, float]]:
+def fit_formats(spark: SparkSession, found: DataFrame, fit_values: int = FIT_VALUES, fit_chars: int = FIT_CHARS) -> dict[str, tuple[Automaton, float]]:
     """An automaton and the least accepted score for each base kind that has values."""
-    values = found.select(F.explode("found").alias("f")).select("f.kind", "f.value").where(F.length("value") <= FIT_LENGTH)
+    values = found.select(F.explode("found").alias("f")).select("f.kind", "f.value")
     out = {}
     for kind in KINDS:
         of = values.where(F.col("kind") == kind).select("value").distinct()
-        sample = [r[0] for r in of.orderBy(F.xxhash64("value"), "value").limit(fit_values).collect()]
+        order = [F.xxhash64("value"), F.col("value")]
+        taken = of.orderBy(*order).limit(fit_values)  # few rows: their characters are added up in one task
+        taken = taken.withColumn("upto", F.sum(F.length("value")).over(W.orderBy(*order))).where(F.col("upto") <= fit_chars)
+        sample = [r[0] for r in taken.select("value").collect()]
         if sample:
             model = Automaton(sample)
             scores = sorted(model.score(v) for v in sample)
@@ -222,7 +227,7 @@ def _best(models: dict[str, tuple[Automaton, float]]) -> Callable[[bytes], tuple
     """Of a candidate: the largest score over a format's threshold, and the format."""
     fits = lambda value: max(((m.score(value.decode()) - least, k) for k, (m, least) in models.items()), default=(-math.inf, ""))
     known = lru_cache(VERDICTS)(fits)
-    return lambda value: known(value) if len(value) <= FIT_LENGTH else fits(value)
+    return lambda value: known(value) if len(value) <= VERDICT_LENGTH else fits(value)
 
 
 def _judge(models: dict[str, tuple[Automaton, float]]):

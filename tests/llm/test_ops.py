@@ -203,6 +203,21 @@ def test_every_token_run_is_a_candidate(spark):
     assert masked[200] == "é lone [m] value" and masked[201] == "lone [m]"
 
 
+def test_long_values_enter_the_fit(spark, monkeypatch):
+    """A format of long values is learnt like any other; characters are bounded in all, not by value."""
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("ABCDEFGHJK") for _ in range(600)) + "=="
+    rows = [(i, f"token = {key()} here") for i in range(60)] + [(100, f"lone {key()} value"), (101, "plain-words-with-3-dashes")]
+    got = {r.id: [(f.kind, f.start, f.end) for f in r.found] for r in secrets.find_secrets(docs_of(spark, rows)).collect()}
+    assert got[100] == [("grammar", 5, 607)] and got[101] == []
+    found = spark.createDataFrame([(1, [("hex", 0, 40, "a" * 40), ("hex", 50, 90, "b" * 40), ("hex", 99, 999, "c" * 900)])], secrets.FOUND)
+    fitted, real = [], secrets.Automaton
+    monkeypatch.setattr(secrets, "Automaton", lambda values: fitted.append(values) or real(values))
+    secrets.fit_formats(spark, found, 400, 100)
+    secrets.fit_formats(spark, found, 400)
+    assert sum(map(len, fitted[0])) <= 100 and sorted(map(len, fitted[1])) == [40, 40, 900]
+
+
 def test_secrets_of_a_long_text():
     """Thousands of spans and candidates in one text take time in proportion."""
     text = " ".join(f"token = {i:012d} word{i} {i:040x}" for i in range(8000)).encode()
