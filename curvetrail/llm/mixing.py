@@ -155,13 +155,15 @@ def solve_rates(soft: DataFrame, targets: list[float], weight: str = "n_tokens",
 
 def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", fit_docs: int = FIT_DOCS) -> DataFrame:
     """docs, every row and column, with n_tokens, p_<domain> of each domain and rate. labelled: where the texts of
-    labels (key, domain) are; targets: domain to share, 0 where absent."""
+    labels (key, domain) are; targets: domain to share, 0 where absent. A domain of the targets that no document is
+    labelled with has p 0 everywhere, so the columns are those of the targets whatever the labels hold."""
     model = fit(labelled, labels, key, text, domain, fit_docs)
     names = model[0]
     if not names:
         tokens = F.size(F.filter(_words(F.col(text)), lambda w: w != "")).cast("long")
-        return docs.withColumns({"n_tokens": tokens, "rate": num(1)})
+        return docs.withColumns({"n_tokens": tokens, "rate": num(1)} | {f"p_{x}": num(0) for x in sorted(targets)})
     soft = materialize(_soft(docs, model, key, text).withColumn("tokens", F.col("n_tokens") * F.col("rows")), "mixing-posteriors")
     rated = solve_rates(soft, [float(targets.get(x, 0.0)) for x in names], "tokens")
-    facts = rated.select(*NAME, "n_tokens", *[F.col(f"p{i}").alias(f"p_{x}") for i, x in enumerate(names)], "rate")
+    absent = [num(0).alias(f"p_{x}") for x in sorted(set(targets) - set(names))]
+    facts = rated.select(*NAME, "n_tokens", *[F.col(f"p{i}").alias(f"p_{x}") for i, x in enumerate(names)], *absent, "rate")
     return _given(docs, facts, key, text)

@@ -784,3 +784,22 @@ def test_mixing_keeps_every_row(spark, tmp_path):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(((r.doc_id, r.lang, r.source, r.n_chars, r.n_tokens) for r in got), key=key) == sorted(((i, x, s, c, len((t or "").split())) for i, t, x, s, c in rows), key=key)
     assert all(r.rate is not None for r in got)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, columns whose names the stages use, null and repeated ids; the columns of the result are the same."""
+    import corpus_pipeline
+
+    rows = [(1, "same text of a document " * 9, "x", 1.5), (1, "another text of this id " * 9, "y", None), (None, "no id at all " * 5, None, 0.0), (None, "", "z", 2.0), (2, "same text of a document " * 9, "x", 1.0), (3, None, None, None)]
+    kind = "doc_id long, text string, p_clean string, rate double"
+    for name, some in (("full", rows), ("none", [])):
+        spark.createDataFrame(some, kind).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    full, none = (corpus_pipeline.run(spark, f"{tmp_path}/{name}") for name in ("full", "none"))
+    assert none.count() == 0 and set(none.columns) == set(full.columns) == {"doc_id", "text", "n_tokens", "rate", "p_clean", "p_junk", "p_toxic"}
+    got = sorted(((r.doc_id or -1), r.text or "", r.n_tokens, r.rate) for r in full.collect())
+    assert [g[0] for g in got] == [-1, -1, 1, 1, 3] and all(g[3] == 1.0 for g in got) and got[2][2] == 45
+    ids = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
+    left = corpus_pipeline.without(spark.createDataFrame(rows, kind), ids).collect()
+    assert sorted((r.doc_id or -1) for r in left) == [-1, -1, 2, 3]
