@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvetrail.llm import decontam, mixing, neardup, secrets, toxicity
-from curvetrail.llm.common import read_table, scratch_path
+from curvetrail.llm.common import drop_path, read_table, scratch_path
 from curvetrail.llm.queries import MIX_TARGETS, label_domains
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,8 +21,10 @@ MASK = "[secret]"
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in ids. Both sides are shuffled by doc_id once; ids are hashed, texts not sorted."""
-    return docs.join(ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """docs but for those whose doc_id is in ids. Both sides are shuffled by doc_id once; ids are hashed, texts not sorted.
+    Rows without an id take no part in the shuffle, where all of them would meet in one task."""
+    named = docs.where("doc_id is not null").join(ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti")
+    return named.select(*docs.columns).unionAll(docs.where("doc_id is null"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,9 +70,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """Each stage's documents are removed once the next one's are written; what the last one wrote stays for its reader."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
