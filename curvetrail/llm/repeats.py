@@ -8,9 +8,9 @@ together, ranked anew, and a position leaves as soon as its rank is unique or it
    and one row a run is counted, about one in (LENGTH - SEED) / 2 bytes. Of runs that are equal as a whole (pair of rank
    and rank of all bytes of the run) all but the first repeat it; one of each stays if its rank has several.
 2. The windows of these runs are told apart from the text around the ranked seed. Every STEP-th place from the seed on is
-   a position; a window has a position in its first STEP bytes, and equal windows have it at the same place. In round
-   after round the rank of a position's first k bytes is paired with the rank at k (or less) bytes further on, equal
-   pairs are counted, and the positions whose pair is unique leave, as do those whose partner has left: 24, 48, 88 bytes.
+   a position, if a window has it in its first STEP bytes; equal windows have it at the same place. In round after round
+   the rank of a position's first k bytes is paired with the rank of the k bytes that begin k (or less) further on, equal
+   pairs are counted, and the positions whose pair is unique leave: 24, 48, 88 bytes.
 3. LENGTH bytes. The windows of the positions that are left are ranked by all their bytes; all but the first of a rank
    repeat it.
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -181,8 +181,7 @@ def _stretches(length: int):
     return run
 
 
-#: spot packs start << 17 | at << 1 | head. at: bytes from the start of the run; head: whether windows have the position
-#: among their first bytes.
+#: spot packs start << 16 | at. at: bytes from the start of the run.
 POSITIONS = "rank long, id long, spot long"
 
 
@@ -192,45 +191,35 @@ def heads_of(windows: np.ndarray, ahead: np.ndarray, step: int) -> tuple[np.ndar
     return ahead - step * (ahead // step), ahead - step * ((ahead - windows + 1) // step)
 
 
-def _first_pairs(length: int, seed: int, step: int, core: int):
-    """Positions of the runs' stretches with the pair of the ranks of their first two SEED bytes."""
-    reach = core - min(core, 2 * seed)  # partners lie up to here after a head
+def _pairs(known: int, offset: int, step: int):
+    """Positions of runs with the pair of the rank of their first `known` bytes and of as many `offset` bytes on. Rows are
+    STRETCHES and the positions that are left (null: all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             ids, start, windows, place = (np.asarray(batch.column(k), dtype=np.int64) for k in range(4))
-            texts = batch.column(4).to_pylist()
-            low, high = heads_of(windows, place - start, step)
-            n = (high + reach - low) // step + 1
-            of = np.repeat(np.arange(len(ids)), n)
-            at = np.repeat(low, n) + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            begin = np.cumsum([0, *map(len, texts)])[:-1]
+            texts, left = batch.column(4).to_pylist(), batch.column(5)
+            if left.null_count:
+                low, high = heads_of(windows, place - start, step)
+                n = (high - low) // step + 1
+                of = np.repeat(np.arange(len(ids)), n)
+                at = np.repeat(low, n) + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            else:
+                of = np.repeat(np.arange(len(ids)), np.diff(np.asarray(left.offsets)))
+                at = np.asarray(left.flatten(), dtype=np.int64)
             prints = Prints(np.frombuffer(b"".join(texts), np.uint8))
-            x = begin[of] + at
-            second = min(seed, core - seed)
-            rank = mixed(prints.of(x, x + seed) + prints.of(x + second, x + second + seed) * np.uint64(_BASE))
-            spot = start[of] << 17 | at << 1 | (at <= high[of])
-            yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(ids[of]), pa.array(spot)], names=["rank", "id", "spot"])
+            x = np.cumsum([0, *map(len, texts)])[:-1][of] + at
+            rank = mixed(prints.of(x, x + known) + prints.of(x + offset, x + offset + known) * np.uint64(_BASE))
+            yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(ids[of]), pa.array(start[of] << 16 | at)], names=["rank", "id", "spot"])
 
     return run
 
 
 def _not_unique(positions: DataFrame) -> DataFrame:
-    """The positions whose rank another has too, written out."""
+    """The positions whose rank another has too: id, start, at; written out."""
     met = positions.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
-    return materialize(positions.join(met, "rank"), "repeat-ranks")
-
-
-def _at() -> Column:
-    return F.shiftright("spot", 1).bitwiseAND(0xFFFF)
-
-
-def _double(ranked: DataFrame, offset: int) -> DataFrame:
-    """Positions ranked by the pair of their rank and that of the position `offset` bytes on. Partners are of the same run,
-    so one shuffle by run brings them together."""
-    on = W.partitionBy("id", F.shiftright("spot", 17)).orderBy(_at()).rangeBetween(offset, offset)
-    pairs = ranked.withColumn("rank_on", F.first("rank").over(on)).where("rank_on is not null")
-    return pairs.select(F.xxhash64("rank", "rank_on").alias("rank"), "id", "spot")
+    found = positions.join(met, "rank")
+    return materialize(found.select("id", F.shiftright("spot", 16).cast("int").alias("start"), F.col("spot").bitwiseAND(0xFFFF).cast("int").alias("at")), "repeat-ranks")
 
 
 def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -303,17 +292,19 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     todo = first.where("not again").distinct().groupBy("id").agg(F.collect_list(F.struct("start", "windows", "place")).alias("runs"))
     once = rows.join(todo.hint("shuffle_hash"), "id").select("id", "text", "runs")
     stretches = materialize(once.mapInArrow(_stretches(length), STRETCHES), "repeat-stretches")
-    ranked = _not_unique(stretches.mapInArrow(_first_pairs(length, seed, step, core), POSITIONS))
-    known = min(core, 2 * seed)
+    left, known, ranked = stretches.withColumn("left", F.lit(None).cast("array<int>")), seed, None
     while known < core:
         offset = min(known, core - known)
-        before, ranked = ranked, _not_unique(_double(ranked, offset))
-        drop_table(before)
+        before, ranked = ranked, _not_unique(left.mapInArrow(_pairs(known, offset, step), POSITIONS))
+        if before is not None:
+            drop_table(before)
         known += offset
+        if known < core:
+            of_run = ranked.groupBy("id", "start").agg(F.collect_list("at").alias("left"))  # at most a few positions a run
+            left = stretches.join(of_run, ["id", "start"]).select(*stretches.columns, "left")
 
     # a window has its head at most step - 1 bytes after its start
-    heads = ranked.where(F.col("spot").bitwiseAND(1) == 1).select("id", F.shiftright("spot", 17).cast("int").alias("start"), _at().cast("int").alias("at"))
-    windows = heads.join(stretches.select("id", "start", "windows", "stretch"), ["id", "start"])
+    windows = ranked.join(stretches.select("id", "start", "windows", "stretch"), ["id", "start"])
     windows = windows.withColumn("nth", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - step + 1), F.least("at", F.col("windows") - 1))))
     window = F.expr(f"substring(stretch, nth + 1, {length})")
     windows = windows.select(F.xxhash64(window).alias("left"), F.xxhash64(F.lit(1), window).alias("right"), "id", (F.col("start") + F.col("nth")).alias("start"))
