@@ -29,9 +29,9 @@ from curvetrail.llm.common import pieces
 #: Pieces of a longer text are taken in blocks of so many.
 BLOCK_PIECES = 300_000
 #: Bytes of unknown pieces that one query contracts; ids that one query decodes.
-ROUND_BYTES, DECODE_IDS = 1 << 20, 1 << 18
+ROUND_BYTES, DECODE_IDS = 1 << 19, 1 << 18
 #: Pieces whose ids a worker keeps. When there are more, it starts anew.
-KNOWN_PIECES = 500_000
+KNOWN_PIECES = 400_000
 #: Bytes from which a piece is contracted at all allowed places of a round at once.
 LONG = 48
 #: Ids are packed into a pair as left * SHIFT + right.
