@@ -66,6 +66,20 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.find_repeats(docs).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+#: Each 100-byte string by its digest, each byte by the last later occurrence that reaches it. Texts are cut into stretches
+#: first, as a substring of a long text takes time with its place.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (SELECT doc_id, len(h) // 2 AS n, base, substr(h, 2 * base + 1, 1200) AS part FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 500)) AS base FROM d)),
+b AS MATERIALIZED (SELECT doc_id, base + i AS p, substr(part, 2 * i + 1, 2) AS x, CASE WHEN n - base - i >= 100 THEN md5_number(substr(part, 2 * i + 1, 200)) END AS s FROM (SELECT *, unnest(range(least(500, n - base))) AS i FROM q)),
+f AS (SELECT s, min((doc_id::HUGEINT << 40) + p) AS least FROM b WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 1),
+c AS (SELECT b.doc_id, b.p, b.x, max(CASE WHEN (b.doc_id::HUGEINT << 40) + b.p > f.least THEN b.p END) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM b LEFT JOIN f ON f.s = b.s),
+g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS starts FROM c),
+k AS (SELECT doc_id, count_if(gone) AS removed, count_if(starts) AS spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_leaks(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -170,4 +184,4 @@ QUERIES = {
     "op13_bpe": op13_bpe,
 }
 
-ORACLES = {"op1_warc": OP1_SQL, "op2_urlfilter": OP2_SQL, "op11_vectorcodes": OP11_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op2_urlfilter": OP2_SQL, "op5_repeats": OP5_SQL, "op11_vectorcodes": OP11_SQL}
