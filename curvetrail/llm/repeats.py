@@ -310,7 +310,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     windows = windows.select(F.xxhash64(window).alias("left"), F.xxhash64(F.lit(1), window).alias("right"), "id", (F.col("start") + F.col("nth")).alias("start"))
     # named twice, once to count and once to meet the counts: a table of all windows would take more disk than both shuffles
     name = ["left", "right"]
-    least = windows.groupBy(*name).agg(F.min(F.struct("id", "start")).alias("least"), F.max(F.struct("id", "start")).alias("most")).where("least <> most").drop("most")
+    least = windows.groupBy(*name).agg(F.min(F.struct("id", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     late = windows.join(least, name).where(F.struct("id", "start") > F.col("least")).select("id", "start", (F.col("start") + length).alias("end"))
 
     # windows in a row are one span already where they are settled together, so a document has few
