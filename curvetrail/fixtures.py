@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from curvetrail.functions.geometry import num
+from curvetrail.functions.geometry import exact_mean, num
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +44,7 @@ def frames(tracks: DataFrame) -> DataFrame:
 
 
 def scores(tracks: DataFrame, frames: DataFrame) -> DataFrame:
-    mean = tracks.groupBy("video_id", "frame_id").agg(F.avg("value").alias("v"))
+    mean = tracks.groupBy("video_id", "frame_id").agg(exact_mean(F.col("value")).alias("v"))
     joined = frames.join(mean, ["video_id", "frame_id"], "left")
     return joined.select("video_id", "idx", "frame_id", F.least(num(1), F.coalesce("v", num(0)) / 200.0).alias("score"))
 

@@ -129,6 +129,13 @@ def top_mean(values: Column, k: int) -> Column:
     return F.when(F.size(F.coalesce(values, F.array().cast("array<double>"))) > 0, total / F.size(top)).otherwise(num(0))
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean of a group whatever the order of its rows: decimals of 16 places are added and divided, so equal means compare
+    as equal. A group with a value from 1e13 on, infinite or NaN takes the usual mean."""
+    plain = F.abs(value) < 1e13
+    return F.when(F.bool_and(plain), F.avg(F.when(plain, value.cast("decimal(30,16)"))).cast("double")).otherwise(F.avg(value))
+
+
 def upper_median(values: Column) -> Column:
     """Of a sorted array the element at n div 2."""
     return F.element_at(F.array_sort(values), F.floor(F.size(values) / 2).cast("int") + 1)

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from curvetrail import fixtures
 from curvetrail.config import Boundary, Chunks, EngineConfig, Motion, Refinement, build, load_config
 from curvetrail.functions import geometry as g
 from curvetrail.functions import parse, signals
@@ -166,6 +167,20 @@ def test_islands(spark):
     assert [(r.s, r.e) for r in out] == [(0, 4)]
 
 
+def observed(spark, *frames):
+    """The curve of a video whose objects have these values on its frames, in this order of rows."""
+    t = spark.createDataFrame([(1, 2 * i, float(v)) for i, f in enumerate(frames) for v in f], "video_id long, frame_id long, value double").coalesce(1)
+    return fixtures.scores(t, fixtures.frames(t))
+
+
+def test_equal_means_tie_in_any_order(spark):
+    v = [64.86, 78.29, 10.2]
+    assert v[0] + v[1] + v[2] < v[2] + v[1] + v[0]
+    assert sorted(r.idx for r in peaks.local_peaks(observed(spark, v, v[::-1])).collect()) == [0, 1]
+    odd = [r.score for r in observed(spark, [5.0, math.inf], [1e15, 2.0]).orderBy("idx").collect()]
+    assert odd == [1.0, 1.0]
+
+
 SPANS = "video_id long, start_frame long, end_frame long, is_positive boolean, score double"
 
 
