@@ -181,6 +181,12 @@ def test_equal_means_tie_in_any_order(spark):
     assert odd == [1.0, 1.0]
 
 
+def test_mean_at_the_threshold_is_not_over_it(spark):
+    v = [59.45, 68.89, 57.7, 13.96]
+    assert (v[0] + v[1] + v[2] + v[3]) / 4 > 50 and math.isclose(sum(v), 200)
+    assert spans.mask_intervals(observed(spark, v, v, v), F.col("score") > 0.25, ["video_id"], gap=1, least=3).count() == 0
+
+
 SPANS = "video_id long, start_frame long, end_frame long, is_positive boolean, score double"
 
 
