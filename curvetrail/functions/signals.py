@@ -41,10 +41,10 @@ def median_filter(value: Column, w, width: int = 3) -> Column:
 
 
 def smooth_edge(value: Column, w, width: int = 3) -> Column:
-    """Moving average with the ends repeated. Even widths give a value too many and are refused."""
+    """Moving average with the ends repeated. Even widths give a value too many and are refused. Values are added by size,
+    so stretches of the same values tie."""
     _odd(width)
-    around = _edged(value, w, width)
-    return sum(around[1:], around[0]) / width
+    return F.aggregate(F.array_sort(F.array(*_edged(value, w, width))), num(0), lambda total, x: total + x) / width
 
 
 def smooth_zero(value: Column, w, width: int = 9) -> Column:

@@ -187,6 +187,11 @@ def test_mean_at_the_threshold_is_not_over_it(spark):
     assert spans.mask_intervals(observed(spark, v, v, v), F.col("score") > 0.25, ["video_id"], gap=1, least=3).count() == 0
 
 
+def test_smoothed_stretches_of_the_same_values_tie(spark):
+    got = values(curve(spark, [1, 0.17, 0.26, 1]).withColumn("value", signals.smooth_edge(F.col("score"), signals.series("video_id"))))
+    assert (1 + 0.17) + 0.26 != (0.17 + 0.26) + 1 and got[1] == got[2]
+
+
 SPANS = "video_id long, start_frame long, end_frame long, is_positive boolean, score double"
 
 
