@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from curvetrail.config import Motion
-from curvetrail.functions.fits import fit_slope, fit_value, orthogonal_fit
+from curvetrail.functions.fits import closed_fits, fit_slope, fit_value, orthogonal_fit
 from curvetrail.functions.geometry import area_ratio, box, box_at, box_iou, diagonal, edge_unstable, far_score, num, point_x, point_y, scale, top_mean
 from curvetrail.operators.grid import cell_at, cells, overlapping_pairs
 from curvetrail.plans.staging import staged
@@ -57,38 +57,6 @@ def _windowed(tracks: DataFrame, facts: DataFrame, size: int, cfg: Motion) -> Da
     return t.withColumn("still_ends", F.collect_list(F.when(F.col("still") & (F.col("idx") >= size - 1), F.col("idx"))).over(ahead))
 
 
-def _sums(seq: Column, t0: Column) -> Column:
-    """Power sums of frame numbers (from t0) and their products with x and y over observations: s0..s4, x0..x2, y0..y2."""
-    names = ["s0", "s1", "s2", "s3", "s4", "x0", "x1", "x2", "y0", "y1", "y2"]
-
-    def add(acc: Column, o: Column) -> Column:
-        t = (o["frame_id"] - t0).cast("double")
-        terms = [num(1), t, t * t, t * t * t, t * t * t * t, o["px"], o["px"] * t, o["px"] * t * t, o["py"], o["py"] * t, o["py"] * t * t]
-        return F.struct(*[(acc[n] + x).alias(n) for n, x in zip(names, terms)])
-
-    return F.aggregate(seq, F.struct(*[num(0).alias(n) for n in names]), add)
-
-
-def _solved(s: Column, degree: Column) -> dict[str, Column]:
-    """Value, slope and curvature term at time 0 of x and y, least squares of degree 1 or 2."""
-    s0, s1, s2, s3, s4 = (s[f"s{i}"] for i in range(5))
-    out = {}
-    d1 = s0 * s2 - s1 * s1
-    m0, m1, m2 = s2 * s4 - s3 * s3, s1 * s4 - s2 * s3, s1 * s3 - s2 * s2
-    d2 = s0 * m0 - s1 * m1 + s2 * m2
-    for c in ("x", "y"):
-        b0, b1, b2 = (s[f"{c}{i}"] for i in range(3))
-        linear = ((b0 * s2 - b1 * s1) / d1, (s0 * b1 - s1 * b0) / d1, num(0))
-        curved = (
-            (b0 * m0 - s1 * (b1 * s4 - b2 * s3) + s2 * (b1 * s3 - b2 * s2)) / d2,
-            (s0 * (b1 * s4 - b2 * s3) - b0 * m1 + s2 * (s1 * b2 - b1 * s2)) / d2,
-            (s0 * (s2 * b2 - b1 * s3) - s1 * (s1 * b2 - b1 * s2) + b0 * m2) / d2,
-        )
-        for name, lin, cur in zip((f"{c}0", f"v{c}", f"q{c}"), linear, curved):
-            out[name] = F.when(degree == 1, lin).otherwise(cur)
-    return out
-
-
 def _orthogonal(seq: Column, t0: Column, degree: Column) -> Column:
     """The fit of x and y over observations, for degrees beyond the closed forms; times from t0."""
     times = F.transform(seq, lambda o: (o["frame_id"] - t0).cast("double"))
@@ -105,21 +73,7 @@ def _fitted(t: DataFrame, size: int, cfg: Motion) -> DataFrame:
     hist = min(size, max(3, cfg.history)) if cfg.history is not None else size
     t = t.where((F.col("idx") >= size - 1) & (F.col("n") >= 3) & ~F.col("still"))
     t = t.select("video_id", "track_id", "idx", "fw", "fh", "seq", "n", F.try_element_at("seq", F.lit(-2)).alias("a"), F.try_element_at("seq", F.lit(-1)).alias("b"))
-    # the current fit takes the last `hist` observations, the one before it those without the current one
-    now = F.slice("seq", F.greatest(F.lit(1), F.col("n") - hist + 1), hist)
-    before = F.slice("seq", F.greatest(F.lit(1), F.col("n") - hist), F.least(F.col("n") - 1, F.lit(hist)))
-    degree = lambda full: F.when(full, F.lit(cfg.fit_degree)).otherwise(F.lit(1))
     full = F.col("n") >= hist
-    if cfg.fit_degree <= 2:
-        t = t.withColumns({"s_now": _sums(now, F.col("b.frame_id")), "s_before": _sums(before, F.col("a.frame_id"))})
-        t = t.withColumns(_solved(F.col("s_now"), degree(full)) | {f"p{k}": v for k, v in _solved(F.col("s_before"), degree(F.col("n") - 1 >= hist)).items()})
-        at = lambda p, c, d: F.col(f"{p}{c}0") + F.col(f"{p}v{c}") * F.col(d) + F.col(f"{p}q{c}") * F.col(d) * F.col(d)
-    else:
-        t = t.withColumns({"fit": _orthogonal(now, F.col("b.frame_id"), degree(full)), "pfit": _orthogonal(before, F.col("a.frame_id"), degree(F.col("n") - 1 >= hist))})
-        t = t.withColumns({f"{p}{c}0": fit_value(F.col(f"{p}fit"), c, num(0)) for p in ("", "p") for c in "xy"} | {f"{p}v{c}": fit_slope(F.col(f"{p}fit"), c, num(0)) for p in ("", "p") for c in "xy"})
-        at = lambda p, c, d: fit_value(F.col(f"{p}fit"), c, F.col(d))
-    gaps = F.zip_with(F.slice(now, 2, hist), F.slice(now, 1, F.size(now) - 1), lambda z, y: z["frame_id"] - y["frame_id"])
-    usual = F.greatest(F.lit(1), F.try_element_at(F.array_sort(gaps), F.floor(F.size(gaps) / 2).cast("int") + 1)).cast("double")
     fw, fh = F.col("fw"), F.col("fh")
     s0, s1 = scale(F.col("b.area")), scale(F.col("a.area"))
     pair_scale = F.greatest(num(1), (s0 + s1) * 0.5)
@@ -127,11 +81,29 @@ def _fitted(t: DataFrame, size: int, cfg: Motion) -> DataFrame:
     stable = ~edge_unstable("a.", fw, fh, cfg.edge_ratio) & ~edge_unstable("b.", fw, fh, cfg.edge_ratio)
     stable = stable & (area_ratio(F.col("a.area"), F.col("b.area")) <= cfg.max_area_ratio) & (step / pair_scale <= cfg.max_step_ratio)
     dt = F.greatest(F.lit(1), F.col("b.frame_id") - F.col("a.frame_id")).cast("double")
-    t = t.withColumns({"stable": stable, "dt": dt, "next_dt": usual, "s0": s0, "pair_scale": pair_scale, "n1": F.hypot("pvx", "pvy"), "n2": F.hypot("vx", "vy")})
+    # what the fits do not enter into comes before them, so that no step of the plan grows too large to be compiled
     dims = lambda p: (F.col(f"{p}.x2") - F.col(f"{p}.x1"), F.col(f"{p}.y2") - F.col(f"{p}.y1"))
-    nb = box_at(at("", "x", "next_dt"), at("", "y", "next_dt"), *dims("b"), cfg.point_height)
+    t = t.withColumns({"stable": stable, "dt": dt, "s0": s0, "pair_scale": pair_scale} | {f"{p}_{n}": c for p in "ab" for n, c in zip("wh", dims(p))})
+    t = t.withColumns({f"b_{n}": F.col(f"b.{n}") for n in ("px", "py", "x1", "y1", "x2", "y2")})
+    if cfg.fit_degree <= 2:
+        t = t.withColumn("fit", closed_fits(cfg.fit_degree, hist)(F.col("seq.frame_id"), F.col("seq.px"), F.col("seq.py")))
+        t = t.select(*[c for c in t.columns if c not in ("seq", "fit")], "fit.*")
+        at = lambda p, c, d: F.col(f"{p}{c}0") + F.col(f"{p}v{c}") * F.col(d) + F.col(f"{p}q{c}") * F.col(d) * F.col(d)
+    else:
+        # the current fit takes the last `hist` observations, the one before it those without the current one
+        now = F.slice("seq", F.greatest(F.lit(1), F.col("n") - hist + 1), hist)
+        before = F.slice("seq", F.greatest(F.lit(1), F.col("n") - hist), F.least(F.col("n") - 1, F.lit(hist)))
+        degree = lambda full: F.when(full, F.lit(cfg.fit_degree)).otherwise(F.lit(1))
+        gaps = F.zip_with(F.slice(now, 2, hist), F.slice(now, 1, F.size(now) - 1), lambda z, y: z["frame_id"] - y["frame_id"])
+        usual = F.greatest(F.lit(1), F.try_element_at(F.array_sort(gaps), F.floor(F.size(gaps) / 2).cast("int") + 1)).cast("double")
+        t = t.withColumns({"fit": _orthogonal(now, F.col("b.frame_id"), degree(full)), "pfit": _orthogonal(before, F.col("a.frame_id"), degree(F.col("n") - 1 >= hist)), "next_dt": usual})
+        t = t.withColumns({f"{p}{c}0": fit_value(F.col(f"{p}fit"), c, num(0)) for p in ("", "p") for c in "xy"} | {f"{p}v{c}": fit_slope(F.col(f"{p}fit"), c, num(0)) for p in ("", "p") for c in "xy"})
+        at = lambda p, c, d: fit_value(F.col(f"{p}fit"), c, F.col(d))
+    t = t.withColumns({"n1": F.hypot("pvx", "pvy"), "n2": F.hypot("vx", "vy")})
     t = t.withColumns({"ex": at("p", "x", "dt"), "ey": at("p", "y", "dt"), "r1": F.col("n1") * F.col("dt") / F.col("pair_scale"), "r2": F.col("n2") * F.col("dt") / F.col("pair_scale")})
-    pb = box_at(F.col("ex"), F.col("ey"), *dims("a"), cfg.point_height)
+    sides = ("x1", "y1", "x2", "y2")
+    t = t.withColumns({f"p_{n}": c for n, c in zip(sides, box_at(F.col("ex"), F.col("ey"), F.col("a_w"), F.col("a_h"), cfg.point_height))})
+    nb = box_at(at("", "x", "next_dt"), at("", "y", "next_dt"), F.col("b_w"), F.col("b_h"), cfg.point_height)
     change = F.abs(F.col("r1") - F.col("r2")) / F.greatest(num(cfg.min_turn_speed), (F.col("r1") + F.col("r2")) * 0.5)
     enough = F.least("n1", "n2") * F.col("dt") >= F.greatest(num(cfg.min_dir_px), F.col("pair_scale") * cfg.min_dir_ratio)
     turn = F.when(enough, F.abs(F.sin(F.atan2("vy", "vx") - F.atan2("pvy", "pvx")))).otherwise(num(0))
@@ -141,9 +113,9 @@ def _fitted(t: DataFrame, size: int, cfg: Motion) -> DataFrame:
     return t.select(
         "video_id", (F.col("idx") - (size - 1)).alias("window_id"), "track_id", "fw", "fh", "n", "x0", "y0", "vx", "vy", "stable", "judged",
         (F.col("n2") * F.col("dt") / F.col("s0") * cfg.speed_factor).alias("speed"),
-        *[F.when(F.col("stable"), c).alias(f"next_{n}") for n, c in zip(("x1", "y1", "x2", "y2"), nb)],
-        F.when(judged, F.hypot(F.col("b.px") - F.col("ex"), F.col("b.py") - F.col("ey")) / F.col("s0")).alias("center_err"),
-        F.when(judged, num(1) - box_iou(pb, box("b."))).alias("iou_err"), "speed_turn", "dir_turn",
+        *[F.when(F.col("stable"), c).alias(f"next_{n}") for n, c in zip(sides, nb)],
+        F.when(judged, F.hypot(F.col("b_px") - F.col("ex"), F.col("b_py") - F.col("ey")) / F.col("s0")).alias("center_err"),
+        F.when(judged, num(1) - box_iou(box("p_"), box("b_"))).alias("iou_err"), "speed_turn", "dir_turn",
         ((F.col("speed_turn") > cfg.turn_limit) | (F.col("dir_turn") > cfg.turn_limit)).cast("double").alias("turned"),
     )
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -671,3 +672,26 @@ def test_empty_inputs(spark):
     t = tracked(spark, [(1, 0, 1, 0, 0.0, 0.0, 1.0, 1.0)])
     assert tracks.refine_ids(t.where("false")).count() == 0
     assert motion.track_features(t.where("false"), none.select("video_id", "idx", "frame_id")).count() == 0
+
+
+def test_closed_fits_of_a_batch(spark):
+    from curvetrail.functions.fits import closed_fits
+
+    frames = [[0, 2, 6, 8, 10], [4, 4, 4], [0, 2, 4]]
+    xs = [[1.0, 4.0, 2.0, 8.0, 5.0], [1.0, 2.0, 3.0], [1.0, None, 3.0]]
+    rows = spark.createDataFrame([(i, f, x, [2.0 * t for t in f]) for i, (f, x) in enumerate(zip(frames, xs))], "i int, f array<long>, x array<double>, y array<double>").coalesce(1)
+    whole, repeated, gap = (r.fit for r in rows.select("i", closed_fits(2, 4)("f", "x", "y").alias("fit")).orderBy("i").collect())
+    for p, lo, hi in (("", 1, 5), ("p", 0, 4)):
+        want = np.polyfit(np.array(frames[0][lo:hi]) - frames[0][hi - 1], xs[0][lo:hi], 2)
+        assert np.allclose([whole[f"{p}qx"], whole[f"{p}vx"], whole[f"{p}x0"]], want)
+    assert math.isclose(whole.vy, 2) and whole.next_dt == 2
+    assert repeated.x0 is None and repeated.pvy is None and repeated.next_dt == 1
+    assert gap.x0 is None and gap.px0 is None and math.isclose(gap.y0, 8) and gap.qy == 0
+
+
+def test_a_track_that_stays_on_one_frame_has_no_fit(spark):
+    t = spark.createDataFrame([(1, 14, 5, 0, 10.0, 10.0 + i, 50.0, 60.0) for i in range(3)], "video_id long, frame_id long, track_id long, cls_id long, x1 double, y1 double, x2 double, y2 double")
+    t = t.selectExpr("*", "40d * 50d AS area", "640d AS frame_w", "480d AS frame_h")
+    f = spark.range(8).selectExpr("1L AS video_id", "id AS idx", "id * 2 AS frame_id")
+    assert {r.x0 for r in motion.last_frame_motion(t, f).collect()} == {None}
+    assert motion.track_features(t, f).first().speeds_mean == 0
