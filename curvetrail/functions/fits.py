@@ -31,7 +31,9 @@ def _last(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     offsets = lists.offsets.to_numpy()
     at = offsets[1:, None] - np.arange(width, 0, -1)
     there = at >= offsets[:-1, None]
-    at = np.where(there, at, offsets[:-1, None])
+    at = np.where(there, at, 0)
+    if not len(lists.values):
+        return np.zeros(at.shape, lists.values.type.to_pandas_dtype()), there, there
     null = lists.values.is_null().to_numpy(zero_copy_only=False)[at] & there if lists.values.null_count else np.zeros_like(there)
     return lists.values.to_numpy(zero_copy_only=False)[at], there, null
 
@@ -68,7 +70,7 @@ def _solved(sums: list[np.ndarray], curved: np.ndarray) -> list[tuple[np.ndarray
 def closed_fits(degree: int, hist: int) -> Callable[[Column, Column, Column], Column]:
     """A function of arrays of frame numbers, x and y (the oldest first, three or more) that gives a struct of CLOSED. The
     fit takes the last `hist` observations, the one before it those without the last; fewer are fitted by lines. A fit of
-    values with a null among them is null."""
+    values with a null among them is null, as is that of an array that is null."""
 
     @F.arrow_udf(", ".join(f"{c} double" for c in CLOSED))
     def fits(frames: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:

@@ -695,3 +695,36 @@ def test_a_track_that_stays_on_one_frame_has_no_fit(spark):
     f = spark.range(8).selectExpr("1L AS video_id", "id AS idx", "id * 2 AS frame_id")
     assert {r.x0 for r in motion.last_frame_motion(t, f).collect()} == {None}
     assert motion.track_features(t, f).first().speeds_mean == 0
+
+
+def test_features_where_frames_hold_few_boxes(spark, monkeypatch):
+    """A frame of few boxes is one cell, a crowded one a grid, with the same features; tracks pause within and beyond a
+    window, and each window counts those it sees. What is written once holds no lists of whole observations."""
+    from curvetrail.operators import grid
+
+    rnd, rows, seen = random.Random(3), [], {}
+    for k in range(24):
+        x, y, at = rnd.uniform(0, 600), rnd.uniform(0, 440), rnd.randrange(6)
+        while at < 60:
+            seen.setdefault(k, []).append(at)
+            px, py = x + at * (k % 5 - 2) * 1.5 + rnd.uniform(0, 3), y + at * (k % 3 - 1) + rnd.uniform(0, 3)
+            rows.append((1, at * 2, k, k % 2, px, py, px + 45, py + 40))
+            at += rnd.choice([1] * 12 + [2, 7, 8, 9, 10, 15])
+    t = tracked(spark, rows)
+    f = spark.range(60).selectExpr("1L AS video_id", "id AS idx", "id * 2 AS frame_id")
+    written, usual = {}, motion.staged
+    monkeypatch.setattr(motion, "staged", lambda df, name: written.setdefault(name, usual(df, name)))
+    few = {r.window_id: r for r in motion.track_features(t, f).collect()}
+    assert written["frame-facts"].where("few").count() == 60 and "seq" not in written["observations"].columns
+    boxes = written["observations"].selectExpr("x1", "y1", "x2", "y2", "fw", "fh", "few")
+    assert boxes.select(F.explode(grid.cells(*map(F.col, boxes.columns)))).count() == len(rows) < boxes.select(F.explode(grid.cells(*map(F.col, boxes.columns[:6])))).count()
+    monkeypatch.setattr(motion, "staged", usual)
+    monkeypatch.setattr(motion, "FEW", 1)
+    assert few == {r.window_id: r for r in motion.track_features(t, f).collect()}
+    still = {}
+    for r in motion.static_tracks(t, f).collect():
+        still[r.window_id] = still.get(r.window_id, 0) + 1
+    assert len(few) == 53
+    for w, r in few.items():
+        assert r.track_count == sum(any(w <= i < w + 8 for i in places) for places in seen.values()) - still.get(w, 0)
+    assert max(r.collision_warning for r in few.values()) > 0 and max(r.disappear_far_sum for r in few.values()) > 0
